@@ -12,6 +12,7 @@ from itertools import chain
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _positions(tokens) -> dict:
@@ -102,13 +103,13 @@ def _split(values: list, sizes: list) -> list[list]:
     return out
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def lcs_length(left: pa.Array, right: pa.Array) -> pa.Array:
     """Length of the longest common subsequence of two token arrays."""
     return pa.array([lcs_size(a, b) for a, b in zip(*_codes(left, right))], pa.int32())
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def union_lcs_hits(gold: pa.Array, predicted: pa.Array) -> pa.Array:
     """Clipped union-LCS hits of two ``array<array<string>>`` columns of line tokens."""
     lines = _codes(gold.flatten(), predicted.flatten())

@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whole words with a stem of their own.
 IRREGULAR = {
@@ -140,7 +141,7 @@ def _running(array: pa.Array):
         yield total
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_tokens(tokens: pa.Array) -> pa.Array:
     """Stems of a token array; tokens of three letters or fewer stay as they are.
 
@@ -149,7 +150,7 @@ def stem_tokens(tokens: pa.Array) -> pa.Array:
     return _lists(tokens, _stem_values(tokens.flatten()))
 
 
-@F.arrow_udf("array<array<string>>")
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def stem_line_tokens(lines: pa.Array) -> pa.Array:
     """``stem_tokens`` for an array of token arrays."""
     inner = lines.flatten()

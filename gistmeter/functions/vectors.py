@@ -6,10 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmeter.functions.lets import let
 
 _BLOCK = 1024
+_SIDES = T.StructType(
+    [T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType())]
+)
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -58,7 +62,7 @@ def best_matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nd
     return best_a, best_b
 
 
-@F.arrow_udf("struct<precision:double,recall:double>")
+@F.arrow_udf(_SIDES)
 def greedy_sides(predicted: pa.Array, gold: pa.Array) -> pa.Array:
     """Mean best cosine per side of two ``array<array<float>>`` columns; zero for an empty side."""
     rows = []

@@ -30,8 +30,9 @@ def conditional_table(
     spark: SparkSession, marker: str, first_run: str, later_run: str, database: str | None = None
 ) -> DataFrame:
     """``later_run`` when the ``marker`` table exists, ``first_run`` before that."""
-    chosen = later_run if marker in table_names(spark, database) else first_run
-    return spark.table(chosen if database is None else f"{database}.{chosen}")
+    prefix = "" if database is None else f"{database}."
+    chosen = later_run if spark.catalog.tableExists(prefix + marker) else first_run
+    return spark.table(prefix + chosen)
 
 
 def schema_signature(df: DataFrame) -> DataFrame:
