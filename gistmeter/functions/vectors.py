@@ -36,6 +36,18 @@ def cosine(left: Column, right: Column) -> Column:
     return dot(l2_normalize(left), l2_normalize(right))
 
 
+def pooled(vectors: Column, dim: int) -> Column:
+    """Mean of an array of vectors; zeros when there is none."""
+    below = F.greatest(F.size(vectors).cast("double"), F.lit(1e-9))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return F.aggregate(
+        vectors,
+        zeros,
+        lambda total, v: F.zip_with(total, v, lambda x, y: x + y.cast("double")),
+        lambda total: F.transform(total, lambda x: x / below),
+    )
+
+
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 

@@ -40,10 +40,19 @@ def paired_cosine(df: DataFrame, left: str, right: str, name: str = "cosine") ->
     return df.withColumn(name, cosine(F.col(left), F.col(right)))
 
 
-def gather_vectors(tokens: DataFrame, key: list[str], position: str, vector: str) -> DataFrame:
-    """One row per text with its token vectors in order; a group is the tokens of one text."""
-    packed = tokens.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(position, vector))).alias("_gm"))
-    return packed.select(*key, F.transform("_gm", lambda item: item[vector]).alias("vectors"))
+def gather_vectors(
+    tokens: DataFrame, keys: list[str], position: str, vector: str, sides: dict[str, Column]
+) -> DataFrame:
+    """One row per key with an ordered array of vectors per side.
+
+    ``sides`` maps a column name to the condition that puts a token on that side. A group holds the
+    tokens of the texts of one pair, which came from one row.
+    """
+    item = F.struct(position, vector)
+    packed = tokens.groupBy(*keys).agg(
+        *[F.sort_array(F.collect_list(F.when(here, item))).alias(name) for name, here in sides.items()]
+    )
+    return packed.select(*keys, *[F.transform(name, lambda x: x[vector]).alias(name) for name in sides])
 
 
 def greedy_match(df: DataFrame, predicted: str, gold: str) -> DataFrame:

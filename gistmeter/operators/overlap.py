@@ -22,6 +22,10 @@ from gistmeter.functions.text import bleu_tokens, line_tokens, rouge_tokens, sen
 ROUGE_TYPES = ("rouge1", "rouge2", "rougel", "rougelsum")
 MAX_ORDER = 4
 
+_PREDICTED, _GOLD = "_gm_p", "_gm_g"
+_PREDICTED_BLEU, _GOLD_BLEU = "_gm_bp", "_gm_bg"
+GOLD_TOKENS = (_GOLD, f"{_GOLD}_lines", _GOLD_BLEU)
+
 
 def prf(hits: Column, predicted: Column, gold: Column) -> Column:
     """Precision, recall and F from counts."""
@@ -31,6 +35,39 @@ def prf(hits: Column, predicted: Column, gold: Column) -> Column:
     return F.struct(precision.alias("precision"), recall.alias("recall"), f.alias("fmeasure"))
 
 
+def _staged(
+    df: DataFrame, side: str, text: str, types: tuple[str, ...], stem: bool, split_sentences: bool
+) -> DataFrame:
+    """Add the token columns of one side that are not there yet."""
+    if any(t != "rougelsum" for t in types) and side not in df.columns:
+        tokens = rouge_tokens(text)
+        df = df.withColumn(side, stem_tokens(tokens) if stem else tokens)
+    if "rougelsum" in types and f"{side}_lines" not in df.columns:
+        tokens = line_tokens(sentence_lines(text) if split_sentences else text)
+        df = df.withColumn(f"{side}_lines", stem_line_tokens(tokens) if stem else tokens)
+    return df
+
+
+def with_gold_tokens(
+    df: DataFrame,
+    gold: str,
+    types: tuple[str, ...] = ROUGE_TYPES,
+    stem: bool = False,
+    split_sentences: bool = False,
+) -> DataFrame:
+    """Tokenise the gold text ahead of scoring.
+
+    Used before a melt, so that a gold text is taken apart once and not once per model. The scoring
+    functions pick the columns up and ``without_gold_tokens`` drops them.
+    """
+    staged = _staged(df, _GOLD, gold, types, stem, split_sentences)
+    return staged.withColumn(_GOLD_BLEU, bleu_tokens(gold))
+
+
+def without_gold_tokens(df: DataFrame) -> DataFrame:
+    return df.drop(*GOLD_TOKENS)
+
+
 def rouge(
     df: DataFrame,
     predicted: str,
@@ -44,23 +81,10 @@ def rouge(
     The texts are tokenised once and every type is a projection of the row. ``split_sentences``
     puts each sentence on a line for ``rougelsum``; otherwise the lines of the text count.
     """
-    flat = any(t != "rougelsum" for t in types)
-    lines = "rougelsum" in types
-    staged = df
-    for side, text in (("_gm_p", predicted), ("_gm_g", gold)):
-        if flat:
-            tokens = rouge_tokens(text)
-            staged = staged.withColumn(side, stem_tokens(tokens) if stem else tokens)
-        if lines:
-            source = sentence_lines(text) if split_sentences else F.col(text)
-            tokens = line_tokens(source)
-            staged = staged.withColumn(f"{side}_lines", stem_line_tokens(tokens) if stem else tokens)
-    columns = []
-    for name in types:
-        columns.append(_rouge_hits(name).alias(f"_gm_{name}"))
-    counted = staged.select("*", *columns)
-    scored = counted.select(*df.columns, *[_rouge_score(name).alias(name) for name in types])
-    return scored
+    staged = _staged(df, _PREDICTED, predicted, types, stem, split_sentences)
+    staged = _staged(staged, _GOLD, gold, types, stem, split_sentences)
+    counted = staged.select("*", *[_rouge_hits(name).alias(f"_gm_{name}") for name in types])
+    return counted.select(*df.columns, *[_rouge_score(name).alias(name) for name in types])
 
 
 def _rouge_order(name: str) -> int | None:
@@ -71,11 +95,11 @@ def _rouge_order(name: str) -> int | None:
 def _rouge_hits(name: str) -> Column:
     order = _rouge_order(name)
     if order is not None:
-        return ngram_overlap(F.col("_gm_p"), F.col("_gm_g"), order)
+        return ngram_overlap(F.col(_PREDICTED), F.col(_GOLD), order)
     if name == "rougel":
-        return lcs_length(F.col("_gm_p"), F.col("_gm_g"))
+        return lcs_length(F.col(_PREDICTED), F.col(_GOLD))
     if name == "rougelsum":
-        return union_lcs_hits(F.col("_gm_g_lines"), F.col("_gm_p_lines"))
+        return union_lcs_hits(F.col(f"{_GOLD}_lines"), F.col(f"{_PREDICTED}_lines"))
     raise ValueError(f"unknown type: {name}")
 
 
@@ -84,10 +108,10 @@ def _rouge_score(name: str) -> Column:
     if name == "rougelsum":
         sizes = [
             F.aggregate(F.col(f"{side}_lines"), F.lit(0), lambda n, line: n + F.size(line))
-            for side in ("_gm_p", "_gm_g")
+            for side in (_PREDICTED, _GOLD)
         ]
     else:
-        sizes = [ngram_count(F.col(side), _rouge_order(name) or 1) for side in ("_gm_p", "_gm_g")]
+        sizes = [ngram_count(F.col(side), _rouge_order(name) or 1) for side in (_PREDICTED, _GOLD)]
     return prf(hits, *sizes)
 
 
@@ -100,14 +124,16 @@ def rouge_f(df: DataFrame, predicted: str, gold: str, **options) -> DataFrame:
 
 def bleu_counts(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     """Add matches and possible matches per order, and both lengths."""
-    staged = df.withColumn("_gm_p", bleu_tokens(predicted)).withColumn("_gm_g", bleu_tokens(gold))
+    staged = df.withColumn(_PREDICTED_BLEU, bleu_tokens(predicted))
+    if _GOLD_BLEU not in df.columns:
+        staged = staged.withColumn(_GOLD_BLEU, bleu_tokens(gold))
     orders = range(1, MAX_ORDER + 1)
     return staged.select(
         *df.columns,
-        *[ngram_overlap(F.col("_gm_p"), F.col("_gm_g"), n).alias(f"match{n}") for n in orders],
-        *[ngram_count(F.col("_gm_p"), n).alias(f"total{n}") for n in orders],
-        F.size("_gm_p").alias("translation_length"),
-        F.size("_gm_g").alias("reference_length"),
+        *[ngram_overlap(F.col(_PREDICTED_BLEU), F.col(_GOLD_BLEU), n).alias(f"match{n}") for n in orders],
+        *[ngram_count(F.col(_PREDICTED_BLEU), n).alias(f"total{n}") for n in orders],
+        F.size(_PREDICTED_BLEU).alias("translation_length"),
+        F.size(_GOLD_BLEU).alias("reference_length"),
     )
 
 
@@ -150,6 +176,7 @@ def bleu_corpus(df: DataFrame, predicted: str, gold: str, by: list[str] | None =
     by = by or []
     names = [f"{kind}{n}" for kind in ("match", "total") for n in range(1, MAX_ORDER + 1)]
     names += ["translation_length", "reference_length"]
-    counted = bleu_counts(df.select(*by, predicted, gold), predicted, gold)
+    kept = [c for c in df.columns if c in (*by, predicted, gold, _GOLD_BLEU)]
+    counted = bleu_counts(df.select(*kept), predicted, gold)
     summed = counted.groupBy(*by).agg(*[F.sum(name).alias(name) for name in names])
     return _bleu_columns(summed, by)

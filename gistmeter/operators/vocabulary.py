@@ -32,7 +32,7 @@ def _lookup(rows: DataFrame, vocabulary: DataFrame, on: str) -> DataFrame:
 
 
 def _ordered(rows: DataFrame, key: str, value: str) -> DataFrame:
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("_gm"))
+    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_gm"))
     return packed.select(key, F.transform("_gm", lambda item: item[value]).alias("_gm_items"))
 
 

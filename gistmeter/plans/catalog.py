@@ -21,7 +21,7 @@ from gistmeter.operators.ranking import rank_within
 from gistmeter.operators.summarize import batch_summarize as summarize
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
 from gistmeter.plans import fixtures as fx
-from gistmeter.plans.scoring import score_overlap, score_vectors
+from gistmeter.plans.scoring import score_overlap, score_vectors, score_wide
 from gistmeter.session import fresh_path
 from gistmeter.sources import files, sinks, tables, trial_logs
 from gistmeter.sources.tables import scan, spread
@@ -589,7 +589,7 @@ def upsert_by_key(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """All metrics beside each pair."""
-    pairs = spread_pairs(spark, folder)
+    pairs = fx.conversation_pairs(spark, folder)
     scored = score_overlap(pairs, "prediction", "gold").drop("prediction", "gold", "precisions")
     return corpus.rounded(scored.join(_vector_scores(spark, folder), ["conv_id", "turn"], "left"), 6).select(
         "conv_id",
@@ -607,13 +607,8 @@ def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def spread_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.conversation_pairs(spark, folder)
-
-
 @registered
 def scored_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: wide model outputs to long, then every overlap metric on whole texts."""
-    long = reshape.melt(fx.wide_summaries(spark, folder), ["company", "gold_summary"])
-    scored = score_overlap(long, "obtained_summary", "gold_summary")
+    scored = score_wide(fx.wide_summaries(spark, folder), ["company"], "gold_summary")
     return _bleu_output(scored, ["company", "model", *overlap.ROUGE_TYPES])

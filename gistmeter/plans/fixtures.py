@@ -19,13 +19,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def conversation_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """(conv_id, turn, prediction, gold): a user turn and the assistant turn that follows it."""
     turns = scan(spark, folder, "conversations")
+    # The partitioning the join needs anyway, asked for by number: scoring is heavy for its bytes, and
+    # left alone the adaptive plan would merge small partitions into one task.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("prediction")
     )
     answered = turns.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold")
     )
-    return asked.join(answered, ["conv_id", "turn"])
+    keys = ["conv_id", "turn"]
+    return asked.repartition(width, *keys).join(answered.repartition(width, *keys), keys)
 
 
 def wide_summaries(spark: SparkSession, folder: str) -> DataFrame:

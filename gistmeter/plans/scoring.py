@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions.text import rouge_tokens
-from gistmeter.operators.embedding import gather_vectors, greedy_match, mean_pool, paired_cosine
-from gistmeter.operators.overlap import bleu, rouge_f
+from gistmeter.functions.vectors import pooled
+from gistmeter.operators.embedding import gather_vectors, greedy_match, paired_cosine
+from gistmeter.operators.overlap import GOLD_TOKENS, bleu, rouge_f, with_gold_tokens, without_gold_tokens
 from gistmeter.operators.ranking import skew_safe_lookup
-from gistmeter.session import materialize
+from gistmeter.operators.reshape import melt
 
 
 def score_overlap(df: DataFrame, predicted: str, gold: str) -> DataFrame:
@@ -43,7 +44,8 @@ def score_vectors(
 ) -> DataFrame:
     """(keys, cosine, match_precision, match_recall, match_f1) for pairs with vectors on both sides.
 
-    Both sides go through one lookup; ``cosine`` compares the mean-pooled, normalised vectors.
+    Both sides go through one lookup and meet again in one shuffle; the rest happens in the row.
+    ``cosine`` compares the mean-pooled, normalised vectors. A pair without tokens on a side has no row.
     """
     sides = df.select(
         *keys,
@@ -54,17 +56,24 @@ def score_vectors(
             )
         ).alias("_gm"),
     ).select(*keys, "_gm.*")
-    found = materialize(token_vectors(sides, [*keys, "side"], "text", vectors, token_id), "tokens")
-    pooled = mean_pool(found, [*keys, "side"], "vector", dim)
-    gathered = gather_vectors(found, [*keys, "side"], "pos", "vector")
-    both = gathered.join(pooled, [*keys, "side"])
-    left = both.where(F.col("side") == "p").select(
-        *keys, F.col("vectors").alias("_gm_p"), F.col("vector").alias("_gm_pv")
-    )
-    right = both.where(F.col("side") == "g").select(
-        *keys, F.col("vectors").alias("_gm_g"), F.col("vector").alias("_gm_gv")
-    )
-    paired = paired_cosine(left.join(right, keys), "_gm_pv", "_gm_gv")
-    return greedy_match(paired, "_gm_p", "_gm_g").select(
-        *keys, "cosine", "match_precision", "match_recall", "match_f1"
+    found = token_vectors(sides, [*keys, "side"], "text", vectors, token_id)
+    rows = gather_vectors(
+        found, keys, "pos", "vector", {"_gm_p": F.col("side") == "p", "_gm_g": F.col("side") == "g"}
+    ).where((F.size("_gm_p") > 0) & (F.size("_gm_g") > 0))
+    means = rows.select(
+        "*", pooled(F.col("_gm_p"), dim).alias("_gm_pv"), pooled(F.col("_gm_g"), dim).alias("_gm_gv")
     )
+    scored = greedy_match(paired_cosine(means, "_gm_pv", "_gm_gv"), "_gm_p", "_gm_g")
+    return scored.select(*keys, "cosine", "match_precision", "match_recall", "match_f1")
+
+
+def score_wide(df: DataFrame, ids: list[str], gold: str, variable: str = "model") -> DataFrame:
+    """Wide model outputs to one scored row per id row and model.
+
+    Every column outside ``ids`` and ``gold`` is a model. The gold text is tokenised before the melt
+    and stays behind; only its tokens go along.
+    """
+    staged = with_gold_tokens(df, gold)
+    fixed = [*ids, gold, *[c for c in GOLD_TOKENS if c in staged.columns]]
+    long = melt(staged, fixed, variable, "obtained_summary")
+    return without_gold_tokens(score_overlap(long, "obtained_summary", gold))
