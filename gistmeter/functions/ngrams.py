@@ -23,9 +23,14 @@ def ngrams(tokens: Column, n: int) -> Column:
 
     def build(bound: Column) -> Column:
         starts = F.slice(bound, 1, F.greatest(F.size(bound) - (n - 1), F.lit(0)))
-        return F.transform(
-            starts, lambda head, i: F.concat_ws(" ", head, *[F.get(bound, i + step) for step in range(1, n)])
-        )
+
+        def gram(head: Column, i: Column) -> Column:
+            parts = [head]
+            for step in range(1, n):
+                parts += [F.lit(" "), F.get(bound, i + step)]
+            return F.concat(*parts)
+
+        return F.transform(starts, gram)
 
     return let(tokens, build)
 
@@ -35,7 +40,24 @@ def ngram_count(tokens: Column, n: int) -> Column:
 
 
 def clipped_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two string arrays, in O(n log n).
+    """Size of the multiset intersection of two string arrays.
+
+    When a side repeats nothing, every shared gram counts once and a hash intersection has the
+    answer. Otherwise the repeated grams are counted by sorting.
+    """
+
+    def no_repeats(grams: Column) -> Column:
+        return F.size(F.array_distinct(grams)) == F.size(grams)
+
+    def choose(a: Column, b: Column) -> Column:
+        shared = F.size(F.array_intersect(a, b))
+        return F.when(no_repeats(a) | no_repeats(b), shared).otherwise(_sorted_overlap(a, b))
+
+    return let(left, lambda a: let(right, lambda b: choose(a, b)))
+
+
+def _sorted_overlap(left: Column, right: Column) -> Column:
+    """The intersection in O(n log n) for sides that repeat grams.
 
     Both sides are tagged and sorted together, so equal grams form a run with the left ones first.
     Only the places where the tagged value changes are kept; a left run that is followed by the

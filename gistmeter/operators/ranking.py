@@ -73,6 +73,18 @@ def skew_safe_lookup(
     return rows.join(heavy, on).unionByName(shuffled)
 
 
+def lookup_join(rows: DataFrame, table: DataFrame, on: str, broadcast_rows: int) -> DataFrame:
+    """Inner join of ``rows`` with a table that is unique on ``on``.
+
+    The table is counted: up to ``broadcast_rows`` rows it is broadcast. A larger one is joined by
+    ``skew_safe_lookup``, with the use of each key counted from ``rows``.
+    """
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), on)
+    uses = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
+    return skew_safe_lookup(rows, table.join(uses, on), on, "_gm_uses").drop("_gm_uses")
+
+
 def rank_within(df: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:
     """``row_number`` per group without gathering a group in one task."""
     ranked = global_rank(df, group, *order, name=_POSITION)

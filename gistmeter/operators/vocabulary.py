@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions.batches import BOS_ID, EOS_ID, SPECIAL_IDS
-from gistmeter.operators.ranking import global_rank, skew_safe_lookup
+from gistmeter.operators.ranking import global_rank, lookup_join
 from gistmeter.session import materialize
 
 # A vocabulary of at most this many rows (a count, not a guess) is broadcast.
@@ -25,18 +25,14 @@ def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     return materialize(numbered, "vocabulary")
 
 
-def _lookup(rows: DataFrame, vocabulary: DataFrame, on: str) -> DataFrame:
-    if vocabulary.count() <= BROADCAST_TOKENS:
-        return rows.join(F.broadcast(vocabulary.drop("n")), on)
-    return skew_safe_lookup(rows, vocabulary, on, "n").drop("n")
-
-
 def _ordered(rows: DataFrame, key: str, value: str) -> DataFrame:
     packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_gm"))
     return packed.select(key, F.transform("_gm", lambda item: item[value]).alias("_gm_items"))
 
 
-def encode(df: DataFrame, key: str, tokens: Column, vocabulary: DataFrame) -> DataFrame:
+def encode(
+    df: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_TOKENS
+) -> DataFrame:
     """(key, input_ids): the ids of a text's tokens between the start and the end id.
 
     ``key`` must be unique. The texts are spread by key before they are taken apart, so putting a
@@ -44,19 +40,21 @@ def encode(df: DataFrame, key: str, tokens: Column, vocabulary: DataFrame) -> Da
     """
     texts = df.select(key, tokens.alias("_gm_tokens")).repartition(F.col(key))
     rows = texts.select(key, F.posexplode("_gm_tokens").alias("pos", "token"))
-    items = _ordered(_lookup(rows, vocabulary.select("token", "n", "token_id"), "token"), key, "token_id")
+    items = _ordered(lookup_join(rows, vocabulary.select("token", "token_id"), "token", broadcast_rows), key, "token_id")
     found = F.coalesce("_gm_items", F.array().cast("array<int>"))
     return texts.select(key).join(items, key, "left").select(
         key, F.concat(F.array(F.lit(BOS_ID)), found, F.array(F.lit(EOS_ID))).alias("input_ids")
     )
 
 
-def decode(df: DataFrame, key: str, ids: str, vocabulary: DataFrame) -> DataFrame:
+def decode(
+    df: DataFrame, key: str, ids: str, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_TOKENS
+) -> DataFrame:
     """(key, text): tokens joined by a space; special ids are skipped."""
     texts = df.select(key, ids).repartition(F.col(key))
     rows = texts.select(key, F.posexplode(ids).alias("pos", "token_id"))
     words = rows.where(F.col("token_id") >= len(SPECIAL_IDS))
-    items = _ordered(_lookup(words, vocabulary.select("token_id", "n", "token"), "token_id"), key, "token")
+    items = _ordered(lookup_join(words, vocabulary.select("token_id", "token"), "token_id", broadcast_rows), key, "token")
     return texts.select(key).join(items, key, "left").select(
         key, F.coalesce(F.array_join("_gm_items", " "), F.lit("")).alias("text")
     )

@@ -21,7 +21,7 @@ PAIRS = """pairs AS (
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
-PAIR_TOKENS = f"""{PAIRS}, toks AS (
+PAIR_TOKENS = f"""{PAIRS}, toks AS MATERIALIZED (
   SELECT conv_id, turn, k, {TOKENS.format("prediction")} AS p, {TOKENS.format("gold")} AS g FROM pairs)"""
 
 DOC_SENTENCES = f"""ds AS (SELECT doc_id, text, {SENTENCES.format("text")} AS s FROM documents)"""
@@ -41,10 +41,10 @@ melted AS (
 
 
 def grams(n: int, source: str, column: str) -> str:
-    return (
-        f"SELECT k, unnest(list_transform(range(1, len({column}) - {n} + 2), "
-        f"lambda i: array_to_string({column}[i:i + {n - 1}], ' '))) AS gram FROM {source}"
-    )
+    words = f"SELECT k, unnest({column}) AS w, generate_subscripts({column}, 1) AS i FROM {source}"
+    parts = " || ' ' || ".join(["w", *[f"lead(w, {step}) OVER line" for step in range(1, n)]])
+    filled = "" if n == 1 else f"QUALIFY lead(w, {n - 1}) OVER line IS NOT NULL"
+    return f"SELECT k, {parts} AS gram FROM ({words}) WINDOW line AS (PARTITION BY k ORDER BY i) {filled}"
 
 
 def overlap(n: int, source: str, name: str) -> str:
@@ -99,7 +99,7 @@ def bleu_tokens(text: str) -> str:
     )
 
 
-BLEU_PAIRS = f"""{PAIRS}, btoks AS (
+BLEU_PAIRS = f"""{PAIRS}, btoks AS MATERIALIZED (
   SELECT conv_id, turn, k, {bleu_tokens("prediction")} AS p, {bleu_tokens("gold")} AS g FROM pairs)"""
 
 
@@ -337,14 +337,14 @@ ORACLE["bleu_row"] = f"""WITH {BLEU_PAIRS}, {bleu_counts("btoks", "conv_id, turn
 ORACLE["bleu_corpus"] = f"""WITH {BLEU_PAIRS}, {bleu_counts("btoks", "k")},
 total AS (SELECT {BLEU_SUMS} FROM bc) {bleu_select("total", "")}"""
 
-MODEL_BLEU = f"""{WIDE}, mtoks AS (
+MODEL_BLEU = f"""{WIDE}, mtoks AS MATERIALIZED (
   SELECT company, model, company * 10 + place AS k, {bleu_tokens("coalesce(obtained_summary, '')")} AS p,
          {bleu_tokens("gold_summary")} AS g FROM melted)"""
 
 ORACLE["bleu_by_model"] = f"""WITH {MODEL_BLEU}, {bleu_counts("mtoks", "model")},
 total AS (SELECT model, {BLEU_SUMS} FROM bc GROUP BY model) {bleu_select("total", "model,")}"""
 
-MODEL_TOKENS = f"""{WIDE}, mtoks AS (
+MODEL_TOKENS = f"""{WIDE}, mtoks AS MATERIALIZED (
   SELECT company, model, company * 10 + place AS k, {TOKENS.format("coalesce(obtained_summary, '')")} AS p,
          {TOKENS.format("gold_summary")} AS g FROM melted)"""
 
@@ -519,3 +519,117 @@ SELECT conv_id, count(*) AS n_rows FROM conversations GROUP BY conv_id HAVING co
 ORACLE["upsert_by_key"] = """
 SELECT doc_id, quality::VARCHAR || '/' || toxic::VARCHAR AS state FROM labels
 UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+
+# Word stems: suffix rules over the distinct words. A ``y`` that acts as a consonant is written ``Y``,
+# so that vowels and consonants are plain character classes.
+
+POSITIVE = "regexp_matches({0}, '[aeiouy][^aeiouy]')"
+ABOVE_ONE = "regexp_matches({0}, '[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]')"
+SHORT = "regexp_matches({0}, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$')"
+
+# Suffix rules in their order.
+STEP_2 = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("fulli", "ful"),
+]
+STEP_3 = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+STEP_4 = [
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion",
+    "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+]
+IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe",
+    "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
+
+def cut(n: int) -> str:
+    return f"left(w, length(w) - {n})"
+
+
+def suffix_rules(rules: list[tuple[str, str]], condition: str) -> str:
+    cases = "".join(
+        f" WHEN w LIKE '%{suffix}' THEN CASE WHEN {condition.format(cut(len(suffix)))}"
+        f"{' AND regexp_matches(w, ' + chr(39) + '[st]ion$' + chr(39) + ')' if suffix == 'ion' else ''}"
+        f" THEN {cut(len(suffix))} || '{new}' ELSE w END"
+        for suffix, new in rules
+    )
+    return f"CASE{cases} ELSE w END"
+
+
+def stem_ctes(words: str) -> str:
+    """CTEs ending in ``stems``(word, tok) for the words of a query that yields ``word``."""
+    fixed = "".join(f" WHEN '{word}' THEN '{stem}'" for word, stem in IRREGULAR.items())
+    one_vowel = "regexp_matches({0}, '[aeiouy]')"
+    steps = [
+        f"""CASE WHEN w LIKE '%ies' AND length(w) = 4 THEN {cut(1)} WHEN w LIKE '%sses' THEN {cut(2)}
+            WHEN w LIKE '%ies' THEN {cut(2)} WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN {cut(1)} ELSE w END""",
+        f"""CASE WHEN w LIKE '%ied' THEN CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END
+            WHEN w LIKE '%eed' THEN CASE WHEN {POSITIVE.format(cut(3))} THEN {cut(1)} ELSE w END
+            WHEN w LIKE '%ed' AND {one_vowel.format(cut(2))} THEN {cut(2)} || '+'
+            WHEN w LIKE '%ing' AND {one_vowel.format(cut(3))} THEN {cut(3)} || '+' ELSE w END""",
+        # The plus sign marks a word that just lost its ending.
+        f"""CASE WHEN w NOT LIKE '%+' THEN w WHEN regexp_matches(w, '(at|bl|iz)[+]$') THEN {cut(1)} || 'e'
+            WHEN length(w) > 2 AND lower(substr(w, length(w) - 1, 1)) = lower(substr(w, length(w) - 2, 1))
+                 AND regexp_matches(w, '[^aeiouy][+]$')
+            THEN CASE WHEN regexp_matches(w, '[lsz][+]$') THEN {cut(1)} ELSE {cut(2)} END
+            WHEN {POSITIVE.format(cut(1))} AND NOT {ABOVE_ONE.format(cut(1))} AND {SHORT.format(cut(1))}
+            THEN {cut(1)} || 'e' ELSE {cut(1)} END""",
+        f"CASE WHEN regexp_matches(w, '.[^aeiouy][yY]$') THEN {cut(1)} || 'i' ELSE w END",
+        f"CASE WHEN w LIKE '%alli' AND {POSITIVE.format(cut(4))} THEN {cut(2)} ELSE w END",
+        f"""CASE WHEN w LIKE '%logi' THEN CASE WHEN {POSITIVE.format(cut(3))} THEN {cut(1)} ELSE w END
+            ELSE {suffix_rules(STEP_2, POSITIVE)} END""",
+        suffix_rules(STEP_3, POSITIVE),
+        suffix_rules([(suffix, "") for suffix in STEP_4], ABOVE_ONE),
+        f"""CASE WHEN w LIKE '%e' AND ({ABOVE_ONE.format(cut(1))} OR ({POSITIVE.format(cut(1))}
+            AND NOT {SHORT.format(cut(1))})) THEN {cut(1)} ELSE w END""",
+        f"CASE WHEN w LIKE '%ll' AND {ABOVE_ONE.format(cut(1))} THEN {cut(1)} ELSE w END",
+    ]
+    marked = "regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"
+    ctes = f"st0 AS (SELECT DISTINCT word, {marked} AS w FROM ({words}))"
+    for number, step in enumerate(steps, 1):
+        ctes += f",\nst{number} AS MATERIALIZED (SELECT word, {step} AS w FROM st{number - 1})"
+    return f"""{ctes}, stems AS MATERIALIZED (
+  SELECT word, CASE WHEN length(word) <= 3 THEN word ELSE CASE word{fixed} ELSE lower(w) END END AS tok FROM st{len(steps)})"""
+
+
+ALL_WORDS = f"""SELECT unnest({TOKENS.format("prediction")}) AS word FROM pairs
+UNION ALL SELECT unnest({TOKENS.format("gold")}) FROM pairs"""
+
+STEMMED = f"""{PAIRS}, {stem_ctes(ALL_WORDS)}, raw AS (
+  SELECT conv_id, turn, k, {TOKENS.format("prediction")} AS p, {TOKENS.format("gold")} AS g FROM pairs),
+stem_p AS (SELECT k, unnest(p) AS word, generate_subscripts(p, 1) AS i FROM raw),
+stem_g AS (SELECT k, unnest(g) AS word, generate_subscripts(g, 1) AS i FROM raw),
+list_p AS (SELECT k, list(tok ORDER BY i) AS p FROM stem_p JOIN stems USING (word) GROUP BY k),
+list_g AS (SELECT k, list(tok ORDER BY i) AS g FROM stem_g JOIN stems USING (word) GROUP BY k),
+toks AS MATERIALIZED (
+  SELECT raw.conv_id, raw.turn, k, coalesce(list_p.p, []) AS p, coalesce(list_g.g, []) AS g
+  FROM raw LEFT JOIN list_p USING (k) LEFT JOIN list_g USING (k))"""
+
+ORACLE["rouge1_stemmed"] = rouge_n(1, STEMMED)
+
+FOUR_F = f"""SELECT conv_id, turn, {f_value("coalesce(o1.m, 0)", size_of("p", 1), size_of("g", 1))} AS rouge1,
+  {f_value("coalesce(o2.m, 0)", size_of("p", 2), size_of("g", 2))} AS rouge2,
+  {f_value("coalesce(lcs.m, 0)", "len(p)", "len(g)")} AS rougel, {f_value(*LSUM_ARGS)} AS rougelsum, len(p) AS made
+  FROM toks LEFT JOIN o1 USING (k) LEFT JOIN o2 USING (k) LEFT JOIN lcs USING (k) {LSUM_JOIN}"""
+
+ORACLE["rouge_corpus"] = f"""WITH RECURSIVE {STEMMED}, {overlap(1, "toks", "o1")}, {overlap(2, "toks", "o2")},
+lt AS (SELECT k, p, g FROM toks), {LCS}, {lsum(True, "(SELECT tok FROM stems WHERE stems.word = {0})")},
+four AS ({FOUR_F})
+SELECT round(avg(rouge1) * 100, 4) AS rouge1, round(avg(rouge2) * 100, 4) AS rouge2, round(avg(rougel) * 100, 4) AS rougel,
+       round(avg(rougelsum) * 100, 4) AS rougelsum, round(avg(made), 4) AS gen_len FROM four"""
+
+ORACLE["scored_pairs"] = f"""WITH RECURSIVE {PAIR_TOKENS}, {overlap(1, "toks", "o1")}, {overlap(2, "toks", "o2")},
+lt AS (SELECT k, p, g FROM toks), {LCS}, {lsum(False)}, four AS ({FOUR_F}), bleus AS ({ORACLE["bleu_row"]}),
+cosine AS ({ORACLE["text_cosine"]}), matches AS ({ORACLE["greedy_match_score"]})
+SELECT conv_id, turn, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(rougel, 6) AS rougel,
+       round(rougelsum, 6) AS rougelsum, bleu, brevity_penalty, length_ratio, translation_length, reference_length,
+       cosine, match_precision, match_recall, match_f1
+FROM four JOIN bleus USING (conv_id, turn) LEFT JOIN cosine USING (conv_id, turn) LEFT JOIN matches USING (conv_id, turn)"""

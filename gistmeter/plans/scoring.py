@@ -9,9 +9,12 @@ from gistmeter.functions.text import rouge_tokens
 from gistmeter.functions.vectors import pooled
 from gistmeter.operators.embedding import gather_vectors, greedy_match, paired_cosine
 from gistmeter.operators.overlap import GOLD_TOKENS, bleu, rouge_f, with_gold_tokens, without_gold_tokens
-from gistmeter.operators.ranking import skew_safe_lookup
+from gistmeter.operators.ranking import lookup_join
 from gistmeter.operators.reshape import melt
 
+# A vector table of at most this many numbers (rows times dimensions) is broadcast.
+BROADCAST_VALUES = 4_000_000
+
 
 def score_overlap(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     """Add rouge1, rouge2, rougel, rougelsum (F values) and the BLEU columns; no shuffle."""
@@ -19,18 +22,17 @@ def score_overlap(df: DataFrame, predicted: str, gold: str) -> DataFrame:
 
 
 def token_vectors(
-    df: DataFrame, keys: list[str], text: str, vectors: DataFrame, token_id: Column
+    df: DataFrame, keys: list[str], text: str, vectors: DataFrame, token_id: Column, dim: int
 ) -> DataFrame:
     """(keys, pos, vector): the vector of every token of every text.
 
     ``vectors`` is unique on ``vec_id``; ``token_id`` maps the column ``token`` to it. A few tokens
-    make up much of any text, so the lookup treats frequent ids apart.
+    make up much of any text, so a table too large to broadcast is joined with frequent ids apart.
     """
     tokens = df.select(*keys, F.posexplode(rouge_tokens(text)).alias("pos", "token"))
     rows = tokens.select(*keys, "pos", token_id.alias("vec_id"))
-    uses = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
-    lookup = vectors.select("vec_id", "vector").join(uses, "vec_id")
-    return skew_safe_lookup(rows, lookup, "vec_id", "n").select(*keys, "pos", "vector")
+    table = vectors.select("vec_id", "vector")
+    return lookup_join(rows, table, "vec_id", BROADCAST_VALUES // dim).select(*keys, "pos", "vector")
 
 
 def score_vectors(
@@ -56,7 +58,7 @@ def score_vectors(
             )
         ).alias("_gm"),
     ).select(*keys, "_gm.*")
-    found = token_vectors(sides, [*keys, "side"], "text", vectors, token_id)
+    found = token_vectors(sides, [*keys, "side"], "text", vectors, token_id, dim)
     rows = gather_vectors(
         found, keys, "pos", "vector", {"_gm_p": F.col("side") == "p", "_gm_g": F.col("side") == "g"}
     ).where((F.size("_gm_p") > 0) & (F.size("_gm_g") > 0))
