@@ -50,7 +50,8 @@ def clipped_overlap(left: Column, right: Column) -> Column:
         return F.size(F.array_distinct(grams)) == F.size(grams)
 
     def choose(a: Column, b: Column) -> Column:
-        shared = F.size(F.array_intersect(a, b))
+        # The second argument is the one that gets hashed: predictions are the shorter side.
+        shared = F.size(F.array_intersect(b, a))
         return F.when(no_repeats(a) | no_repeats(b), shared).otherwise(_sorted_overlap(a, b))
 
     return let(left, lambda a: let(right, lambda b: choose(a, b)))
@@ -89,8 +90,3 @@ def _sorted_overlap(left: Column, right: Column) -> Column:
         return let(edges, total)
 
     return let(tagged, over_runs)
-
-
-def ngram_overlap(left: Column, right: Column, n: int) -> Column:
-    """Clipped number of n-grams that two token arrays share."""
-    return clipped_overlap(ngrams(left, n), ngrams(right, n))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions.lcs import lcs_length, union_lcs_hits
-from gistmeter.functions.ngrams import ngram_count, ngram_overlap
+from gistmeter.functions.ngrams import clipped_overlap, ngram_count, ngrams
 from gistmeter.functions.stems import stem_line_tokens, stem_tokens
 from gistmeter.functions.text import bleu_tokens, line_tokens, rouge_tokens, sentence_lines
 
@@ -24,7 +24,7 @@ MAX_ORDER = 4
 
 _PREDICTED, _GOLD = "_gm_p", "_gm_g"
 _PREDICTED_BLEU, _GOLD_BLEU = "_gm_bp", "_gm_bg"
-GOLD_TOKENS = (_GOLD, f"{_GOLD}_lines", _GOLD_BLEU)
+_ORDERS = range(1, MAX_ORDER + 1)
 
 
 def prf(hits: Column, predicted: Column, gold: Column) -> Column:
@@ -35,16 +35,30 @@ def prf(hits: Column, predicted: Column, gold: Column) -> Column:
     return F.struct(precision.alias("precision"), recall.alias("recall"), f.alias("fmeasure"))
 
 
-def _staged(
+def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.withColumns({name: value for name, value in columns.items() if name not in df.columns})
+
+
+def _with_grams(df: DataFrame, side: str, tokens: Column, orders: list[int]) -> DataFrame:
+    """Columns ``side`` (tokens) and ``side2``, ``side3``, ... (n-grams)."""
+    df = _with_missing(df, {side: tokens})
+    return _with_missing(df, {f"{side}{n}": ngrams(F.col(side), n) for n in _ORDERS if n > 1})
+
+
+def _grams(side: str, n: int) -> Column:
+    return F.col(side if n == 1 else f"{side}{n}")
+
+
+def _with_rouge_tokens(
     df: DataFrame, side: str, text: str, types: tuple[str, ...], stem: bool, split_sentences: bool
 ) -> DataFrame:
-    """Add the token columns of one side that are not there yet."""
-    if any(t != "rougelsum" for t in types) and side not in df.columns:
+    if any(t != "rougelsum" for t in types):
         tokens = rouge_tokens(text)
-        df = df.withColumn(side, stem_tokens(tokens) if stem else tokens)
-    if "rougelsum" in types and f"{side}_lines" not in df.columns:
+        orders = [_rouge_order(t) or 1 for t in types]
+        df = _with_grams(df, side, stem_tokens(tokens) if stem else tokens, orders)
+    if "rougelsum" in types:
         tokens = line_tokens(sentence_lines(text) if split_sentences else text)
-        df = df.withColumn(f"{side}_lines", stem_line_tokens(tokens) if stem else tokens)
+        df = _with_missing(df, {f"{side}_lines": stem_line_tokens(tokens) if stem else tokens})
     return df
 
 
@@ -54,18 +68,26 @@ def with_gold_tokens(
     types: tuple[str, ...] = ROUGE_TYPES,
     stem: bool = False,
     split_sentences: bool = False,
+    with_bleu: bool = True,
 ) -> DataFrame:
-    """Tokenise the gold text ahead of scoring.
+    """Take the gold text apart ahead of scoring.
 
-    Used before a melt, so that a gold text is taken apart once and not once per model. The scoring
+    Used before a melt, so that this happens once per gold text and not once per model. The scoring
     functions pick the columns up and ``without_gold_tokens`` drops them.
     """
-    staged = _staged(df, _GOLD, gold, types, stem, split_sentences)
-    return staged.withColumn(_GOLD_BLEU, bleu_tokens(gold))
+    if types:
+        df = _with_rouge_tokens(df, _GOLD, gold, types, stem, split_sentences)
+    if with_bleu:
+        df = _with_grams(df, _GOLD_BLEU, bleu_tokens(gold), list(_ORDERS))
+    return df
+
+
+def gold_token_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith((_GOLD, _GOLD_BLEU))]
 
 
 def without_gold_tokens(df: DataFrame) -> DataFrame:
-    return df.drop(*GOLD_TOKENS)
+    return df.drop(*gold_token_columns(df))
 
 
 def rouge(
@@ -81,9 +103,9 @@ def rouge(
     The texts are tokenised once and every type is a projection of the row. ``split_sentences``
     puts each sentence on a line for ``rougelsum``; otherwise the lines of the text count.
     """
-    staged = _staged(df, _PREDICTED, predicted, types, stem, split_sentences)
-    staged = _staged(staged, _GOLD, gold, types, stem, split_sentences)
-    counted = staged.select("*", *[_rouge_hits(name).alias(f"_gm_{name}") for name in types])
+    staged = _with_rouge_tokens(df, _PREDICTED, predicted, types, stem, split_sentences)
+    staged = _with_rouge_tokens(staged, _GOLD, gold, types, stem, split_sentences)
+    counted = staged.select("*", *[_rouge_hits(name).alias(f"_gm_hits_{name}") for name in types])
     return counted.select(*df.columns, *[_rouge_score(name).alias(name) for name in types])
 
 
@@ -95,7 +117,7 @@ def _rouge_order(name: str) -> int | None:
 def _rouge_hits(name: str) -> Column:
     order = _rouge_order(name)
     if order is not None:
-        return ngram_overlap(F.col(_PREDICTED), F.col(_GOLD), order)
+        return clipped_overlap(_grams(_PREDICTED, order), _grams(_GOLD, order))
     if name == "rougel":
         return lcs_length(F.col(_PREDICTED), F.col(_GOLD))
     if name == "rougelsum":
@@ -104,7 +126,7 @@ def _rouge_hits(name: str) -> Column:
 
 
 def _rouge_score(name: str) -> Column:
-    hits = F.col(f"_gm_{name}")
+    hits = F.col(f"_gm_hits_{name}")
     if name == "rougelsum":
         sizes = [
             F.aggregate(F.col(f"{side}_lines"), F.lit(0), lambda n, line: n + F.size(line))
@@ -124,24 +146,21 @@ def rouge_f(df: DataFrame, predicted: str, gold: str, **options) -> DataFrame:
 
 def bleu_counts(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     """Add matches and possible matches per order, and both lengths."""
-    staged = df.withColumn(_PREDICTED_BLEU, bleu_tokens(predicted))
-    if _GOLD_BLEU not in df.columns:
-        staged = staged.withColumn(_GOLD_BLEU, bleu_tokens(gold))
-    orders = range(1, MAX_ORDER + 1)
+    staged = _with_grams(df, _PREDICTED_BLEU, bleu_tokens(predicted), list(_ORDERS))
+    staged = _with_grams(staged, _GOLD_BLEU, bleu_tokens(gold), list(_ORDERS))
     return staged.select(
         *df.columns,
-        *[ngram_overlap(F.col(_PREDICTED_BLEU), F.col(_GOLD_BLEU), n).alias(f"match{n}") for n in orders],
-        *[ngram_count(F.col(_PREDICTED_BLEU), n).alias(f"total{n}") for n in orders],
+        *[clipped_overlap(_grams(_PREDICTED_BLEU, n), _grams(_GOLD_BLEU, n)).alias(f"match{n}") for n in _ORDERS],
+        *[ngram_count(F.col(_PREDICTED_BLEU), n).alias(f"total{n}") for n in _ORDERS],
         F.size(_PREDICTED_BLEU).alias("translation_length"),
         F.size(_GOLD_BLEU).alias("reference_length"),
     )
 
 
 def _bleu_columns(counted: DataFrame, keep: list[str]) -> DataFrame:
-    orders = range(1, MAX_ORDER + 1)
     shares = [
         F.when(F.col(f"total{n}") > 0, F.col(f"match{n}") / F.col(f"total{n}")).otherwise(F.lit(0.0))
-        for n in orders
+        for n in _ORDERS
     ]
     made, asked = F.col("translation_length"), F.col("reference_length")
     rated = counted.select(
@@ -174,9 +193,9 @@ def bleu(df: DataFrame, predicted: str, gold: str) -> DataFrame:
 def bleu_corpus(df: DataFrame, predicted: str, gold: str, by: list[str] | None = None) -> DataFrame:
     """BLEU of a whole set of pairs: counts are summed before any ratio is taken."""
     by = by or []
-    names = [f"{kind}{n}" for kind in ("match", "total") for n in range(1, MAX_ORDER + 1)]
+    names = [f"{kind}{n}" for kind in ("match", "total") for n in _ORDERS]
     names += ["translation_length", "reference_length"]
-    kept = [c for c in df.columns if c in (*by, predicted, gold, _GOLD_BLEU)]
+    kept = [*dict.fromkeys([*by, predicted, gold, *gold_token_columns(df)])]
     counted = bleu_counts(df.select(*kept), predicted, gold)
     summed = counted.groupBy(*by).agg(*[F.sum(name).alias(name) for name in names])
     return _bleu_columns(summed, by)

@@ -73,14 +73,19 @@ def skew_safe_lookup(
     return rows.join(heavy, on).unionByName(shuffled)
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: str, broadcast_rows: int) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, table: DataFrame, on: str, broadcast_rows: int, occurrences: str | None = None
+) -> DataFrame:
     """Inner join of ``rows`` with a table that is unique on ``on``.
 
     The table is counted: up to ``broadcast_rows`` rows it is broadcast. A larger one is joined by
-    ``skew_safe_lookup``, with the use of each key counted from ``rows``.
+    ``skew_safe_lookup``. The use of each key comes from the table's column ``occurrences``, which
+    is dropped, or is counted from ``rows``.
     """
     if table.count() <= broadcast_rows:
-        return rows.join(F.broadcast(table), on)
+        return rows.join(F.broadcast(table.drop(occurrences) if occurrences else table), on)
+    if occurrences:
+        return skew_safe_lookup(rows, table, on, occurrences).drop(occurrences)
     uses = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
     return skew_safe_lookup(rows, table.join(uses, on), on, "_gm_uses").drop("_gm_uses")
 

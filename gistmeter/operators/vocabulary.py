@@ -10,7 +10,7 @@ from gistmeter.operators.ranking import global_rank, lookup_join
 from gistmeter.session import materialize
 
 # A vocabulary of at most this many rows (a count, not a guess) is broadcast.
-BROADCAST_TOKENS = 200_000
+BROADCAST_TOKENS = 500_000
 
 
 def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
@@ -40,7 +40,7 @@ def encode(
     """
     texts = df.select(key, tokens.alias("_gm_tokens")).repartition(F.col(key))
     rows = texts.select(key, F.posexplode("_gm_tokens").alias("pos", "token"))
-    items = _ordered(lookup_join(rows, vocabulary.select("token", "token_id"), "token", broadcast_rows), key, "token_id")
+    items = _ordered(lookup_join(rows, vocabulary, "token", broadcast_rows, "n"), key, "token_id")
     found = F.coalesce("_gm_items", F.array().cast("array<int>"))
     return texts.select(key).join(items, key, "left").select(
         key, F.concat(F.array(F.lit(BOS_ID)), found, F.array(F.lit(EOS_ID))).alias("input_ids")
@@ -54,7 +54,7 @@ def decode(
     texts = df.select(key, ids).repartition(F.col(key))
     rows = texts.select(key, F.posexplode(ids).alias("pos", "token_id"))
     words = rows.where(F.col("token_id") >= len(SPECIAL_IDS))
-    items = _ordered(lookup_join(words, vocabulary.select("token_id", "token"), "token_id", broadcast_rows), key, "token")
+    items = _ordered(lookup_join(words, vocabulary, "token_id", broadcast_rows, "n"), key, "token")
     return texts.select(key).join(items, key, "left").select(
         key, F.coalesce(F.array_join("_gm_items", " "), F.lit("")).alias("text")
     )

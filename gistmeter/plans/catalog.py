@@ -21,7 +21,7 @@ from gistmeter.operators.ranking import rank_within
 from gistmeter.operators.summarize import batch_summarize as summarize
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
 from gistmeter.plans import fixtures as fx
-from gistmeter.plans.scoring import score_overlap, score_vectors, score_wide
+from gistmeter.plans.scoring import melt_with_gold, score_overlap, score_vectors, score_wide
 from gistmeter.session import fresh_path
 from gistmeter.sources import files, sinks, tables, trial_logs
 from gistmeter.sources.tables import scan, spread
@@ -299,15 +299,18 @@ def bleu_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def bleu_by_model(spark: SparkSession, folder: str) -> DataFrame:
-    long = reshape.melt(fx.wide_summaries(spark, folder), ["company", "gold_summary"])
+    wide = fx.wide_summaries(spark, folder)
+    long = melt_with_gold(wide, ["company"], "gold_summary", types=())
     return _bleu_output(overlap.bleu_corpus(long, "obtained_summary", "gold_summary", ["model"]), ["model"])
 
 
 @registered
 def summaries_rouge(spark: SparkSession, folder: str) -> DataFrame:
     """ROUGE-1 and ROUGE-2 of every model's summary of every whole document."""
-    long = reshape.melt(fx.wide_summaries(spark, folder), ["company", "gold_summary"])
-    scored = overlap.rouge_f(long, "obtained_summary", "gold_summary", types=("rouge1", "rouge2"))
+    kinds = ("rouge1", "rouge2")
+    wide = fx.wide_summaries(spark, folder)
+    long = melt_with_gold(wide, ["company"], "gold_summary", types=kinds, with_bleu=False)
+    scored = overlap.rouge_f(long, "obtained_summary", "gold_summary", types=kinds)
     return scored.select("company", "model", "rouge1", "rouge2")
 
 

@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from gistmeter.functions.text import rouge_tokens
 from gistmeter.functions.vectors import pooled
 from gistmeter.operators.embedding import gather_vectors, greedy_match, paired_cosine
-from gistmeter.operators.overlap import GOLD_TOKENS, bleu, rouge_f, with_gold_tokens, without_gold_tokens
+from gistmeter.operators.overlap import (
+    bleu,
+    gold_token_columns,
+    rouge_f,
+    with_gold_tokens,
+    without_gold_tokens,
+)
 from gistmeter.operators.ranking import lookup_join
 from gistmeter.operators.reshape import melt
 
@@ -69,13 +75,17 @@ def score_vectors(
     return scored.select(*keys, "cosine", "match_precision", "match_recall", "match_f1")
 
 
+def melt_with_gold(
+    df: DataFrame, ids: list[str], gold: str, variable: str = "model", **parts
+) -> DataFrame:
+    """Melt with the gold text's tokens beside it; ``parts`` as in ``with_gold_tokens``."""
+    staged = with_gold_tokens(df, gold, **parts)
+    return melt(staged, [*ids, gold, *gold_token_columns(staged)], variable, "obtained_summary")
+
+
 def score_wide(df: DataFrame, ids: list[str], gold: str, variable: str = "model") -> DataFrame:
     """Wide model outputs to one scored row per id row and model.
 
-    Every column outside ``ids`` and ``gold`` is a model. The gold text is tokenised before the melt
-    and stays behind; only its tokens go along.
+    Every column outside ``ids`` and ``gold`` is a model. The gold text is taken apart before the melt.
     """
-    staged = with_gold_tokens(df, gold)
-    fixed = [*ids, gold, *[c for c in GOLD_TOKENS if c in staged.columns]]
-    long = melt(staged, fixed, variable, "obtained_summary")
-    return without_gold_tokens(score_overlap(long, "obtained_summary", gold))
+    return without_gold_tokens(score_overlap(melt_with_gold(df, ids, gold, variable), "obtained_summary", gold))
