@@ -12,14 +12,16 @@ ROUGE_BREAK = "[^a-z0-9]+"
 SENTENCE_BREAK = "(?<=[.!?])[ \\t\\n\\r\\f]+"
 SPACE_RUN = "[\\x{09}-\\x{0d}\\x{1c}-\\x{20}\\x{85}\\p{Z}]+"
 
-# The mteval-v13a rules, in the order they apply.
+# The mteval-v13a rules, in the order they apply. The first class leaves the space out (a
+# space between spaces parts the same tokens), and the classes list their characters: Java looks such a
+# class up in a table, several times faster than a union of ranges.
 BLEU_LITERALS = [("<skipped>", ""), ("-\n", ""), ("\n", " ")]
 BLEU_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 BLEU_PATTERNS = [
-    ("([\\x{7b}-\\x{7e}\\x{5b}-\\x{60}\\x{20}-\\x{26}\\x{28}-\\x{2b}\\x{3a}-\\x{40}\\x{2f}])", " $1 "),
-    ("([^0-9])([.,])", "$1 $2 "),
-    ("([.,])([^0-9])", " $1 $2"),
-    ("([0-9])(-)", "$1 $2 "),
+    ("([{|}~\\[\\\\\\]^_`!\"#$%&()*+:;<=>?@/])", " $1 "),
+    ("([^0123456789])([.,])", "$1 $2 "),
+    ("([.,])([^0123456789])", " $1 $2"),
+    ("([0123456789])(-)", "$1 $2 "),
 ]
 
 

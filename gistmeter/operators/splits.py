@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,39 +18,36 @@ def split_hash(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")).cast("binary"))
 
 
-def smallest(df: DataFrame, key: str, rows: int, seed: int) -> Column:
+def _prefix_counts(df: DataFrame, key: str, seed: int, prefix: str = "") -> list[tuple[str, int]]:
+    """Rows per next four digits of the digest: 65,536 pairs at most, in order."""
+    digest = split_hash(key, seed)
+    counts = (
+        df.select(key)
+        .where(F.substring(digest, 1, len(prefix)) == prefix)
+        .groupBy(F.substring(digest, 1, len(prefix) + _STEP).alias("prefix"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return sorted((row["prefix"], row["n"]) for row in counts.collect())
+
+
+def _first_rows(df: DataFrame, key: str, rows: int, seed: int, counts: list[tuple[str, int]]) -> Column:
     """Predicate for the ``rows`` rows that come first in the seeded order.
 
-    Selects by digit: rows are counted per four-digit prefix (65,536 groups at most), the prefix
-    in which the count is reached is refined by four more digits, until the cut falls between two
-    prefixes. Nothing is sorted and no row moves; the result is a filter. ``key`` must identify a
-    row: rows that share a key also share their side.
+    Selects by digit: the prefix in which the count is reached is refined by four more digits until
+    the cut falls between two prefixes. Nothing is sorted and no row moves; the result is a filter.
     """
     if rows <= 0:
         return F.lit(False)
-    digest = split_hash(key, seed)
-    keys = df.select(key)
-    prefix, needed = "", rows
     while True:
-        length = len(prefix) + _STEP
-        counts = (
-            keys.where(F.substring(digest, 1, len(prefix)) == prefix)
-            .groupBy(F.substring(digest, 1, length).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        running = F.sum("n").over(Window.orderBy("prefix"))
-        cut = (
-            counts.withColumn("upto", running)
-            .where(F.col("upto") >= needed)
-            .orderBy("prefix")
-            .first()
-        )
-        if cut is None:
+        upto = list(accumulate(n for _, n in counts))
+        place = bisect_left(upto, rows)
+        if place == len(counts):
             return F.lit(True)
-        if cut["upto"] == needed or length >= _DIGITS:
-            return F.substring(digest, 1, length) <= cut["prefix"]
-        needed -= cut["upto"] - cut["n"]
-        prefix = cut["prefix"]
+        prefix, n = counts[place]
+        if upto[place] == rows or len(prefix) >= _DIGITS:
+            return F.substring(split_hash(key, seed), 1, len(prefix)) <= prefix
+        rows -= upto[place] - n
+        counts = _prefix_counts(df, key, seed, prefix)
 
 
 def _ceil_share(rows: int, percent: int) -> int:
@@ -55,20 +55,23 @@ def _ceil_share(rows: int, percent: int) -> int:
 
 
 def split_two(df: DataFrame, key: str, percent: int = 10, seed: int = 42) -> DataFrame:
-    """Label rows ``train`` or ``eval``; ``eval`` gets the rounded-up share."""
-    total = df.count()
-    held_out = smallest(df, key, _ceil_share(total, percent), seed)
+    """Label rows ``train`` or ``eval``; ``eval`` gets the rounded-up share.
+
+    ``key`` must identify a row: rows that share a key also share their side.
+    """
+    counts = _prefix_counts(df, key, seed)
+    total = sum(n for _, n in counts)
+    held_out = _first_rows(df, key, _ceil_share(total, percent), seed, counts)
     return df.withColumn("split", F.when(held_out, "eval").otherwise("train"))
 
 
 def split_three(df: DataFrame, key: str, percent: int = 20, seed: int = 42) -> DataFrame:
     """Hold out a share, then halve it: the rounded-up half is ``eval``, the rest ``test``."""
-    held = _ceil_share(df.count(), percent)
-    in_eval = smallest(df, key, _ceil_share(held, 50), seed)
-    in_held = smallest(df, key, held, seed)
-    return df.withColumn(
-        "split", F.when(in_eval, "eval").when(in_held, "test").otherwise("train")
-    )
+    counts = _prefix_counts(df, key, seed)
+    held = _ceil_share(sum(n for _, n in counts), percent)
+    in_eval = _first_rows(df, key, _ceil_share(held, 50), seed, counts)
+    in_held = _first_rows(df, key, held, seed, counts)
+    return df.withColumn("split", F.when(in_eval, "eval").when(in_held, "test").otherwise("train"))
 
 
 def split_shares(df: DataFrame, split: str = "split") -> DataFrame:

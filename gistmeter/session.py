@@ -53,6 +53,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     )
 
 
+def remove_materialized(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder, once no result needs it any more."""
+    folder = os.path.join(shared_dir(spark), f"gistmeter-{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 

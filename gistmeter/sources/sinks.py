@@ -33,12 +33,11 @@ def create_keyed_table(
     spark = df.sparkSession
     if spark.catalog.tableExists(name):
         raise ValueError(f"table exists: {name}")
-    # Written before the check, so the scores are computed once and the checked rows are the stored ones.
-    frozen = materialize(df, "keyed")
-    broken = key_violations(frozen, keys).limit(1).collect()
+    # Only the keys are read for the check; Catalyst prunes the columns that are costly to compute.
+    broken = key_violations(df, keys).limit(1).collect()
     if broken:
         raise ValueError(f"key {keys} is null or repeated: {broken[0].asDict()}")
-    writer = frozen.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists")
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
