@@ -42,8 +42,8 @@ def ngram_count(tokens: Column, n: int) -> Column:
 def clipped_overlap(left: Column, right: Column) -> Column:
     """Size of the multiset intersection of two string arrays.
 
-    When a side repeats nothing, every shared gram counts once and a hash intersection has the
-    answer. Otherwise the repeated grams are counted by sorting.
+    A hash intersection counts every shared gram once, which is the answer when a side repeats
+    nothing. Otherwise the further occurrences of each gram are intersected in the same sense.
     """
 
     def no_repeats(grams: Column) -> Column:
@@ -52,11 +52,18 @@ def clipped_overlap(left: Column, right: Column) -> Column:
     def choose(a: Column, b: Column) -> Column:
         # The second argument is the one that gets hashed: predictions are the shorter side.
         shared = F.size(F.array_intersect(b, a))
-        return F.when(no_repeats(a) | no_repeats(b), shared).otherwise(_sorted_overlap(a, b))
+        return F.when(no_repeats(a) | no_repeats(b), shared).otherwise(shared + _sorted_overlap(_further(a), _further(b)))
 
     return let(left, lambda a: let(right, lambda b: choose(a, b)))
 
 
+def _further(grams: Column) -> Column:
+    """All occurrences but the first of every gram."""
+    return let(
+        F.sort_array(grams), lambda ordered: F.filter(ordered, lambda gram, i: (i > 0) & (gram == F.get(ordered, i - 1)))
+    )
+
+
 def _sorted_overlap(left: Column, right: Column) -> Column:
     """The intersection in O(n log n) for sides that repeat grams.
 

@@ -55,6 +55,13 @@ def test_splits_are_exact_and_stable(spark, rows):
     assert three["eval"] == math.ceil(held / 2) and three["test"] == held - math.ceil(held / 2)
 
 
+def test_splits_refine_digit_by_digit(spark, monkeypatch):
+    df = spark.range(500)
+    whole = {r["id"]: r["split"] for r in splits.split_three(df, "id").collect()}
+    monkeypatch.setattr(splits, "_STEP", 1)
+    assert {r["id"]: r["split"] for r in splits.split_three(df, "id").collect()} == whole
+
+
 def test_split_with_a_repeated_key_keeps_it_on_one_side(spark):
     df = spark.range(300).select(F.when(F.col("id") < 100, -1).otherwise(F.col("id")).alias("id"))
     sides = splits.split_two(df, "id").where("id = -1").select("split").distinct().collect()

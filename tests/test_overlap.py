@@ -108,6 +108,14 @@ def test_stemmed_scores_match_inflections(spark):
     assert scores(spark, pair, stem=True)[0]["rougelsum"][2] == 1
 
 
+def test_repeats_on_both_sides(spark):
+    rng = random.Random(6)
+    pairs = [(" ".join(rng.choices("abc", k=60)), " ".join(rng.choices("abcd", k=80))) for _ in range(30)]
+    for got, (p, g) in zip(scores(spark, pairs, types=("rouge1", "rouge2", "rouge3")), pairs):
+        for n in (1, 2, 3):
+            assert got[f"rouge{n}"] == pytest.approx(brute.rouge_n(p, g, n))
+
+
 def test_partition_invariance_and_no_shuffle(spark):
     df = spark.createDataFrame([(p, g) for p, g in random_pairs(60, 5)], "p string, g string")
     one = overlap.bleu(overlap.rouge_f(df.coalesce(1), "p", "g"), "p", "g")
