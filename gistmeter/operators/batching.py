@@ -37,7 +37,10 @@ def padding_waste(batches: DataFrame, length: str) -> DataFrame:
 
 
 def with_padded_length(df: DataFrame, key: str, length: str, batch_size: int = 4) -> DataFrame:
-    """Add ``batch_id`` and the longest length of the batch to every row of ``df``."""
+    """Add ``batch_id`` and the longest length of the batch to every row of ``df``.
+
+    ``df`` is read twice, for the ranking and for the join; materialize it when it is costly.
+    """
     batches = length_batches(df.select(key, length), key, length, batch_size)
     longest = batches.groupBy("batch_id").agg(F.max(length).alias("padded_length"))
     return df.join(batches.join(longest, "batch_id").select(key, "batch_id", "padded_length"), key)

@@ -87,7 +87,9 @@ def lookup_join(
     if occurrences:
         return skew_safe_lookup(rows, table, on, occurrences).drop(occurrences)
     uses = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
-    return skew_safe_lookup(rows, table.join(uses, on), on, "_gm_uses").drop("_gm_uses")
+    # Read three times below, so the counting is done once and written.
+    counted = materialize(table.join(uses, on), "lookup")
+    return skew_safe_lookup(rows, counted, on, "_gm_uses").drop("_gm_uses")
 
 
 def rank_within(df: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:
@@ -96,5 +98,5 @@ def rank_within(df: DataFrame, group: str, *order: Column | str, name: str = "ra
     starts = ranked.groupBy(group).agg(
         F.min(_POSITION).alias(_BEFORE), F.count(F.lit(1)).alias("_gm_rows")
     )
-    joined = skew_safe_lookup(ranked, starts, group, "_gm_rows")
+    joined = skew_safe_lookup(ranked, materialize(starts, "starts"), group, "_gm_rows")
     return joined.select(*df.columns, (F.col(_POSITION) - F.col(_BEFORE) + 1).alias(name))

@@ -22,7 +22,7 @@ from gistmeter.operators.summarize import batch_summarize as summarize
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
 from gistmeter.plans import fixtures as fx
 from gistmeter.plans.scoring import melt_with_gold, score_overlap, score_vectors, score_wide
-from gistmeter.session import fresh_path
+from gistmeter.session import fresh_path, materialize
 from gistmeter.sources import files, sinks, tables, trial_logs
 from gistmeter.sources.tables import scan, spread
 
@@ -197,7 +197,8 @@ def token_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 def _padded_documents(spark: SparkSession, folder: str) -> DataFrame:
     encoded, _ = _encoded_documents(spark, folder)
-    sized = encoded.withColumn("size", F.size("input_ids"))
+    # Read for the ranking and again for the padding; encoding twice would cost more than one write.
+    sized = materialize(encoded.withColumn("size", F.size("input_ids")), "encoded")
     placed = batching.with_padded_length(sized, "doc_id", "size")
     return placed.withColumn("padded_ids", B.pad(F.col("input_ids"), F.col("padded_length")))
 
