@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmeter.llm import exact_trie, mixing, packing, url_rules
+from gistmeter.llm import exact_trie, mixing, packing, quality, toxicity, url_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,12 +27,22 @@ def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(_table(spark, folder, "pages"), rules)
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its toxicity score."""
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its quality score."""
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the copy that stays for it."""
     return exact_trie.exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op5_url_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op5_url_rules, op7_toxicity, op9_quality, op10_exact_dedup)}
 
 ORACLE = {
     "op5_url_rules": r"""

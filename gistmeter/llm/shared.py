@@ -37,7 +37,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 def odd_numbers(count: int, seed: int) -> np.ndarray:
     """Fixed pseudo-random odd 64-bit multipliers."""
     steps = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mixed(steps + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    return mixed(steps + np.uint64(seed * 0xD1342543DE82EF95 % 2**64)) | np.uint64(1)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
