@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gistmeter.llm import exact_trie, mixing, packing, quality, toxicity, url_rules
+from gistmeter.llm import exact_trie, mixing, ngram_join, packing, quality, substrings, toxicity, url_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,12 +22,23 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the component of its links at similarity 0.75 on five words."""
+    return ngram_join.jaccard_groups(_table(spark, folder, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every page judged by the nested host and path rules."""
     rules = spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")
     return url_rules.judge(_table(spark, folder, "pages"), rules)
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 13 words or more that an earlier one has."""
+    stripped = substrings.strip_repeats(_table(spark, folder, "documents"))
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its toxicity score."""
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -42,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_trie.exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op5_url_rules, op7_toxicity, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_ngram_join, op5_url_rules, op6_substring_dedup, op7_toxicity, op9_quality, op10_exact_dedup)}
 
 ORACLE = {
     "op5_url_rules": r"""
