@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.llm import exact_trie, mixing, ngram_join, packing, quality, substrings, toxicity, url_rules
+from gistmeter.llm import exact_trie, mixing, ngram_join, packing, pivot_index, quality, rendering, substrings, toxicity, url_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as laid-out visible text."""
+    return rendering.rendered(_table(spark, folder, "pages"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the component of its links at similarity 0.75 on five words."""
     return ngram_join.jaccard_groups(_table(spark, folder, "documents"))
@@ -44,6 +49,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with its links at cosine 0.9 and their component."""
+    return pivot_index.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its quality score."""
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -54,7 +64,21 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_trie.exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op4_ngram_join, op5_url_rules, op6_substring_dedup, op7_toxicity, op9_quality, op10_exact_dedup)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_packing,
+        op2_mixing,
+        op3_html_extraction,
+        op4_ngram_join,
+        op5_url_rules,
+        op6_substring_dedup,
+        op7_toxicity,
+        op8_pivot_index,
+        op9_quality,
+        op10_exact_dedup,
+    )
+}
 
 ORACLE = {
     "op5_url_rules": r"""

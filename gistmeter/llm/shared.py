@@ -202,19 +202,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    before = None
     while True:
+        # Done when every node has one edge and leads to a node that has none.
+        ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.union(pairs.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u <> v")
-        smallest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.union(smallest.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "star")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == state:
-            break
-        before = state
     roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
@@ -249,5 +248,7 @@ def linked_groups(
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, meets & also("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = materialize(verify(rest), "links")
-    links = links.union(more)
-    return components(links), links
+    if more.isEmpty():
+        return roots, links
+    stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return components(stars.union(more)), links.union(more)
