@@ -16,6 +16,8 @@ for all of them, so a passage in very many documents does not meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,9 +96,24 @@ def _seeds(size: int, bits: int):
     return run
 
 
-def _shared_seeds(batches):
-    """For every document the keys of its anchors that other documents have."""
+def _by_shard(docs: np.ndarray, values: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard (``doc_id mod shards``) with documents and values side by side."""
+    shard = np.mod(docs, shards)
+    order = np.argsort(shard, kind="stable")
+    docs, values, shard = docs[order], values[order], shard[order]
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(docs) else np.zeros(0, np.int64)
+    per = np.diff(np.append(first, len(docs)))
+    for k in range(0, len(first), 256):
+        a, b = first[k], first[k] + int(per[k : k + 256].sum())
+        yield pa.RecordBatch.from_arrays([pa.array(shard[first[k : k + 256]]), lists(docs[a:b], per[k : k + 256]), lists(values[a:b], per[k : k + 256])], names=["shard", "docs", "keys"])
+
+
+def _shared_seeds(shards: int):
+    """By shard, documents with the keys of those of their anchors that other documents have."""
+    return lambda batches: _seed_answers(batches, shards)
+
 
+def _seed_answers(batches, shards: int):
     def answer(keys, owners, seen):
         both = np.concatenate([keys, seen])
         order = np.argsort(both)
@@ -105,9 +122,7 @@ def _shared_seeds(batches):
         same[1:-1] = value[1:] == value[:-1]
         shared = order[same[1:] | same[:-1]]
         shared = shared[shared < len(keys)]
-        out = _answers(owners[shared], keys[shared])
-        for k in range(0, out.num_rows, 20_000):
-            yield out.slice(k, 20_000)
+        yield from _by_shard(owners[shared], keys[shared], shards)
 
     known = []
 
@@ -117,7 +132,8 @@ def _shared_seeds(batches):
             settled = batch.filter(pa.array(kind < 0))
             if settled.num_rows:
                 docs, _ = flat(settled.column("docs"), np.int64)
-                known.append(pa.RecordBatch.from_arrays([pa.array(docs), settled.column("a")], names=["doc_id", "found"]))
+                values, counts = flat(settled.column("a"), np.int64)
+                known.extend(_by_shard(np.repeat(docs, counts), values, shards))
             rest = batch.filter(pa.array(kind >= 0))
             if rest.num_rows:
                 yield rest
@@ -158,31 +174,62 @@ def _extensions(size: int, bits: int):
             a, b = begin[k], ends[min(k + 256, len(full)) - 1]
             yield row(full[k : k + 256], docs[a:b], places[a:b], values[a:b], (ends - begin)[k : k + 256])
 
+    def seeded(batches):
+        """Texts, each with its shard's seeds, sorted by document; a shard's seeds come before its texts."""
+        shard, docs, keys, sorted_ = None, [], [], None
+        for batch in batches:
+            number = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1), len(number)]
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(start, stop - start)
+                if part.num_rows == 0:
+                    continue
+                if number[start] != shard:
+                    shard, docs, keys, sorted_ = number[start], [], [], None
+                is_seed = part.column("docs").is_valid()
+                told = part.filter(is_seed)
+                if told.num_rows:
+                    docs.append(flat(told.column("docs"), np.int64)[0])
+                    keys.append(flat(told.column("keys"), np.int64)[0])
+                texts = part.filter(pc.invert(is_seed))
+                if texts.num_rows and docs:
+                    if sorted_ is None:
+                        all_docs, all_keys = np.concatenate(docs), np.concatenate(keys)
+                        order = np.argsort(all_docs, kind="stable")
+                        sorted_ = all_docs[order], all_keys[order]
+                    for piece in pieces(texts, "text"):
+                        yield piece, *sorted_
+
     def run(batches):
         held, kept = 0, [[], [], []]
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                words = Words(piece.column("text"))
-                start, text, best, prints = anchors(words, size)
-                seeds, count = flat(piece.column("seeds"), np.int64)
-                # A window is looked at if (text, key of its anchor) is among the text's seeds.
-                key = (best >> np.uint64(32 - bits)).astype(np.int64)
-                both_key, both_text = np.concatenate([seeds, key]), np.concatenate([text_of(count), text])
-                order = np.lexsort((both_key, both_text))
-                k, t = both_key[order], both_text[order]
-                group = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]))) - 1 if len(k) else np.zeros(0, np.int64)
-                wanted = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-                wanted[group[order < len(seeds)]] = True
-                hit = np.zeros(len(both_key), bool)
-                hit[order] = wanted[group]
-                hit = hit[len(seeds) :]
-                grams = windows(prints, size)
-                for to, x in zip(kept, (id_values(piece.column("doc_id"))[text[hit]], start[hit] - words.of_text[text[hit]], grams[start[hit]])):
-                    to.append(x)
-                held += int(hit.sum())
-                if held > HELD:
-                    yield from flush(*kept)
-                    held, kept = 0, [[], [], []]
+        for piece, seed_docs, seed_keys in seeded(batches):
+            ids = id_values(piece.column("doc_id"))
+            low, high = np.searchsorted(seed_docs, ids), np.searchsorted(seed_docs, ids, "right")
+            some = np.flatnonzero(high > low)
+            if not len(some):
+                continue
+            piece, ids, count = piece.take(pa.array(some)), ids[some], (high - low)[some]
+            seeds = seed_keys[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+            words = Words(piece.column("text"))
+            start, text, best, prints = anchors(words, size)
+            # A window is looked at if (text, key of its anchor) is among the text's seeds.
+            key = (best >> np.uint64(32 - bits)).astype(np.int64)
+            both_key, both_text = np.concatenate([seeds, key]), np.concatenate([text_of(count), text])
+            order = np.lexsort((both_key, both_text))
+            k, t = both_key[order], both_text[order]
+            group = np.cumsum(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1]))) - 1 if len(k) else np.zeros(0, np.int64)
+            wanted = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+            wanted[group[order < len(seeds)]] = True
+            hit = np.zeros(len(both_key), bool)
+            hit[order] = wanted[group]
+            hit = hit[len(seeds) :]
+            grams = windows(prints, size)
+            for to, x in zip(kept, (ids[text[hit]], start[hit] - words.of_text[text[hit]], grams[start[hit]])):
+                to.append(x)
+            held += int(hit.sum())
+            if held > HELD:
+                yield from flush(*kept)
+                held, kept = 0, [[], [], []]
         if held:
             yield from flush(*kept)
 
@@ -259,9 +306,11 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     sent = slim.mapInArrow(_seeds(size, bits), _PARTS_DDL)
     spread = F.when(F.col("fragment") < 0, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << bits)).cast("int")).otherwise(F.col("fragment"))
     dealt = sent.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
-    seeds = dealt.mapInArrow(_shared_seeds, "doc_id long, found array<long>")
-    seeds = seeds.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("seeds"))
-    seeded = slim.join(seeds, "doc_id")
+    shards = parts * 16 + 1
+    seeds = dealt.mapInArrow(_shared_seeds(shards), "shard long, docs array<long>, keys array<long>")
+    texts = slim.withColumn("shard", F.pmod("doc_id", F.lit(shards)))
+    both = seeds.unionByName(texts, allowMissingColumns=True).repartition(parts, "shard")
+    seeded = both.sortWithinPartitions("shard", F.col("docs").isNull())
     windows_of = seeded.mapInArrow(_extensions(size, bits), "fragment int, docs array<long>, places array<int>, items array<long>")
     dealt = windows_of.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
     found = dealt.mapInArrow(_repeats, "doc_id long, found array<int>")
