@@ -9,7 +9,7 @@ cut into fragments (ranges of the fingerprint); what documents share is counted
 2. Equal sets form one class, held by its smallest id. The classes left send their whole sets; each fragment
    counts its shingles, which orders them from rare to frequent, and the leading ``n - ceil(t n) + 1`` of a
    class's shingles in that order become postings. Classes that link share a posting.
-3. Candidate pairs of the inverted lists are verified: overlaps counted per fragment, summed per pair.
+3. Candidate pairs of the inverted lists are verified: overlaps counted per slice of the order, summed per pair.
    ``shared.linked_groups`` keeps the number of pairs near the number of postings.
 
 Shingles that are frequent within single tasks are found beforehand and put at the end of the order (a bounded
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.llm.shared import Words, flat, id_values, linked_groups, lists, mixed, only, partitions_of, pieces, signed, text_of, windows
@@ -30,6 +30,10 @@ from gistmeter.session import materialize
 
 #: Fragments in which verified overlaps are counted.
 SLICES = 4
+#: 64-bit words of a set's parity sketch.
+SKETCH = 16
+_ITEMS = [f"items{k}" for k in range(SLICES)]
+_SKETCH = [f"sketch{k}" for k in range(SKETCH)]
 #: Most shingles put at the end of the order before any are counted.
 FREQUENT = 100_000
 #: Items that a task holds at once.
@@ -234,21 +238,33 @@ def _shared_counts(batches):
 
 
 def _bags(size: int):
+    """A row for each class: its items by slice, and the parity sketch of its set."""
+
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 value, count = shingle_sets(piece.column("text"), size)
-                ids = id_values(piece.column("doc_id"))
-                part = (value >> np.uint64(62)).astype(np.int64)
+                slices = (value >> np.uint64(62)).astype(np.int64)
                 of_item = text_of(count)
-                # Values ascend within a text, so its fragments are runs.
-                per = np.bincount(of_item * SLICES + part, minlength=len(count) * SLICES)
-                rows = np.flatnonzero(per)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows // SLICES]), pa.array(count[rows // SLICES].astype(np.int32)), pa.array((rows % SLICES).astype(np.int32)), lists(signed(value), per[rows])], names=["node", "n", "slice", "items"])
+                bit = (mixed(value) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+                odd = np.bincount(of_item * 64 * SKETCH + bit, minlength=len(count) * 64 * SKETCH) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(count), SKETCH)
+                columns = [pa.array(id_values(piece.column("doc_id"))), pa.array(count.astype(np.int32))]
+                for k in range(SLICES):
+                    own = slices == k
+                    columns.append(lists(signed(value[own]), np.bincount(of_item[own], minlength=len(count))))
+                columns += [pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *_ITEMS, *_SKETCH])
 
     return run
 
 
+def _items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all slices of a batch of classes, and the row of each."""
+    parts = [flat(batch.column(name), np.int64) for name in _ITEMS]
+    return np.concatenate([v for v, _ in parts]), np.concatenate([text_of(c) for _, c in parts])
+
+
 def _frequent(batches):
     """Shingles that many classes of this task have, with their number."""
 
@@ -259,9 +275,9 @@ def _frequent(batches):
 
     values, nodes, held = [], 0, 0
     for batch in batches:
-        value, _ = flat(batch.column("items"), np.int64)
+        value, _ = _items(batch)
         values.append(value)
-        nodes, held = nodes + batch.num_rows // SLICES, held + len(value)
+        nodes, held = nodes + batch.num_rows, held + len(value)
         if held > HELD:
             yield counted(values, nodes)
             values, nodes, held = [], 0, 0
@@ -272,8 +288,7 @@ def _frequent(batches):
 def _whole_sets(frequent: np.ndarray, bits: int):
     def run(batches):
         for batch in batches:
-            value, count = flat(batch.column("items"), np.int64)
-            of_item = text_of(count)
+            value, of_item = _items(batch)
             rare = ~np.isin(value, frequent)
             yield from _cut(batch.column("node").to_numpy(), of_item[rare], value[rare].view(np.uint64), np.zeros(0, np.uint64), bits)
 
@@ -303,7 +318,7 @@ def _ranked(batches):
     return _by_fragments(batches, answer)
 
 
-def _postings(frequent: np.ndarray, percent: int, firsts: int):
+def _postings(percent: int):
     """Postings of each class from its answers: items of one class only come first, frequent ones last."""
 
     def group(frame_keys, frame_df, rows, node, n):
@@ -317,8 +332,8 @@ def _postings(frequent: np.ndarray, percent: int, firsts: int):
         room = n - least_overlap(n, percent) + 1 - alone
         rank = np.arange(len(keys)) - np.repeat(np.cumsum(shared) - shared, shared)
         chosen = rank < room[of_item]
-        rank, of_item = rank[chosen], of_item[chosen]
-        return pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array(node[of_item]), pa.array(n[of_item].astype(np.int32)), pa.array(rank < firsts)], names=["key", "node", "n", "first"])
+        of_item = of_item[chosen]
+        return pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array(node[of_item]), *(pa.array(v[of_item].astype(np.int32)) for v in (n, shared, np.bincount(of_item, minlength=len(node))))], names=["key", "node", "n", "shared", "weight"])
 
     def run(batches):
         # Rows come sorted by node; a node's rows are kept together across batches.
@@ -355,9 +370,11 @@ def _postings(frequent: np.ndarray, percent: int, firsts: int):
 def _frequent_items(frequent: np.ndarray, bits: int):
     def run(batches):
         for batch in batches:
-            value, count = flat(batch.column("items"), np.int64)
+            value, of_item = _items(batch)
+            order = np.argsort(of_item, kind="stable")
+            value, of_item = value[order], of_item[order]
             hit = np.isin(value, frequent)
-            per = np.bincount(text_of(count)[hit], minlength=len(count))
+            per = np.bincount(of_item[hit], minlength=batch.num_rows)
             rows = np.flatnonzero(per)
             keys = (value[hit].view(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy()[rows]), lists(keys, per[rows]), lists(np.full(len(keys), 2**31 - 1, np.int32), per[rows])], names=["node", "keys", "df"])
@@ -389,7 +406,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.max((F.col("shared") >= F.greatest(need, F.lit(1))).cast("int")).alias("open"))
     classes = materialize(classes, "classes")
     texts = only(slim, classes.where("open = 1").select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]) if _repeats(slim, sets) else only(slim, classes.where("open = 1").select(F.col("node").alias("doc_id")), "doc_id")
-    bags = materialize(texts.mapInArrow(_bags(size), "node long, n int, slice int, items array<long>"), "bags")
+    bags = materialize(texts.mapInArrow(_bags(size), ", ".join(["node long", "n int", *(f"{c} array<long>" for c in _ITEMS), *(f"{c} long" for c in _SKETCH)])), "bags")
     common = bags.mapInArrow(_frequent, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(FREQUENT)
     frequent = np.sort(np.array([r["item"] for r in common.collect()], np.int64))
     sent = bags.mapInArrow(_whole_sets(frequent, bits), _PARTS_DDL).select("fragment", "docs", "counts", "items", "seen")
@@ -397,18 +414,27 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     answers = ranked.union(bags.mapInArrow(_frequent_items(frequent, bits), "node long, keys array<long>, df array<int>"))
     sizes = classes.where("open = 1").select("node", "n")
     per_node = answers.join(sizes, "node").repartition(parts, "node").sortWithinPartitions("node")
-    postings = materialize(per_node.mapInArrow(_postings(frequent, percent, 3), "key long, node long, n int, first boolean"), "postings")
+    postings = materialize(per_node.mapInArrow(_postings(percent), "key long, node long, n int, shared int, weight int"), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = bags.select(F.col("node").alias("a"), F.col("n").alias("na"), "slice", F.col("items").alias("x"))
-        two = bags.select(F.col("node").alias("b"), F.col("n").alias("nb"), "slice", F.col("items").alias("y"))
-        overlap = F.size(F.array_intersect("x", "y"))
-        counted = pairs.join(one, "a").join(two, ["b", "slice"]).select("a", "b", "na", "nb", overlap.alias("common"))
-        summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+        one = bags.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a_{c}") for c in _ITEMS))
+        two = bags.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b_{c}") for c in _ITEMS))
+        # One partial overlap for each slice of the global order.
+        partial = [F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in _ITEMS]
+        summed = pairs.join(one, "a").join(two, "b").withColumn("common", sum(partial[1:], partial[0]))
         return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
-    near = lambda x, y: F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) * 100 >= F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n")) * percent
-    roots, _ = linked_groups(postings, verify, near)
+    def near(x: str, y: str) -> Column:
+        # The overlap cannot exceed what either shares with anyone.
+        sizes = F.col(f"{x}.n") + F.col(f"{y}.n")
+        return F.least(f"{x}.shared", f"{y}.shared") * (100 + percent) >= sizes * percent
+
+    def close(x: str, y: str) -> Column:
+        # Items of one set only flip a bit each, so the sketches differ in no more bits than the sets in items.
+        apart = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _SKETCH]
+        return sum(apart[1:], apart[0]) * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+
+    roots, _ = linked_groups(postings, verify, near, bags.select("node", *_SKETCH), close)
     named = classes.join(roots, "node", "left").select("n", "a", "b", F.coalesce("root", "node").alias("component_id"))
     hot = sets.alias("s").join(named.alias("c"), ["n", "a", "b"], "left")
     known = hot.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

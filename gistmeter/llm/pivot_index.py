@@ -39,7 +39,6 @@ def matrices(batch: pa.RecordBatch, column: str = "embedding") -> Iterator[tuple
 
 def _index(pivots: np.ndarray):
     first, second = np.array(list(combinations(range(LEAD), 2))).T
-    lead = np.maximum(first, second) < 3
 
     def run(batches):
         for batch in batches:
@@ -52,7 +51,7 @@ def _index(pivots: np.ndarray):
                     a, b = order[:, first % order.shape[1]], order[:, second % order.shape[1]]
                     key = (np.minimum(a, b) * len(pivots) + np.maximum(a, b)).astype(np.int64) + np.int64(part.shape[1]) * 2**40
                     near = np.repeat(order.astype(np.int16), len(first), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node[some], len(first))), lists(near.ravel(), np.full(len(near), near.shape[1])), pa.array(np.tile(lead, len(some)))], names=["key", "node", "near", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node[some], len(first))), lists(near.ravel(), np.full(len(near), near.shape[1])), pa.array(np.zeros(len(near), np.int32))], names=["key", "node", "near", "weight"])
 
     return run
 
@@ -133,7 +132,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
         v = np.array(r["embedding"])
         v = v / np.abs(v).max()
         points[k, : len(v)] = v / np.sqrt((v**2).sum())
-    postings = materialize(classes.select("node", "embedding").mapInArrow(_index(points), "key long, node long, near array<short>, first boolean"), "postings")
+    postings = materialize(classes.select("node", "embedding").mapInArrow(_index(points), "key long, node long, near array<short>, weight int"), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("node").alias("a"), F.col("embedding").alias("x"))

@@ -219,34 +219,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def linked_groups(
-    postings: DataFrame, verify: Callable[[DataFrame], DataFrame], also: Callable[[str, str], Column]
+    postings: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    also: Callable[[str, str], Column],
+    profiles: DataFrame | None = None,
+    close: Callable[[str, str], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``node, root`` over all links among nodes that share a list, and the links that were looked at.
 
-    ``postings`` (written; ``key, node, first``, plus what ``also`` compares) are inverted lists; ``verify``
+    ``postings`` (written; ``key, node, weight``, plus what ``also`` compares) are inverted lists; ``verify``
     returns the pairs ``a, b`` that are links; ``also(x, y)`` is a cheap condition every link meets. First
-    each node meets the smallest node of those lists that are marked ``first`` for it: a number of pairs
-    that grows with the postings, not with the square of a list. Then, within lists whose nodes are still
-    in different components, all pairs of different components are verified. A pair of one component
-    needs no test, since it can join nothing; so no link between components is lost.
+    every node meets the head of each of its lists, the node of the largest ``weight``: a number of pairs that
+    grows with the postings, not with the square of a list. Then, within lists whose nodes are still in
+    different components, all pairs of different components are verified. A pair of one component needs no
+    test, since it can join nothing; so no link between components is lost. ``profiles`` (by ``node``) are
+    joined to the lists left, for a sharper necessary condition ``close``.
     """
-    chosen = postings.where("first")
-    heads = chosen.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = (
-        chosen.join(heads, "key")
-        .where("node <> head")
-        .select(F.col("head").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
+    head = F.max_by(F.struct("*"), F.struct("weight", -F.col("node")))
+    heads = postings.groupBy("key").agg(head.alias("x"), F.count(F.lit(1)).alias("in_list")).where("in_list > 1").select("x.*")
+    x, y = heads.alias("x"), postings.alias("y")
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node"))
+    stars = x.join(y, meets & also("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     links = materialize(verify(stars), "links")
     roots = components(links)
     marked = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    marked = materialize(marked.drop("first"), "marked")
+    marked = materialize(marked, "marked")
     mixed_lists = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_lists = marked.join(mixed_lists.select("key"), "key", "left_semi")
+    if profiles is not None:
+        open_lists = open_lists.join(profiles, "node")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, meets & also("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    meets = meets & also("x", "y")
+    rest = x.join(y, meets & close("x", "y") if close else meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = materialize(verify(rest), "links")
     if more.isEmpty():
         return roots, links
