@@ -108,6 +108,29 @@ def _by_shard(docs: np.ndarray, values: np.ndarray, shards: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(shard[first[k : k + 256]]), lists(docs[a:b], per[k : k + 256]), lists(values[a:b], per[k : k + 256])], names=["shard", "docs", "keys"])
 
 
+def _merged(batches):
+    """``doc_id, found`` from rows sorted by shard: what all tasks have told of each document, once."""
+
+    def told(docs, keys):
+        out = _answers(np.concatenate(docs), np.concatenate(keys))
+        for k in range(0, out.num_rows, 20_000):
+            yield out.slice(k, 20_000)
+
+    docs, keys, last = [], [], None
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)] if len(shard) else [0]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if docs and shard[start] != last:
+                yield from told(docs, keys)
+                docs, keys = [], []
+            part, last = batch.slice(start, stop - start), shard[start]
+            docs.append(flat(part.column("docs"), np.int64)[0])
+            keys.append(flat(part.column("keys"), np.int64)[0])
+    if docs:
+        yield from told(docs, keys)
+
+
 def _shared_seeds(shards: int):
     """By shard, documents with the keys of those of their anchors that other documents have."""
     return lambda batches: _seed_answers(batches, shards)
@@ -236,9 +259,12 @@ def _extensions(size: int, bits: int):
     return run
 
 
-def _repeats(batches):
-    """``doc_id, found``: places of windows that a smaller document has."""
+def _repeats(shards: int):
+    """By shard, documents with the places of those of their windows that a smaller document has."""
+    return lambda batches: _later_windows(batches, shards)
+
 
+def _later_windows(batches, shards: int):
     def answer(docs, places, values):
         docs, places, values = np.concatenate(docs), np.concatenate(places), np.concatenate(values)
         order = np.lexsort((docs, values))
@@ -247,9 +273,7 @@ def _repeats(batches):
         first[1:] = values[1:] != values[:-1]
         owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(values)), 0))]
         later = owner < docs
-        out = _answers(docs[later], places[later])
-        for k in range(0, out.num_rows, 20_000):
-            yield out.slice(k, 20_000)
+        yield from _by_shard(docs[later], places[later].astype(np.int64), shards)
 
     held, kept, last = 0, [[], [], []], None
     for batch in batches:
@@ -257,7 +281,8 @@ def _repeats(batches):
         settled = batch.filter(pa.array(fragment < 0))
         if settled.num_rows:
             docs, _ = flat(settled.column("docs"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(docs), settled.column("places")], names=["doc_id", "found"])
+            places, counts = flat(settled.column("places"), np.int64)
+            yield from _by_shard(np.repeat(docs, counts), places, shards)
         rest = batch.filter(pa.array(fragment >= 0))
         fragment = rest.column("fragment").to_numpy()
         start = 0
@@ -313,8 +338,8 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     seeded = both.sortWithinPartitions("shard", F.col("docs").isNull())
     windows_of = seeded.mapInArrow(_extensions(size, bits), "fragment int, docs array<long>, places array<int>, items array<long>")
     dealt = windows_of.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
-    found = dealt.mapInArrow(_repeats, "doc_id long, found array<int>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    found = dealt.mapInArrow(_repeats(shards), "shard long, docs array<long>, keys array<long>")
+    return found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merged, "doc_id long, found array<long>")
 
 
 def strip_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
