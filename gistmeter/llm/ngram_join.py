@@ -295,8 +295,24 @@ def _whole_sets(frequent: np.ndarray, bits: int):
     return run
 
 
-def _ranked(batches):
-    """For every class and fragment its shared items with the number of classes that have them."""
+def _told(nodes: np.ndarray, keys: np.ndarray, df: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard (``node mod shards``) with classes, keys and numbers side by side."""
+    shard = np.mod(nodes, shards)
+    order = np.argsort(shard, kind="stable")
+    nodes, keys, df, shard = nodes[order], keys[order], df[order].astype(np.int32), shard[order]
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(nodes) else np.zeros(0, np.int64)
+    per = np.diff(np.append(first, len(nodes)))
+    for k in range(0, len(first), 256):
+        part = per[k : k + 256]
+        cut = slice(first[k], first[k] + int(part.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(shard[first[k : k + 256]]), lists(nodes[cut], part), lists(keys[cut], part), lists(df[cut], part)], names=["shard", "nodes", "keys", "df"])
+
+
+_TOLD = "shard long, nodes array<long>, keys array<long>, df array<int>"
+
+
+def _ranked(shards: int):
+    """Classes with those of their items that other classes have, and the number of classes that have each."""
 
     def answer(keys, owners, seen):
         order = np.argsort(keys)
@@ -305,80 +321,60 @@ def _ranked(batches):
         size = np.diff(np.append(first, len(value)))
         df = np.repeat(size, size)
         shared = df > 1
-        owner, value, df = owners[order][shared], value[shared], df[shared]
-        order = np.argsort(owner, kind="stable")
-        owner, value, df = owner[order], value[order], df[order]
-        first = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1)) if len(owner) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(owner)))
-        for k in range(0, len(first), 10_000):
-            a, b = first[k], first[k + 10_000] if k + 10_000 < len(first) else len(owner)
-            part = size[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(owner[first[k : k + 10_000]]), lists(value[a:b], part), lists(df[a:b].astype(np.int32), part)], names=["node", "keys", "df"])
+        yield from _told(owners[order][shared], value[shared], df[shared], shards)
 
-    return _by_fragments(batches, answer)
+    return lambda batches: _by_fragments(batches, answer)
 
 
-def _postings(percent: int):
-    """Postings of each class from its answers: items of one class only come first, frequent ones last."""
+def _sizes_and_frequent(frequent: np.ndarray, bits: int, shards: int):
+    """Classes with their set sizes (number 0), and with their frequent items, which come last in the order."""
+
+    def run(batches):
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            yield from _told(node, batch.column("n").to_numpy().astype(np.int64), np.zeros(len(node)), shards)
+            value, of_item = _items(batch)
+            hit = np.isin(value, frequent)
+            keys = (value[hit].view(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)
+            yield from _told(node[of_item[hit]], keys, np.full(len(keys), 2**31 - 1), shards)
+
+    return run
+
 
-    def group(frame_keys, frame_df, rows, node, n):
-        keys, counts = frame_keys
-        df, _ = frame_df
-        of_item = np.repeat(rows, counts)
+def _postings(percent: int):
+    """Postings of each class from what its shard was told: items of one class come first, frequent ones last."""
+
+    def done(held):
+        nodes, keys, df = (np.concatenate(x) for x in zip(*held))
+        size_row = df == 0
+        node, n = nodes[size_row], keys[size_row]
+        order = np.argsort(node)
+        node, n = node[order], n[order]
+        of_item, keys, df = np.searchsorted(node, nodes[~size_row]), keys[~size_row], df[~size_row]
         order = np.lexsort((keys, df, of_item))
         keys, of_item = keys[order], of_item[order]
         shared = np.bincount(of_item, minlength=len(node))
-        alone = n - shared
-        room = n - least_overlap(n, percent) + 1 - alone
+        room = n - least_overlap(n, percent) + 1 - (n - shared)
         rank = np.arange(len(keys)) - np.repeat(np.cumsum(shared) - shared, shared)
         chosen = rank < room[of_item]
-        of_item = of_item[chosen]
-        return pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array(node[of_item]), *(pa.array(v[of_item].astype(np.int32)) for v in (n, shared, np.bincount(of_item, minlength=len(node))))], names=["key", "node", "n", "shared", "weight"])
+        of_item, keys = of_item[chosen], keys[chosen]
+        weight = np.bincount(of_item, minlength=len(node))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[of_item]), *(pa.array(v[of_item].astype(np.int32)) for v in (n, shared, weight))], names=["key", "node", "n", "shared", "weight"])
 
     def run(batches):
-        # Rows come sorted by node; a node's rows are kept together across batches.
         held, last = [], None
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            if not len(node):
-                continue
-            cut = int(np.searchsorted(node, node[-1]))
-            if held and (cut > 0 or node[-1] != last):
-                if cut:
-                    held.append(batch.slice(0, cut))
-                yield done(held)
-                held = []
-                batch = batch.slice(cut)
-            elif not held and cut:
-                yield done([batch.slice(0, cut)])
-                batch = batch.slice(cut)
-            last = node[-1]
-            held.append(batch)
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)] if len(shard) else [0]
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                if held and shard[start] != last:
+                    yield done(held)
+                    held = []
+                part, last = batch.slice(start, stop - start), shard[start]
+                held.append((flat(part.column("nodes"), np.int64)[0], flat(part.column("keys"), np.int64)[0], flat(part.column("df"), np.int64)[0]))
         if held:
             yield done(held)
 
-    def done(batches):
-        table = pa.Table.from_batches(batches).combine_chunks()
-        node, rows = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        n = np.zeros(len(node), np.int64)
-        np.maximum.at(n, rows, table.column("n").to_numpy())
-        return group(flat(table.column("keys"), np.int64), flat(table.column("df"), np.int64), rows, node, n)
-
-    return run
-
-
-def _frequent_items(frequent: np.ndarray, bits: int):
-    def run(batches):
-        for batch in batches:
-            value, of_item = _items(batch)
-            order = np.argsort(of_item, kind="stable")
-            value, of_item = value[order], of_item[order]
-            hit = np.isin(value, frequent)
-            per = np.bincount(of_item[hit], minlength=batch.num_rows)
-            rows = np.flatnonzero(per)
-            keys = (value[hit].view(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy()[rows]), lists(keys, per[rows]), lists(np.full(len(keys), 2**31 - 1, np.int32), per[rows])], names=["node", "keys", "df"])
-
     return run
 
 
@@ -405,16 +401,18 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     need = F.ceil(F.col("n") * F.lit((percent - 50) * percent) / 10_000)
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.max((F.col("shared") >= F.greatest(need, F.lit(1))).cast("int")).alias("open"))
     classes = materialize(classes, "classes")
-    texts = only(slim, classes.where("open = 1").select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]) if _repeats(slim, sets) else only(slim, classes.where("open = 1").select(F.col("node").alias("doc_id")), "doc_id")
+    texts = only(slim, classes.where("open = 1").select(F.col("node").alias("doc_id")), "doc_id")
+    if slim.where("doc_id is not null").count() != sets.count():
+        texts = texts.dropDuplicates(["doc_id"])
     bags = materialize(texts.mapInArrow(_bags(size), ", ".join(["node long", "n int", *(f"{c} array<long>" for c in _ITEMS), *(f"{c} long" for c in _SKETCH)])), "bags")
     common = bags.mapInArrow(_frequent, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(FREQUENT)
     frequent = np.sort(np.array([r["item"] for r in common.collect()], np.int64))
     sent = bags.mapInArrow(_whole_sets(frequent, bits), _PARTS_DDL).select("fragment", "docs", "counts", "items", "seen")
-    ranked = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_ranked, "node long, keys array<long>, df array<int>")
-    answers = ranked.union(bags.mapInArrow(_frequent_items(frequent, bits), "node long, keys array<long>, df array<int>"))
-    sizes = classes.where("open = 1").select("node", "n")
-    per_node = answers.join(sizes, "node").repartition(parts, "node").sortWithinPartitions("node")
-    postings = materialize(per_node.mapInArrow(_postings(percent), "key long, node long, n int, shared int, weight int"), "postings")
+    shards = parts * 16 + 1
+    ranked = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_ranked(shards), _TOLD)
+    told = ranked.union(bags.mapInArrow(_sizes_and_frequent(frequent, bits, shards), _TOLD))
+    by_shard = told.repartition(parts, "shard").sortWithinPartitions("shard")
+    postings = materialize(by_shard.mapInArrow(_postings(percent), "key long, node long, n int, shared int, weight int"), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = bags.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a_{c}") for c in _ITEMS))
@@ -442,10 +440,6 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     return known.union(missing.mapInArrow(_counts(size), "doc_id long, n_shingles long, component_id long"))
 
 
-def _repeats(slim: DataFrame, sets: DataFrame) -> bool:
-    return slim.where(F.col("doc_id").isNotNull()).count() != sets.count()
-
-
 def _counts(size: int):
     def run(batches):
         for batch in batches:
