@@ -137,7 +137,9 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 40, rate: float = 0.0
 
     Without both classes every text scores as the class that was seen (1 without any label).
     """
-    x, number = passages(texts)
+    # Piece by piece, since the arrays of bytes are many times the text.
+    parts = [passages(p.column("text")) for p in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20)]
+    x, number = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros((0, 1)), np.zeros(0, np.int64))
     some = number > 0
     label, sizes = labels[some].astype(np.float64), number[some]
     if len(set(label.tolist())) < 2:
@@ -181,7 +183,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 40, rate: float = 0.0
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, rows: int = 3000, row_bytes: int = 40_000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, rows: int = 2000, row_bytes: int = 40_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``, as ``labels.quality`` marks it.
 
     Fitted on the driver from at most ``rows`` labelled documents of each class, none over ``row_bytes`` bytes;
@@ -193,7 +195,7 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = 3000, row_bytes: int
     return score_documents(docs, model, PARTS, HELD)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, rows: int = 3000, row_bytes: int = 40_000) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, rows: int = 2000, row_bytes: int = 40_000) -> DataFrame:
     """The rows of ``docs`` that score 0.3 or more, with all their columns, in one pass; see ``quality``."""
     model = fit(*labelled_sample(docs, labels, "quality", PARTS, HELD, rows, row_bytes))
 

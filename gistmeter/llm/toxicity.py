@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gistmeter.llm.shared import Words, mixed, odd_numbers, text_of
+from gistmeter.llm.shared import Words, mixed, odd_numbers, pieces, text_of
 from gistmeter.llm.training import labelled_sample, score_documents
 
 SPAN = 16
@@ -91,30 +91,44 @@ class Toxicity:
 def fit(texts: pa.Array, labels: np.ndarray, size: int = 16, epochs: int = 18, rate: float = 0.5, seed: int = 3) -> Toxicity:
     """Vectors and softmax weights learnt together by AdaGrad from the worst passages of the texts.
 
-    The offensive texts weigh 0.35 in total and the others 0.65, whatever their numbers. Without both
+    The offensive texts weigh 0.2 in total and the others 0.8, whatever their numbers. Without both
     classes the model scores everything by the class it saw, or 0.
     """
     n = 1 << BITS
     if len(set(labels.tolist())) < 2:
         return Toxicity(np.zeros(n, np.float32), 60.0 if labels.any() else -60.0)
     random = np.random.default_rng(seed)
-    parts = Subwords(texts)
-    buckets, owners = np.concatenate(parts.buckets), np.concatenate(parts.owners)
-    order = np.argsort(owners, kind="stable")
-    buckets, starts = buckets[order].astype(np.int32), np.concatenate([[0], np.cumsum(parts.sizes).astype(np.int64)])
-    some = np.flatnonzero(parts.passages > 0)
-    first = (np.cumsum(parts.passages) - parts.passages)[some]
-    length, label = parts.passages[some], labels[some]
+    # Piece by piece, since the arrays of bytes are many times the text.
+    flat, held, passages = [], [], []
+    for piece in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 19):
+        part = Subwords(piece.column("text"))
+        owners = np.concatenate(part.owners).astype(np.int32)
+        flat.append(np.concatenate(part.buckets).astype(np.int32)[np.argsort(owners, kind="stable")])
+        held.append(part.sizes)
+        passages.append(part.passages)
+    piece_at = np.cumsum([0, *(len(f) for f in flat)])
+    sizes_of, passages = np.concatenate(held), np.concatenate(passages)
+    buckets, starts = np.concatenate(flat), np.concatenate([[0], np.cumsum(sizes_of).astype(np.int64)])
+    del flat
+    some = np.flatnonzero(passages > 0)
+    first = (np.cumsum(passages) - passages)[some]
+    length, label = passages[some], labels[some]
     doc_of = text_of(length)
     vectors = random.uniform(-1 / size, 1 / size, (n, size)).astype(np.float32)
     weights = random.normal(0, 0.3, (2, size)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     vector_sum, weight_sum, bias_sum = np.full(n, 1e-6, np.float32), np.full_like(weights, 1e-6), np.full(2, 1e-6, np.float32)
-    weight_of = np.where(label == 1, 0.35 / max(label.sum(), 1), 0.65 / max((label == 0).sum(), 1)) * len(label)
+    weight_of = np.where(label == 1, 0.2 / max(label.sum(), 1), 0.8 / max((label == 0).sum(), 1)) * len(label)
     for epoch in range(epochs):
         # The first rounds look at passages at random, later ones at the worst of each text.
         margin = vectors @ (weights[1] - weights[0])
-        sums = np.add.reduceat(margin[buckets].astype(np.float64), starts[:-1]) / parts.sizes
+        sums = np.concatenate(
+            [
+                np.add.reduceat(margin[buckets[a:b]], starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a)
+                for a, b in zip(piece_at[:-1], piece_at[1:])
+                if b > a
+            ]
+        ) / sizes_of
         if epoch < 4:
             sums = random.random(len(sums))
         top = np.lexsort((-sums, doc_of))[np.cumsum(length) - length]
@@ -145,7 +159,7 @@ def fit(texts: pa.Array, labels: np.ndarray, size: int = 16, epochs: int = 18, r
     return Toxicity((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 4000, row_bytes: int = 40_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 2000, row_bytes: int = 40_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``, as ``labels.toxic`` marks it.
 
     Fitted on the driver from at most ``rows`` labelled documents of each class, none over ``row_bytes`` bytes;

@@ -30,9 +30,9 @@ def labelled_sample(
     texts = texts.where(F.col("text").isNotNull() & (F.octet_length("text") <= row_bytes))
     # At most 2 * rows ids are broadcast.
     found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", "text", "label").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    label = found.column("label").to_numpy().astype(np.int64) if found.num_rows else np.zeros(0, np.int64)
-    return found.column("text"), label
+    found = found.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    text = pa.chunked_array(found.column("text").chunks, pa.string()).combine_chunks()
+    return text, found.column("label").to_numpy().astype(np.int64)
 
 
 def score_documents(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], parts: int, held: int) -> DataFrame:
