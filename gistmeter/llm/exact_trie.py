@@ -52,15 +52,19 @@ def shared_prefix(a: bytes, b: bytes, at: int) -> int:
 class Trie:
     """Patricia trie with a byte bound; ``best`` is the smallest of the ordered values given for a key."""
 
-    def __init__(self, limit: int = TRIE_BYTES, depth: int = 0):
-        self.root, self.size, self.limit, self.depth = Node(b""), 0, limit, depth
-        self.files: dict[int, tempfile.SpooledTemporaryFile] = {}
+    def __init__(self, limit: int = TRIE_BYTES, above: bytes = b""):
+        #: ``above`` is what all keys begin with.
+        self.root, self.size, self.limit, self.above = Node(b""), 0, limit, above
+        #: Files of spilled subtrees by the bytes that lead to them, and the lengths of these.
+        self.files: dict[bytes, tempfile.SpooledTemporaryFile] = {}
+        self.lengths: set[int] = set()
 
     def insert(self, key: bytes, value: tuple, count: int = 1) -> None:
-        at, node = self.depth, self.root
-        if self.files and at < len(key) and key[at] in self.files:
-            pickle.dump((key, value, count), self.files[key[at]], protocol=5)
-            return
+        for length in self.lengths:
+            if key[:length] in self.files:
+                pickle.dump((key, value, count), self.files[key[:length]], protocol=5)
+                return
+        at, node = len(self.above), self.root
         while at < len(key):
             child = node.children.get(key[at]) if node.children else None
             if child is None:
@@ -104,30 +108,33 @@ class Trie:
         return total
 
     def _spill(self) -> None:
-        """Write the heaviest subtree below the root to a file of its own and forget it."""
-        children = self.root.children or {}
-        if not children:
+        """Write the heaviest subtree below the first branch to a file of its own and forget it."""
+        node, prefix = self.root, self.above
+        while node.best is None and node.children and len(node.children) == 1:
+            (node,) = node.children.values()
+            prefix += node.label
+        if not node.children:
+            # A single key cannot be divided.
+            self.limit = 2 * self.size
             return
-        heaviest = max(children, key=lambda k: self._weight(children[k]))
-        node = children.pop(heaviest)
+        heaviest = max(node.children, key=lambda k: self._weight(node.children[k]))
+        child = node.children.pop(heaviest)
+        lead = prefix + bytes([heaviest])
         # The file has no name and goes when the task ends, whatever ends it.
-        file = self.files[heaviest] = tempfile.TemporaryFile()  # noqa: SIM115
-        # All keys of one depth share what lies above, which the walk need not repeat.
-        for key, best, count in self._walk(node, self._above + node.label):
+        file = self.files[lead] = tempfile.TemporaryFile()  # noqa: SIM115
+        self.lengths.add(len(lead))
+        for key, best, count in self._walk(child, prefix + child.label):
             pickle.dump((key, best, count), file, protocol=5)
-        self.size -= self._weight(node)
-
-    _above = b""
+        self.size -= self._weight(child)
 
     def items(self) -> Iterator[tuple[bytes, tuple, int]]:
         """Every key with its smallest value and its count; a spilled subtree is read at the end."""
         if self.root.children or self.root.best is not None:
-            yield from self._walk(self.root, self._above)
+            yield from self._walk(self.root, self.above)
         self.root, self.size = Node(b""), 0
-        for first, file in self.files.items():
+        for lead, file in self.files.items():
             file.seek(0)
-            below = Trie(self.limit, self.depth + 1)
-            below._above = self._above + bytes([first])
+            below = Trie(self.limit, lead)
             while True:
                 try:
                     below.insert(*pickle.load(file))
@@ -135,7 +142,7 @@ class Trie:
                     break
             file.close()
             yield from below.items()
-        self.files = {}
+        self.files, self.lengths = {}, set()
 
 
 def normalised(text: bytes) -> bytes:

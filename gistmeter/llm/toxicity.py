@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from gistmeter.llm.shared import Words, mixed, odd_numbers, pieces, text_of
 from gistmeter.llm.training import labelled_sample, score_documents
 
-SPAN = 16
+SPAN = 8
 BITS = 18
 GRAMS = (3, 4, 5)
 #: Labels are learnt from rows whose crc32(doc_id) mod 4 is not 2.
@@ -88,10 +88,10 @@ class Toxicity:
         return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, size: int = 16, epochs: int = 18, rate: float = 0.5, seed: int = 3) -> Toxicity:
+def fit(texts: pa.Array, labels: np.ndarray, size: int = 16, epochs: int = 30, rate: float = 0.5, seed: int = 3) -> Toxicity:
     """Vectors and softmax weights learnt together by AdaGrad from the worst passages of the texts.
 
-    The offensive texts weigh 0.2 in total and the others 0.8, whatever their numbers. Without both
+    The offensive texts weigh 0.35 in total and the others 0.65, whatever their numbers. Without both
     classes the model scores everything by the class it saw, or 0.
     """
     n = 1 << BITS
@@ -118,7 +118,7 @@ def fit(texts: pa.Array, labels: np.ndarray, size: int = 16, epochs: int = 18, r
     weights = random.normal(0, 0.3, (2, size)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     vector_sum, weight_sum, bias_sum = np.full(n, 1e-6, np.float32), np.full_like(weights, 1e-6), np.full(2, 1e-6, np.float32)
-    weight_of = np.where(label == 1, 0.2 / max(label.sum(), 1), 0.8 / max((label == 0).sum(), 1)) * len(label)
+    weight_of = np.where(label == 1, 0.35 / max(label.sum(), 1), 0.65 / max((label == 0).sum(), 1)) * len(label)
     for epoch in range(epochs):
         # The first rounds look at passages at random, later ones at the worst of each text.
         margin = vectors @ (weights[1] - weights[0])
