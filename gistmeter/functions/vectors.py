@@ -52,6 +52,10 @@ def _unit_rows(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _has_direction(rows: np.ndarray) -> np.ndarray:
+    return (rows != 0).any(axis=1)
+
+
 def _matrices(array: pa.Array) -> list[np.ndarray]:
     """One matrix a row, as views on the batch's flat values."""
     vectors = array.flatten()
@@ -62,7 +66,16 @@ def _matrices(array: pa.Array) -> list[np.ndarray]:
 
 
 def best_matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every vector its largest cosine with the other side, a block of the product at a time."""
+    """For every vector its largest cosine with the other side, a block of the product at a time.
+
+    A zero vector has no direction: it matches nothing (0) and no maximum sees it.
+    """
+    some_a, some_b = _has_direction(left), _has_direction(right)
+    if not (some_a.all() and some_b.all()):
+        out_a, out_b = np.zeros(len(left)), np.zeros(len(right))
+        if some_a.any() and some_b.any():
+            out_a[some_a], out_b[some_b] = best_matches(left[some_a], right[some_b])
+        return out_a, out_b
     a, b = _unit_rows(left), _unit_rows(right)
     best_a = np.full(len(a), -np.inf)
     best_b = np.full(len(b), -np.inf)

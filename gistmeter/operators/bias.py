@@ -21,7 +21,7 @@ def bias_score(label: Column, score: Column) -> Column:
 def penalized_score(fmeasure: Column, bias: Column) -> Column:
     """F on a 20 to 100 scale, less 20 points for each unit of bias above 0.45.
 
-    The penalty belongs to the row whose prediction it was measured on.
+    The penalty belongs to the row whose prediction it was measured on. Without a bias there is no score.
     """
-    excess = F.greatest(bias - TOLERATED, F.lit(0.0))
+    excess = F.when(bias.isNotNull(), F.greatest(bias - TOLERATED, F.lit(0.0)))
     return fmeasure * F_WEIGHT + BASE - excess * PENALTY_WEIGHT

@@ -56,9 +56,9 @@ def global_rank(
 
 
 def skew_safe_lookup(
-    rows: DataFrame, lookup: DataFrame, on: str, occurrences: str, parts: int | None = None
+    rows: DataFrame, lookup: DataFrame, on: str, occurrences: str, parts: int | None = None, how: str = "inner"
 ) -> DataFrame:
-    """Inner join of ``rows`` with a table that is unique on ``on``.
+    """Join (``inner`` or ``left``) of ``rows`` with a table that is unique on ``on``.
 
     ``lookup[occurrences]`` says how many of ``rows`` carry the key. Keys above a share of
     ``1 / parts`` number at most ``parts``, so that piece of the lookup is broadcast and its rows
@@ -69,27 +69,32 @@ def skew_safe_lookup(
     frequent = F.col(occurrences) * parts > total
     heavy = F.broadcast(lookup.where(frequent))
     light = lookup.where(~frequent)
-    shuffled = rows.join(heavy.select(on), on, "left_anti").join(light, on)
+    shuffled = rows.join(heavy.select(on), on, "left_anti").join(light, on, how)
     return rows.join(heavy, on).unionByName(shuffled)
 
 
 def lookup_join(
-    rows: DataFrame, table: DataFrame, on: str, broadcast_rows: int, occurrences: str | None = None
+    rows: DataFrame,
+    table: DataFrame,
+    on: str,
+    broadcast_rows: int,
+    occurrences: str | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of ``rows`` with a table that is unique on ``on``.
+    """Join (``inner`` or ``left``) of ``rows`` with a table that is unique on ``on``.
 
     The table is counted: up to ``broadcast_rows`` rows it is broadcast. A larger one is joined by
     ``skew_safe_lookup``. The use of each key comes from the table's column ``occurrences``, which
     is dropped, or is counted from ``rows``.
     """
     if table.count() <= broadcast_rows:
-        return rows.join(F.broadcast(table.drop(occurrences) if occurrences else table), on)
+        return rows.join(F.broadcast(table.drop(occurrences) if occurrences else table), on, how)
     if occurrences:
-        return skew_safe_lookup(rows, table, on, occurrences).drop(occurrences)
+        return skew_safe_lookup(rows, table, on, occurrences, how=how).drop(occurrences)
     uses = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
     # Read three times below, so the counting is done once and written.
     counted = materialize(table.join(uses, on), "lookup")
-    return skew_safe_lookup(rows, counted, on, "_gm_uses").drop("_gm_uses")
+    return skew_safe_lookup(rows, counted, on, "_gm_uses", how=how).drop("_gm_uses")
 
 
 def rank_within(df: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:

@@ -23,6 +23,7 @@ def semi_filter(df: DataFrame, ids: DataFrame, key: str, rows_bound: int | None
 
 
 def top_k_by_score(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
-    """All rows of the ids found in the ``k`` best rows; ties go to the smaller id."""
-    best = top_rows(df.select(key, score), k, F.col(score).desc_nulls_last(), F.col(key))
+    """All rows of the ids found in the ``k`` best rows; ties go to the smaller id, NaN and null come last."""
+    number = F.when(~F.isnan(score), F.col(score))
+    best = top_rows(df.select(key, score), k, number.desc_nulls_last(), F.col(key))
     return semi_filter(df, best, key, rows_bound=k)

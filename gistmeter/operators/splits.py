@@ -23,11 +23,14 @@ def _prefix_counts(df: DataFrame, key: str, seed: int, prefix: str = "") -> list
     digest = split_hash(key, seed)
     counts = (
         df.select(key)
-        .where(F.substring(digest, 1, len(prefix)) == prefix)
+        .where(F.substring(digest, 1, len(prefix)) == prefix if prefix else F.lit(True))
         .groupBy(F.substring(digest, 1, len(prefix) + _STEP).alias("prefix"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return sorted((row["prefix"], row["n"]) for row in counts.collect())
+    found = counts.collect()
+    if any(row["prefix"] is None for row in found):
+        raise ValueError(f"{key} is null in some rows: they have no place in the seeded order")
+    return sorted((row["prefix"], row["n"]) for row in found)
 
 
 def _first_rows(df: DataFrame, key: str, rows: int, seed: int, counts: list[tuple[str, int]]) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gistmeter.operators.ranking import rank_within
+
 
 def best_record(df: DataFrame, trial: str, iteration: str, metric: str, keep: list[str]) -> DataFrame:
-    """The best row of every trial; the earliest of several.
+    """The best row of every trial; the earliest of several. A NaN metric is no result.
 
     A maximum over structs reduces inside each task first, so a trial of any length is no problem.
     """
@@ -16,13 +18,13 @@ def best_record(df: DataFrame, trial: str, iteration: str, metric: str, keep: li
         (-F.col(iteration)).alias("order"),
         F.struct(iteration, *keep).alias("rest"),
     )
-    best = df.where(F.col(metric).isNotNull()).groupBy(trial).agg(F.max(row).alias("_gm"))
+    best = df.where(F.col(metric).isNotNull() & ~F.isnan(metric)).groupBy(trial).agg(F.max(row).alias("_gm"))
     return best.select(trial, F.col("_gm.metric").alias(metric), "_gm.rest.*")
 
 
 def best_trial(best: DataFrame, trial: str, metric: str) -> DataFrame:
     """The trial with the largest metric above zero; the first of several, none when all are lower."""
-    return best.where(F.col(metric) > 0).orderBy(F.col(metric).desc(), F.col(trial)).limit(1)
+    return best.where((F.col(metric) > 0) & ~F.isnan(metric)).orderBy(F.col(metric).desc(), F.col(trial)).limit(1)
 
 
 def first_plateau(
@@ -37,28 +39,30 @@ def first_plateau(
 ) -> DataFrame:
     """First iteration at which the last ``results`` values deviate by less than ``spread``.
 
-    Iterations are consecutive numbers, so a row belongs to the windows that end at its own and the
-    next ``results - 1`` iterations. It is sent to each of them and the deviation is an ordinary
+    Results are numbered per trial first, so gaps between iterations do not matter. A row belongs to the
+    windows that end at its own and the next ``results - 1`` results. It is sent to each of them and the deviation is an ordinary
     aggregate of at most ``results`` rows, which splits a long trial over all tasks.
     """
     least = results if min_results is None else min_results
-    ends = F.sequence(F.col(iteration), F.col(iteration) + (results - 1))
+    numbered = rank_within(df.select(trial, iteration, metric), trial, iteration, name="_gm_number")
+    ends = F.sequence(F.col("_gm_number"), F.col("_gm_number") + (results - 1))
     windows = (
-        df.select(trial, iteration, metric, F.explode(ends).alias("_gm_end"))
+        numbered.select(trial, iteration, metric, "_gm_number", F.explode(ends).alias("_gm_end"))
         .groupBy(trial, "_gm_end")
         .agg(
             F.stddev_pop(metric).alias("_gm_spread"),
             F.count(metric).alias("_gm_n"),
-            F.max(iteration).alias("_gm_last"),
+            F.max("_gm_number").alias("_gm_last"),
+            F.max(iteration).alias("_gm_iteration"),
         )
     )
     flat = windows.where(
         (F.col("_gm_last") == F.col("_gm_end"))
         & (F.col("_gm_spread") < spread)
         & (F.col("_gm_n") >= least)
-        & (F.col("_gm_end") >= grace_period)
+        & (F.col("_gm_iteration") >= grace_period)
     )
-    return flat.groupBy(trial).agg(F.min("_gm_end").alias("stop_iteration"))
+    return flat.groupBy(trial).agg(F.min("_gm_iteration").alias("stop_iteration"))
 
 
 def latency_summary(df: DataFrame, configuration: str, seconds: str) -> DataFrame:

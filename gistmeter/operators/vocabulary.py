@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmeter.functions.batches import BOS_ID, EOS_ID, SPECIAL_IDS
+from gistmeter.functions.batches import BOS_ID, EOS_ID, SPECIAL_IDS, UNK_ID
 from gistmeter.operators.ranking import global_rank, lookup_join
 
 # A vocabulary of at most this many rows (a count, not a guess) is broadcast.
 BROADCAST_TOKENS = 500_000
+UNK_TOKEN = "<unk>"
 
 
 def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
@@ -24,7 +25,9 @@ def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def _ordered(rows: DataFrame, key: str, value: str) -> DataFrame:
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_gm"))
+    # The row of a text without items has no position, and leaves an empty list.
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", value))
+    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_gm"))
     return packed.select(key, F.transform("_gm", lambda item: item[value]).alias("_gm_items"))
 
 
@@ -33,26 +36,25 @@ def encode(
 ) -> DataFrame:
     """(key, input_ids): the ids of a text's tokens between the start and the end id.
 
-    ``key`` must be unique. The texts are spread by key before they are taken apart, so putting a
+    A token that the vocabulary does not have becomes ``UNK_ID``. ``key`` must be unique. The texts are spread by key before they are taken apart, so putting a
     text together again needs no second shuffle when the vocabulary is broadcast.
     """
     texts = df.select(key, tokens.alias("_gm_tokens")).repartition(F.col(key))
-    rows = texts.select(key, F.posexplode("_gm_tokens").alias("pos", "token"))
-    items = _ordered(lookup_join(rows, vocabulary, "token", broadcast_rows, "n"), key, "token_id")
-    found = F.coalesce("_gm_items", F.array().cast("array<int>"))
-    return texts.select(key).join(items, key, "left").select(
-        key, F.concat(F.array(F.lit(BOS_ID)), found, F.array(F.lit(EOS_ID))).alias("input_ids")
+    rows = texts.select(key, F.posexplode_outer("_gm_tokens").alias("pos", "token"))
+    found = lookup_join(rows, vocabulary, "token", broadcast_rows, "n", how="left")
+    items = _ordered(found.withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID))), key, "token_id")
+    return items.select(
+        key, F.concat(F.array(F.lit(BOS_ID)), "_gm_items", F.array(F.lit(EOS_ID))).alias("input_ids")
     )
 
 
 def decode(
     df: DataFrame, key: str, ids: str, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_TOKENS
 ) -> DataFrame:
-    """(key, text): tokens joined by a space; special ids are skipped."""
+    """(key, text): tokens joined by a space; special ids are skipped, an id without a token is ``<unk>``."""
     texts = df.select(key, ids).repartition(F.col(key))
-    rows = texts.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    words = rows.where(F.col("token_id") >= len(SPECIAL_IDS))
-    items = _ordered(lookup_join(words, vocabulary, "token_id", broadcast_rows, "n"), key, "token")
-    return texts.select(key).join(items, key, "left").select(
-        key, F.coalesce(F.array_join("_gm_items", " "), F.lit("")).alias("text")
-    )
+    words = F.filter(ids, lambda x: x >= len(SPECIAL_IDS))
+    rows = texts.select(key, F.posexplode_outer(words).alias("pos", "token_id"))
+    found = lookup_join(rows, vocabulary, "token_id", broadcast_rows, "n", how="left")
+    items = _ordered(found.withColumn("token", F.coalesce("token", F.lit(UNK_TOKEN))), key, "token")
+    return items.select(key, F.array_join("_gm_items", " ").alias("text"))

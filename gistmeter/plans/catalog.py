@@ -176,6 +176,16 @@ def vocab_encode(spark: SparkSession, folder: str) -> DataFrame:
     return encoded.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"))
 
 
+@registered
+def vocab_encode_unseen(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts with the vocabulary of the training side: words it lacks become the unknown id."""
+    texts = scan(spark, folder, "documents").select("doc_id", "text")
+    train = splits.split_two(texts, "doc_id").where("split = 'train'")
+    vocabulary = build_vocabulary(train, rouge_tokens("text"))
+    encoded = encode(texts, "doc_id", rouge_tokens("text"), vocabulary)
+    return encoded.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"))
+
+
 @registered
 def vocab_decode(spark: SparkSession, folder: str) -> DataFrame:
     encoded, vocabulary = _encoded_documents(spark, folder)

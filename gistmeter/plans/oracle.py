@@ -230,6 +230,15 @@ ORACLE["vocab_build"] = f"WITH {VOCABULARY} SELECT token, n, token_id FROM vocab
 
 ORACLE["vocab_encode"] = f"WITH {VOCABULARY} SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM enc"
 
+ORACLE["vocab_encode_unseen"] = f"""
+WITH {VOCABULARY}, sides AS ({ORACLE["split_90_10"]}),
+seen AS (SELECT token, count(*) AS n FROM words JOIN sides USING (doc_id) WHERE split = 'train' GROUP BY token),
+ids AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM seen),
+known AS (
+  SELECT doc_id, list(coalesce(token_id, 3) ORDER BY pos) AS ids FROM words LEFT JOIN ids USING (token) GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_concat([0], coalesce(ids, []), [2]), ' ') AS input_ids
+FROM dtoks LEFT JOIN known USING (doc_id)"""
+
 ORACLE["vocab_decode"] = f"SELECT doc_id, array_to_string({TOKENS.format('text')}, ' ') AS text FROM documents"
 
 ORACLE["token_truncate"] = f"""
@@ -426,7 +435,7 @@ cosines AS (
   FROM pool a JOIN pool b ON a.k = b.k AND a.d = b.d AND a.side = 'p' AND b.side = 'g' GROUP BY a.k)"""
 
 ORACLE["text_cosine"] = f"""WITH {TOKEN_VECTORS}, {COSINE}
-SELECT conv_id, turn, round(cosine, 6) AS cosine FROM pairs JOIN cosines USING (k)"""
+SELECT conv_id, turn, round(cosine, 6) AS cosine FROM pairs LEFT JOIN cosines USING (k)"""
 
 MATCHES = """unit AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 wanted AS (SELECT DISTINCT a.vec_id AS x, b.vec_id AS y FROM ided a JOIN ided b ON a.k = b.k AND a.side = 'p' AND b.side = 'g'),
@@ -440,9 +449,9 @@ mp AS (SELECT k, avg(c) AS p FROM (SELECT k, i, max(c) AS c FROM bests GROUP BY
 mr AS (SELECT k, avg(c) AS r FROM (SELECT k, j, max(c) AS c FROM bests GROUP BY ALL) GROUP BY k)"""
 
 ORACLE["greedy_match_score"] = f"""WITH {TOKEN_VECTORS}, {MATCHES}
-SELECT conv_id, turn, round(p, 6) AS match_precision, round(r, 6) AS match_recall,
+SELECT conv_id, turn, round(coalesce(p, 0), 6) AS match_precision, round(coalesce(r, 0), 6) AS match_recall,
        round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS match_f1
-FROM pairs JOIN mp USING (k) JOIN mr USING (k)"""
+FROM pairs LEFT JOIN mp USING (k) LEFT JOIN mr USING (k)"""
 
 # Prediction and joins
 

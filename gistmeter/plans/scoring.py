@@ -50,10 +50,11 @@ def score_vectors(
     token_id: Column,
     dim: int,
 ) -> DataFrame:
-    """(keys, cosine, match_precision, match_recall, match_f1) for pairs with vectors on both sides.
+    """(keys, cosine, match_precision, match_recall, match_f1) for every pair; ``keys`` are present and unique.
 
     Both sides go through one lookup and meet again in one shuffle; the rest happens in the row.
-    ``cosine`` compares the mean-pooled, normalised vectors. A pair without tokens on a side has no row.
+    ``cosine`` compares the mean-pooled, normalised vectors. A token without a vector counts as
+    unmatched in precision or recall; a pair without vectors on a side scores 0 and has no cosine.
     """
     sides = df.select(
         *keys,
@@ -72,7 +73,21 @@ def score_vectors(
         "*", pooled(F.col("_gm_p"), dim).alias("_gm_pv"), pooled(F.col("_gm_g"), dim).alias("_gm_gv")
     )
     scored = greedy_match(paired_cosine(means, "_gm_pv", "_gm_gv"), "_gm_p", "_gm_g")
-    return scored.select(*keys, "cosine", "match_precision", "match_recall", "match_f1")
+    known = scored.select(
+        *keys,
+        "cosine",
+        (F.col("match_precision") * F.size("_gm_p")).alias("_gm_matched_p"),
+        (F.col("match_recall") * F.size("_gm_g")).alias("_gm_matched_g"),
+    )
+    tokens = df.select(
+        *keys, F.size(rouge_tokens(predicted)).alias("_gm_n_p"), F.size(rouge_tokens(gold)).alias("_gm_n_g")
+    )
+    precision = F.coalesce(F.col("_gm_matched_p") / F.nullif("_gm_n_p", F.lit(0)), F.lit(0.0))
+    recall = F.coalesce(F.col("_gm_matched_g") / F.nullif("_gm_n_g", F.lit(0)), F.lit(0.0))
+    both = tokens.join(known, keys, "left").withColumns({"match_precision": precision, "match_recall": recall})
+    total = F.col("match_precision") + F.col("match_recall")
+    f1 = F.when(total != 0, 2 * F.col("match_precision") * F.col("match_recall") / total).otherwise(0.0)
+    return both.select(*keys, "cosine", "match_precision", "match_recall", f1.alias("match_f1"))
 
 
 def melt_with_gold(

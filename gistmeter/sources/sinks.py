@@ -26,6 +26,13 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.where((F.col("n_rows") > 1) | missing)
 
 
+def _require_keys(df: DataFrame, keys: list[str]) -> None:
+    # Only the keys are read for the check; Catalyst prunes the columns that are costly to compute.
+    broken = key_violations(df, keys).limit(1).collect()
+    if broken:
+        raise ValueError(f"key {keys} is null or repeated: {broken[0].asDict()}")
+
+
 def create_keyed_table(
     df: DataFrame, name: str, keys: list[str], description: str = "", path: str | None = None
 ) -> DataFrame:
@@ -33,15 +40,12 @@ def create_keyed_table(
     spark = df.sparkSession
     if spark.catalog.tableExists(name):
         raise ValueError(f"table exists: {name}")
-    # Only the keys are read for the check; Catalyst prunes the columns that are costly to compute.
-    broken = key_violations(df, keys).limit(1).collect()
-    if broken:
-        raise ValueError(f"key {keys} is null or repeated: {broken[0].asDict()}")
+    _require_keys(df, keys)
     writer = df.write.mode("errorifexists")
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(name)
-    comment = (description + f" Primary key: {', '.join(keys)}.").strip().replace("'", "\\'")
+    comment = (description + f" Primary key: {', '.join(keys)}.").strip().replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"COMMENT ON TABLE {name} IS '{comment}'")
     return spark.table(name)
 
@@ -53,7 +57,8 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
 
 
 def merge_table(changes: DataFrame, name: str, keys: list[str], path: str | None = None) -> DataFrame:
-    """Merge rows into a stored table by key."""
+    """Merge rows into a stored table by key; keys of ``changes`` must be present and unique."""
+    _require_keys(changes, keys)
     merged = upsert(changes.sparkSession.table(name), changes, keys)
     # The old table is an input, so the merged rows are written elsewhere before it is replaced.
     return overwrite_table(materialize(merged, "merge"), name, path)
