@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,9 +189,8 @@ def _by_fragments(batches, answer):
         yield from answer(np.concatenate(keys), np.concatenate(owners), np.concatenate(seen))
 
 
-def _shared_counts(batches):
-    """Headers as they are; for every document how many of its items another task has too."""
-    names = ["doc_id", "n", "a", "b", "shared"]
+def _shared_counts(shards: int):
+    """By shard: headers as they are, and for documents how many of their items another task has too."""
 
     def answer(keys, owners, seen):
         both = np.concatenate([keys, seen])
@@ -200,12 +200,7 @@ def _shared_counts(batches):
         same[1:-1] = value[1:] == value[:-1]
         shared = order[same[1:] | same[:-1]]
         docs, counts = np.unique(owners[shared[shared < len(keys)]], return_counts=True)
-        for k in range(0, len(docs), 1 << 20):
-            part = slice(k, k + (1 << 20))
-            yield _flat_rows(docs[part], counts[part])
-
-    def _flat_rows(docs, counts):
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int64()), pa.array(counts.astype(np.int32))], names=names)
+        yield from _told(docs, [None, None, None, counts.astype(np.int32)], _COUNTED, shards)
 
     def headers(batch):
         kind = batch.column("fragment").to_numpy()
@@ -214,11 +209,12 @@ def _shared_counts(batches):
             docs, _ = flat(one.column("docs"), np.int64)
             counts, _ = flat(one.column("counts"), np.int32)
             if kind[row] == -2:
-                yield _flat_rows(docs, counts)
+                yield from _told(docs, [None, None, None, counts], _COUNTED, shards)
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(counts), one.column("a").flatten(), one.column("b").flatten(), pa.array(np.zeros(len(docs), np.int32))], names=names)
+                a, b = (flat(one.column(c), np.int64)[0] for c in ("a", "b"))
+                yield from _told(docs, [counts, a, b, None], _COUNTED, shards)
 
-    def run():
+    def run(batches):
         rest = []
 
         def fragments():
@@ -234,7 +230,47 @@ def _shared_counts(batches):
             yield out
         yield from rest
 
-    return run()
+    return run
+
+
+def _by_shard(batches, done) -> Iterator[pa.RecordBatch]:
+    """``done(parts)`` for the rows of each shard, which come one after the other."""
+    held, last = [], None
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)] if len(shard) else [0]
+        for start, stop in zip(cuts[:-1], cuts[1:]):
+            if held and shard[start] != last:
+                yield done(held)
+                held = []
+            last = shard[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield done(held)
+
+
+def _joined(parts: list[pa.RecordBatch], column: str, dtype) -> np.ndarray:
+    return np.concatenate([flat(part.column(column), dtype)[0] for part in parts])
+
+
+def _set_rows(batches):
+    """A row for each document, from what its shard was told: its header, and the sum of its partial counts."""
+
+    def done(parts):
+        # Only headers have set sizes, only partial counts have numbers of shared items.
+        of_header = [p.filter(pc.greater(pc.list_value_length(p.column("n")), 0)) for p in parts]
+        of_count = [p.filter(pc.greater(pc.list_value_length(p.column("shared")), 0)) for p in parts]
+        docs = _joined(of_header, "nodes", np.int64)
+        order = np.argsort(docs, kind="stable")
+        docs = docs[order]
+        first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
+        top = lambda column: np.maximum.reduceat(_joined(of_header, column, np.int64)[order], first) if len(first) else first
+        shared = np.zeros(len(first), np.int64)
+        np.add.at(shared, np.searchsorted(docs[first], _joined(of_count, "nodes", np.int64)), _joined(of_count, "shared", np.int64))
+        columns = [docs[first], top("n").astype(np.int32), top("a"), top("b"), shared]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "n", "a", "b", "shared"])
+
+    return _by_shard(batches, done)
 
 
 def _bags(size: int):
@@ -295,20 +331,27 @@ def _whole_sets(frequent: np.ndarray, bits: int):
     return run
 
 
-def _told(nodes: np.ndarray, keys: np.ndarray, df: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """A row for each shard (``node mod shards``) with classes, keys and numbers side by side."""
+def _told(nodes: np.ndarray, values: list[np.ndarray | None], fields: dict[str, type], shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard (``node mod shards``) with nodes and their values side by side; None leaves a list empty."""
     shard = np.mod(nodes, shards)
     order = np.argsort(shard, kind="stable")
-    nodes, keys, df, shard = nodes[order], keys[order], df[order].astype(np.int32), shard[order]
+    nodes, shard = nodes[order], shard[order]
+    values = [None if v is None else v[order].astype(dtype, copy=False) for v, dtype in zip(values, fields.values())]
     first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(nodes) else np.zeros(0, np.int64)
     per = np.diff(np.append(first, len(nodes)))
     for k in range(0, len(first), 256):
         part = per[k : k + 256]
         cut = slice(first[k], first[k] + int(part.sum()))
-        yield pa.RecordBatch.from_arrays([pa.array(shard[first[k : k + 256]]), lists(nodes[cut], part), lists(keys[cut], part), lists(df[cut], part)], names=["shard", "nodes", "keys", "df"])
+        none = np.zeros(len(part), np.int64)
+        columns = [lists(np.zeros(0, dtype), none) if v is None else lists(v[cut], part) for v, dtype in zip(values, fields.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[first[k : k + 256]]), lists(nodes[cut], part), *columns], names=["shard", "nodes", *fields])
 
 
-_TOLD = "shard long, nodes array<long>, keys array<long>, df array<int>"
+#: What a shard is told of a document's set, and of a class's items.
+_COUNTED = {"n": np.int32, "a": np.int64, "b": np.int64, "shared": np.int32}
+_COUNTED_DDL = "shard long, nodes array<long>, n array<int>, a array<long>, b array<long>, shared array<int>"
+_ITEM = {"keys": np.int64, "df": np.int32}
+_ITEM_DDL = "shard long, nodes array<long>, keys array<long>, df array<int>"
 
 
 def _ranked(shards: int):
@@ -321,7 +364,7 @@ def _ranked(shards: int):
         size = np.diff(np.append(first, len(value)))
         df = np.repeat(size, size)
         shared = df > 1
-        yield from _told(owners[order][shared], value[shared], df[shared], shards)
+        yield from _told(owners[order][shared], [value[shared], df[shared]], _ITEM, shards)
 
     return lambda batches: _by_fragments(batches, answer)
 
@@ -332,11 +375,11 @@ def _sizes_and_frequent(frequent: np.ndarray, bits: int, shards: int):
     def run(batches):
         for batch in batches:
             node = batch.column("node").to_numpy()
-            yield from _told(node, batch.column("n").to_numpy().astype(np.int64), np.zeros(len(node)), shards)
+            yield from _told(node, [batch.column("n").to_numpy(), np.zeros(len(node))], _ITEM, shards)
             value, of_item = _items(batch)
             hit = np.isin(value, frequent)
             keys = (value[hit].view(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)
-            yield from _told(node[of_item[hit]], keys, np.full(len(keys), 2**31 - 1), shards)
+            yield from _told(node[of_item[hit]], [keys, np.full(len(keys), 2**31 - 1)], _ITEM, shards)
 
     return run
 
@@ -344,8 +387,8 @@ def _sizes_and_frequent(frequent: np.ndarray, bits: int, shards: int):
 def _postings(percent: int):
     """Postings of each class from what its shard was told: items of one class come first, frequent ones last."""
 
-    def done(held):
-        nodes, keys, df = (np.concatenate(x) for x in zip(*held))
+    def done(parts):
+        nodes, keys, df = (_joined(parts, c, np.int64) for c in ("nodes", "keys", "df"))
         size_row = df == 0
         node, n = nodes[size_row], keys[size_row]
         order = np.argsort(node)
@@ -361,21 +404,7 @@ def _postings(percent: int):
         weight = np.bincount(of_item, minlength=len(node))
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[of_item]), *(pa.array(v[of_item].astype(np.int32)) for v in (n, shared, weight))], names=["key", "node", "n", "shared", "weight"])
 
-    def run(batches):
-        held, last = [], None
-        for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)] if len(shard) else [0]
-            for start, stop in zip(cuts[:-1], cuts[1:]):
-                if held and shard[start] != last:
-                    yield done(held)
-                    held = []
-                part, last = batch.slice(start, stop - start), shard[start]
-                held.append((flat(part.column("nodes"), np.int64)[0], flat(part.column("keys"), np.int64)[0], flat(part.column("df"), np.int64)[0]))
-        if held:
-            yield done(held)
-
-    return run
+    return lambda batches: _by_shard(batches, done)
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,8 +424,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     # Headers (fragment below 0) pass through and are spread like any row.
     spread = F.when(F.col("fragment") < 0, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << bits)).cast("int")).otherwise(F.col("fragment"))
     dealt = halves.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
-    flat_rows = dealt.mapInArrow(_shared_counts, "doc_id long, n int, a long, b long, shared int")
-    sets = flat_rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"), F.sum("shared").alias("shared"))
+    # One shard for each task that reads them: a row for every document and task would be many times the table.
+    counted = dealt.mapInArrow(_shared_counts(parts), _COUNTED_DDL).repartitionById(parts, F.col("shard").cast("int"))
+    sets = counted.sortWithinPartitions("shard").mapInArrow(_set_rows, "doc_id long, n int, a long, b long, shared long")
     sets = materialize(sets, "sets")
     need = F.ceil(F.col("n") * F.lit((percent - 50) * percent) / 10_000)
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.max((F.col("shared") >= F.greatest(need, F.lit(1))).cast("int")).alias("open"))
@@ -408,10 +438,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     common = bags.mapInArrow(_frequent, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(FREQUENT)
     frequent = np.sort(np.array([r["item"] for r in common.collect()], np.int64))
     sent = bags.mapInArrow(_whole_sets(frequent, bits), _PARTS_DDL).select("fragment", "docs", "counts", "items", "seen")
-    shards = parts * 16 + 1
-    ranked = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_ranked(shards), _TOLD)
-    told = ranked.union(bags.mapInArrow(_sizes_and_frequent(frequent, bits, shards), _TOLD))
-    by_shard = told.repartition(parts, "shard").sortWithinPartitions("shard")
+    ranked = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_ranked(parts), _ITEM_DDL)
+    told = ranked.union(bags.mapInArrow(_sizes_and_frequent(frequent, bits, parts), _ITEM_DDL))
+    by_shard = told.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard")
     postings = materialize(by_shard.mapInArrow(_postings(percent), "key long, node long, n int, shared int, weight int"), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
