@@ -7,7 +7,9 @@ row of the table is one Python integer with a bit per token (the bit-vector recu
 
 from __future__ import annotations
 
-from itertools import chain
+from collections import Counter
+from itertools import chain, islice
+from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,17 +17,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _positions(tokens) -> dict:
-    bits: dict = {}
+# Masks of all tokens are kept for lines of at most so many tokens (2 MB).
+_SHORT = 4096
+
+
+def _mask(places: list[int], width: int) -> int:
+    bits = bytearray(width // 8 + 1)
+    for place in places:
+        bits[place >> 3] |= 1 << (place & 7)
+    return int.from_bytes(bits, "little")
+
+
+class _LongLine:
+    """Masks of a long line: kept for its frequent tokens, made when asked for the others.
+
+    At most ``sqrt(n)`` tokens stand in more than ``sqrt(n)`` places, so memory is about ``n ** 1.5`` bits.
+    """
+
+    def __init__(self, places: dict, width: int):
+        self._places, self._width = places, width
+        self._kept = {t: _mask(p, width) for t, p in places.items() if len(p) > isqrt(width)}
+
+    def get(self, token, default=None):
+        mask = self._kept.get(token)
+        if mask is None and token in self._places:
+            mask = _mask(self._places[token], self._width)
+        return default if mask is None else mask
+
+
+def _positions(tokens) -> dict | _LongLine:
+    """Token to the mask of its places."""
+    places: dict = {}
     for place, token in enumerate(tokens):
-        bits.setdefault(token, []).append(place)
-    return {token: sum(1 << place for place in places) for token, places in bits.items()}
+        places.setdefault(token, []).append(place)
+    if len(tokens) > _SHORT:
+        return _LongLine(places, len(tokens))
+    return {token: sum(1 << place for place in at) for token, at in places.items()}
 
 
-def _rows(left, where: dict, width: int):
-    """Table rows after each left token; a zero bit marks a column where the length grows."""
+def _rows(left, where: dict | _LongLine, width: int, row: int | None = None):
+    """Table rows after each left token, from ``row`` on; a zero bit marks a column where the length grows."""
     full = (1 << width) - 1
-    row = full
+    row = full if row is None else row
     for token in left:
         match = where.get(token)
         if match:
@@ -41,40 +74,58 @@ def lcs_size(left, right) -> int:
     return len(right) - row.bit_count()
 
 
-def lcs_places(left, where: dict, width: int) -> set[int]:
-    """Indices of ``left`` on the common subsequence that prefers the latest match."""
-    full = (1 << width) - 1
-    rows = [full, *_rows(left, where, width)]
+def lcs_places(left, where: dict | _LongLine, width: int) -> set[int]:
+    """Indices of ``left`` on the common subsequence that prefers the latest match.
+
+    Every ``sqrt(m)``-th table row is kept; those between are filled again while walking back.
+    """
+    step = isqrt(len(left)) + 1
+    kept = [(1 << width) - 1, *islice(_rows(left, where, width), step - 1, None, step)]
     places = set()
     end = width
-    for index in range(len(left) - 1, -1, -1):
-        seen = (1 << end) - 1
-        match = where.get(left[index], 0) & seen
-        if not match:
-            continue
-        last = match.bit_length()
-        # Below ``end`` this row holds fewer set bits than the one above: the token adds to the length.
-        if last == end or (rows[index + 1] & seen).bit_count() < (rows[index] & seen).bit_count():
-            places.add(index)
-            end = last - 1
+    for block in range((len(left) - 1) // step, -1, -1):
+        start = block * step
+        part = left[start : start + step]
+        rows = [kept[block], *_rows(part, where, width, kept[block])]
+        for index in range(len(part) - 1, -1, -1):
+            seen = (1 << end) - 1
+            match = where.get(part[index], 0) & seen
+            if not match:
+                continue
+            last = match.bit_length()
+            # Below ``end`` this row holds fewer set bits than the one above: the token adds to the length.
+            if last == end or (rows[index + 1] & seen).bit_count() < (rows[index] & seen).bit_count():
+                places.add(start + index)
+                end = last - 1
     return places
 
 
 def summary_hits(gold_lines, predicted_lines) -> int:
     """Tokens of the gold lines covered by the union over predicted lines, each use counted once."""
-    tables = [(_positions(line), len(line)) for line in predicted_lines if line]
-    unused: dict = {}
-    for token in chain.from_iterable(predicted_lines):
-        unused[token] = unused.get(token, 0) + 1
+    tables: dict = {}
+    lines_of: dict = {}
+    for number, line in enumerate(predicted_lines):
+        for token in dict.fromkeys(line):
+            lines_of.setdefault(token, []).append(number)
+    unused = Counter(chain.from_iterable(predicted_lines))
     hits = 0
     for line in gold_lines:
-        reachable = {i for i, token in enumerate(line) if token in unused}
+        reachable = {i for i, token in enumerate(line) if token in lines_of}
+        # Only lines that share a token are visited, those with many first: the union is often complete early.
+        shared: Counter = Counter()
+        for token in line:
+            shared.update(lines_of.get(token, ()))
         union: set[int] = set()
-        # Lines with many shared tokens first: the union is often complete after a few of them.
-        for where, width in sorted(tables, key=lambda table: -sum(token in table[0] for token in line)):
+        for number in sorted(shared, key=lambda number: (-shared[number], number)):
             if len(union) == len(reachable):
                 break
-            union |= lcs_places(line, where, width)
+            other = predicted_lines[number]
+            if line == other:
+                union = reachable
+                break
+            if number not in tables:
+                tables[number] = _positions(other)
+            union |= lcs_places(line, tables[number], len(other))
         for index in union:
             if unused[line[index]] > 0:
                 unused[line[index]] -= 1

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmeter.functions.batches import real_length
+from gistmeter.functions.batches import real_length, unmask_labels
+from gistmeter.operators.bias import penalized_score
 from gistmeter.operators.overlap import ROUGE_TYPES, rouge_f
+from gistmeter.operators.vocabulary import decode
 
 # Cumulative probabilities of a Poisson(1) draw of 0, 1, 2, ...
 POISSON_CDF = (
@@ -73,25 +75,42 @@ def bootstrap_interval(
     )
 
 
-def mean_scores(df: DataFrame, values: list[str], scale: float = 100.0) -> DataFrame:
-    """Mean of each value column, scaled."""
-    return df.agg(*[(F.avg(v) * scale).alias(v) for v in values])
-
-
 def generated_length(df: DataFrame, ids: str) -> DataFrame:
     """Mean number of ids that are not padding."""
     return df.agg(F.avg(real_length(F.col(ids))).alias("gen_len"))
 
 
-def evaluate(df: DataFrame, predicted: str, gold: str, ids: str | None = None) -> DataFrame:
-    """One row: stemmed ROUGE in percent with a sentence a line, and the mean generated length."""
+def evaluate(
+    df: DataFrame, predicted: str, gold: str, ids: str | None = None, bias: str | None = None
+) -> DataFrame:
+    """One row: stemmed ROUGE in percent with a sentence a line, and the mean generated length.
+
+    With a ``bias`` column also the mean of the penalised ROUGE-1; rows without a bias have none.
+    """
     scored = rouge_f(df, predicted, gold, stem=True, split_sentences=True)
     columns = [(F.avg(t) * 100).alias(t) for t in ROUGE_TYPES]
     if ids is not None:
         columns.append(F.avg(real_length(F.col(ids))).alias("gen_len"))
+    if bias is not None:
+        columns.append(F.avg(penalized_score(F.col("rouge1"), F.col(bias))).alias("penalized"))
     return scored.agg(*columns)
 
 
+def evaluate_ids(
+    df: DataFrame, key: str, pred_ids: str, label_ids: str, vocabulary: DataFrame, bias: str | None = None
+) -> DataFrame:
+    """``evaluate`` from the ids that a model made and the labels it was given.
+
+    Ignored labels become padding, both sides are decoded without special ids, and the generated
+    length counts the predicted ids that are not padding. ``key`` must be unique.
+    """
+    made = decode(df, key, pred_ids, vocabulary).withColumnRenamed("text", "_gm_made")
+    labels = df.select(key, unmask_labels(F.col(label_ids)).alias(label_ids))
+    gold = decode(labels, key, label_ids, vocabulary).withColumnRenamed("text", "_gm_gold")
+    kept = df.select(key, pred_ids, *([bias] if bias else []))
+    return evaluate(kept.join(made, key).join(gold, key), "_gm_made", "_gm_gold", pred_ids, bias)
+
+
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     """Every double column rounded."""
     kinds = dict(df.dtypes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,9 @@ def top_k_by_score(df: DataFrame, key: str, score: str, k: int) -> DataFrame:
     number = F.when(~F.isnan(score), F.col(score))
     best = top_rows(df.select(key, score), k, number.desc_nulls_last(), F.col(key))
     return semi_filter(df, best, key, rows_bound=k)
+
+
+def top_k_per_split(df: DataFrame, split: str, key: str, score: str, best: dict[str, int]) -> DataFrame:
+    """``top_k_by_score`` inside every split named in ``best``, each with its own number; others are left out."""
+    chosen = [top_k_by_score(df.where(F.col(split) == name), key, score, k) for name, k in best.items()]
+    return reduce(DataFrame.unionByName, chosen)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmeter.operators.ranking import rank_within
+from gistmeter.operators.ranking import lookup_join, rank_within
+from gistmeter.session import materialize
+
+# Counts of at most this many configurations are broadcast.
+BROADCAST_CONFIGURATIONS = 100_000
 
 
 def best_record(df: DataFrame, trial: str, iteration: str, metric: str, keep: list[str]) -> DataFrame:
@@ -74,3 +78,24 @@ def latency_summary(df: DataFrame, configuration: str, seconds: str) -> DataFram
         F.min(seconds).alias("min_seconds"),
         F.max(seconds).alias("max_seconds"),
     )
+
+
+def latency_percentiles(
+    df: DataFrame, configuration: str, seconds: str, percents: tuple[int, ...] = (50, 90, 99)
+) -> DataFrame:
+    """The exact ``p<percent>_seconds`` of every configuration: the smallest time that so many steps do not exceed.
+
+    The times are ranked over all tasks, so a configuration of any size is spread; an aggregate that keeps
+    a configuration's times together would not be. Null times and null configurations do not count.
+    """
+    timed = df.select(configuration, seconds).where(F.col(configuration).isNotNull() & F.col(seconds).isNotNull())
+    ranked = rank_within(timed, configuration, seconds, name="_gm_rank")
+    steps = timed.groupBy(configuration).agg(F.count(F.lit(1)).alias("_gm_steps"))
+    counted = materialize(steps.withColumn("_gm_uses", F.col("_gm_steps")), "steps")
+    placed = lookup_join(ranked, counted, configuration, BROADCAST_CONFIGURATIONS, "_gm_uses")
+    return placed.groupBy(configuration).agg(
+        *[
+            F.max(F.when(F.col("_gm_rank") == F.ceil(F.col("_gm_steps") * p / 100), F.col(seconds))).alias(f"p{p}_seconds")
+            for p in percents
+        ]
+    )

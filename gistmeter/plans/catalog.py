@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gistmeter.functions import batches as B
 from gistmeter.functions.text import (
+    last_sentence,
     rouge_tokens,
     sentence_lines,
     sentences,
@@ -24,7 +25,7 @@ from gistmeter.plans import fixtures as fx
 from gistmeter.plans.scoring import melt_with_gold, score_overlap, score_vectors, score_wide
 from gistmeter.session import fresh_path, materialize
 from gistmeter.sources import files, sinks, tables, trial_logs
-from gistmeter.sources.tables import scan, spread
+from gistmeter.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +83,13 @@ def topk_semi_filter(spark: SparkSession, folder: str) -> DataFrame:
     return selection.top_k_by_score(fx.gold_set(spark, folder), "doc_id", "score", 400)
 
 
+@registered
+def select_per_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The training job's selection: split, then the best 400 ids of one side and 50 of the other."""
+    sides = splits.split_two(fx.gold_set(spark, folder), "doc_id")
+    return selection.top_k_per_split(sides, "split", "doc_id", "score", {"train": 400, "eval": 50})
+
+
 @registered
 def schema_signature(spark: SparkSession, folder: str) -> DataFrame:
     return tables.schema_signature(scan(spark, folder, "documents"))
@@ -106,6 +114,13 @@ def dedup_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return fx.documents(spark, folder).select("doc_id", without_repeats("text").alias("filtered_text"))
 
 
+@registered
+def prepare_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The test set's preparation; its limit of 900,000 characters is the workload's own."""
+    prepared = without_repeats("text", max_chars=900_000)
+    return fx.documents(spark, folder).select("doc_id", prepared.alias("text"))
+
+
 # Reshaping
 
 
@@ -285,6 +300,20 @@ def rouge_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.rounded(corpus.evaluate(sized, "prediction", "gold", ids="ids"))
 
 
+@registered
+def evaluate_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted ids and padded labels of all pairs to corpus scores; words no gold text has are unknown."""
+    pairs = fx.conversation_pairs(spark, folder)
+    pairs = materialize(pairs.select(F.concat_ws("-", "conv_id", "turn").alias("pair"), "prediction", "gold"), "pairs")
+    vocabulary = materialize(build_vocabulary(pairs, rouge_tokens("gold")), "vocabulary")
+    made = encode(pairs, "pair", rouge_tokens("prediction"), vocabulary).withColumnRenamed("input_ids", "pred_ids")
+    labels = encode(pairs, "pair", rouge_tokens("gold"), vocabulary).withColumnRenamed("input_ids", "label_ids")
+    padded = B.pad(F.col("label_ids"), F.ceil(F.size("label_ids") / 8) * 8)
+    labels = labels.withColumn("label_ids", B.mask_labels(padded))
+    coded = materialize(made.join(labels, "pair"), "coded")
+    return corpus.rounded(corpus.evaluate_ids(coded, "pair", "pred_ids", "label_ids", vocabulary))
+
+
 def _bleu_output(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.select(
         *keys,
@@ -432,6 +461,12 @@ def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.rounded(trials.latency_summary(timed, "configuration", "seconds"))
 
 
+@registered
+def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    timed = scan(spark, folder, "events").select(F.col("event_type").alias("configuration"), F.col("value").alias("seconds"))
+    return trials.latency_percentiles(timed, "configuration", "seconds")
+
+
 # Trial logs
 
 
@@ -512,7 +547,7 @@ def trial_log_flatten(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def trial_params_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean result of each run beside the parameters read from its own file."""
+    """Best result of each run beside the parameters read from its own file."""
     path = fresh_path(spark, "params")
     events = scan(spark, folder, "events")
     params = events.groupBy(F.col("event_type").alias("run")).agg(
@@ -621,6 +656,23 @@ def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def scored_wide_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship's chain on all conversation pairs: two models' texts wide, melted, every overlap metric."""
+    pairs = fx.conversation_pairs(spark, folder)
+    wide = pairs.select("conv_id", "turn", "gold", F.col("prediction").alias("whole"), last_sentence("prediction").alias("closing"))
+    return _bleu_output(score_wide(wide, ["conv_id", "turn"], "gold"), ["conv_id", "turn", "model", *overlap.ROUGE_TYPES])
+
+
+@registered
+def summaries_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship's n-gram scores, ROUGE-1, ROUGE-2 and BLEU, on whole documents."""
+    kinds = ("rouge1", "rouge2")
+    long = melt_with_gold(fx.wide_summaries(spark, folder), ["company"], "gold_summary", types=kinds)
+    scored = overlap.rouge_f(long, "obtained_summary", "gold_summary", types=kinds)
+    return _bleu_output(overlap.bleu(scored, "obtained_summary", "gold_summary"), ["company", "model", *kinds])
+
+
 @registered
 def scored_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: wide model outputs to long, then every overlap metric on whole texts."""

@@ -173,6 +173,13 @@ ORACLE["topk_semi_filter"] = """
 WITH g AS (SELECT doc_id, (quality * 1000000 + n_chars)::DOUBLE AS score FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, score FROM g WHERE doc_id IN (SELECT doc_id FROM g ORDER BY score DESC, doc_id LIMIT 400)"""
 
+ORACLE["select_per_split"] = """
+WITH g AS (SELECT doc_id, (quality * 1000000 + n_chars)::DOUBLE AS score FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR)) <= ceil(count(*) OVER () / 10.0)
+                THEN 'eval' ELSE 'train' END AS split FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, doc_id) AS place FROM s)
+SELECT doc_id, score, split FROM r WHERE place <= CASE split WHEN 'train' THEN 400 ELSE 50 END"""
+
 ORACLE["schema_signature"] = " UNION ALL ".join(
     f"""SELECT '{name}' AS "column", CASE any_value(typeof({name})) WHEN 'BIGINT' THEN 'bigint'
 WHEN 'VARCHAR' THEN 'string' END AS "type", count({name}) = count(*) AS required FROM documents"""
@@ -190,6 +197,10 @@ SELECT doc_id, array_to_string({SENTENCES.format("trim(text)")}, chr(10)) AS lin
 
 ORACLE["dedup_sentences"] = f"WITH {WIDE} SELECT company AS doc_id, deduped AS filtered_text FROM wide"
 
+ORACLE["prepare_texts"] = f"""
+WITH {WIDE.replace(SENTENCES.format("text"), SENTENCES.format("left(text, 900000)"))}
+SELECT company AS doc_id, deduped AS text FROM wide"""
+
 # Reshaping
 
 ORACLE["melt_models"] = f"WITH {WIDE} SELECT company, model, obtained_summary FROM melted"
@@ -481,6 +492,13 @@ SELECT event_type AS configuration, count(*) AS steps, round(sum(value), 4) AS t
        round(avg(value), 4) AS mean_seconds, round(min(value), 4) AS min_seconds, round(max(value), 4) AS max_seconds
 FROM events GROUP BY event_type"""
 
+ORACLE["latency_percentiles"] = """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type AS configuration, max(value) FILTER (r = (n * 50 + 99) // 100) AS p50_seconds,
+       max(value) FILTER (r = (n * 90 + 99) // 100) AS p90_seconds,
+       max(value) FILTER (r = (n * 99 + 99) // 100) AS p99_seconds FROM r GROUP BY event_type"""
+
 # Trial logs
 
 ORACLE["rank_in_trial"] = """
@@ -635,6 +653,40 @@ four AS ({FOUR_F})
 SELECT round(avg(rouge1) * 100, 4) AS rouge1, round(avg(rouge2) * 100, 4) AS rouge2, round(avg(rougel) * 100, 4) AS rougel,
        round(avg(rougelsum) * 100, 4) AS rougelsum, round(avg(made), 4) AS gen_len FROM four"""
 
+# Pairs as they come back from their ids: words that no gold text has are skipped with the special ids.
+DECODED_PAIRS = f"""{PAIRS.replace("pairs AS", "spoken AS", 1)},
+gold_words AS (SELECT DISTINCT unnest({TOKENS.format("gold")}) AS w FROM spoken),
+said AS (SELECT k, unnest({TOKENS.format("prediction")}) AS w, generate_subscripts({TOKENS.format("prediction")}, 1) AS i FROM spoken),
+heard AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS t FROM said JOIN gold_words USING (w) GROUP BY k),
+pairs AS MATERIALIZED (
+  SELECT conv_id, turn, k, coalesce(t, '') AS prediction, array_to_string({TOKENS.format("gold")}, ' ') AS gold
+  FROM spoken LEFT JOIN heard USING (k))"""
+
+ORACLE["evaluate_ids"] = f"""WITH RECURSIVE {STEMMED.replace(PAIRS, DECODED_PAIRS)}, {overlap(1, "toks", "o1")}, {overlap(2, "toks", "o2")},
+lt AS (SELECT k, p, g FROM toks), {LCS}, {lsum(True, "(SELECT tok FROM stems WHERE stems.word = {0})")},
+four AS ({FOUR_F})
+SELECT round(avg(rouge1) * 100, 4) AS rouge1, round(avg(rouge2) * 100, 4) AS rouge2, round(avg(rougel) * 100, 4) AS rougel,
+       round(avg(rougelsum) * 100, 4) AS rougelsum,
+       (SELECT round(avg(len({TOKENS.format("prediction")}) + 2), 4) FROM spoken) AS gen_len FROM four"""
+
+# A model per row: the whole prediction and its closing sentence.
+WIDE_PAIRS = f"""{PAIRS.replace("pairs AS", "spoken AS", 1)},
+pairs AS MATERIALIZED (
+  SELECT conv_id, turn, 'whole' AS model, k * 2 AS k, prediction, gold FROM spoken
+  UNION ALL SELECT conv_id, turn, 'closing', k * 2 + 1, coalesce({SENTENCES.format("prediction")}[-1], ''), gold FROM spoken),
+toks AS MATERIALIZED (SELECT conv_id, turn, model, k, {TOKENS.format("prediction")} AS p, {TOKENS.format("gold")} AS g FROM pairs),
+btoks AS MATERIALIZED (SELECT conv_id, turn, model, k, {bleu_tokens("prediction")} AS p, {bleu_tokens("gold")} AS g FROM pairs)"""
+
+ORACLE["scored_wide_pairs"] = f"""WITH RECURSIVE {WIDE_PAIRS}, {overlap(1, "toks", "r1")}, {overlap(2, "toks", "r2")},
+lt AS (SELECT k, p, g FROM toks), {LCS}, {lsum(False)},
+four AS ({FOUR_F.replace("conv_id, turn,", "conv_id, turn, model,", 1).replace("o1", "r1").replace("o2", "r2")}),
+{bleu_counts("btoks", "conv_id, turn, model")}, bleus AS ({bleu_select("bc", "conv_id, turn, model,")})
+SELECT bleus.*, rouge1, rouge2, rougel, rougelsum FROM four JOIN bleus USING (conv_id, turn, model)"""
+
+ORACLE["summaries_overlap"] = f"""WITH rouges AS ({ORACLE["summaries_rouge"]}),
+bleus AS (WITH {MODEL_BLEU}, {bleu_counts("mtoks", "company, model")} {bleu_select("bc", "company, model,")})
+SELECT bleus.*, rouge1, rouge2 FROM rouges JOIN bleus USING (company, model)"""
+
 ORACLE["scored_pairs"] = f"""WITH RECURSIVE {PAIR_TOKENS}, {overlap(1, "toks", "o1")}, {overlap(2, "toks", "o2")},
 lt AS (SELECT k, p, g FROM toks), {LCS}, {lsum(False)}, four AS ({FOUR_F}), bleus AS ({ORACLE["bleu_row"]}),
 cosine AS ({ORACLE["text_cosine"]}), matches AS ({ORACLE["greedy_match_score"]})

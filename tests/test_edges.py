@@ -1,12 +1,16 @@
 """Unknown tokens, empty sides, NaN scores, gaps and broken keys."""
 
+import random
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gistmeter.functions import lcs
 from gistmeter.functions.text import rouge_tokens
 from gistmeter.functions.vectors import best_matches
-from gistmeter.operators import bias, selection, splits, trials
+from gistmeter.operators import bias, corpus, selection, splits, summarize, trials
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
 from gistmeter.plans.scoring import score_vectors
 from gistmeter.sources import sinks
@@ -64,6 +68,62 @@ def test_null_keys_have_no_place_in_a_split(spark):
         splits.split_two(spark.createDataFrame([(1,), (None,)], "k long"), "k")
 
 
+def test_long_lines_stay_in_bounds():
+    """One line of many words, all different or few: the walk back must not keep the whole table."""
+    maker = random.Random(5)
+    for different in (20, 40_000):
+        left, right = ([maker.randrange(different) for _ in range(20_000)] for _ in range(2))
+        tracemalloc.start()
+        hits = lcs.summary_hits([left], [right])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert hits == lcs.lcs_size(left, right) and peak < 20_000_000
+
+
+def test_lines_that_share_no_word_are_skipped(monkeypatch):
+    visited = []
+    monkeypatch.setattr(lcs, "lcs_places", lambda line, where, width: visited.append(width) or set())
+    assert lcs.summary_hits([["a", "b"]], [["c"] * 3, ["b", "x"], ["d"]]) == 0 and visited == [2]
+    assert lcs.summary_hits([["a", "b"]], [["c"], ["a", "b"]]) == 2 and visited == [2]
+
+
+def test_evaluate_from_ids(spark):
+    learnt = spark.createDataFrame([("dogs bark at cats",)], "text string")
+    vocabulary = build_vocabulary(learnt, rouge_tokens("text"))
+    code = {r.token: r.token_id for r in vocabulary.collect()}
+    made = [0, code["dogs"], 3, code["bark"], 2, 1]
+    labels = [0, code["dogs"], code["bark"], 2, -100, -100]
+    rows = spark.createDataFrame([(1, made, labels, 0.2), (2, [0, 2, 1], labels, None)], "id int, p array<int>, l array<int>, b double")
+    got = corpus.evaluate_ids(rows, "id", "p", "l", vocabulary, "b").first()
+    assert (got.rouge1, got.rougelsum, got.gen_len, got.penalized) == (50.0, 50.0, 3.5, 100.0)
+
+
+def test_percentiles_of_a_hot_configuration(spark):
+    rows = [("hot", float(i)) for i in range(1, 201)] + [("one", 7.0), ("hot", None), (None, 1.0)]
+    timed = spark.createDataFrame(rows, "c string, s double")
+    got = {r.c: (r.p50_seconds, r.p90_seconds, r.p99_seconds) for r in trials.latency_percentiles(timed, "c", "s").collect()}
+    assert got == {"hot": (100.0, 180.0, 198.0), "one": (7.0, 7.0, 7.0)}
+
+
+def test_best_of_each_split(spark):
+    rows = spark.createDataFrame([(i, float(i), "a" if i % 2 else "b") for i in range(10)], "id int, s double, side string")
+    got = selection.top_k_per_split(rows, "side", "id", "s", {"a": 2, "b": 1})
+    assert sorted(r.id for r in got.collect()) == [7, 8, 9]
+
+
+def test_repeated_ids_fan_out_in_a_join(spark):
+    texts = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "id int, text string")
+    made = spark.createDataFrame([(1, "p"), (1, "q")], "id int, prediction string")
+    assert texts.join(made, "id").count() == 4
+
+
+def test_only_texts_and_keys_move_before_a_prediction(spark):
+    texts = spark.createDataFrame([(1, "One. Two."), (2, "Three.")], "id int, text string")
+    plan = summarize.batch_summarize(texts, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sentences" in plan.split("RepartitionByExpression")[0]
+    assert "sentences" not in plan.split("RepartitionByExpression", 1)[1]
+
+
 def test_merge_refuses_repeated_keys(spark):
     changes = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
     with pytest.raises(ValueError):
