@@ -266,30 +266,39 @@ def _repeats(shards: int):
 
 def _later_windows(batches, shards: int):
     def answer(docs, places, values):
-        docs, places, values = np.concatenate(docs), np.concatenate(places), np.concatenate(values)
+        docs, places, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, places, values))
         order = np.lexsort((docs, values))
         docs, places, values = docs[order], places[order], values[order]
         first = np.ones(len(values), bool)
         first[1:] = values[1:] != values[:-1]
         owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(values)), 0))]
         later = owner < docs
-        yield from _by_shard(docs[later], places[later].astype(np.int64), shards)
+        # What tasks have settled among their own documents travels along.
+        docs, places = np.concatenate([docs[later], *known[0]]), np.concatenate([places[later], *known[1]])
+        yield from _by_shard(docs, places.astype(np.int64), shards)
 
     held, kept, last = 0, [[], [], []], None
+    known: list[list] = [[], []]
     for batch in batches:
         fragment = batch.column("fragment").to_numpy()
         settled = batch.filter(pa.array(fragment < 0))
         if settled.num_rows:
             docs, _ = flat(settled.column("docs"), np.int64)
             places, counts = flat(settled.column("places"), np.int64)
-            yield from _by_shard(np.repeat(docs, counts), places, shards)
+            known[0].append(np.repeat(docs, counts))
+            known[1].append(places)
+            held += len(places)
+            # Settled rows come first, so no fragment is open here.
+            if held > HELD:
+                yield from answer(*kept)
+                held, kept, known = 0, [[], [], []], [[], []]
         rest = batch.filter(pa.array(fragment >= 0))
         fragment = rest.column("fragment").to_numpy()
         start = 0
         for stop in [*(np.flatnonzero(np.diff(fragment)) + 1), len(fragment)] if len(fragment) else []:
             if held > HELD and fragment[start] != last:
                 yield from answer(*kept)
-                held, kept = 0, [[], [], []]
+                held, kept, known = 0, [[], [], []], [[], []]
             part, last, start = rest.slice(start, stop - start), fragment[start], stop
             for to, name, kind in zip(kept, ("docs", "places", "items"), (np.int64, np.int32, np.int64)):
                 to.append(flat(part.column(name), kind)[0])
@@ -331,15 +340,15 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     sent = slim.mapInArrow(_seeds(size, bits), _PARTS_DDL)
     spread = F.when(F.col("fragment") < 0, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << bits)).cast("int")).otherwise(F.col("fragment"))
     dealt = sent.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
-    shards = parts * 16 + 1
-    seeds = dealt.mapInArrow(_shared_seeds(shards), "shard long, docs array<long>, keys array<long>")
-    texts = slim.withColumn("shard", F.pmod("doc_id", F.lit(shards)))
-    both = seeds.unionByName(texts, allowMissingColumns=True).repartition(parts, "shard")
+    # One shard for each task that reads them: more would only multiply the rows that tell of them.
+    seeds = dealt.mapInArrow(_shared_seeds(parts), "shard long, docs array<long>, keys array<long>")
+    texts = slim.withColumn("shard", F.pmod("doc_id", F.lit(parts)))
+    both = seeds.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("shard").cast("int"))
     seeded = both.sortWithinPartitions("shard", F.col("docs").isNull())
     windows_of = seeded.mapInArrow(_extensions(size, bits), "fragment int, docs array<long>, places array<int>, items array<long>")
     dealt = windows_of.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
-    found = dealt.mapInArrow(_repeats(shards), "shard long, docs array<long>, keys array<long>")
-    return found.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merged, "doc_id long, found array<long>")
+    found = dealt.mapInArrow(_repeats(parts), "shard long, docs array<long>, keys array<long>")
+    return found.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(_merged, "doc_id long, found array<long>")
 
 
 def strip_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
