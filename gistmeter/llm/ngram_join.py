@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmeter.llm.shared import Words, flat, id_values, linked_groups, lists, mixed, only, partitions_of, pieces, signed, text_of, windows
+from gistmeter.llm.shared import Words, flat, id_values, linked_groups, lists, mixed, only, partitions_of, pieces, shard_of, signed, text_of, windows
 from gistmeter.session import materialize
 
 #: Fragments in which verified overlaps are counted.
@@ -332,8 +332,8 @@ def _whole_sets(frequent: np.ndarray, bits: int):
 
 
 def _told(nodes: np.ndarray, values: list[np.ndarray | None], fields: dict[str, type], shards: int) -> Iterator[pa.RecordBatch]:
-    """A row for each shard (``node mod shards``) with nodes and their values side by side; None leaves a list empty."""
-    shard = np.mod(nodes, shards)
+    """A row for each shard (``shard_of``) with nodes and their values side by side; None leaves a list empty."""
+    shard = shard_of(nodes, shards)
     order = np.argsort(shard, kind="stable")
     nodes, shard = nodes[order], shard[order]
     values = [None if v is None else v[order].astype(dtype, copy=False) for v, dtype in zip(values, fields.values())]

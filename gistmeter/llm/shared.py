@@ -153,6 +153,20 @@ def crc_part(column: Column | str, parts: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Ids are scattered before they are dealt by remainder, so that ids with a common step do not meet in one shard.
+_PRIME, _FACTOR = 2**31 - 1, 1_181_783_497
+
+
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """A shard for each id, the same as ``shard_column`` gives."""
+    return ids % _PRIME * _FACTOR % _PRIME % shards
+
+
+def shard_column(column: Column | str, shards: int) -> Column:
+    """A shard for each id, the same as ``shard_of`` gives."""
+    return F.pmod(F.pmod(column, F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)) % shards
+
+
 def left_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join with a written table that is unique on ``key``; ``weight`` says how many rows carry the key.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.llm.ngram_join import _PARTS_DDL, _by_fragments, _cut
-from gistmeter.llm.shared import Words, flat, id_values, lists, only, partitions_of, pieces, signed, text_of, windows, without
+from gistmeter.llm.shared import Words, flat, id_values, lists, only, partitions_of, pieces, shard_column, shard_of, signed, text_of, windows, without
 from gistmeter.session import materialize
 
 ANCHOR = 5
@@ -97,8 +97,8 @@ def _seeds(size: int, bits: int):
 
 
 def _by_shard(docs: np.ndarray, values: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """A row for each shard (``doc_id mod shards``) with documents and values side by side."""
-    shard = np.mod(docs, shards)
+    """A row for each shard (``shard_of``) with documents and values side by side."""
+    shard = shard_of(docs, shards)
     order = np.argsort(shard, kind="stable")
     docs, values, shard = docs[order], values[order], shard[order]
     first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(docs) else np.zeros(0, np.int64)
@@ -342,7 +342,7 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     dealt = sent.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
     # One shard for each task that reads them: more would only multiply the rows that tell of them.
     seeds = dealt.mapInArrow(_shared_seeds(parts), "shard long, docs array<long>, keys array<long>")
-    texts = slim.withColumn("shard", F.pmod("doc_id", F.lit(parts)))
+    texts = slim.withColumn("shard", shard_column("doc_id", parts))
     both = seeds.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("shard").cast("int"))
     seeded = both.sortWithinPartitions("shard", F.col("docs").isNull())
     windows_of = seeded.mapInArrow(_extensions(size, bits), "fragment int, docs array<long>, places array<int>, items array<long>")

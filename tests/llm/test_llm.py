@@ -15,6 +15,7 @@ import pytest
 import corpus_pipeline
 from gistmeter.llm import exact_trie, mixing, ngram_join, packing, pivot_index, quality, rendering, substrings, toxicity, url_rules
 from gistmeter.llm.queries import ORACLE, QUERIES
+from gistmeter.llm.shared import shard_column, shard_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -310,3 +311,10 @@ def test_text_columns_keep_their_offsets():
     from gistmeter.llm.shared import Words
 
     assert Words(column).count.tolist() == [0, 2, 0]
+
+
+def test_shards_agree_and_spread(spark):
+    ids = np.array([0, 1, -1, -(2**63), 2**63 - 1, *(200 * k for k in range(2000))], np.int64)
+    told = spark.createDataFrame([(int(i),) for i in ids], "doc_id long").select("doc_id", shard_column("doc_id", 200).alias("shard"))
+    assert dict(told.collect()) == dict(zip(ids.tolist(), shard_of(ids, 200).tolist()))
+    assert np.bincount(shard_of(ids, 200)).max() < 60
