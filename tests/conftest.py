@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from gistmeter.session import build_session
+from gistmeter.session import build_session, remove_materialized
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,6 +19,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_materialized(session)
     session.stop()
 
 
