@@ -1,9 +1,9 @@
 """Embedding near-dedup by a pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots) in order (Chavez, Figueroa, Navarro, 2008). It
-stands in the inverted list of each pair of its ``LEAD`` nearest pivots, so two vectors meet if they share two
-of these; they are candidates if they share at least ``SHARED`` of their ``DEEP`` nearest, and are then verified
-by cosine in double precision. Equal vectors are one class. The number of links of a vector is counted inside its
+stands in the inverted list of each pair of its nearest pivots, so two vectors meet if they share two of these;
+they are candidates if they share at least ``SHARED`` of a longer list, and are then verified by cosine in double
+precision. The more pivots, the less short lists overlap, so both lists grow with the number of pivots (``reach``). Equal vectors are one class. The number of links of a vector is counted inside its
 component by blocks, without a row for any pair.
 """
 
@@ -20,11 +20,17 @@ from pyspark.sql import functions as F
 from gistmeter.llm.shared import flat, left_lookup, linked_groups, lists, partitions_of
 from gistmeter.session import materialize
 
-LEAD, DEEP, SHARED = 6, 24, 8
+SHARED = 8
 #: Vectors of a component that are multiplied with as many others at once.
 BLOCK = 1024
 
 
+def reach(pivots: int) -> tuple[int, int]:
+    """How many nearest pivots are paired into lists, and how many are compared: 10 and 24 up to 512 pivots, 16 and 48 at 16,384."""
+    doublings = max(float(np.log2(max(pivots, 1) / 512)), 0.0)
+    return int(np.ceil(10 + 1.2 * doublings)), int(np.ceil(24 * 2 ** (doublings / 5)))
+
+
 def matrices(batch: pa.RecordBatch, column: str = "embedding") -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and unit vectors in double precision, once for each length of vector in a batch."""
     values, counts = flat(batch.column(column), np.float64)
@@ -38,16 +44,17 @@ def matrices(batch: pa.RecordBatch, column: str = "embedding") -> Iterator[tuple
 
 
 def _index(pivots: np.ndarray):
-    first, second = np.array(list(combinations(range(LEAD), 2))).T
+    lead, deep = reach(len(pivots))
+    first, second = np.array(list(combinations(range(lead), 2))).T
 
     def run(batches):
         for batch in batches:
             node = batch.column("node").to_numpy()
             for rows, unit in matrices(batch):
-                for k in range(0, len(rows), 4096):
-                    part, some = unit[k : k + 4096], rows[k : k + 4096]
+                for k in range(0, len(rows), 1024):
+                    part, some = unit[k : k + 1024], rows[k : k + 1024]
                     width = min(part.shape[1], pivots.shape[1])
-                    order = np.argsort(-(part[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :DEEP]
+                    order = np.argsort(-(part[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :deep]
                     a, b = order[:, first % order.shape[1]], order[:, second % order.shape[1]]
                     key = (np.minimum(a, b) * len(pivots) + np.maximum(a, b)).astype(np.int64) + np.int64(part.shape[1]) * 2**40
                     near = np.repeat(order.astype(np.int16), len(first), axis=0)
@@ -115,7 +122,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
     each other. Other columns are not read; an empty table gives an empty result. All vectors are indexed; the
     ``pivots`` (default twice the root of the number of vectors, between 512 and 16,384) are vectors chosen by a
     digest of the id. Links found are exact; pairs are missed only if neither their pivots nor other vectors connect
-    them (measured in tests/llm).
+    them (recall by number of pivots: tests/llm and the README).
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

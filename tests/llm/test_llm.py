@@ -224,6 +224,43 @@ def test_near_vectors(spark):
     assert all(got[i] == (0, i, True) for i in range(n, n + 6)) and got[None] == (0, None, False)
 
 
+def planted_pairs(pairs, maker, width=64):
+    """Separate pairs of vectors at cosine 0.90 to 0.92, one after the other."""
+    x, z = maker.normal(size=(2, pairs, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = maker.uniform(0.9001, 0.92, (pairs, 1))
+    return np.stack([x, cosine * x + np.sqrt(1 - cosine**2) * z], axis=1).reshape(-1, width)
+
+
+@pytest.mark.parametrize("pivots", [512, 2000, 16_384])
+def test_candidates_do_not_thin_out_with_pivots(pivots):
+    maker = np.random.default_rng(pivots)
+    vectors = planted_pairs(400, maker)
+    points = maker.normal(size=(pivots, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    keys, near = {}, {}
+    for rows in pivot_index._index(points)([batch]):
+        for key, node, deep, _ in zip(*(c.to_pylist() for c in rows.columns)):
+            keys.setdefault(node, set()).add(key)
+            near[node] = set(deep)
+    found = sum(bool(keys[k] & keys[k + 1]) and len(near[k] & near[k + 1]) >= pivot_index.SHARED for k in range(0, len(vectors), 2))
+    assert found >= 0.99 * 400
+
+
+def test_near_vectors_with_far_fewer_pivots(spark):
+    vectors = planted_pairs(3000, np.random.default_rng(12))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivot_index.near_vectors(table).collect()}
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    # The queries are the ids divisible by 100, all ids are the wider check.
+    for ids in (range(0, len(vectors), 100), range(len(vectors))):
+        assert sum(got[k] for k in ids) >= 0.99 * links[list(ids)].sum()
+
+
 def test_render():
     page = """<title>no</title><ul><li>one<li>two<ol start=3><li>a<li>b<p>para</ol></ul>
     <table><tr><th>Name<th>Qty<tr><td>apple pie<td>3</table><div hidden>no</div><p style="display: none">no<p>yes<br>more
