@@ -15,7 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = frozenset("head title script style noscript template iframe object svg math audio video canvas datalist noframes".split())
+UNSEEN = frozenset("head title script style noscript template iframe object audio video canvas datalist noframes".split())
+#: What may stand in a head; any other start tag, or text, ends a head that is open.
+HEADED = frozenset("html base basefont bgsound link meta title style script noscript template noframes".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Parts of drawings and formulas that describe or define and are not shown themselves.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+#: Elements of drawings and formulas that hold ordinary HTML, and start tags that end the drawing elsewhere.
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCKS = SPACED | frozenset(
     "html body div section article aside nav header footer main address form li dt dd tr td th caption thead tbody "
@@ -125,6 +136,9 @@ class Page(HTMLParser):
         #: Open elements: tag, whether it has a box, whether it hides what is inside.
         self.open: list[tuple[str, bool, bool]] = []
         self.hidden = 0
+        self.foreign = 0
+        #: Whether a head has been opened, or the body has begun without one.
+        self.headed = False
         self.pre = 0
 
     def text(self) -> str:
@@ -145,7 +159,21 @@ class Page(HTMLParser):
         while len(self.open) > depth:
             self._pop()
 
+    def _end_head(self) -> None:
+        self.headed = True
+        if self.open and self.open[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag, attrs):
+        if self.foreign and tag in BREAKS_OUT:
+            while (at := self._find(FOREIGN, HOLDS_HTML)) >= 0:
+                self._close_to(at)
+        if tag == "head":
+            if self.headed:
+                return
+            self.headed = True
+        elif tag not in HEADED:
+            self._end_head()
         if tag in ENDS:
             names, stop = ENDS[tag]
             at = self._find(names, stop)
@@ -168,9 +196,11 @@ class Page(HTMLParser):
             return
         given = dict(attrs)
         unseen = tag in UNSEEN or "hidden" in given or bool(_HIDES.search(given.get("style") or ""))
+        unseen = unseen or (self.foreign > 0 and tag in UNDRAWN)
         if tag == "details" and "open" not in given:
             unseen = False
-        boxed = tag in BLOCKS
+        # The labels of a drawing stand apart from each other.
+        boxed = tag in BLOCKS or (tag == "text" and self.foreign > 0)
         if boxed:
             box = Box(tag)
             if tag == "table":
@@ -186,10 +216,18 @@ class Page(HTMLParser):
             self.boxes.append(box)
         self.open.append((tag, boxed, unseen))
         self.hidden += unseen
+        self.foreign += tag in FOREIGN
         self.pre += tag in ("pre", "textarea")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        # Only drawings and formulas have elements that close themselves.
+        if self.foreign and self.open[-1][0] == tag and (tag in FOREIGN or self._find(FOREIGN, ("foreignobject",)) >= 0):
+            self._pop()
+
+    def unknown_decl(self, data):
+        if self.foreign and data.startswith("CDATA["):
+            self.handle_data(data[6:])
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -201,6 +239,9 @@ class Page(HTMLParser):
             self._close_to(at)
 
     def handle_data(self, data):
+        if data.strip(" \t\n\r\f"):
+            if not self.hidden or self.open[-1][0] == "head":
+                self._end_head()
         if self.hidden or not data:
             return
         box = self.boxes[-1]
@@ -223,6 +264,7 @@ class Page(HTMLParser):
     def _pop(self) -> None:
         tag, boxed, unseen = self.open.pop()
         self.hidden -= unseen
+        self.foreign -= tag in FOREIGN
         self.pre -= tag in ("pre", "textarea")
         if not boxed:
             return

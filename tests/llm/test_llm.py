@@ -275,6 +275,25 @@ def test_render():
     assert rendering.render("a<![if x]>b").startswith("a")
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=utf-8><title>T</title>\n Hello <b>you</b>", "Hello you"),
+        ("<head><noscript><p>no</p></noscript><template><p>no</p></template><style>p{}</style><img src=x>yes", "yes"),
+        ("<head><title>T</title><head><link rel=x>yes</head> and more", "yes and more"),
+        ("<body><head><title>T</title>yes", "yes"),
+        ("<p>area <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> here", "area x+1 here"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>Left</text><text>Right</text></svg>after", "Left\nRight\nafter"),
+        ("<svg/>one <svg><defs/><path d=x /></svg>two", "one two"),
+        ("<svg><defs><p>yes", "yes"),
+        ("<desc>yes</desc>", "yes"),
+    ],
+)
+def test_render_open_heads_and_drawings(page, text):
+    assert rendering.render(page) == text
+
+
 @pytest.mark.parametrize("module, column, parts, held", [(quality, "quality", 5, 0), (toxicity, "toxic", 4, 2)])
 def test_classifiers_on_held_out_rows(spark, module, column, parts, held):
     folder = "/root/testdata/sf0.1"
