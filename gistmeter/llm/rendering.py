@@ -47,8 +47,8 @@ ENDS = {
     "body": (("head",), ()),
 }
 SCOPE = frozenset("table td th caption button object".split())
-#: A table with a cell of more lines than this lays out a page and is read cell by cell.
-CELL_LINES = 4
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PASSAGES = frozenset("p ul ol dl blockquote pre figure".split())
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -56,11 +56,13 @@ _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 class Box:
     """An open block: lines laid out so far, the running line, and what its kind needs."""
 
-    __slots__ = ("tag", "lines", "run", "gap", "rows", "cells", "number", "span")
+    __slots__ = ("tag", "lines", "run", "gap", "rows", "cells", "number", "span", "weight", "nests", "role")
 
     def __init__(self, tag: str):
         self.tag, self.lines, self.run, self.gap = tag, [], [], False
         self.rows, self.cells, self.number, self.span = None, None, None, (1, 1)
+        # Passages inside (a heading counts as two), whether a table is among them, and what a table is known to be.
+        self.weight, self.nests, self.role = 0, False, None
 
     def flush(self) -> None:
         if self.run:
@@ -88,22 +90,34 @@ def _number(value: str | None, least: int, most: int) -> int:
     return min(max(int(digits[1]), least), most) if digits else least
 
 
-def laid_out(rows: list[list[tuple[list[str], tuple[int, int]]]]) -> list[str]:
-    """A data table with columns padded to their widest cell; a layout table cell by cell."""
+def lays_out_page(table: Box) -> bool:
+    """Whether a table arranges a page and holds no data.
+
+    Its role says so; or it has no heads or caption, and holds a table or, in three quarters of the cells that
+    show anything, a heading or several passages. The height of a cell says nothing.
+    """
+    if table.role is not None:
+        return table.role == "page"
+    cells = [cell for row in table.rows for cell in row if cell[0]]
+    return table.nests or (bool(cells) and 4 * sum(weight > 1 for _, _, weight in cells) >= 3 * len(cells))
+
+
+def laid_out(rows: list[list[tuple[list[str], tuple[int, int], int]]], page: bool = False) -> list[str]:
+    """A data table with columns padded to their widest cell; a layout table or a single column cell by cell."""
     rows = [row for row in rows if row]
     if not rows:
         return []
-    if any(len(lines) > CELL_LINES for row in rows for lines, _ in row) or all(len(row) == 1 for row in rows):
+    if page or all(len(row) == 1 for row in rows):
         box = Box("div")
         for row in rows:
-            for lines, _ in row:
+            for lines, *_ in row:
                 box.add(lines, False)
         return box.lines
     grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}
     for row in rows:
         line, column, below = {}, 0, {c: n - 1 for c, n in taken.items() if n > 1}
-        for lines, (across, down) in row:
+        for lines, (across, down), _ in row:
             while taken.get(column, 0) > 0:
                 column += 1
             line[column] = lines
@@ -205,6 +219,8 @@ class Page(HTMLParser):
             box = Box(tag)
             if tag == "table":
                 box.rows = []
+                if (given.get("role") or "").strip().lower() in ("presentation", "none"):
+                    box.role = "page"
             elif tag == "tr":
                 box.cells = []
             elif tag in ("td", "th"):
@@ -278,8 +294,17 @@ class Page(HTMLParser):
                 lines.pop()
             while lines and not lines[0].strip():
                 lines.pop(0)
+        if tag not in ("td", "th", "table"):
+            own = 2 if tag in HEADINGS else int(tag in PASSAGES)
+            outer.weight += box.weight + (own if lines else 0)
+        if tag in ("th", "thead", "tfoot", "caption"):
+            table = next((b for b in reversed(self.boxes) if b.rows is not None), None)
+            if table is not None and table.role is None:
+                table.role = "data"
+        if box.nests and tag != "table":
+            outer.nests = True
         if tag in ("td", "th") and outer.cells is not None:
-            outer.cells.append((lines, box.span))
+            outer.cells.append((lines, box.span, box.weight))
         elif tag == "tr":
             table = next((b for b in reversed(self.boxes) if b.rows is not None), None)
             if table is not None:
@@ -290,7 +315,8 @@ class Page(HTMLParser):
         elif tag in ("thead", "tbody", "tfoot"):
             outer.add(lines, False)
         elif tag == "table":
-            outer.add(lines + laid_out(box.rows), True)
+            outer.add(lines + laid_out(box.rows, lays_out_page(box)), True)
+            outer.nests = True
         elif tag == "li":
             holder = next((b for b in reversed(self.boxes) if b.tag in ("ul", "ol", "menu", "dir")), None)
             mark = "- "

@@ -275,6 +275,20 @@ def test_render():
     assert rendering.render("a<![if x]>b").startswith("a")
 
 
+def test_render_tells_data_tables_by_structure():
+    table = "<table{}><tr><td>Name<td>Parts<td>Price<tr><td>kit<td>{}<td>30<tr><td>{}<td>nuts<td>4</table>"
+    want = "Name  Parts  Price\nkit   {1:5}  30\n      {0}two\n      {0}six\n      {0}ten\n      {0}end\nbox   nuts   4"
+    for cell, mark in (("<ul><li>one<li>two<li>six<li>ten<li>end</ul>", "- "), ("one<br>two<br>six<br>ten<br>end", "")):
+        assert rendering.render(table.format("", cell, "<p>box</p>")) == want.format(mark, mark + "one")
+    by_cell = "Name\nParts\nPrice\nkit\nbolt\n30\nbox\nnuts\n4"
+    assert rendering.render(table.format(" role=presentation", "bolt", "box")) == by_cell
+    assert rendering.render(table.format("", "bolt", "<table><tr><td>box</table>")).replace("\n\n", "\n") == by_cell
+    headed = "<table><tr><th>Name<th>Notes<tr><td>kit<td><h3>Sizes</h3><table><tr><td>a<td>b</table></table>"
+    assert "Name  Notes\nkit   Sizes\n" in rendering.render(headed)
+    page = "<table><tr><td><h2>News</h2><p>First</p><td><h2>Links</h2><p>Second</p></table>"
+    assert rendering.render(page) == "News\n\nFirst\nLinks\n\nSecond"
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
