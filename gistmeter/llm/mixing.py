@@ -1,9 +1,10 @@
 """Mixing sources to target weights: counts by exact length, bounded knapsack for the rest of a budget.
 
 For each source the documents are counted by length. A share of every length is taken first, then a descending
-fill brings the remaining budget below ``cells``, and a bounded-knapsack reachability table over that remainder
-says how many documents of which length close it. Only (source, length, count) rows meet; the documents
-themselves are then picked by a seeded digest, as many per source and length as the table says.
+fill brings the remaining budget to about half of ``cells``, and a bounded-knapsack reachability table over all of
+that remainder says how many documents of which length close it. If none do, a wider remainder is left and tried.
+Only (source, length, count) rows meet; the documents themselves are then picked by a seeded digest, as many per
+source and length as the table says.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from gistmeter.llm.shared import WORD
 from gistmeter.session import materialize
 
-#: Words of remaining budget that the knapsack table covers.
+#: Words of remaining budget that the knapsack table has room for at first.
 CELLS = 1 << 16
+#: The widest table has room for ``FEW`` of the longest text of a source, and for up to ``MANY`` within ``WIDE`` cells.
+FEW, MANY, WIDE = 8, 64, 1 << 25
 #: Documents of one source and length that one task orders at a time.
 SHARD = 2000
 
@@ -58,7 +61,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int = CELLS) -> np.ndarray:
     """How many documents of each length to take, so that their words come as near to ``budget`` as they can.
 
-    Never above ``budget``. Exact whenever the knapsack over the remainder reaches it.
+    Never above ``budget``. A remainder that cannot be closed is tried again with less of every length taken before,
+    up to a table for many of the longest text: budgets up to half of that get the nearest there is.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -66,39 +70,55 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int = CELLS
         return counts.copy()
     if budget <= 0:
         return np.zeros_like(counts)
-    part = max(0.0, (budget - cells // 2) / total)
+    longest = int(lengths.max())
+    widest = max(cells, FEW * longest, min(MANY * longest, WIDE))
+    best, reached, room = np.zeros_like(counts), -1, cells
+    while reached < budget:
+        taken = _closed(lengths, counts, budget, room // 2)
+        if int((lengths * taken).sum()) > reached:
+            best, reached = taken, int((lengths * taken).sum())
+        if room >= min(widest, 2 * budget + 1):
+            break
+        room = min(8 * room, widest)
+    return best
+
+
+def _closed(lengths: np.ndarray, counts: np.ndarray, budget: int, half: int) -> np.ndarray:
+    """A share and the fill down to about ``half``, and what comes nearest to the whole remainder."""
+    total = int((lengths * counts).sum())
+    part = max(0.0, (budget - half) / total)
     taken = np.floor(counts * part).astype(np.int64)
     left = budget - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:
-        if left <= cells:
+        if left <= half:
             break
-        more = min(int(counts[i] - taken[i]), (left - cells // 2) // int(lengths[i])) if lengths[i] else 0
+        more = min(int(counts[i] - taken[i]), (left - half) // int(lengths[i])) if lengths[i] else 0
         taken[i] += max(more, 0)
         left -= max(more, 0) * int(lengths[i])
-    usable = [i for i in order if 0 < lengths[i] <= left and counts[i] > taken[i]]
-    # reach[w]: w words can be reached; first[w]: the item that reached them first, and how many of it.
-    size = min(left, cells)
-    reach = np.zeros(size + 1, bool)
-    reach[0] = True
-    item, pieces = np.full(size + 1, -1, np.int32), np.zeros(size + 1, np.int64)
-    for i in usable:
-        if reach[size]:
-            break
-        step, room = int(lengths[i]), int(counts[i] - taken[i])
-        # uses[w]: copies of this length on the way to w. Residues modulo the length are independent.
-        pad = -(size + 1) % step
-        grid = np.concatenate([reach, np.zeros(pad, bool)]).reshape(-1, step)
-        row = np.arange(len(grid))[:, None]
-        last = np.maximum.accumulate(np.where(grid, row, -1), axis=0)
-        uses = (row - last).ravel()[: size + 1]
-        fresh = ~reach & (last.ravel()[: size + 1] >= 0) & (uses <= room)
-        item[fresh], pieces[fresh] = i, uses[fresh]
-        reach |= fresh
-    at = int(np.flatnonzero(reach)[-1])
+    # Bit w of reach: w words can be reached; first[w]: the piece that reached them first. Copies of a length come
+    # as pieces of 1, 2, 4, ... of them, so that every number up to the room is a sum of pieces.
+    reach, all_bits = 1, (1 << (left + 1)) - 1
+    first, pieces = np.full(left + 1, -1, np.int32), []
+    for i in order:
+        room, step = int(counts[i] - taken[i]), 1
+        if not 0 < lengths[i] <= left:
+            continue
+        room = min(room, left // int(lengths[i]))
+        while room > 0 and not reach >> left:
+            many = min(step, room)
+            fresh = (reach << (many * int(lengths[i]))) & all_bits & ~reach
+            if fresh:
+                bits = np.frombuffer(fresh.to_bytes(left // 8 + 1, "little"), np.uint8)
+                first[np.unpackbits(bits, count=left + 1, bitorder="little").view(bool)] = len(pieces)
+                pieces.append((i, many))
+                reach |= fresh
+            room, step = room - many, step * 2
+    at = reach.bit_length() - 1
     while at:
-        taken[item[at]] += pieces[at]
-        at -= int(pieces[at] * lengths[item[at]])
+        i, many = pieces[first[at]]
+        taken[i] += many
+        at -= many * int(lengths[i])
     return taken
 
 

@@ -161,6 +161,26 @@ def test_knapsack_keeps_to_counts_on_large_budgets():
     assert (taken <= counts).all() and int((taken * lengths).sum()) == budget
 
 
+@pytest.mark.parametrize("lengths, counts, budget, want", [
+    (range(95_000, 105_000, 1000), [1] * 10, 621_875, 609_000),
+    (range(95_000, 105_000, 1000), [1] * 10, 600_000, 600_000),
+    ([69_000], [2], 70_000, 69_000),
+    ([40_000, 66_000, 90_001], [3, 2, 1], 200_000, 196_001),
+])
+def test_knapsack_of_a_few_long_texts(lengths, counts, budget, want):
+    taken = mixing.fit(np.array(lengths), np.array(counts), budget)
+    assert (taken <= np.array(counts)).all() and int((taken * np.array(lengths)).sum()) == want
+
+
+def test_knapsack_of_many_long_texts():
+    maker = np.random.default_rng(6)
+    lengths = np.unique(maker.integers(66_000, 2_000_000, 3000))
+    counts = maker.integers(1, 4, len(lengths))
+    budget = int((lengths * counts).sum() * 0.6)
+    taken = mixing.fit(lengths, counts, budget)
+    assert (taken <= counts).all() and (taken >= 0).all() and int((taken * lengths).sum()) == budget
+
+
 def test_mix(spark, awkward):
     got = mixing.mix(documents(spark, awkward)).toPandas()
     assert len(got) == len(awkward) and got["times"].between(0, 2).all()
