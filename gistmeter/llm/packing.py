@@ -14,39 +14,31 @@ from gistmeter.llm.mixing import word_count
 
 #: Documents of a bucket that are ordered together; each shard leaves at most one batch unfilled.
 SHARD = 20_000
-#: Lengths up to here are told apart; longer ones are rounded up by at most one part in 256.
-EXACT = 2048
 
 
-def rounded(length: Column, exact: int = EXACT) -> Column:
-    """Length, above ``exact`` rounded up to 9 significant bits: the histogram has at most ``exact`` + 256 per doubling."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)))) - 8, F.lit(0)))
-    return F.when(length <= exact, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
-def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int, apart: int | None = None) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least ``sum(count * (bound - length))``.
 
     ``lengths`` ascend. ``cost[j]`` after k rounds is the least padded total of the first j lengths in k
-    buckets; the padding differs from it by the sum of all lengths, which no choice changes.
+    buckets; the padding differs from it by the sum of all lengths, which no choice changes. Two or more buckets
+    never hold lengths on both sides of ``apart`` (the longest that stays on the lower side).
     """
     size = len(lengths)
     if size == 0:
         return []
     before = np.concatenate([[0], np.cumsum(counts.astype(np.float64))])
     lengths_f = lengths.astype(np.float64)
+    last = -1 if apart is None or buckets < 2 else int(np.searchsorted(lengths, apart, "right")) - 1
     # padded[i, j]: lengths i..j in one bucket, padded to lengths[j]
     cost = lengths_f * before[1:]
+    if last >= 0:
+        cost[last + 1 :] = np.inf
     back = [np.zeros(size, np.int64)]
     for _ in range(1, min(buckets, size)):
-        new, cut = cost.copy(), np.full(size, -1, np.int64)
-        for j in range(1, size):
-            option = cost[:j] + lengths_f[j] * (before[j + 1] - before[1 : j + 1])
-            i = int(np.argmin(option))
-            if option[i] < new[j]:
-                new[j], cut[j] = option[i], i
-        back.append(cut)
-        cost = new
+        option, at = _best_cuts(cost, lengths_f, before[1:], last)
+        better = option < cost
+        back.append(np.where(better, at, -1))
+        cost = np.where(better, option, cost)
     bounds, j, k = [], size - 1, len(back) - 1
     while j >= 0:
         bounds.append(int(lengths[j]))
@@ -58,6 +50,35 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return bounds[::-1]
 
 
+def _best_cuts(cost: np.ndarray, lengths: np.ndarray, until: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least ``cost[i] + lengths[j] * (until[j] - until[i])`` over i < j, and the smallest such i.
+
+    The best i never falls as j grows, so the middle of a range bounds the search of both halves. All ranges of a
+    level are searched at once: n log n steps in all. An i below ``last`` does not serve a j above it.
+    """
+    size = len(cost)
+    least, where = np.full(size, np.inf), np.full(size, -1, np.int64)
+    low, high = np.array([1]), np.array([size - 1])
+    first, final = np.array([0]), np.array([size - 1])
+    while len(low):
+        middle = (low + high) // 2
+        start = np.where((middle > last) & (last >= 0), np.maximum(first, last), first)
+        count = np.minimum(final, middle - 1) - start + 1
+        at = np.cumsum(count) - count
+        i = np.arange(int(count.sum())) + np.repeat(start - at, count)
+        j = np.repeat(middle, count)
+        option = cost[i] + lengths[j] * (until[j] - until[i])
+        best = np.minimum.reduceat(option, at)
+        hits = np.flatnonzero(option == np.repeat(best, count))
+        chosen = i[hits[np.searchsorted(hits, at)]]
+        least[middle], where[middle] = best, chosen
+        low, high = np.concatenate([low, middle + 1]), np.concatenate([middle - 1, high])
+        first, final = np.concatenate([first, chosen]), np.concatenate([chosen, final])
+        some = low <= high
+        low, high, first, final = low[some], high[some], first[some], final[some]
+    return least, where
+
+
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, seed: int = 23, length: Column | None = None) -> DataFrame:
     """``doc_id, length, bucket, padded_length, shard, batch, slot, batch_docs, over_budget`` for every row of ``docs``.
 
@@ -65,23 +86,24 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, seed: int = 2
     ``budget // padded_length`` documents; one longer than the budget has a batch to itself and
     ``over_budget``. Null and empty texts have length 0 and are packed like others (padded length at least 1).
     Repeated rows, ties and null ids are packed row by row, in a seeded order. Only ``doc_id`` and ``text`` are
-    read; an empty table gives an empty result. The histogram that the driver sees has a bounded number of rows
-    (``rounded``), whatever the number of documents.
+    read; an empty table gives an empty result. With two buckets or more a document that fits is never padded beyond
+    the budget. The driver sees one row per distinct length: n of them take more than n * n / 2 words of text.
     """
     size = word_count(F.col("text").cast("string")) if length is None else length
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("length"))
-    rows = rows.withColumn("_rounded", F.greatest(rounded(F.col("length")), F.lit(1)))
-    histogram = rows.groupBy("_rounded").agg(F.count(F.lit(1)).alias("n")).orderBy("_rounded").collect()
-    lengths = np.array([r["_rounded"] for r in histogram], np.int64)
-    counts = np.array([r["n"] for r in histogram], np.int64)
-    bounds = best_bounds(lengths, counts, buckets)
+    rows = rows.withColumn("_least", F.greatest(F.col("length"), F.lit(1)))
+    histogram = rows.groupBy("_least").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lengths, counts = (histogram.column(c).to_numpy() for c in ("_least", "n"))
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order], counts[order]
+    bounds = best_bounds(lengths, counts, buckets, budget)
     if not bounds:
         bounds = [1]
     held = np.bincount(np.searchsorted(bounds, lengths), counts, len(bounds)) if len(lengths) else [0]
     shards = [max(1, -(-int(n) // SHARD)) for n in held]
     number = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
-        number = F.when(F.col("_rounded") <= bounds[k], k).otherwise(number)
+        number = F.when(F.col("_least") <= bounds[k], k).otherwise(number)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
     digest = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "length")
     placed = (

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gistmeter.llm import exact_trie, mixing, ngram_join, packing, pivot_index, quality, rendering, substrings, toxicity, url_rules
@@ -201,6 +202,31 @@ def test_bounds_are_optimal():
         assert len(bounds) <= 3 and pad(bounds) == best
 
 
+def test_bounds_of_long_documents_are_lengths(spark):
+    lengths = [5, 300, 2049, 20_020, 20_020, 21_840, 21_840, 21_840, 65_500, 65_530, 70_000]
+    table = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    for buckets in (2, 4, 16):
+        got = packing.pack(table, buckets=buckets, budget=65_530, length=F.col("length")).toPandas()
+        assert set(got["padded_length"]) <= set(lengths) and ((got["length"] > 65_530) == got["over_budget"]).all()
+    assert (got["padded_length"] == got["length"]).all() and got[got["length"] == 21_840]["batch_docs"].tolist() == [3] * 3
+
+
+def test_bounds_of_many_lengths_are_optimal():
+    maker = np.random.default_rng(11)
+    for apart in (None, 9000):
+        lengths = np.unique(maker.integers(1, 30_000, 300))
+        counts = maker.integers(1, 50, len(lengths))
+        before = np.concatenate([[0], np.cumsum(counts)])
+        cost = np.full((6, len(lengths) + 1), np.inf)
+        cost[:, 0] = 0
+        for k in range(1, 6):
+            for j in range(1, len(lengths) + 1):
+                start = 0 if apart is None or lengths[j - 1] <= apart else int((lengths <= apart).sum())
+                cost[k, j] = (cost[k - 1, start:j] + lengths[j - 1] * (before[j] - before[start:j])).min()
+        bounds = packing.best_bounds(lengths, counts, 5, apart)
+        assert len(bounds) <= 5 and (np.array(bounds)[np.searchsorted(bounds, lengths)] * counts).sum() == cost[5, -1]
+
+
 def test_pack(spark, awkward):
     got = packing.pack(documents(spark, awkward), buckets=4, budget=1000).toPandas()
     assert len(got) == len(awkward) and (got["length"] <= got["padded_length"]).all()
