@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmeter.llm.mixing import word_count
+from gistmeter.session import materialize
 
-#: Documents of a bucket that are ordered together; each shard leaves at most one batch unfilled.
+#: Documents of a bucket that are ordered together.
 SHARD = 20_000
 
 
@@ -82,8 +83,9 @@ def _best_cuts(cost: np.ndarray, lengths: np.ndarray, until: np.ndarray, last: i
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, seed: int = 23, length: Column | None = None) -> DataFrame:
     """``doc_id, length, bucket, padded_length, shard, batch, slot, batch_docs, over_budget`` for every row of ``docs``.
 
-    ``length`` defaults to the number of words. A batch is ``bucket, shard, batch``: at most
-    ``budget // padded_length`` documents; one longer than the budget has a batch to itself and
+    ``length`` defaults to the number of words. A batch is ``bucket, batch``: at most
+    ``budget // padded_length`` documents, and only the last of a bucket has fewer; ``shard`` numbers the runs of
+    about ``SHARD`` documents in which its batches start; one longer than the budget has a batch to itself and
     ``over_budget``. Null and empty texts have length 0 and are packed like others (padded length at least 1).
     Repeated rows, ties and null ids are packed row by row, in a seeded order. Only ``doc_id`` and ``text`` are
     read; an empty table gives an empty result. With two buckets or more a document that fits is never padded beyond
@@ -91,7 +93,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, seed: int = 2
     """
     size = word_count(F.col("text").cast("string")) if length is None else length
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("length"))
-    rows = rows.withColumn("_least", F.greatest(F.col("length"), F.lit(1)))
+    rows = materialize(rows, "sized").withColumn("_least", F.greatest(F.col("length"), F.lit(1)))
     histogram = rows.groupBy("_least").agg(F.count(F.lit(1)).alias("n")).toArrow()
     lengths, counts = (histogram.column(c).to_numpy() for c in ("_least", "n"))
     order = np.argsort(lengths)
@@ -110,21 +112,25 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, seed: int = 2
         rows.withColumn("bucket", number.cast("int"))
         .withColumn("padded_length", pick(bounds).cast("long"))
         .withColumn("_digest", digest)
-        .withColumn("shard", F.pmod("_digest", pick(shards)).cast("int"))
+        .withColumn("_part", F.pmod("_digest", pick(shards)).cast("int"))
     )
-    order = Window.partitionBy("bucket", "shard").orderBy("_digest", "doc_id", "length")
+    # Parts are ordered each in a task; the sizes of the earlier ones continue their numbers through the bucket.
+    parts = materialize(placed.groupBy("bucket", "_part").agg(F.count(F.lit(1)).alias("_rows")), "parts")
+    earlier = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    order = Window.partitionBy("bucket", "_part").orderBy("_digest", "doc_id", "length")
     fits = F.greatest(F.floor(F.lit(budget) / F.col("padded_length")), F.lit(1)).cast("long")
-    numbered = placed.withColumn("_row", F.row_number().over(order) - 1).withColumn("_fits", fits)
-    in_shard = F.count(F.lit(1)).over(Window.partitionBy("bucket", "shard"))
+    ranked = placed.withColumn("_fits", fits).withColumn("_within", F.row_number().over(order) - 1)
+    numbered = ranked.join(parts.drop("_rows"), ["bucket", "_part"]).withColumn("_row", F.col("_before") + F.col("_within"))
     batch = F.floor(F.col("_row") / F.col("_fits")).cast("long")
     return numbered.select(
         "doc_id",
         "length",
         "bucket",
         "padded_length",
-        "shard",
+        F.floor(batch * F.col("_fits") / SHARD).cast("int").alias("shard"),
         batch.alias("batch"),
         F.pmod("_row", "_fits").cast("int").alias("slot"),
-        F.least(F.col("_fits"), in_shard - batch * F.col("_fits")).cast("long").alias("batch_docs"),
+        F.least(F.col("_fits"), pick([int(n) for n in held]) - batch * F.col("_fits")).cast("long").alias("batch_docs"),
         (F.col("padded_length") > budget).alias("over_budget"),
     )

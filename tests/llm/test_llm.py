@@ -227,6 +227,15 @@ def test_bounds_of_many_lengths_are_optimal():
         assert len(bounds) <= 5 and (np.array(bounds)[np.searchsorted(bounds, lengths)] * counts).sum() == cost[5, -1]
 
 
+def test_only_the_last_batch_of_a_bucket_is_unfilled(spark):
+    table = spark.range(70_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 + 1).alias("length"))
+    got = packing.pack(table, buckets=2, budget=30_000, length=F.col("length")).toPandas()
+    sizes = got.groupby(["bucket", "shard", "batch"]).agg(n=("slot", "size"), slots=("slot", "nunique"), says=("batch_docs", "first"), width=("padded_length", "first"))
+    assert len(got) == 70_000 and (sizes["n"] == sizes["slots"]).all() and (sizes["n"] == sizes["says"]).all()
+    assert not sizes.reset_index().duplicated(["bucket", "batch"]).any()
+    assert ((sizes["n"] < 30_000 // sizes["width"]).groupby("bucket").sum() <= 1).all() and (sizes["n"] <= 30_000 // sizes["width"]).all()
+
+
 def test_pack(spark, awkward):
     got = packing.pack(documents(spark, awkward), buckets=4, budget=1000).toPandas()
     assert len(got) == len(awkward) and (got["length"] <= got["padded_length"]).all()
