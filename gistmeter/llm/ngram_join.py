@@ -81,12 +81,16 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-_PARTS = pa.schema([("fragment", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("items", pa.list_(pa.int32())), ("seen", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
-_PARTS_DDL = "fragment int, docs array<long>, counts array<int>, items array<int>, seen array<int>, a array<long>, b array<long>"
+_PARTS = pa.schema([("part", pa.int32()), ("inner", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("items", pa.list_(pa.int32())), ("seen", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+_PARTS_DDL = "part int, inner array<int>, docs array<long>, counts array<int>, items array<int>, seen array<int>, a array<long>, b array<long>"
 
 
-def _cut(docs: np.ndarray, of_item: np.ndarray, items: np.ndarray, seen: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows by fragment: documents, items of each, and items that need no answer. An item keeps 32 of its bits."""
+def _cut(docs: np.ndarray, of_item: np.ndarray, items: np.ndarray, seen: np.ndarray, bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each task that reads it: documents, items of each, and items that need no answer, by fragment.
+
+    A task reads a range of the ``2 ** bits`` fragments. ``inner`` has, for each fragment in the row, its number
+    and how many documents, items and seen items belong to it; an item keeps 32 of its bits.
+    """
     shift, rest = np.uint64(64 - bits), np.uint64(32 - bits)
     low = lambda v: ((v >> rest) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
     fragment = (items >> shift).astype(np.int32)
@@ -100,28 +104,40 @@ def _cut(docs: np.ndarray, of_item: np.ndarray, items: np.ndarray, seen: np.ndar
     sizes = np.diff(np.append(runs, len(items))).astype(np.int32)
     run_at = np.searchsorted(runs, at)
     full = np.flatnonzero((np.diff(at) > 0) | (np.diff(seen_at) > 0))
-    none = np.zeros(len(full), np.int64)
-    for k in range(0, len(full), 4096):
-        f = full[k : k + 4096]
-        lo, hi = f[0], f[-1] + 1
-        n = len(f)
-        per = lambda edge: np.diff(edge)[f]
+    if not len(full):
+        return
+    inner = np.stack([full, np.diff(run_at)[full], np.diff(at)[full], np.diff(seen_at)[full]], axis=1)
+    part = (full * parts) >> bits
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    stop = np.append(first[1:], len(full))
+    for k in range(0, len(first), 256):
+        lo, hi = first[k : k + 256], stop[k : k + 256]
+        a, b = full[lo[0]], full[hi[-1] - 1] + 1
+        per = np.add.reduceat(inner[lo[0] : hi[-1]], lo - lo[0], axis=0)
+        none = np.zeros(len(lo), np.int64)
         columns = [
-            pa.array(f.astype(np.int32)),
-            lists(docs[of_item[runs[run_at[lo] : run_at[hi]]]], per(run_at)),
-            lists(sizes[run_at[lo] : run_at[hi]], per(run_at)),
-            lists(values[at[lo] : at[hi]], per(at)),
-            lists(seen[seen_at[lo] : seen_at[hi]], per(seen_at)),
-            lists(np.zeros(0, np.int64), none[:n]),
-            lists(np.zeros(0, np.int64), none[:n]),
+            pa.array(part[lo]),
+            lists(inner[lo[0] : hi[-1]].ravel(), (hi - lo) * 4),
+            lists(docs[of_item[runs[run_at[a] : run_at[b]]]], per[:, 1]),
+            lists(sizes[run_at[a] : run_at[b]], per[:, 1]),
+            lists(values[at[a] : at[b]], per[:, 2]),
+            lists(seen[seen_at[a] : seen_at[b]], per[:, 3]),
+            lists(np.zeros(0, np.int64), none),
+            lists(np.zeros(0, np.int64), none),
         ]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _PARTS)], schema=_PARTS)
 
 
-def _first_halves(size: int, bits: int):
+def dealt(sent: DataFrame, parts: int) -> DataFrame:
+    """Rows of ``_cut`` in the task that reads them, those that only pass through (part below 0) spread and first."""
+    to = F.when(F.col("part") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    return sent.withColumn("to", to).repartitionById(parts, "to").drop("to").sortWithinPartitions("part")
+
+
+def _first_halves(size: int, bits: int, parts: int):
     def flush(ids, counts, keys_a, keys_b, prefix):
         ids, counts, a, b = (np.concatenate(x) for x in (ids, counts, keys_a, keys_b))
-        header = [pa.array([-1], pa.int32()), lists(ids, [len(ids)]), lists(counts.astype(np.int32), [len(ids)]), lists(np.zeros(0, np.int32), [0]), lists(np.zeros(0, np.int32), [0]), lists(signed(a), [len(ids)]), lists(signed(b), [len(ids)])]
+        header = [pa.array([-1], pa.int32()), lists(np.zeros(0, np.int32), [0]), lists(ids, [len(ids)]), lists(counts.astype(np.int32), [len(ids)]), lists(np.zeros(0, np.int32), [0]), lists(np.zeros(0, np.int32), [0]), lists(signed(a), [len(ids)]), lists(signed(b), [len(ids)])]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(header, _PARTS)], schema=_PARTS)
         # One of equal sets speaks for all of them.
         order = np.lexsort((counts, b, a))
@@ -141,9 +157,9 @@ def _first_halves(size: int, bits: int):
         shared = same[1:] | same[:-1]
         here = np.bincount(of_item[shared], minlength=len(ids))
         known = np.flatnonzero(here)
-        rows = [pa.array([-2], pa.int32()), lists(ids[known], [len(known)]), lists(here[known].astype(np.int32), [len(known)]), *(lists(np.zeros(0, np.int32), [0]) for _ in range(4))]
+        rows = [pa.array([-2], pa.int32()), lists(np.zeros(0, np.int32), [0]), lists(ids[known], [len(known)]), lists(here[known].astype(np.int32), [len(known)]), *(lists(np.zeros(0, np.int32), [0]) for _ in range(4))]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(rows, _PARTS)], schema=_PARTS)
-        yield from _cut(ids, of_item[~shared], values[~shared], values[shared & ~same[:-1]], bits)
+        yield from _cut(ids, of_item[~shared], values[~shared], values[shared & ~same[:-1]], bits, parts)
 
     def run(batches):
         kept: list[list] = [[], [], [], [], []]
@@ -166,27 +182,43 @@ def _first_halves(size: int, bits: int):
 
 def _by_fragments(batches, answer):
     """Call ``answer(keys, documents, seen)`` for whole fragments, about ``HELD`` items at a time."""
-    keys, owners, seen, held, last = [], [], [], 0, None
+    rows, last = [], None
     for batch in batches:
-        fragment = batch.column("fragment").to_numpy()
-        start = 0
-        for stop in [*(np.flatnonzero(np.diff(fragment)) + 1), len(fragment)]:
-            if held > HELD and last is not None and fragment[start] != last:
-                yield from answer(np.concatenate(keys), np.concatenate(owners), np.concatenate(seen))
-                keys, owners, seen, held = [], [], [], 0
-            part = batch.slice(start, stop - start)
-            last, start = fragment[start], stop
-            docs, _ = flat(part.column("docs"), np.int64)
-            counts, _ = flat(part.column("counts"), np.int64)
-            items, _ = flat(part.column("items"), np.int32)
-            known, _ = flat(part.column("seen"), np.int32)
-            base = int(last) << 32
-            keys.append(base + items.view(np.uint32).astype(np.int64))
-            owners.append(np.repeat(docs, counts))
-            seen.append(base + known.view(np.uint32).astype(np.int64))
-            held += len(items) + len(known)
-    if keys:
-        yield from answer(np.concatenate(keys), np.concatenate(owners), np.concatenate(seen))
+        for k, part in enumerate(batch.column("part").to_numpy()):
+            if rows and part != last:
+                yield from _answered(rows, answer)
+                rows = []
+            last = part
+            one = batch.slice(k, 1)
+            inner = flat(one.column("inner"), np.int64)[0].reshape(-1, 4)
+            edges = np.vstack([np.zeros(3, np.int64), np.cumsum(inner[:, 1:], axis=0)])
+            columns = [flat(one.column(c), t)[0] for c, t in (("docs", np.int64), ("counts", np.int32), ("items", np.int32), ("seen", np.int32))]
+            rows.append((inner[:, 0], edges, *columns))
+    if rows:
+        yield from _answered(rows, answer)
+
+
+def _answered(rows, answer):
+    """The rows of one task, cut again into runs of fragments with about ``HELD`` items."""
+    fragments = np.concatenate([r[0] for r in rows])
+    weights = np.concatenate([np.diff(r[1][:, 1]) + np.diff(r[1][:, 2]) for r in rows])
+    low = int(fragments.min())
+    total = np.bincount(fragments - low, weights)
+    cuts = np.flatnonzero(np.diff((np.cumsum(total) // HELD).astype(np.int64))) + 1
+    bounds = [low, *(cuts + low), low + len(total)]
+    for start, stop in zip(bounds[:-1], bounds[1:]):
+        keys, owners, seen = [], [], []
+        for fragment, edges, docs, counts, items, known in rows:
+            i, j = np.searchsorted(fragment, [start, stop])
+            if i == j:
+                continue
+            (d0, n0, s0), (d1, n1, s1) = edges[i], edges[j]
+            base = fragment[i:j] << 32
+            keys.append(np.repeat(base, np.diff(edges[i : j + 1, 1])) + items[n0:n1].view(np.uint32).astype(np.int64))
+            owners.append(np.repeat(docs[d0:d1], counts[d0:d1]))
+            seen.append(np.repeat(base, np.diff(edges[i : j + 1, 2])) + known[s0:s1].view(np.uint32).astype(np.int64))
+        if keys:
+            yield from answer(np.concatenate(keys), np.concatenate(owners), np.concatenate(seen))
 
 
 def _shared_counts(shards: int):
@@ -203,7 +235,7 @@ def _shared_counts(shards: int):
         yield from _told(docs, [None, None, None, counts.astype(np.int32)], _COUNTED, shards)
 
     def headers(batch):
-        kind = batch.column("fragment").to_numpy()
+        kind = batch.column("part").to_numpy()
         for row in np.flatnonzero(kind < 0):
             one = batch.slice(int(row), 1)
             docs, _ = flat(one.column("docs"), np.int64)
@@ -220,7 +252,7 @@ def _shared_counts(shards: int):
         def fragments():
             for batch in batches:
                 rest.extend(headers(batch))
-                keep = np.flatnonzero(batch.column("fragment").to_numpy() >= 0)
+                keep = np.flatnonzero(batch.column("part").to_numpy() >= 0)
                 if len(keep):
                     yield batch.slice(int(keep[0]))
 
@@ -321,12 +353,12 @@ def _frequent(batches):
         yield counted(values, nodes)
 
 
-def _whole_sets(frequent: np.ndarray, bits: int):
+def _whole_sets(frequent: np.ndarray, bits: int, parts: int):
     def run(batches):
         for batch in batches:
             value, of_item = _items(batch)
             rare = ~np.isin(value, frequent)
-            yield from _cut(batch.column("node").to_numpy(), of_item[rare], value[rare].view(np.uint64), np.zeros(0, np.uint64), bits)
+            yield from _cut(batch.column("node").to_numpy(), of_item[rare], value[rare].view(np.uint64), np.zeros(0, np.uint64), bits, parts)
 
     return run
 
@@ -420,12 +452,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     parts = partitions_of(docs)
     bits = int(np.clip(np.ceil(np.log2(parts * 8)), 6, 20))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    halves = slim.where(F.col("doc_id").isNotNull()).mapInArrow(_first_halves(size, bits), _PARTS_DDL)
-    # Headers (fragment below 0) pass through and are spread like any row.
-    spread = F.when(F.col("fragment") < 0, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << bits)).cast("int")).otherwise(F.col("fragment"))
-    dealt = halves.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
+    halves = slim.where(F.col("doc_id").isNotNull()).mapInArrow(_first_halves(size, bits, parts), _PARTS_DDL)
     # One shard for each task that reads them: a row for every document and task would be many times the table.
-    counted = dealt.mapInArrow(_shared_counts(parts), _COUNTED_DDL).repartitionById(parts, F.col("shard").cast("int"))
+    counted = dealt(halves, parts).mapInArrow(_shared_counts(parts), _COUNTED_DDL).repartitionById(parts, F.col("shard").cast("int"))
     sets = counted.sortWithinPartitions("shard").mapInArrow(_set_rows, "doc_id long, n int, a long, b long, shared long")
     sets = materialize(sets, "sets")
     need = F.ceil(F.col("n") * F.lit((percent - 50) * percent) / 10_000)
@@ -437,8 +466,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     bags = materialize(texts.mapInArrow(_bags(size), ", ".join(["node long", "n int", *(f"{c} array<long>" for c in _ITEMS), *(f"{c} long" for c in _SKETCH)])), "bags")
     common = bags.mapInArrow(_frequent, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(FREQUENT)
     frequent = np.sort(np.array([r["item"] for r in common.collect()], np.int64))
-    sent = bags.mapInArrow(_whole_sets(frequent, bits), _PARTS_DDL).select("fragment", "docs", "counts", "items", "seen")
-    ranked = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_ranked(parts), _ITEM_DDL)
+    sent = bags.mapInArrow(_whole_sets(frequent, bits, parts), _PARTS_DDL)
+    ranked = dealt(sent, parts).mapInArrow(_ranked(parts), _ITEM_DDL)
     told = ranked.union(bags.mapInArrow(_sizes_and_frequent(frequent, bits, parts), _ITEM_DDL))
     by_shard = told.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard")
     postings = materialize(by_shard.mapInArrow(_postings(percent), "key long, node long, n int, shared int, weight int"), "postings")

@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of text that a task turns into fingerprints at once.
 PIECE = 2 << 20
+#: Bytes of a word that are summed with factors of their own.
+BLOCK = 1 << 14
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -89,23 +91,34 @@ class Words:
         self._lower = lower
 
     def fingerprints(self) -> np.ndarray:
-        """A 64-bit number for each word, the same wherever the word stands."""
+        """A 64-bit number for each word, the same wherever the word stands.
+
+        A word is summed in blocks of ``BLOCK`` bytes. The sums of a long word are mixed and weighted by the
+        block's number, so that no factor returns; a block is also the most that is held of a word at once.
+        """
         letters = odd_numbers(256, 1)
         if self._lower:
             letters[65:91] = letters[97:123]
-        places = odd_numbers(1 << 14, 2)
+        places = odd_numbers(BLOCK, 2)
         lengths = self.ends - self.starts
-        out = np.empty(len(lengths), np.uint64)
-        group = np.cumsum(lengths) // PIECE
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(lengths)] if len(lengths) else []
+        blocks = -(-lengths // BLOCK)
+        first = np.cumsum(blocks) - blocks
+        number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        begin = np.repeat(self.starts, blocks) + number * BLOCK
+        sizes = np.minimum(np.repeat(self.ends, blocks) - begin, BLOCK)
+        sums = np.empty(len(sizes), np.uint64)
+        group = np.cumsum(sizes) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)] if len(sizes) else []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            size = lengths[a:b]
+            size = sizes[a:b]
             at = np.cumsum(size) - size
             inside = np.arange(int(size.sum())) - np.repeat(at, size)
-            source = np.repeat(self.starts[a:b], size) + inside
-            value = letters[self.data[source]] * places[inside & 0x3FFF]
-            out[a:b] = np.add.reduceat(value, at) + size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-        return mixed(out)
+            value = letters[self.data[np.repeat(begin[a:b], size) + inside]] * places[inside]
+            sums[a:b] = np.add.reduceat(value, at)
+        long = np.flatnonzero(number)
+        sums[long] = mixed(sums[long]) * (mixed(number[long].astype(np.uint64)) | np.uint64(1))
+        out = np.add.reduceat(sums, first) if len(first) else np.zeros(0, np.uint64)
+        return mixed(out + lengths.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:

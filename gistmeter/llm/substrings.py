@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmeter.llm.ngram_join import _PARTS_DDL, _by_fragments, _cut
+from gistmeter.llm.ngram_join import _PARTS_DDL, _by_fragments, _cut, dealt
 from gistmeter.llm.shared import Words, flat, id_values, lists, only, partitions_of, pieces, shard_column, shard_of, signed, text_of, windows, without
 from gistmeter.session import materialize
 
@@ -55,7 +55,7 @@ def _answers(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs[first]), lists(values, np.diff(np.append(first, len(docs))))], names=["doc_id", "found"])
 
 
-def _seeds(size: int, bits: int):
+def _seeds(size: int, bits: int, parts: int):
     def flush(docs, values):
         docs, values = np.concatenate(docs), np.concatenate(values)
         order = np.lexsort((docs, values))
@@ -72,9 +72,9 @@ def _seeds(size: int, bits: int):
             empty = lists(np.zeros(0, np.int64), np.zeros(part.num_rows, np.int64))
             none = empty.cast(pa.list_(pa.int32()))
             one = lists(part.column("doc_id").to_numpy(), np.ones(part.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, -1, np.int32)), one, none, none, none, part.column("found"), empty], names=["fragment", "docs", "counts", "items", "seen", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, -1, np.int32)), none, one, none, none, none, part.column("found"), empty], names=["part", "inner", "docs", "counts", "items", "seen", "a", "b"])
         ids, of_item = np.unique(docs[~shared], return_inverse=True)
-        yield from _cut(ids, of_item, values[~shared], values[shared & ~same[:-1]], bits)
+        yield from _cut(ids, of_item, values[~shared], values[shared & ~same[:-1]], bits, parts)
 
     def run(batches):
         docs, values, held = [], [], 0
@@ -151,7 +151,7 @@ def _seed_answers(batches, shards: int):
 
     def fragments():
         for batch in batches:
-            kind = batch.column("fragment").to_numpy()
+            kind = batch.column("part").to_numpy()
             settled = batch.filter(pa.array(kind < 0))
             if settled.num_rows:
                 docs, _ = flat(settled.column("docs"), np.int64)
@@ -168,11 +168,11 @@ def _seed_answers(batches, shards: int):
     yield from known
 
 
-def _extensions(size: int, bits: int):
-    """Windows around shared anchors: settled repeats of this task (fragment -1), and what others must see."""
+def _extensions(size: int, bits: int, parts: int):
+    """Windows around shared anchors: settled repeats of this task (part -1), and a row for each task that reads the rest."""
 
-    def row(fragments, docs, places, values, per):
-        return pa.RecordBatch.from_arrays([pa.array(fragments.astype(np.int32)), lists(docs, per), lists(places.astype(np.int32), per), lists(signed(values), per)], names=["fragment", "docs", "places", "items"])
+    def row(part, docs, places, values, per):
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), lists(docs, per), lists(places.astype(np.int32), per), lists(signed(values), per)], names=["part", "docs", "places", "items"])
 
     def flush(docs, places, values):
         docs, places, values = np.concatenate(docs), np.concatenate(places), np.concatenate(values)
@@ -187,11 +187,10 @@ def _extensions(size: int, bits: int):
             per = pc.list_value_length(found.column("found")).to_numpy(zero_copy_only=False)
             for k in range(0, found.num_rows, 20_000):
                 part, n = found.slice(k, 20_000), len(per[k : k + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), lists(part.column("doc_id").to_numpy(), np.ones(n, np.int64)), part.column("found").cast(pa.list_(pa.int32())), lists(np.zeros(0, np.int64), np.zeros(n, np.int64))], names=["fragment", "docs", "places", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), lists(part.column("doc_id").to_numpy(), np.ones(n, np.int64)), part.column("found").cast(pa.list_(pa.int32())), lists(np.zeros(0, np.int64), np.zeros(n, np.int64))], names=["part", "docs", "places", "items"])
         docs, places, values = docs[~later], places[~later], values[~later]
-        # Values ascend, so a fragment is a run.
-        fragment = (values >> np.uint64(64 - bits)).astype(np.int64)
-        full, begin = np.unique(fragment, return_index=True)
+        # Values ascend, so what a task reads is a run.
+        full, begin = np.unique(((values >> np.uint64(64 - bits)).astype(np.int64) * parts) >> bits, return_index=True)
         ends = np.append(begin[1:], len(values))
         for k in range(0, len(full), 256):
             a, b = begin[k], ends[min(k + 256, len(full)) - 1]
@@ -266,45 +265,50 @@ def _repeats(shards: int):
 
 def _later_windows(batches, shards: int):
     def answer(docs, places, values):
-        docs, places, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, places, values))
         order = np.lexsort((docs, values))
         docs, places, values = docs[order], places[order], values[order]
         first = np.ones(len(values), bool)
         first[1:] = values[1:] != values[:-1]
         owner = docs[np.maximum.accumulate(np.where(first, np.arange(len(values)), 0))]
         later = owner < docs
-        # What tasks have settled among their own documents travels along.
-        docs, places = np.concatenate([docs[later], *known[0]]), np.concatenate([places[later], *known[1]])
-        yield from _by_shard(docs, places.astype(np.int64), shards)
-
-    held, kept, last = 0, [[], [], []], None
-    known: list[list] = [[], []]
+        yield from _by_shard(docs[later], places[later].astype(np.int64), shards)
+
+    def told(docs, places):
+        if docs:
+            yield from _by_shard(np.concatenate(docs), np.concatenate(places).astype(np.int64), shards)
+
+    def answers(rows):
+        """About ``HELD`` windows at a time: ranges of the values, which ascend in every row."""
+        count = -(-sum(len(r[2]) for r in rows) // HELD)
+        low, high = min(int(r[2][0]) for r in rows), max(int(r[2][-1]) for r in rows)
+        cuts = [low + (high - low) * k // count for k in range(1, count)]
+        at = [np.concatenate([[0], np.searchsorted(r[2], np.array(cuts, np.uint64)), [len(r[2])]]).astype(np.int64) for r in rows]
+        for k in range(count):
+            yield from answer(*(np.concatenate([r[c][e[k] : e[k + 1]] for r, e in zip(rows, at)]) for c in range(3)))
+
+    # What tasks have settled among their own documents comes first and travels along.
+    rows, last, held, docs, places = [], None, 0, [], []
     for batch in batches:
-        fragment = batch.column("fragment").to_numpy()
-        settled = batch.filter(pa.array(fragment < 0))
+        part = batch.column("part").to_numpy()
+        settled = batch.filter(pa.array(part < 0))
         if settled.num_rows:
-            docs, _ = flat(settled.column("docs"), np.int64)
-            places, counts = flat(settled.column("places"), np.int64)
-            known[0].append(np.repeat(docs, counts))
-            known[1].append(places)
-            held += len(places)
-            # Settled rows come first, so no fragment is open here.
+            own, _ = flat(settled.column("docs"), np.int64)
+            found, counts = flat(settled.column("places"), np.int64)
+            docs.append(np.repeat(own, counts))
+            places.append(found)
+            held += len(found)
             if held > HELD:
-                yield from answer(*kept)
-                held, kept, known = 0, [[], [], []], [[], []]
-        rest = batch.filter(pa.array(fragment >= 0))
-        fragment = rest.column("fragment").to_numpy()
-        start = 0
-        for stop in [*(np.flatnonzero(np.diff(fragment)) + 1), len(fragment)] if len(fragment) else []:
-            if held > HELD and fragment[start] != last:
-                yield from answer(*kept)
-                held, kept, known = 0, [[], [], []], [[], []]
-            part, last, start = rest.slice(start, stop - start), fragment[start], stop
-            for to, name, kind in zip(kept, ("docs", "places", "items"), (np.int64, np.int32, np.int64)):
-                to.append(flat(part.column(name), kind)[0])
-            held += len(kept[0][-1])
-    if held:
-        yield from answer(*kept)
+                yield from told(docs, places)
+                held, docs, places = 0, [], []
+        for k in np.flatnonzero(part >= 0):
+            if rows and part[k] != last:
+                yield from answers(rows)
+                rows = []
+            one, last = batch.slice(int(k), 1), part[k]
+            rows.append((flat(one.column("docs"), np.int64)[0], flat(one.column("places"), np.int32)[0], flat(one.column("items"), np.int64)[0].view(np.uint64)))
+    if rows:
+        yield from answers(rows)
+    yield from told(docs, places)
 
 
 def _strip(size: int):
@@ -337,17 +341,14 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
     parts = partitions_of(docs)
     bits = int(np.clip(np.ceil(np.log2(parts * 8)), 6, 20))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sent = slim.mapInArrow(_seeds(size, bits), _PARTS_DDL)
-    spread = F.when(F.col("fragment") < 0, -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << bits)).cast("int")).otherwise(F.col("fragment"))
-    dealt = sent.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
+    sent = slim.mapInArrow(_seeds(size, bits, parts), _PARTS_DDL)
     # One shard for each task that reads them: more would only multiply the rows that tell of them.
-    seeds = dealt.mapInArrow(_shared_seeds(parts), "shard long, docs array<long>, keys array<long>")
+    seeds = dealt(sent, parts).mapInArrow(_shared_seeds(parts), "shard long, docs array<long>, keys array<long>")
     texts = slim.withColumn("shard", shard_column("doc_id", parts))
     both = seeds.unionByName(texts, allowMissingColumns=True).repartitionById(parts, F.col("shard").cast("int"))
     seeded = both.sortWithinPartitions("shard", F.col("docs").isNull())
-    windows_of = seeded.mapInArrow(_extensions(size, bits), "fragment int, docs array<long>, places array<int>, items array<long>")
-    dealt = windows_of.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("fragment").drop("spread")
-    found = dealt.mapInArrow(_repeats(parts), "shard long, docs array<long>, keys array<long>")
+    windows_of = seeded.mapInArrow(_extensions(size, bits, parts), "part int, docs array<long>, places array<int>, items array<long>")
+    found = dealt(windows_of, parts).mapInArrow(_repeats(parts), "shard long, docs array<long>, keys array<long>")
     return found.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(_merged, "doc_id long, found array<long>")
 
 
