@@ -150,15 +150,15 @@ def normalised(text: bytes) -> bytes:
 
 
 _DISTINCT = pa.schema(
-    [("size", pa.int32()), ("hash", pa.int64()), ("text", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("n", pa.int64())]
+    [("size", pa.int32()), ("hash", pa.int64()), ("text", pa.binary()), ("points", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64())]
 )
 
 
 def _rows(trie: Trie) -> Iterator[pa.RecordBatch]:
     """A trie's terminals in batches of about 4 MB."""
     rows, size = [], 0
-    for key, (points, missing, doc), count in trie.items():
-        rows.append((len(key), hash_of(key), key, -points, None if missing else doc, count))
+    for key, (points, missing, doc, row), count in trie.items():
+        rows.append((len(key), hash_of(key), key, -points, None if missing else doc, row, count))
         size += len(key)
         if size > 4 << 20 or len(rows) > 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DISTINCT)], schema=_DISTINCT)
@@ -176,8 +176,9 @@ def _distinct(limit: int):
         trie = Trie(limit)
         for batch in batches:
             points = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-            for doc, text, n in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), points):
-                value = (-n, doc is None, 0 if doc is None else doc)
+            ids, numbers = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            for doc, row, text, n in zip(ids, numbers, batch.column("text").cast(pa.binary()), points):
+                value = (-n, doc is None, 0 if doc is None else doc, row)
                 trie.insert(normalised(text.as_py() or b""), value)
             if trie.size > limit // 2:
                 yield from _rows(trie)
@@ -187,54 +188,59 @@ def _distinct(limit: int):
     return run
 
 
+_OWNER = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
+
+
+def _owner_rows(held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([h[k] for h in held], f.type) for k, f in enumerate(_OWNER)], schema=_OWNER)
+
+
 def _owners(limit: int):
     def run(batches):
         trie = Trie(limit)
         for batch in batches:
-            texts, points, ids, counts = (batch.column(c) for c in ("text", "points", "id", "n"))
-            for text, n, doc, count in zip(texts, points.to_pylist(), ids.to_pylist(), counts.to_pylist()):
-                trie.insert(text.as_py(), (-n, doc is None, 0 if doc is None else doc), count)
-        ids, digests, counts = [], [], []
-        for key, (_, missing, doc), count in trie.items():
+            columns = (batch.column(c).to_pylist() for c in ("points", "id", "row", "n"))
+            for text, n, doc, row, count in zip(batch.column("text"), *columns):
+                trie.insert(text.as_py(), (-n, doc is None, 0 if doc is None else doc, row), count)
+        held = []
+        for key, (_, missing, doc, row), count in trie.items():
             if count > 1:
-                ids.append(None if missing else doc)
-                digests.append(hashlib.sha256(key).hexdigest())
-                counts.append(count)
-            if len(ids) == 10_000:
-                yield pa.RecordBatch.from_pydict({"text_sha256": digests, "keep_id": pa.array(ids, pa.int64()), "group_size": pa.array(counts, pa.int64())})
-                ids, digests, counts = [], [], []
-        yield pa.RecordBatch.from_pydict({"text_sha256": pa.array(digests, pa.string()), "keep_id": pa.array(ids, pa.int64()), "group_size": pa.array(counts, pa.int64())})
+                held.append((hashlib.sha256(key).hexdigest(), None if missing else doc, row, count))
+            if len(held) == 10_000:
+                yield _owner_rows(held)
+                held = []
+        yield _owner_rows(held)
 
     return run
 
 
-def _digests(batches):
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        digests = [hashlib.sha256(normalised(t.as_py() or b"")).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "text_sha256"])
-
-
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trie_bytes: int = TRIE_BYTES, row: str | None = None) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256``: one row per row of ``docs``.
 
     Of equal texts the row with the most code points in the original, then the smallest id, stays. Null and
     empty texts are equal to each other. A null id comes after all others; its row is kept only in a group
     without any id, where ``keep_id`` is null. Rows that repeat an id and a text count one by one in
-    ``group_size`` and share one verdict. Columns other than the two named are not read; an empty table
-    gives an empty result. Groups of copies of any size meet as one row per map task.
+    ``group_size`` and share one verdict, unless ``row`` names a column of numbers that tell rows apart: then the
+    smallest of them settles what ids leave open, exactly one row of a group is ``kept``, and the column is
+    returned too. Other columns are not read; an empty table gives an empty result. Groups of copies of any size
+    meet as one row per map task.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    distinct = slim.mapInArrow(_distinct(trie_bytes), "size int, hash long, text binary, points long, id long, n long")
+    own = F.lit(0).cast("long") if row is None else F.col(row).cast("long")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), own.alias("row"))
+    distinct = slim.mapInArrow(_distinct(trie_bytes), "size int, hash long, text binary, points long, id long, row long, n long")
     dealt = distinct.repartition(partitions_of(docs), "size", "hash").drop("size", "hash")
-    owners = materialize(dealt.mapInArrow(_owners(trie_bytes), "text_sha256 string, keep_id long, group_size long"), "owners")
-    rows = slim.mapInArrow(_digests, "doc_id long, text_sha256 string")
+    owners = materialize(dealt.mapInArrow(_owners(trie_bytes), "text_sha256 string, keep_id long, keep_row long, group_size long"), "owners")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    rows = slim.select("doc_id", "row", F.sha2(plain, 256).alias("text_sha256"))
     found = left_lookup(rows, owners, "text_sha256", "group_size")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    kept = F.col("doc_id").eqNullSafe(keep) if row is None else alone | (F.col("row") == F.col("keep_row"))
     return found.select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        kept.alias("kept"),
         "text_sha256",
+        *([] if row is None else [F.col("row").alias(row)]),
     )

@@ -139,16 +139,19 @@ def mix(
     most: float = 2.0,
     seed: int = 17,
     cells: int = CELLS,
+    row: str | None = None,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, times, taken``: how often the mix takes each document.
 
     ``times`` is 0, 1 or 2 with the default ``most`` of 2; ``taken`` is ``times * size``. Null and empty texts
     have size 0 and are taken as often as all documents of their source are. Null sources form a source of
     their own; a null id is like any other value. Ties in the seeded order (repeated rows) are cut by id and
-    then freely among rows that are equal anyway. Only ``doc_id, text, source`` are read. An empty table gives
-    an empty result. Two runs agree.
+    then freely among rows that are equal anyway, unless ``row`` names a column of numbers that tell rows apart: it
+    cuts these ties, spreads null ids over the order, and is returned too. Only ``doc_id, text, source`` and that
+    column are read. An empty table gives an empty result. Two runs agree.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sized")
+    number = [] if row is None else [F.col(row).cast("long").alias("_row")]
+    sized = materialize(docs.select(*number, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sized")
     counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = materialize(targets(sizes, weights, share, most), "targets")
@@ -157,17 +160,18 @@ def mix(
     plan = materialize(plan.join(goal, plan["source"].eqNullSafe(goal["source"])).select(plan["source"], "size", "n", "copies", "more", "source_size", "target"), "plan")
     # Each length of a source is cut into shards of the seeded order, so no group is ordered in one task.
     p = plan.withColumnsRenamed({"source": "_source", "size": "_size"})
-    digest = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
+    digest = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1) if row is None else F.col("_row")))
     joined = sized.join(p, sized["source"].eqNullSafe(p["_source"]) & (sized["size"] == p["_size"])).drop("_source", "_size")
     keyed = joined.withColumn("_digest", digest).withColumn("_shard", F.when((F.col("more") > 0) & (F.col("more") < F.col("n")), F.pmod("_digest", F.ceil(F.col("n") / SHARD))))
     shards = keyed.where("_shard is not null").groupBy("source", "size", "_shard").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy("source", "size").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     s = shards.withColumnsRenamed({"source": "_source", "size": "_size", "_shard": "_number"})
-    within = Window.partitionBy("source", "size", "_shard").orderBy("_digest", "doc_id")
+    within = Window.partitionBy("source", "size", "_shard").orderBy("_digest", "doc_id", *([] if row is None else ["_row"]))
     open_rows = keyed.where("_shard is not null").join(s, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_shard") == F.col("_number")))
     picked = open_rows.withColumn("_extra", (F.col("_before") + F.row_number().over(within) <= F.col("more")).cast("int"))
     settled = keyed.where("_shard is null").withColumn("_extra", ((F.col("more") > 0) & (F.col("size") > 0)).cast("int"))
     columns = ["doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.col("_extra")).alias("times")]
+    columns += [] if row is None else [F.col("_row").alias(row)]
     out = picked.select(columns).union(settled.select(columns))
     return out.withColumn("taken", F.col("times") * F.col("size"))

@@ -180,6 +180,26 @@ def shard_column(column: Column | str, shards: int) -> Column:
     return F.pmod(F.pmod(column, F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)) % shards
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a long that tells its rows apart, and that column's name.
+
+    The number is a row's place in its file and the file's in the sorted list of files, so it is the same whenever
+    and wherever the files are read again, and rows may repeat in all columns. What is not a plain table of files is
+    written first. The driver holds one path for each file, as for any scan, and they are broadcast.
+    """
+    name = "row_number"
+    while name in docs.columns:
+        name = f"_{name}"
+    if not docs._jdf.queryExecution().analyzed().children().isEmpty() or not docs.inputFiles():
+        docs = materialize(docs, "rows")
+    facts = docs.metadataColumn("_metadata")
+    keyed = docs.select("*", facts["file_path"].alias("_path"), facts["row_index"].alias("_at"))
+    paths = sorted(r[0] for r in keyed.select("_path").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, k) for k, p in enumerate(paths)], "_path string, _file long")
+    number = F.shiftleft("_file", 40) + F.col("_at")
+    return keyed.join(F.broadcast(files), "_path").select(*docs.columns, number.alias(name)), name
+
+
 def left_lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Left join with a written table that is unique on ``key``; ``weight`` says how many rows carry the key.
 

@@ -431,6 +431,46 @@ def test_pipeline(spark, data):
         docs = out
 
 
+def stage(spark, name, rows, tmp_path, files=3):
+    """A stage of the pipeline on given rows, from files and from a frame that is none."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    made = documents(spark, rows).withColumnsRenamed({"n": "row_number", "size": "component_id", "node": "times"})
+    path = f"{tmp_path}/docs-{name.replace(' ', '-')}-{len(rows)}"
+    made.repartition(files).write.mode("overwrite").parquet(path)
+    run = dict(corpus_pipeline.STAGES)[name]
+    from_files = run(spark, spark.read.parquet(path), str(tmp_path))
+    assert from_files.columns == made.columns
+    told = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=str)
+    out = told(from_files)
+    assert told(run(spark, made, str(tmp_path))) == out
+    return out
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    rows = [(3, "same words here", "a"), (7, "same words here", "a"), (7, "a wholly different second text", "a")]
+    rows += [(9, "twice", "a"), (9, "twice", "a"), (None, "twice", "a"), (None, "twice", "a"), (8, "tw ice", "a")]
+    rows += [(None, "only without an id", "a")] * 2 + [(1, None, "a"), (1, "", None), (2, " \t", "b")]
+    expected = [(3, "same words here", "a"), (7, "a wholly different second text", "a"), (8, "tw ice", "a"), (None, "only without an id", "a"), (2, " \t", "b")]
+    assert stage(spark, "exact dedup", rows, tmp_path) == sorted(expected, key=str)
+    assert stage(spark, "exact dedup", rows[:0], tmp_path) == []
+    words = [f"w{k}" for k in range(40)]
+    base, near, far = " ".join(words), " ".join([*words[:39], "x"]), " ".join(words[20:] + words[:10])
+    rows = [(5, base, "a"), (4, near, "a"), (4, far, "b"), (None, base, "a"), (None, base, "a"), (6, None, "a"), (6, None, "a"), (5, "", None)]
+    expected = [(4, near, "a"), (4, far, "b"), (6, None, "a"), (6, None, "a"), (5, "", None)]
+    assert stage(spark, "near duplicates", rows, tmp_path) == sorted(expected, key=str)
+    assert stage(spark, "near duplicates", rows[:0], tmp_path) == []
+
+
+def test_mixing_stage_takes_rows(spark, tmp_path):
+    rows = [(1, "a b c", "s")] * 6 + [(None, "d e f", "s")] * 6 + [(2, "x y z", None)] * 12
+    got = stage(spark, "mixing", rows, tmp_path)
+    taken = {s: sum(3 for r in got if r[2] == s) for s in ("s", None)}
+    goal = {r.source: r.target for r in mixing.mix(documents(spark, rows)).collect()}
+    assert all(abs(taken[s] - goal[s]) <= 3 for s in taken)
+    assert stage(spark, "mixing", rows[:0], tmp_path) == []
+
+
 def test_text_columns_keep_their_offsets():
     column = pa.array(["zero", None, "one two", ""]).slice(1)
     from gistmeter.llm.shared import Words
