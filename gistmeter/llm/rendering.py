@@ -47,19 +47,60 @@ ENDS = {
     "body": (("head",), ()),
 }
 SCOPE = frozenset("table td th caption button object".split())
+LISTS = ("ul", "ol", "menu", "dir")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PASSAGES = frozenset("p ul ol dl blockquote pre figure".split())
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!?]")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
+#: Most blanks that nesting puts before a line, and how deep data tables keep columns.
+MOST_INDENT = 40
+DEEPEST = 4
+#: Widest cell that pads its column, and where the last aligned column may begin.
+WIDEST = 80
+LAST_COLUMN = 1000
+
+
+class Part:
+    """Lines of an inner block: how far they stand in, and the mark in front of the first of them."""
+
+    __slots__ = ("indent", "mark", "items")
+
+    def __init__(self, items: list, indent: int = 0, mark: str = ""):
+        self.items, self.indent, self.mark = items, indent, mark
+
+
+def written(items: list) -> list[str]:
+    """The lines of a block and the parts in it. Blocks are written once, however deep they stand."""
+    out, stack, marks, base = [], [(iter(items), 0)], [], 0
+    while stack:
+        rest, indent = stack[-1]
+        item = next(rest, None)
+        if item is None:
+            stack.pop()
+        elif isinstance(item, Part):
+            if item.mark and not marks:
+                base = indent
+            if item.mark or marks:
+                marks.append(item.mark or " " * item.indent)
+            stack.append((iter(item.items), min(indent + item.indent, MOST_INDENT)))
+        elif marks:
+            out.append(" " * base + "".join(marks) + item)
+            marks = []
+        else:
+            out.append(" " * indent + item if item else item)
+    return out
+
+
 class Box:
-    """An open block: lines laid out so far, the running line, and what its kind needs."""
+    """An open block: lines and parts laid out so far, the running line, and what its kind needs."""
 
-    __slots__ = ("tag", "lines", "run", "gap", "rows", "cells", "number", "span", "weight", "nests", "role")
+    __slots__ = ("tag", "lines", "run", "gap", "rows", "cells", "number", "span", "weight", "nests", "role", "place")
 
-    def __init__(self, tag: str):
-        self.tag, self.lines, self.run, self.gap = tag, [], [], False
+    def __init__(self, tag: str, place: int = 0):
+        self.tag, self.lines, self.run, self.gap, self.place = tag, [], [], False, place
         self.rows, self.cells, self.number, self.span = None, None, None, (1, 1)
         # Passages inside (a heading counts as two), whether a table is among them, and what a table is known to be.
         self.weight, self.nests, self.role = 0, False, None
@@ -76,12 +117,12 @@ class Box:
                 self.gap = False
                 self.lines.extend(lines)
 
-    def add(self, lines: list[str], spaced: bool) -> None:
+    def add(self, lines: list, spaced: bool, indent: int = 0, mark: str = "") -> None:
         self.flush()
         if lines:
             if self.lines and (spaced or self.gap):
                 self.lines.append("")
-            self.lines.extend(lines)
+            self.lines.append(Part(lines, indent, mark))
             self.gap = spaced
 
 
@@ -102,8 +143,12 @@ def lays_out_page(table: Box) -> bool:
     return table.nests or (bool(cells) and 4 * sum(weight > 1 for _, _, weight in cells) >= 3 * len(cells))
 
 
-def laid_out(rows: list[list[tuple[list[str], tuple[int, int], int]]], page: bool = False) -> list[str]:
-    """A data table with columns padded to their widest cell; a layout table or a single column cell by cell."""
+def laid_out(rows: list[list[tuple[list, tuple[int, int], int]]], page: bool = False) -> list:
+    """A data table with columns padded to their widest cell; a layout table or a single column cell by cell.
+
+    A cell of more than ``WIDEST`` characters pads no others; its row goes on behind it, as rows do from
+    ``LAST_COLUMN`` characters on.
+    """
     rows = [row for row in rows if row]
     if not rows:
         return []
@@ -113,31 +158,47 @@ def laid_out(rows: list[list[tuple[list[str], tuple[int, int], int]]], page: boo
             for lines, *_ in row:
                 box.add(lines, False)
         return box.lines
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}
+    grid: list[list[tuple[int, list[str]]]] = []
+    # Columns that cells from above still take, as (first, behind the last, rows left), in order.
+    taken: list[tuple[int, int, int]] = []
     for row in rows:
-        line, column, below = {}, 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        line, column, at, fresh = [], 0, 0, []
         for lines, (across, down), _ in row:
-            while taken.get(column, 0) > 0:
-                column += 1
-            line[column] = lines
-            for k in range(across):
-                if down > 1:
-                    below[column + k] = down - 1
+            while at < len(taken) and taken[at][0] <= column:
+                column = max(column, taken[at][1])
+                at += 1
+            line.append((column, written(lines)))
+            if down > 1:
+                if fresh and fresh[-1][1:] == (column, down):
+                    fresh[-1] = (fresh[-1][0], column + across, down)
+                else:
+                    fresh.append((column, column + across, down))
             column += across
-        taken = below
+        taken = sorted((a, b, n - 1) for a, b, n in taken + fresh if n > 1)
         grid.append(line)
     width: dict[int, int] = {}
     for line in grid:
-        for column, lines in line.items():
-            width[column] = max([width.get(column, 0), *map(len, lines)])
+        for column, lines in line:
+            width[column] = max([width.get(column, 0), *(len(x) for x in lines if len(x) <= WIDEST)])
     order = sorted(width)
+    place = {column: k for k, column in enumerate(order)}
+    # Where each column begins; what a row has no cell for stays blank.
+    begin = [0]
+    for column in order:
+        begin.append(min(begin[-1] + width[column] + 2, LAST_COLUMN))
     out = []
     for line in grid:
-        for k in range(max(map(len, line.values()), default=0)):
-            cells = [(line[c][k] if c in line and k < len(line[c]) else "").ljust(width[c]) for c in order]
-            out.append("  ".join(cells).rstrip())
-    return [line for line in out if line]
+        for k in range(max((len(lines) for _, lines in line), default=0)):
+            said, at = [], 0
+            for column, lines in line:
+                if k < len(lines) and lines[k]:
+                    start = begin[place[column]]
+                    blank = max(start - at, 2 if said else 0)
+                    said.append(" " * blank + lines[k])
+                    at += blank + len(lines[k])
+            if said:
+                out.append("".join(said).rstrip())
+    return out
 
 
 class Page(HTMLParser):
@@ -147,8 +208,14 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Box("root")
         self.boxes = [self.root]
-        #: Open elements: tag, whether it has a box, whether it hides what is inside.
-        self.open: list[tuple[str, bool, bool]] = []
+        #: Open elements: tag, whether it has a box, what it adds to ``hidden``, whether it is shown.
+        self.open: list[tuple[str, bool, int, bool]] = []
+        #: Places of the open elements of each tag.
+        self.places: dict[str, list[int]] = {}
+        #: Boxes of open tables and lists, and closed ``details`` by place, with whether a summary was seen.
+        self.tables: list[Box] = []
+        self.holders: list[Box] = []
+        self.shut: list[list] = []
         self.hidden = 0
         self.foreign = 0
         #: Whether a head has been opened, or the body has begun without one.
@@ -159,15 +226,16 @@ class Page(HTMLParser):
         while self.open:
             self._pop()
         self.root.flush()
-        return "\n".join(self.root.lines).strip("\n")
+        return "\n".join(written(self.root.lines)).strip("\n")
+
+    def _last(self, names) -> int:
+        """Place of the innermost open element with one of these tags, -1 for none."""
+        return max((at[-1] for name in names if (at := self.places.get(name))), default=-1)
 
     def _find(self, names, stop) -> int:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in names:
-                return k
-            if self.open[k][0] in stop:
-                return -1
-        return -1
+        """The same, -1 too if one of the tags ``stop`` is open inside it."""
+        at = self._last(names)
+        return at if at >= self._last(stop) else -1
 
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
@@ -210,15 +278,23 @@ class Page(HTMLParser):
             return
         given = dict(attrs)
         unseen = tag in UNSEEN or "hidden" in given or bool(_HIDES.search(given.get("style") or ""))
-        unseen = unseen or (self.foreign > 0 and tag in UNDRAWN)
+        unseen = unseen or (self.foreign > 0 and tag in UNDRAWN) or (tag == "dialog" and "open" not in given)
+        shown, adds = not self.hidden and not unseen, int(unseen)
         if tag == "details" and "open" not in given:
-            unseen = False
+            # Of closed details only the first summary shows.
+            adds += 1
+            self.shut.append([len(self.open), False])
+        elif tag == "summary" and self.shut and self.shut[-1] == [len(self.open) - 1, False]:
+            self.shut[-1][1] = True
+            adds -= 1
+            shown = self.hidden == 1 and not unseen
         # The labels of a drawing stand apart from each other.
         boxed = tag in BLOCKS or (tag == "text" and self.foreign > 0)
         if boxed:
-            box = Box(tag)
+            box = Box(tag, len(self.boxes))
             if tag == "table":
                 box.rows = []
+                self.tables.append(box)
                 if (given.get("role") or "").strip().lower() in ("presentation", "none"):
                     box.role = "page"
             elif tag == "tr":
@@ -229,9 +305,12 @@ class Page(HTMLParser):
                 box.number = _number(given["start"], -(10**9), 10**9) if given.get("start") else 1
             elif tag == "li" and given.get("value"):
                 box.number = _number(given["value"], -(10**9), 10**9)
+            if tag in LISTS:
+                self.holders.append(box)
             self.boxes.append(box)
-        self.open.append((tag, boxed, unseen))
-        self.hidden += unseen
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, boxed, adds, shown))
+        self.hidden += adds
         self.foreign += tag in FOREIGN
         self.pre += tag in ("pre", "textarea")
 
@@ -265,48 +344,53 @@ class Page(HTMLParser):
             if not data.strip():
                 return
             # Text that stands between cells is shown before the table.
-            depth = max(k for k, b in enumerate(self.boxes) if b.tag == "table") if any(b.tag == "table" for b in self.boxes) else 0
-            box = self.boxes[depth - 1] if depth else box
+            if self.tables:
+                box = self.boxes[self.tables[-1].place - 1]
         data = data.replace("\0", "")
         if self.pre and box.tag != "root":
             box.flush()
             lines = data.split("\n")
-            if box.lines and box.tag == "pre":
+            if box.lines and box.tag == "pre" and isinstance(box.lines[-1], str):
                 box.lines[-1] += lines.pop(0)
             box.lines.extend(lines)
         else:
             box.run.append(data)
 
     def _pop(self) -> None:
-        tag, boxed, unseen = self.open.pop()
-        self.hidden -= unseen
+        tag, boxed, adds, shown = self.open.pop()
+        self.places[tag].pop()
+        self.hidden -= adds
+        if self.shut and self.shut[-1][0] == len(self.open):
+            self.shut.pop()
         self.foreign -= tag in FOREIGN
         self.pre -= tag in ("pre", "textarea")
         if not boxed:
             return
         box, outer = self.boxes.pop(), self.boxes[-1]
+        if tag == "table":
+            self.tables.pop()
+        elif tag in LISTS:
+            self.holders.pop()
         box.flush()
         lines = box.lines
-        if unseen or self.hidden:
+        if not shown:
             return
         if tag == "pre":
-            while lines and not lines[-1].strip():
-                lines.pop()
-            while lines and not lines[0].strip():
-                lines.pop(0)
+            blank = lambda x: isinstance(x, str) and not x.strip()
+            first = next((k for k, x in enumerate(lines) if not blank(x)), len(lines))
+            last = next((k for k in range(len(lines), first, -1) if not blank(lines[k - 1])), first)
+            lines = lines[first:last]
         if tag not in ("td", "th", "table"):
             own = 2 if tag in HEADINGS else int(tag in PASSAGES)
             outer.weight += box.weight + (own if lines else 0)
-        if tag in ("th", "thead", "tfoot", "caption"):
-            table = next((b for b in reversed(self.boxes) if b.rows is not None), None)
-            if table is not None and table.role is None:
-                table.role = "data"
+        table = self.tables[-1] if self.tables else None
+        if tag in ("th", "thead", "tfoot", "caption") and table is not None and table.role is None:
+            table.role = "data"
         if box.nests and tag != "table":
             outer.nests = True
         if tag in ("td", "th") and outer.cells is not None:
             outer.cells.append((lines, box.span, box.weight))
         elif tag == "tr":
-            table = next((b for b in reversed(self.boxes) if b.rows is not None), None)
             if table is not None:
                 table.rows.append(box.cells or [])
                 outer.add(lines, False) if outer is not table else None
@@ -315,19 +399,17 @@ class Page(HTMLParser):
         elif tag in ("thead", "tbody", "tfoot"):
             outer.add(lines, False)
         elif tag == "table":
-            outer.add(lines + laid_out(box.rows, lays_out_page(box)), True)
+            outer.add(lines + laid_out(box.rows, len(self.tables) >= DEEPEST or lays_out_page(box)), True)
             outer.nests = True
         elif tag == "li":
-            holder = next((b for b in reversed(self.boxes) if b.tag in ("ul", "ol", "menu", "dir")), None)
+            holder = self.holders[-1] if self.holders else None
             mark = "- "
             if holder is not None and holder.tag == "ol":
                 number = box.number if box.number is not None else holder.number
                 holder.number, mark = number + 1, f"{number}. "
-            if lines:
-                indent = " " * len(mark)
-                outer.add([mark + lines[0], *(indent + x if x else x for x in lines[1:])], False)
+            outer.add(lines, False, len(mark), mark)
         elif tag in ("dd", "blockquote"):
-            outer.add(["  " + x if x else x for x in lines], tag in SPACED)
+            outer.add(lines, tag in SPACED, 2)
         else:
             inner_list = tag in ("ul", "ol", "dl") and outer.tag in ("li", "dd")
             outer.add(lines, tag in SPACED and not inner_list)
@@ -338,14 +420,19 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     try:
-        page = Page()
-        page.feed(html)
-        page.close()
+        return _read(html)
     except AssertionError:
         # The tokenizer refuses some malformed declarations; as text they do no harm.
-        page = Page()
-        page.feed(html.replace("<![", "&lt;!["))
-        page.close()
+        return _read(html.replace("<![", "&lt;!["))
+
+
+def _read(html: str) -> str:
+    page = Page()
+    page.feed(html)
+    if _OPEN_TAG.match(page.rawdata):
+        # A comment or tag that nothing ends takes the rest of the page, as in a browser.
+        page.rawdata = ""
+    page.close()
     return page.text()
 
 
@@ -360,7 +447,9 @@ def rendered(pages: DataFrame) -> DataFrame:
 
     A null or empty page, or one that shows nothing, has the empty text and no lines. Repeated rows and null
     ids are rendered row by row; other columns are not read; an empty table gives an empty result. Unclosed and
-    misplaced tags are repaired as the tree builder says, never dropped with their text.
+    misplaced tags are repaired as the tree builder says, never dropped with their text. Time and output grow with the
+    page however deep it is: nesting puts at most ``MOST_INDENT`` blanks before a line, a cell pads others up to
+    ``WIDEST`` characters, and tables inside ``DEEPEST`` others are laid out cell by cell. No text is cut.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     out = slim.mapInArrow(_run, "page_id long, text string")

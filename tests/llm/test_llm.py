@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations_with_replacement
 
@@ -330,6 +331,125 @@ def test_render():
     assert rendering.render("a<![if x]>b").startswith("a")
 
 
+class Plain:
+    """Lines of a block by plain recursion: lists are copied and indented at every level."""
+
+    def __init__(self):
+        self.lines, self.run, self.gap = [], [], False
+
+    def flush(self):
+        if self.run:
+            self.lines += [""] * bool(self.gap and self.lines) + [" ".join(self.run)]
+            self.run, self.gap = [], False
+
+    def add(self, lines, spaced):
+        self.flush()
+        if lines:
+            self.lines += [""] * bool(self.lines and (spaced or self.gap)) + lines
+            self.gap = spaced
+
+
+def made_block(maker, depth, item=False):
+    """A random piece of a page: its HTML, and its lines laid out plainly."""
+    html, out = "", Plain()
+    words = lambda: " ".join(maker.choice("alpha beta gamma delta".split()) for _ in range(maker.randrange(1, 5)))
+    for _ in range(maker.randrange(1, 4)):
+        kind = maker.choice("text div p h2 ul ol blockquote hidden style shut open dialog table comment".split()) if depth else "text"
+        inner, below = made_block(maker, depth - 1, kind in ("ul", "ol")) if depth else ("", [])
+        if kind == "text":
+            out.run.append(words())
+            html += maker.choice(["{} ", " <b>{}</b>\n", "<span>{}</span> "]).format(out.run[-1])
+        elif kind in ("p", "h2"):
+            text = words()
+            html += f"<{kind}>{text}</{kind}>"
+            out.add([text], True)
+        elif kind in ("ul", "ol"):
+            items = Plain()
+            first, tags = maker.randrange(9), ""
+            for k in range(maker.randrange(1, 3)):
+                if k:
+                    inner, below = made_block(maker, depth - 1, True)
+                mark = f"{first + k}. " if kind == "ol" else "- "
+                items.add([(" " * len(mark) if n else mark) + x if x else x for n, x in enumerate(below)], False)
+                tags += "<li>" + inner + maker.choice(["", "</li>"])
+            html += f"<{kind} start={first}>{tags}</{kind}>"
+            out.add(items.lines, not item)
+        elif kind == "blockquote":
+            html += f"<blockquote>{inner}</blockquote>"
+            out.add(["  " + x if x else x for x in below], True)
+        elif kind == "table":
+            rows = [[words() for _ in range(3)] for _ in range(3)]
+            wide = [max(len(r[c]) for r in rows) for c in range(3)]
+            html += "<table>" + "".join("<tr>" + "".join(f"<th>{c}" for c in r) for r in rows) + "</table>"
+            out.add(["  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in rows], True)
+        elif kind in ("div", "open"):
+            html += f"<div>{inner}</div>" if kind == "div" else f"<details open>{inner}</details>"
+            out.add(below, False)
+        elif kind == "shut":
+            title = words()
+            html += f"<details>{inner}<summary>{title}</summary>{inner}</details>"
+            out.add([title], False)
+        else:
+            shapes = {"hidden": "<div hidden>{}</div>", "style": "<section style='color:red; display: none'>{}</section>", "dialog": "<dialog>{}</dialog>", "comment": "<!-- {} -->"}
+            html += shapes[kind].format(words() if kind == "comment" else inner)
+            if kind != "comment":
+                out.flush()
+    out.flush()
+    return html, out.lines
+
+
+def test_render_equals_plain_layout():
+    maker = random.Random(11)
+    for _ in range(400):
+        html, lines = made_block(maker, maker.randrange(1, 6))
+        assert rendering.render(html) == "\n".join(lines).strip("\n"), html
+
+
+@pytest.mark.parametrize(
+    "piece, times, most",
+    [("<div>", 10_000, 1), ("<div>x", 10_000, 2), ("<ul><li>x", 4000, 6), ("<ol><li>x", 4000, 6), ("<blockquote>x", 4000, 5)]
+    + [("<table><tr><th>a<td>", 2000, 2), ("<a x='", 20_000, 1), ("<a ", 30_000, 1), ("<!--", 20_000, 1), ("<details>x", 10_000, 1)],
+)
+def test_render_grows_with_the_page(piece, times, most):
+    seconds = []
+    for n in (times, 2 * times):
+        start = time.process_time()
+        text = rendering.render(piece * n + "end")
+        seconds.append(time.process_time() - start)
+        assert len(text) <= most * n * len(piece)
+    assert seconds[1] < 3.5 * seconds[0] + 0.2
+
+
+def test_render_keeps_wide_tables_small():
+    wide = "<table><tr><th>" + "w" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 3000 + "</table>"
+    text = rendering.render(wide)
+    assert len(text) < len(wide) and text.split("\n")[1] == "a  b"
+    many = "<table><tr>" + "<td>c" * 5000 + "<tr><td>r" * 5000 + "</table>"
+    assert len(rendering.render(many)) < len(many)
+    down = "<table>" + "".join(f"<tr><td rowspan={2 + i % 997}>c<td>d" for i in range(3000)) + "</table>"
+    assert rendering.render(down).count("d") == 3000
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<details><summary>s</summary>body</details>z", "s\nz"),
+        ("<details open><summary>s</summary>body</details>z", "s\nbody\nz"),
+        ("<details hidden><summary>s</summary>b</details>z", "z"),
+        ("<details style='display:none'>x</details>z", "z"),
+        ("<details><summary>s</summary><summary>t</summary><p>x</details>z", "s\nz"),
+        ("<div hidden><details><summary>s</summary>b</details></div>z", "z"),
+        ("<dialog>d</dialog>z", "z"),
+        ("<dialog open>d</dialog>z", "d\nz"),
+        ("a<!-- b", "a"),
+        ("a<b href='x", "a"),
+        ("a < b", "a < b"),
+    ],
+)
+def test_render_shows_what_a_browser_shows(page, text):
+    assert rendering.render(page) == text
+
+
 def test_render_tells_data_tables_by_structure():
     table = "<table{}><tr><td>Name<td>Parts<td>Price<tr><td>kit<td>{}<td>30<tr><td>{}<td>nuts<td>4</table>"
     want = "Name  Parts  Price\nkit   {1:5}  30\n      {0}two\n      {0}six\n      {0}ten\n      {0}end\nbox   nuts   4"
