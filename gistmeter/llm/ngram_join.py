@@ -9,8 +9,11 @@ cut into fragments (ranges of the fingerprint); what documents share is counted
 2. Equal sets form one class, held by its smallest id. The classes left send their whole sets; each fragment
    counts its shingles, which orders them from rare to frequent, and the leading ``n - ceil(t n) + 1`` of a
    class's shingles in that order become postings. Classes that link share a posting.
-3. Candidate pairs of the inverted lists are verified: overlaps counted per slice of the order, summed per pair.
-   ``shared.linked_groups`` keeps the number of pairs near the number of postings.
+   A posting tells how large a partner may be that shares nothing before it, since an overlap is at most what is
+   left of either set from their first common shingle on.
+3. Candidate pairs of the inverted lists are verified: each fragment of the sets counts its own partial overlap of the
+   pair, in a row of its own, and the rows are summed per pair. ``shared.linked_groups`` keeps the number of pairs
+   near the number of postings.
 
 Shingles that are frequent within single tasks are found beforehand and put at the end of the order (a bounded
 list, which changes the work but not the result), so no fragment receives a frequent shingle document by document.
@@ -29,11 +32,10 @@ from pyspark.sql import functions as F
 from gistmeter.llm.shared import Words, flat, id_values, linked_groups, lists, mixed, only, partitions_of, pieces, shard_of, signed, text_of, windows
 from gistmeter.session import materialize
 
-#: Fragments in which verified overlaps are counted.
+#: Fragments of the global order in which the overlaps of pairs are counted.
 SLICES = 4
 #: 64-bit words of a set's parity sketch.
 SKETCH = 16
-_ITEMS = [f"items{k}" for k in range(SLICES)]
 _SKETCH = [f"sketch{k}" for k in range(SKETCH)]
 #: Most shingles put at the end of the order before any are counted.
 FREQUENT = 100_000
@@ -306,31 +308,32 @@ def _set_rows(batches):
 
 
 def _bags(size: int):
-    """A row for each class: its items by slice, and the parity sketch of its set."""
+    """A row for each class and fragment that it has items in; the first of a class has the parity sketch of its set."""
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 value, count = shingle_sets(piece.column("text"), size)
-                slices = (value >> np.uint64(62)).astype(np.int64)
                 of_item = text_of(count)
                 bit = (mixed(value) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
                 odd = np.bincount(of_item * 64 * SKETCH + bit, minlength=len(count) * 64 * SKETCH) & 1
                 sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(count), SKETCH)
-                columns = [pa.array(id_values(piece.column("doc_id"))), pa.array(count.astype(np.int32))]
-                for k in range(SLICES):
-                    own = slices == k
-                    columns.append(lists(signed(value[own]), np.bincount(of_item[own], minlength=len(count))))
-                columns += [pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *_ITEMS, *_SKETCH])
+                # Items ascend within a text, so its fragments are runs.
+                cell = of_item * SLICES + (value >> np.uint64(64 - SLICES.bit_length() + 1)).astype(np.int64)
+                full, per = np.unique(cell, return_counts=True)
+                row = full // SLICES
+                lead = np.append(True, row[1:] != row[:-1])[: len(row)]
+                columns = [pa.array(id_values(piece.column("doc_id"))[row]), pa.array(count[row].astype(np.int32)), pa.array((full % SLICES).astype(np.int32)), pa.array(lead), lists(signed(value), per)]
+                columns += [pa.array(np.where(lead, sketch[row, k], 0), mask=~lead) for k in range(SKETCH)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "slice", "lead", "items", *_SKETCH])
 
     return run
 
 
 def _items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The items of all slices of a batch of classes, and the row of each."""
-    parts = [flat(batch.column(name), np.int64) for name in _ITEMS]
-    return np.concatenate([v for v, _ in parts]), np.concatenate([text_of(c) for _, c in parts])
+    """The items of a batch of fragments, and the row of each."""
+    value, counts = flat(batch.column("items"), np.int64)
+    return value, text_of(counts)
 
 
 def _frequent(batches):
@@ -345,7 +348,7 @@ def _frequent(batches):
     for batch in batches:
         value, _ = _items(batch)
         values.append(value)
-        nodes, held = nodes + batch.num_rows, held + len(value)
+        nodes, held = nodes + pc.sum(batch.column("lead")).as_py(), held + len(value)
         if held > HELD:
             yield counted(values, nodes)
             values, nodes, held = [], 0, 0
@@ -406,8 +409,8 @@ def _sizes_and_frequent(frequent: np.ndarray, bits: int, shards: int):
 
     def run(batches):
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            yield from _told(node, [batch.column("n").to_numpy(), np.zeros(len(node))], _ITEM, shards)
+            node, lead = batch.column("node").to_numpy(), batch.column("lead").to_numpy(zero_copy_only=False)
+            yield from _told(node[lead], [batch.column("n").to_numpy()[lead], np.zeros(int(lead.sum()))], _ITEM, shards)
             value, of_item = _items(batch)
             hit = np.isin(value, frequent)
             keys = (value[hit].view(np.uint64) >> np.uint64(32 - bits)).astype(np.int64)
@@ -432,9 +435,11 @@ def _postings(percent: int):
         room = n - least_overlap(n, percent) + 1 - (n - shared)
         rank = np.arange(len(keys)) - np.repeat(np.cumsum(shared) - shared, shared)
         chosen = rank < room[of_item]
-        of_item, keys = of_item[chosen], keys[chosen]
+        of_item, keys, rank = of_item[chosen], keys[chosen], rank[chosen]
         weight = np.bincount(of_item, minlength=len(node))
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[of_item]), *(pa.array(v[of_item].astype(np.int32)) for v in (n, shared, weight))], names=["key", "node", "n", "shared", "weight"])
+        # An overlap of at least percent of a union, and at most what is left, bounds the partner's size.
+        most = (shared[of_item] - rank) * (100 + percent) // percent - n[of_item]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[of_item]), *(pa.array(v.astype(np.int32)) for v in (weight[of_item], n[of_item], most))], names=["key", "node", "weight", "size", "most"])
 
     return lambda batches: _by_shard(batches, done)
 
@@ -463,34 +468,28 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: st
     texts = only(slim, classes.where("open = 1").select(F.col("node").alias("doc_id")), "doc_id")
     if slim.where("doc_id is not null").count() != sets.count():
         texts = texts.dropDuplicates(["doc_id"])
-    bags = materialize(texts.mapInArrow(_bags(size), ", ".join(["node long", "n int", *(f"{c} array<long>" for c in _ITEMS), *(f"{c} long" for c in _SKETCH)])), "bags")
+    bags = materialize(texts.mapInArrow(_bags(size), ", ".join(["node long", "n int", "slice int", "lead boolean", "items array<long>", *(f"{c} long" for c in _SKETCH)])), "bags")
     common = bags.mapInArrow(_frequent, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(FREQUENT)
     frequent = np.sort(np.array([r["item"] for r in common.collect()], np.int64))
     sent = bags.mapInArrow(_whole_sets(frequent, bits, parts), _PARTS_DDL)
     ranked = dealt(sent, parts).mapInArrow(_ranked(parts), _ITEM_DDL)
     told = ranked.union(bags.mapInArrow(_sizes_and_frequent(frequent, bits, parts), _ITEM_DDL))
     by_shard = told.repartitionById(parts, F.col("shard").cast("int")).sortWithinPartitions("shard")
-    postings = materialize(by_shard.mapInArrow(_postings(percent), "key long, node long, n int, shared int, weight int"), "postings")
+    postings = materialize(by_shard.mapInArrow(_postings(percent), "key long, node long, weight int, size int, most int"), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = bags.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a_{c}") for c in _ITEMS))
-        two = bags.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b_{c}") for c in _ITEMS))
-        # One partial overlap for each slice of the global order.
-        partial = [F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in _ITEMS]
-        summed = pairs.join(one, "a").join(two, "b").withColumn("common", sum(partial[1:], partial[0]))
+        one = bags.select(F.col("node").alias("a"), F.col("n").alias("na"), "slice", F.col("items").alias("x"))
+        two = bags.select(F.col("node").alias("b"), F.col("n").alias("nb"), "slice", F.col("items").alias("y"))
+        partial = pairs.join(one, "a").join(two, ["b", "slice"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
+        summed = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("common"))
         return summed.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
-    def near(x: str, y: str) -> Column:
-        # The overlap cannot exceed what either shares with anyone.
-        sizes = F.col(f"{x}.n") + F.col(f"{y}.n")
-        return F.least(f"{x}.shared", f"{y}.shared") * (100 + percent) >= sizes * percent
-
     def close(x: str, y: str) -> Column:
         # Items of one set only flip a bit each, so the sketches differ in no more bits than the sets in items.
         apart = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _SKETCH]
-        return sum(apart[1:], apart[0]) * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+        return sum(apart[1:], apart[0]) * (100 + percent) <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * (100 - percent)
 
-    roots, _ = linked_groups(postings, verify, near, bags.select("node", *_SKETCH), close)
+    roots, _ = linked_groups(postings, verify, bags.where("lead").select("node", *_SKETCH), close)
     named = classes.join(roots, "node", "left").select("n", "a", "b", F.coalesce("root", "node").alias("component_id"))
     hot = sets.alias("s").join(named.alias("c"), ["n", "a", "b"], "left")
     known = hot.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

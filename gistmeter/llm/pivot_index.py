@@ -57,8 +57,7 @@ def _index(pivots: np.ndarray):
                     order = np.argsort(-(part[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :deep]
                     a, b = order[:, first % order.shape[1]], order[:, second % order.shape[1]]
                     key = (np.minimum(a, b) * len(pivots) + np.maximum(a, b)).astype(np.int64) + np.int64(part.shape[1]) * 2**40
-                    near = np.repeat(order.astype(np.int16), len(first), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node[some], len(first))), lists(near.ravel(), np.full(len(near), near.shape[1])), pa.array(np.zeros(len(near), np.int32))], names=["key", "node", "near", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), lists(order.astype(np.int16).ravel(), np.full(len(order), order.shape[1])), lists(key.ravel(), np.full(len(key), key.shape[1]))], names=["node", "near", "keys"])
 
     return run
 
@@ -139,14 +138,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
         v = np.array(r["embedding"])
         v = v / np.abs(v).max()
         points[k, : len(v)] = v / np.sqrt((v**2).sum())
-    postings = materialize(classes.select("node", "embedding").mapInArrow(_index(points), "key long, node long, near array<short>, weight int"), "postings")
+    described = materialize(classes.select("node", "embedding").mapInArrow(_index(points), "node long, near array<short>, keys array<long>"), "described")
+    # All sizes fit here.
+    none = [F.lit(0).alias(c) for c in ("weight", "size", "most")]
+    postings = materialize(described.select(F.explode(F.array_distinct("keys")).alias("key"), "node", *none), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        # Pairs that share a list, once each; then the pivots they share are counted.
+        near = [described.select(F.col("node").alias(c), F.col("near").alias(f"near_{c}")) for c in ("a", "b")]
+        pairs = pairs.join(near[0], "a").join(near[1], "b").where(F.size(F.array_intersect("near_a", "near_b")) >= SHARED).select("a", "b")
         one = classes.select(F.col("node").alias("a"), F.col("embedding").alias("x"))
         two = classes.select(F.col("node").alias("b"), F.col("embedding").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_cosines(least), "a long, b long")
 
-    roots, _ = linked_groups(postings, verify, lambda x, y: F.size(F.array_intersect(f"{x}.near", f"{y}.near")) >= SHARED)
+    roots, _ = linked_groups(postings, verify)
     roots = materialize(roots, "roots")
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = roots.join(sizes, "root").join(classes.select("node", "copies", "embedding"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))

@@ -265,42 +265,62 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+#: Most star rounds, and how many pairs a posting may still have for all of them to be looked at.
+ROUNDS, PAIRS = 4, 8
+
+
+def _narrowed(marked: DataFrame) -> DataFrame:
+    """Postings with a possible partner of another component in their list, and the list's most frequent component."""
+    per_root = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most"), F.min("size").alias("size"))
+    main = F.max_by("root", F.struct("n", -F.col("root"))).alias("main")
+    per_key = per_root.groupBy("key").agg(main, F.sum("n").alias("in_list"), F.max("n").alias("in_main"), F.max("most").alias("far"), F.min("size").alias("least"))
+    open_lists = materialize(per_key.where("in_list > in_main"), "lists").drop("in_main")
+    found = left_lookup(marked, open_lists, "key", "in_list")
+    return found.where("main is not null and size <= far and least <= most").drop("far", "least")
+
+
 def linked_groups(
-    postings: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    also: Callable[[str, str], Column],
-    profiles: DataFrame | None = None,
-    close: Callable[[str, str], Column] | None = None,
+    postings: DataFrame, verify: Callable[[DataFrame], DataFrame], profiles: DataFrame | None = None, close: Callable[[str, str], Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``node, root`` over all links among nodes that share a list, and the links that were looked at.
 
-    ``postings`` (written; ``key, node, weight``, plus what ``also`` compares) are inverted lists; ``verify``
-    returns the pairs ``a, b`` that are links; ``also(x, y)`` is a cheap condition every link meets. First
-    every node meets the head of each of its lists, the node of the largest ``weight``: a number of pairs that
-    grows with the postings, not with the square of a list. Then, within lists whose nodes are still in
-    different components, all pairs of different components are verified. A pair of one component needs no
-    test, since it can join nothing; so no link between components is lost. ``profiles`` (by ``node``) are
-    joined to the lists left, for a sharper necessary condition ``close``.
+    ``postings`` (written; ``key, node, weight, size, most``) are inverted lists; ``verify`` returns the pairs
+    ``a, b`` that are links. Two postings can only link if each one's ``size`` is at most the other's ``most``, and
+    every link must meet this in one of the lists that hold both. ``profiles`` (by ``node``) are joined to the
+    lists left for a sharper necessary condition ``close``.
+
+    In star rounds every node meets one head of each of its lists, first the node of the largest ``weight``, then
+    others: a number of pairs that grows with the postings, not with the square of a list. Between rounds, postings
+    leave whose list has no other component, or none of a fitting size. When few pairs are left all of them are
+    verified: those of different components, of which one is not the most frequent of its list. A pair of
+    one component needs no test, since it can join nothing; so no link between components is lost.
     """
-    head = F.max_by(F.struct("*"), F.struct("weight", -F.col("node")))
-    heads = postings.groupBy("key").agg(head.alias("x"), F.count(F.lit(1)).alias("in_list")).where("in_list > 1").select("x.*")
-    x, y = heads.alias("x"), postings.alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node"))
-    stars = x.join(y, meets & also("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = materialize(verify(stars), "links")
-    roots = components(links)
-    marked = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    marked = materialize(marked, "marked")
-    mixed_lists = marked.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_lists = marked.join(mixed_lists.select("key"), "key", "left_semi")
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") <= F.col("y.most")) & (F.col("y.size") <= F.col("x.most"))
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    roots, links, open_lists = None, None, postings.withColumn("root", F.col("node"))
+    for turn in range(ROUNDS):
+        by = F.struct("weight", -F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        heads = open_lists.groupBy("key").agg(F.max_by(F.struct("node", "root", "size", "most"), by).alias("x"), F.count(F.lit(1)).alias("n"))
+        heads = heads.where("n > 1").select("key", "x.*")
+        stars = heads.alias("x").join(open_lists.alias("y"), meets & (F.col("x.root") != F.col("y.root"))).select(*pair).distinct()
+        found = materialize(verify(stars), "links")
+        links = found if links is None else links.union(found)
+        roots = components(links)
+        marked = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_lists = materialize(_narrowed(materialize(marked, "marked")).drop("main", "in_list"), "narrowed")
+        open_lists = materialize(_narrowed(open_lists), "open")
+        left = open_lists.groupBy("key").agg(F.first("in_list").alias("n"), F.sum((F.col("root") != F.col("main")).cast("long")).alias("other"))
+        few, pairs = left.agg(F.sum("n"), F.sum(F.col("n") * F.col("other"))).first()
+        if pairs is None:
+            return roots, links
+        if pairs <= PAIRS * few:
+            break
     if profiles is not None:
         open_lists = open_lists.join(profiles, "node")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    meets = meets & also("x", "y")
-    rest = x.join(y, meets & close("x", "y") if close else meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    x, y = open_lists.where(F.col("root") != F.col("main")).alias("x"), open_lists.alias("y")
+    meets &= (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    rest = x.join(y, meets & close("x", "y") if close else meets).select(*pair).distinct()
     more = materialize(verify(rest), "links")
     if more.isEmpty():
         return roots, links
-    stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return components(stars.union(more)), links.union(more)
+    return components(links.union(more)), links.union(more)

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gistmeter.llm import exact_trie, mixing, ngram_join, packing, pivot_index, quality, rendering, substrings, toxicity, url_rules
+from gistmeter.llm import exact_trie, mixing, ngram_join, packing, pivot_index, quality, rendering, shared, substrings, toxicity, url_rules
 from gistmeter.llm.queries import ORACLE, QUERIES
 from gistmeter.llm.shared import shard_column, shard_of
 
@@ -263,6 +263,50 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[1], best[2])
 
 
+def test_pages_of_one_template_do_not_meet(spark, monkeypatch):
+    """Pages that share most words but too few to link: pairs looked at grow with the pages, not with their square."""
+    looked_at = []
+
+    def counting(postings, verify, *rest):
+        def counted(pairs):
+            looked_at.append(pairs.count())
+            return verify(pairs)
+
+        return shared.linked_groups(postings, counted, *rest)
+
+    monkeypatch.setattr(ngram_join, "linked_groups", counting)
+    total = {}
+    for pages in (200, 800):
+        maker = random.Random(5)
+        template = [f"t{k}" for k in range(240)]
+        rows = [(i, " ".join(template + [f"o{maker.randrange(10**6)}" for _ in range(50 + maker.randrange(8))]), "a") for i in range(pages)]
+        # Every tenth page has a near copy.
+        rows += [(pages + i, rows[i][1] + " tail", "a") for i in range(0, pages, 10)]
+        looked_at.clear()
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(documents(spark, rows)).collect()}
+        assert got == {i: i if i < pages else i - pages for i, *_ in rows}
+        total[pages] = sum(looked_at)
+    assert total[800] <= 5 * total[200] + 100
+
+
+@pytest.mark.parametrize("rounds, pairs", [(1, 0), (4, 0), (2, 10**9)])
+def test_crowds_in_few_and_many_rounds(spark, monkeypatch, rounds, pairs):
+    """Near copies of some centres around the threshold: all components, however many star rounds there are."""
+    maker = random.Random(21)
+    rows = []
+    for crowd in range(4):
+        base = [f"c{crowd}w{k}" for k in range(60)]
+        for _ in range(30):
+            words = list(base)
+            for _ in range(maker.randrange(9)):
+                words[maker.randrange(60)] = f"x{maker.randrange(400)}"
+            rows.append((len(rows), " ".join(words), "a"))
+    monkeypatch.setattr(shared, "ROUNDS", rounds)
+    monkeypatch.setattr(shared, "PAIRS", pairs)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(documents(spark, rows)).collect()}
+    assert got == components_of(sets_of(rows))
+
+
 def test_near_vectors(spark):
     maker = np.random.default_rng(8)
     centres = maker.normal(size=(40, 16))
@@ -299,9 +343,8 @@ def test_candidates_do_not_thin_out_with_pivots(pivots):
     batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
     keys, near = {}, {}
     for rows in pivot_index._index(points)([batch]):
-        for key, node, deep, _ in zip(*(c.to_pylist() for c in rows.columns)):
-            keys.setdefault(node, set()).add(key)
-            near[node] = set(deep)
+        for node, deep, own in zip(*(c.to_pylist() for c in rows.columns)):
+            keys[node], near[node] = set(own), set(deep)
     found = sum(bool(keys[k] & keys[k + 1]) and len(near[k] & near[k + 1]) >= pivot_index.SHARED for k in range(0, len(vectors), 2))
     assert found >= 0.99 * 400
 
