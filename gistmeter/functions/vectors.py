@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmeter.functions.lets import let
+from gistmeter.functions.places import row_items
 
 _BLOCK = 1024
 _SIDES = T.StructType(
@@ -98,3 +100,35 @@ def greedy_sides(predicted: pa.Array, gold: pa.Array) -> pa.Array:
         else:
             rows.append({"precision": 0.0, "recall": 0.0})
     return pa.array(rows, pa.struct([("precision", pa.float64()), ("recall", pa.float64())]))
+
+
+_TEXT_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("cosine", "matched_p", "matched_g")])
+
+
+def _found(items: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the items are, and how often each; items without a key do not count."""
+    at = pc.index_in(items, value_set=keys).drop_null().to_numpy(zero_copy_only=False)
+    return np.unique(at, return_counts=True)
+
+
+@F.arrow_udf(_TEXT_SCORES)
+def text_vector_scores(predicted: pa.Array, gold: pa.Array, keys: pa.Array, vectors: pa.Array) -> pa.Array:
+    """Cosine of two texts' mean vectors, and the summed best cosines of the tokens of each side.
+
+    The texts are lists of token ids; ``keys`` and ``vectors`` are the distinct ids that have a vector. Repeated
+    tokens are compared once and weighted. Null for a row with a side without vectors; the cosine is null too
+    where a mean has no direction.
+    """
+    rows = []
+    matrices = _matrices(vectors)
+    for row, matrix in enumerate(matrices):
+        sides = [_found(row_items(c, row), row_items(keys, row)) for c in (predicted, gold)] if len(matrix) else []
+        if not sides or not all(len(at) for at, _ in sides):
+            rows.append(None)
+            continue
+        (p, n), (g, m) = sides
+        a, b = n @ matrix[p] / n.sum(), m @ matrix[g] / m.sum()
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        best_p, best_g = best_matches(matrix[p], matrix[g])
+        rows.append({"cosine": float(a @ b / size) if size > 0 else None, "matched_p": float(n @ best_p), "matched_g": float(m @ best_g)})
+    return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("cosine", "matched_p", "matched_g")]))

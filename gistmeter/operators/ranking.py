@@ -56,9 +56,9 @@ def global_rank(
 
 
 def skew_safe_lookup(
-    rows: DataFrame, lookup: DataFrame, on: str, occurrences: str, parts: int | None = None, how: str = "inner"
+    rows: DataFrame, lookup: DataFrame, on: str, occurrences: str, parts: int | None = None
 ) -> DataFrame:
-    """Join (``inner`` or ``left``) of ``rows`` with a table that is unique on ``on``.
+    """Inner join of ``rows`` with a table that is unique on ``on``.
 
     ``lookup[occurrences]`` says how many of ``rows`` carry the key. Keys above a share of
     ``1 / parts`` number at most ``parts``, so that piece of the lookup is broadcast and its rows
@@ -69,7 +69,7 @@ def skew_safe_lookup(
     frequent = F.col(occurrences) * parts > total
     heavy = F.broadcast(lookup.where(frequent))
     light = lookup.where(~frequent)
-    shuffled = rows.join(heavy.select(on), on, "left_anti").join(light, on, how)
+    shuffled = rows.join(heavy.select(on), on, "left_anti").join(light, on)
     return rows.join(heavy, on).unionByName(shuffled)
 
 
@@ -79,22 +79,32 @@ def lookup_join(
     on: str,
     broadcast_rows: int,
     occurrences: str | None = None,
-    how: str = "inner",
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Join (``inner`` or ``left``) of ``rows`` with a table that is unique on ``on``.
+    """Inner join of ``rows`` with a table that is unique on ``on``.
 
-    The table is counted: up to ``broadcast_rows`` rows it is broadcast. A larger one is joined by
-    ``skew_safe_lookup``. The use of each key comes from the table's column ``occurrences``, which
-    is dropped, or is counted from ``rows``.
+    The table is counted: up to ``broadcast_rows`` rows, with at most ``broadcast_bytes`` of text in ``on``, it is
+    broadcast. For a larger one the frequent keys come from ``rows``, so that a key the table does not have is
+    kept off the shuffle too: keys above a share of ``1 / partitions`` are settled by a broadcast of at most
+    ``partitions`` rows. ``occurrences`` names a column of the table with the exact uses of its keys, if every
+    row has a match; it is dropped.
     """
-    if table.count() <= broadcast_rows:
-        return rows.join(F.broadcast(table.drop(occurrences) if occurrences else table), on, how)
+    size = F.sum(F.octet_length(F.col(on).cast("string")))
+    count, held = table.agg(F.count(F.lit(1)), size).first()
+    if count <= broadcast_rows and (held or 0) <= broadcast_bytes:
+        return rows.join(F.broadcast(table.drop(occurrences) if occurrences else table), on)
     if occurrences:
-        return skew_safe_lookup(rows, table, on, occurrences, how=how).drop(occurrences)
-    uses = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
-    # Read three times below, so the counting is done once and written.
-    counted = materialize(table.join(uses, on), "lookup")
-    return skew_safe_lookup(rows, counted, on, "_gm_uses", how=how).drop("_gm_uses")
+        return skew_safe_lookup(rows, table, on, occurrences).drop(occurrences)
+    present = rows.where(F.col(on).isNotNull())
+    uses = present.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
+    # Read several times below, so the counting is done once and written.
+    counted = materialize(uses.join(table.withColumn("_gm_hit", F.lit(True)), on, "left"), "lookup")
+    total = counted.agg(F.sum("_gm_uses")).first()[0] or 0
+    frequent = F.col("_gm_uses") * _width(rows) > total
+    heavy = F.broadcast(counted.where(frequent).drop("_gm_uses"))
+    light = counted.where(~frequent & F.col("_gm_hit")).drop("_gm_uses")
+    rest = present.join(heavy.select(on), on, "left_anti").join(light, on)
+    return present.join(heavy, on).where("_gm_hit").unionByName(rest).drop("_gm_hit")
 
 
 def rank_within(df: DataFrame, group: str, *order: Column | str, name: str = "rank") -> DataFrame:

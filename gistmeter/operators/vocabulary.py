@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmeter.functions.batches import BOS_ID, EOS_ID, SPECIAL_IDS, UNK_ID
+from gistmeter.functions.places import values_in_place
 from gistmeter.operators.ranking import global_rank, lookup_join
 
-# A vocabulary of at most this many rows (a count, not a guess) is broadcast.
+# A vocabulary of at most this many rows (a count, not a guess) is broadcast, if its tokens are short.
 BROADCAST_TOKENS = 500_000
 UNK_TOKEN = "<unk>"
 
@@ -24,11 +26,25 @@ def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def _ordered(rows: DataFrame, key: str, value: str) -> DataFrame:
-    # The row of a text without items has no position, and leaves an empty list.
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", value))
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_gm"))
-    return packed.select(key, F.transform("_gm", lambda item: item[value]).alias("_gm_items"))
+def with_values(
+    df: DataFrame, keys: list[str], items: str, table: DataFrame, on: str, value: str, broadcast_rows: int
+) -> DataFrame:
+    """``df`` with ``_gm_keys`` and ``_gm_values``: the distinct items of each row that ``table`` has, and their values.
+
+    Only distinct items of a row leave it, each with the row's key; texts move once, by key, and what is found
+    for them is brought to the same place. ``keys`` must be unique and present, ``table`` unique on ``on``.
+    """
+    texts = df.repartition(*map(F.col, keys))
+    distinct = texts.select(*keys, F.explode(F.array_distinct(items)).alias(on))
+    found = lookup_join(distinct, table.select(on, value), on, broadcast_rows)
+    item = F.collect_list(F.struct(on, value))
+    packed = found.groupBy(*keys).agg(item.alias("_gm"))
+    packed = packed.select(*keys, F.col(f"_gm.{on}").alias("_gm_keys"), F.col(f"_gm.{value}").alias("_gm_values"))
+    return texts.join(packed, keys, "left")
+
+
+_TOKEN_IDS = values_in_place(T.IntegerType(), UNK_ID)
+_TOKENS = values_in_place(T.StringType(), UNK_TOKEN)
 
 
 def encode(
@@ -36,25 +52,20 @@ def encode(
 ) -> DataFrame:
     """(key, input_ids): the ids of a text's tokens between the start and the end id.
 
-    A token that the vocabulary does not have becomes ``UNK_ID``. ``key`` must be unique. The texts are spread by key before they are taken apart, so putting a
-    text together again needs no second shuffle when the vocabulary is broadcast.
+    A token that the vocabulary does not have becomes ``UNK_ID``. ``key`` must be unique. Only the distinct tokens
+    of a text are looked up.
     """
-    texts = df.select(key, tokens.alias("_gm_tokens")).repartition(F.col(key))
-    rows = texts.select(key, F.posexplode_outer("_gm_tokens").alias("pos", "token"))
-    found = lookup_join(rows, vocabulary, "token", broadcast_rows, "n", how="left")
-    items = _ordered(found.withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID))), key, "token_id")
-    return items.select(
-        key, F.concat(F.array(F.lit(BOS_ID)), "_gm_items", F.array(F.lit(EOS_ID))).alias("input_ids")
-    )
+    texts = df.select(key, tokens.alias("_gm_tokens"))
+    known = with_values(texts, [key], "_gm_tokens", vocabulary, "token", "token_id", broadcast_rows)
+    ids = _TOKEN_IDS("_gm_tokens", "_gm_keys", "_gm_values")
+    return known.select(key, F.concat(F.array(F.lit(BOS_ID)), ids, F.array(F.lit(EOS_ID))).alias("input_ids"))
 
 
 def decode(
     df: DataFrame, key: str, ids: str, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_TOKENS
 ) -> DataFrame:
     """(key, text): tokens joined by a space; special ids are skipped, an id without a token is ``<unk>``."""
-    texts = df.select(key, ids).repartition(F.col(key))
     words = F.filter(ids, lambda x: x >= len(SPECIAL_IDS))
-    rows = texts.select(key, F.posexplode_outer(words).alias("pos", "token_id"))
-    found = lookup_join(rows, vocabulary, "token_id", broadcast_rows, "n", how="left")
-    items = _ordered(found.withColumn("token", F.coalesce("token", F.lit(UNK_TOKEN))), key, "token")
-    return items.select(key, F.array_join("_gm_items", " ").alias("text"))
+    texts = df.select(key, words.cast("array<int>").alias("_gm_ids"))
+    known = with_values(texts, [key], "_gm_ids", vocabulary, "token_id", "token", broadcast_rows)
+    return known.select(key, F.array_join(_TOKENS("_gm_ids", "_gm_keys", "_gm_values"), " ").alias("text"))

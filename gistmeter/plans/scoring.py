@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions.text import rouge_tokens
-from gistmeter.functions.vectors import pooled
-from gistmeter.operators.embedding import gather_vectors, greedy_match, paired_cosine
+from gistmeter.functions.vectors import text_vector_scores
 from gistmeter.operators.overlap import (
     bleu,
     gold_token_columns,
@@ -27,20 +26,6 @@ def score_overlap(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     return bleu(rouge_f(df, predicted, gold), predicted, gold)
 
 
-def token_vectors(
-    df: DataFrame, keys: list[str], text: str, vectors: DataFrame, token_id: Column, dim: int
-) -> DataFrame:
-    """(keys, pos, vector): the vector of every token of every text.
-
-    ``vectors`` is unique on ``vec_id``; ``token_id`` maps the column ``token`` to it. A few tokens
-    make up much of any text, so a table too large to broadcast is joined with frequent ids apart.
-    """
-    tokens = df.select(*keys, F.posexplode(rouge_tokens(text)).alias("pos", "token"))
-    rows = tokens.select(*keys, "pos", token_id.alias("vec_id"))
-    table = vectors.select("vec_id", "vector")
-    return lookup_join(rows, table, "vec_id", BROADCAST_VALUES // dim).select(*keys, "pos", "vector")
-
-
 def score_vectors(
     df: DataFrame,
     keys: list[str],
@@ -52,42 +37,33 @@ def score_vectors(
 ) -> DataFrame:
     """(keys, cosine, match_precision, match_recall, match_f1) for every pair; ``keys`` are present and unique.
 
-    Both sides go through one lookup and meet again in one shuffle; the rest happens in the row.
-    ``cosine`` compares the mean-pooled, normalised vectors. A token without a vector counts as
-    unmatched in precision or recall; a pair without vectors on a side scores 0 and has no cosine.
+    ``vectors`` is unique on ``vec_id``; ``token_id`` maps the column ``token`` to it. A pair is one row: its token
+    ids move with its key, its distinct ids look up their vectors, and both sides are compared on one matrix of
+    these. ``cosine`` compares the mean-pooled, normalised vectors. A token without a vector counts as unmatched in
+    precision or recall; a pair without vectors on a side scores 0 and has no cosine.
     """
-    sides = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(F.lit("p").alias("side"), F.col(predicted).alias("text")),
-                F.struct(F.lit("g").alias("side"), F.col(gold).alias("text")),
-            )
-        ).alias("_gm"),
-    ).select(*keys, "_gm.*")
-    found = token_vectors(sides, [*keys, "side"], "text", vectors, token_id, dim)
-    rows = gather_vectors(
-        found, keys, "pos", "vector", {"_gm_p": F.col("side") == "p", "_gm_g": F.col("side") == "g"}
-    ).where((F.size("_gm_p") > 0) & (F.size("_gm_g") > 0))
-    means = rows.select(
-        "*", pooled(F.col("_gm_p"), dim).alias("_gm_pv"), pooled(F.col("_gm_g"), dim).alias("_gm_gv")
+    texts = df.select(*keys, rouge_tokens(predicted).alias("_gm_p"), rouge_tokens(gold).alias("_gm_g"))
+    texts = texts.repartition(*map(F.col, keys))
+    both = F.array_distinct(F.concat(F.coalesce("_gm_p", F.array()), F.coalesce("_gm_g", F.array())))
+    tokens = texts.select(*keys, F.explode(both).alias("token")).withColumn("vec_id", token_id)
+    table = vectors.select("vec_id", "vector")
+    found = lookup_join(tokens, table, "vec_id", BROADCAST_VALUES // dim)
+    packed = found.groupBy(*keys).agg(F.collect_list(F.struct("token", "vector")).alias("_gm"))
+    packed = packed.select(*keys, F.col("_gm.token").alias("_gm_keys"), F.col("_gm.vector").alias("_gm_vectors"))
+    joined = texts.join(packed, keys, "left")
+    scored = joined.withColumn("_gm_s", text_vector_scores("_gm_p", "_gm_g", "_gm_keys", "_gm_vectors"))
+    share = lambda matched, side: F.coalesce(
+        F.col(f"_gm_s.{matched}") / F.nullif(F.size(side), F.lit(0)), F.lit(0.0)
     )
-    scored = greedy_match(paired_cosine(means, "_gm_pv", "_gm_gv"), "_gm_p", "_gm_g")
     known = scored.select(
         *keys,
-        "cosine",
-        (F.col("match_precision") * F.size("_gm_p")).alias("_gm_matched_p"),
-        (F.col("match_recall") * F.size("_gm_g")).alias("_gm_matched_g"),
-    )
-    tokens = df.select(
-        *keys, F.size(rouge_tokens(predicted)).alias("_gm_n_p"), F.size(rouge_tokens(gold)).alias("_gm_n_g")
+        F.col("_gm_s.cosine").alias("cosine"),
+        share("matched_p", "_gm_p").alias("match_precision"),
+        share("matched_g", "_gm_g").alias("match_recall"),
     )
-    precision = F.coalesce(F.col("_gm_matched_p") / F.nullif("_gm_n_p", F.lit(0)), F.lit(0.0))
-    recall = F.coalesce(F.col("_gm_matched_g") / F.nullif("_gm_n_g", F.lit(0)), F.lit(0.0))
-    both = tokens.join(known, keys, "left").withColumns({"match_precision": precision, "match_recall": recall})
     total = F.col("match_precision") + F.col("match_recall")
     f1 = F.when(total != 0, 2 * F.col("match_precision") * F.col("match_recall") / total).otherwise(0.0)
-    return both.select(*keys, "cosine", "match_precision", "match_recall", f1.alias("match_f1"))
+    return known.select(*keys, "cosine", "match_precision", "match_recall", f1.alias("match_f1"))
 
 
 def melt_with_gold(

@@ -128,3 +128,30 @@ def test_merge_refuses_repeated_keys(spark):
     changes = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
     with pytest.raises(ValueError):
         sinks.merge_table(changes, "no_such_table", ["k"])
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_a_hot_token_outside_the_vocabulary(spark, broadcast_rows):
+    """Found among the rows' own frequent keys, so it never reaches the shuffled join; nor do repeated tokens."""
+    vocabulary = build_vocabulary(spark.createDataFrame([("a b",)], "text string"), rouge_tokens("text"))
+    texts = spark.range(300).select("id", F.concat_ws(" ", F.lit("hot hot hot a a"), F.col("id").cast("string")).alias("text"))
+    got = encode(texts, "id", rouge_tokens("text"), vocabulary, broadcast_rows)
+    assert {tuple(r.input_ids) for r in got.collect()} == {(0, 3, 3, 3, 4, 4, 3, 2)}
+
+
+def test_only_distinct_tokens_leave_a_text(spark):
+    """No exchange has a row per occurrence: what is exploded is distinct, and no vector crosses an exchange on its own."""
+    vocabulary = build_vocabulary(spark.createDataFrame([("a b c",)], "text string"), rouge_tokens("text"))
+    texts = spark.createDataFrame([(1, "a b a " * 50)], "id long, text string")
+    for broadcast_rows in (0, 1000):
+        plan = encode(texts, "id", rouge_tokens("text"), vocabulary, broadcast_rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan and plan.count("explode(array_distinct(") == plan.count("Generate ")
+    pairs = spark.createDataFrame([(1, "a b a", "a")], "id long, p string, g string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, vector array<double>")
+    scored = score_vectors(pairs, ["id"], "p", "g", vectors, F.length("token").cast("long"), 2)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1 and "explode(array_distinct(" in plan
+    executed = scored._jdf.queryExecution().executedPlan().toString()
+    for line in executed.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "vector" not in line.split("Exchange", 1)[1]
