@@ -99,3 +99,28 @@ def latency_percentiles(
             for p in percents
         ]
     )
+
+
+# Sketches of this size are off by less than half a percent of the ranks, with 99 % confidence.
+SKETCH_SIZE, SKETCH_ERROR = 1000, 0.005
+
+
+def latency_sketches(df: DataFrame, by: list[str], seconds: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """(by, sketch): a mergeable quantile sketch of each group's times, of a few KB whatever the group's size.
+
+    Null times do not count; a group without any has an empty sketch, which gives no percentiles. Every task sketches its own rows first.
+    """
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(seconds).cast("double"), size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones, without the times."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", size).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, by: list[str], percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """(by, steps, percent, seconds): times whose rank is off by less than ``SKETCH_ERROR`` of the steps."""
+    values = [F.struct(F.lit(p).alias("percent"), F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100)).alias("seconds")) for p in percents]
+    # Asked for a quantile, an empty sketch fails.
+    known = sketches.where(F.kll_sketch_get_n_double("sketch") > 0)
+    return known.select(*by, F.kll_sketch_get_n_double("sketch").alias("steps"), F.inline(F.array(*values)))
