@@ -185,11 +185,10 @@ def clusters(vectors: DataFrame, count: int = 8, rounds: int = 10, scale: float
         for row in total.collect():  # one row for each centroid
             moved[row["cluster"]] = [row[s] // row["members"] for s in _SUMS]
         values = moved
-    digests = [(k, hashlib.sha256(",".join(map(str, (v + low).tolist())).encode()).hexdigest()) for k, v in enumerate(values)]
+    digests = [hashlib.sha256(",".join(map(str, (v + low).tolist())).encode()).hexdigest() for v in values]
     found = materialize(planes.mapInArrow(_assigned(to_planes(values, bits)), "vec_id long, cluster int, distance long"), "assigned")
-    per = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = per.select(F.sum("cluster_inertia").alias("inertia"))
-    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
-    # At most ``count`` rows are broadcast.
-    facts = named.join(F.broadcast(per), "cluster").join(F.broadcast(whole))
-    return found.join(F.broadcast(facts), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    # One row for each centroid with members, at most ``count``, is collected and broadcast.
+    per = {r["cluster"]: r["inertia"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
+    facts = [(k, own, sum(per.values()), digests[k]) for k, own in per.items()]
+    table = spark.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(table), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -265,18 +265,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-#: Most star rounds, and how many pairs a posting may still have for all of them to be looked at.
-ROUNDS, PAIRS = 4, 8
+#: Most star rounds, and how many pairs may be left, for each posting there is, for all of them to be looked at.
+ROUNDS, PAIRS = 3, 16
 
 
-def _narrowed(marked: DataFrame) -> DataFrame:
-    """Postings with a possible partner of another component in their list, and the list's most frequent component."""
+def _narrowed(marked: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Postings with a possible partner of another component in their list, and the list's most frequent component.
+
+    Up to ``most`` lists that are open are counted and broadcast; more are joined with the postings by key, where a
+    list of very many postings is one that adaptive execution splits.
+    """
     per_root = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most"), F.min("size").alias("size"))
     main = F.max_by("root", F.struct("n", -F.col("root"))).alias("main")
     per_key = per_root.groupBy("key").agg(main, F.sum("n").alias("in_list"), F.max("n").alias("in_main"), F.max("most").alias("far"), F.min("size").alias("least"))
-    open_lists = materialize(per_key.where("in_list > in_main"), "lists").drop("in_main")
-    found = left_lookup(marked, open_lists, "key", "in_list")
-    return found.where("main is not null and size <= far and least <= most").drop("far", "least")
+    lists = materialize(per_key.where("in_list > in_main"), "lists").select(F.col("key").alias("_key"), "main", "far", "least")
+    small = lists.limit(most + 1).count() <= most
+    fits = (F.col("key") == F.col("_key")) & (F.col("size") <= F.col("far")) & (F.col("least") <= F.col("most"))
+    return marked.join(F.broadcast(lists) if small else lists, fits).drop("_key", "far", "least")
 
 
 def linked_groups(
@@ -297,7 +302,7 @@ def linked_groups(
     """
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") <= F.col("y.most")) & (F.col("y.size") <= F.col("x.most"))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    roots, links, open_lists = None, None, postings.withColumn("root", F.col("node"))
+    roots, links, open_lists, count = None, None, postings.withColumn("root", F.col("node")), postings.count()
     for turn in range(ROUNDS):
         by = F.struct("weight", -F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
         heads = open_lists.groupBy("key").agg(F.max_by(F.struct("node", "root", "size", "most"), by).alias("x"), F.count(F.lit(1)).alias("n"))
@@ -307,13 +312,12 @@ def linked_groups(
         links = found if links is None else links.union(found)
         roots = components(links)
         marked = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_lists = materialize(_narrowed(materialize(marked, "marked")).drop("main", "in_list"), "narrowed")
-        open_lists = materialize(_narrowed(open_lists), "open")
-        left = open_lists.groupBy("key").agg(F.first("in_list").alias("n"), F.sum((F.col("root") != F.col("main")).cast("long")).alias("other"))
-        few, pairs = left.agg(F.sum("n"), F.sum(F.col("n") * F.col("other"))).first()
-        if pairs is None:
+        open_lists = materialize(_narrowed(materialize(marked, "marked")), "open")
+        left = open_lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("root") != F.col("main")).cast("long")).alias("other"))
+        pairs = left.agg(F.sum(F.col("n") * F.col("other"))).first()[0]
+        if not pairs:
             return roots, links
-        if pairs <= PAIRS * few:
+        if pairs <= PAIRS * count:
             break
     if profiles is not None:
         open_lists = open_lists.join(profiles, "node")
