@@ -40,9 +40,9 @@ def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def _with_grams(df: DataFrame, side: str, tokens: Column, orders: list[int]) -> DataFrame:
-    """Columns ``side`` (tokens) and ``side2``, ``side3``, ... (n-grams)."""
+    """Columns ``side`` (tokens) and, of the orders asked for, ``side2``, ``side3``, ... (n-grams)."""
     df = _with_missing(df, {side: tokens})
-    return _with_missing(df, {f"{side}{n}": ngrams(F.col(side), n) for n in _ORDERS if n > 1})
+    return _with_missing(df, {f"{side}{n}": ngrams(F.col(side), n) for n in orders if n > 1})
 
 
 def _grams(side: str, n: int) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gistmeter.operators.ranking import global_rank
 
+# Positions of at most this many rows (a count) are broadcast.
+BROADCAST_POSITIONS = 2_000_000
+
 
 def melt(
     df: DataFrame, ids: list[str], variable: str = "model", value: str = "obtained_summary"
@@ -15,6 +18,18 @@ def melt(
     return df.unpivot(ids, [c for c in df.columns if c not in ids], variable, value)
 
 
+def with_position(df: DataFrame, ids: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with the 1-based position of each row in ``order``; ``ids`` are unique and present, and hold the order.
+
+    Only ids and order are ranked and sorted. The positions are brought to the rows by a broadcast up to
+    ``BROADCAST_POSITIONS`` rows, and by a join beyond.
+    """
+    slim = df.select(*ids, *[(F.col(o) if isinstance(o, str) else o).alias(f"_gm_o{k}") for k, o in enumerate(order)])
+    ranked = global_rank(slim, *[f"_gm_o{k}" for k in range(len(order))], name=name).select(*ids, name)
+    small = ranked.limit(BROADCAST_POSITIONS + 1).count() <= BROADCAST_POSITIONS
+    return df.join(F.broadcast(ranked) if small else ranked, ids)
+
+
 def melt_with_index(
     df: DataFrame,
     ids: list[str],
@@ -24,13 +39,13 @@ def melt_with_index(
 ) -> DataFrame:
     """``melt`` plus a 0-based ``index``: columns one after the other, rows in ``order``.
 
-    Only the wide rows are ranked; the place of a long row follows by arithmetic.
+    ``ids`` are unique and present. Only they and the order are ranked; the place of a long row follows by arithmetic.
     """
     columns = [c for c in df.columns if c not in ids]
-    ranked = global_rank(df, *order, name="_gm_row")
-    total = df.count()
+    ranked = with_position(df, ids, order, "_gm_row")
     place = F.coalesce(*[F.when(F.col(variable) == name, F.lit(i)) for i, name in enumerate(columns)])
     long = ranked.unpivot([*ids, "_gm_row"], columns, variable, value)
+    total = df.count()
     return long.select(
         (place * F.lit(total) + F.col("_gm_row") - 1).cast("long").alias("index"), *ids, variable, value
     )

@@ -22,7 +22,7 @@ from gistmeter.operators.ranking import rank_within
 from gistmeter.operators.summarize import batch_summarize as summarize
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
 from gistmeter.plans import fixtures as fx
-from gistmeter.plans.scoring import melt_with_gold, score_overlap, score_vectors, score_wide
+from gistmeter.plans.scoring import melt_with_gold, score_overlap, score_vectors, score_wide, score_wide_vectors
 from gistmeter.session import fresh_path, materialize
 from gistmeter.sources import files, sinks, tables, trial_logs
 from gistmeter.sources.tables import scan
@@ -583,7 +583,9 @@ def latest_file(spark: SparkSession, folder: str) -> DataFrame:
         "modified",
     )
     newest = files.newest(listed, ["trial"], "checkpoint").withColumnRenamed("entry", "checkpoint")
-    rows = spark.read.schema("event_id long, value double").json(f"{path}/checkpoint_*/run=*/*.json")
+    # One folder a run is read, and nothing of the older checkpoints.
+    chosen = [f"{path}/{r['checkpoint']}/{r['trial']}/*.json" for r in newest.select("trial", "checkpoint").collect()]
+    rows = spark.read.schema("event_id long, value double").json(chosen)
     where = rows.select(
         trial_logs.folder_name(F.col("_metadata.file_path")).alias("trial"),
         trial_logs.folder_name(F.col("_metadata.file_path"), 2).alias("checkpoint"),
@@ -603,19 +605,21 @@ def overwrite_readback(spark: SparkSession, folder: str) -> DataFrame:
     sinks.overwrite_table(texts.select("doc_id", F.lit(0).cast("long").alias("chars")), name, path)
     final = texts.select("doc_id", F.length(without_repeats("text")).cast("long").alias("chars"))
     sinks.overwrite_table(final, name, path)
-    return spark.sql(f"SELECT * FROM {name}")
+    return _dropped(spark.sql(f"SELECT * FROM {name}"), name)
+
+
+def _dropped(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a table whose name leaves the catalog; its files lie in the shared folder."""
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return df
 
 
 @registered
 def create_keyed_table(spark: SparkSession, folder: str) -> DataFrame:
     pairs = overlap.rouge_f(fx.conversation_pairs(spark, folder), "prediction", "gold", types=("rouge1",))
-    return sinks.create_keyed_table(
-        pairs.select("conv_id", "turn", "rouge1"),
-        f"scored_{uuid.uuid4().hex}",
-        ["conv_id", "turn"],
-        "Pairs with their scores.",
-        fresh_path(spark, "table"),
-    )
+    name, path = f"scored_{uuid.uuid4().hex}", fresh_path(spark, "table")
+    rows = pairs.select("conv_id", "turn", "rouge1")
+    return _dropped(sinks.create_keyed_table(rows, name, ["conv_id", "turn"], "Pairs with their scores.", path), name)
 
 
 @registered
@@ -629,7 +633,9 @@ def upsert_by_key(spark: SparkSession, folder: str) -> DataFrame:
     changes = scan(spark, folder, "labels").select(
         "doc_id", F.concat_ws("/", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("state")
     )
-    return sinks.upsert(current, changes, ["doc_id"])
+    name = f"states_{uuid.uuid4().hex}"
+    sinks.overwrite_table(current, name, fresh_path(spark, "table"))
+    return _dropped(sinks.merge_table(changes, name, ["doc_id"]), name)
 
 
 # The scored tables
@@ -673,8 +679,23 @@ def summaries_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return _bleu_output(overlap.bleu(scored, "obtained_summary", "gold_summary"), ["company", "model", *kinds])
 
 
+def _scored_summaries(spark: SparkSession, folder: str, types: tuple[str, ...]) -> DataFrame:
+    wide = fx.wide_summaries(spark, folder)
+    vectors = fx.vectors(spark, folder)
+    scored = score_wide(wide, ["company"], "gold_summary", types=types)
+    vector_scores = score_wide_vectors(wide, ["company"], "gold_summary", vectors, fx.token_vector_id(vectors), fx.VECTOR_DIM)
+    index = reshape.melt_with_index(wide.drop("gold_summary"), ["company"], ["company"]).select("index", "company", "model")
+    both = _bleu_output(scored, ["company", "model", *types]).join(vector_scores, ["company", "model"])
+    return corpus.rounded(both.join(index, ["company", "model"]).select("index", *both.columns), 6)
+
+
+@registered
+def summaries_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the flagship that SQL can check on whole documents: all but ROUGE-Lsum."""
+    return _scored_summaries(spark, folder, ("rouge1", "rouge2", "rougel"))
+
+
 @registered
 def scored_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship: wide model outputs to long, then every overlap metric on whole texts."""
-    scored = score_wide(fx.wide_summaries(spark, folder), ["company"], "gold_summary")
-    return _bleu_output(scored, ["company", "model", *overlap.ROUGE_TYPES])
+    """The flagship: wide model outputs to long, with every overlap and vector metric on whole texts and the index."""
+    return _scored_summaries(spark, folder, overlap.ROUGE_TYPES)

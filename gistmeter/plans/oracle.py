@@ -694,3 +694,38 @@ SELECT conv_id, turn, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, ro
        round(rougelsum, 6) AS rougelsum, bleu, brevity_penalty, length_ratio, translation_length, reference_length,
        cosine, match_precision, match_recall, match_f1
 FROM four JOIN bleus USING (conv_id, turn) LEFT JOIN cosine USING (conv_id, turn) LEFT JOIN matches USING (conv_id, turn)"""
+
+# Each summary is made of sentences of its text in their order, so all of its tokens are a subsequence of the text's.
+ORACLE["summaries_scored"] = f"""WITH {MODEL_TOKENS}, {overlap(1, "mtoks", "o1")}, {overlap(2, "mtoks", "o2")},
+four AS (
+  SELECT company, model, k, round({f_value("coalesce(o1.m, 0)", size_of("p", 1), size_of("g", 1))}, 6) AS rouge1,
+         round({f_value("coalesce(o2.m, 0)", size_of("p", 2), size_of("g", 2))}, 6) AS rouge2,
+         round({f_value("len(p)", "len(p)", "len(g)")}, 6) AS rougel,
+         len(p) AS np, len(g) AS ng
+  FROM mtoks LEFT JOIN o1 USING (k) LEFT JOIN o2 USING (k)),
+bleus AS (WITH {MODEL_BLEU}, {bleu_counts("mtoks", "company, model")} {bleu_select("bc", "company, model,")}),
+sided AS (SELECT k, 'p' AS side, unnest(p) AS token FROM mtoks UNION ALL SELECT k, 'g', unnest(g) FROM mtoks),
+ided AS MATERIALIZED (
+  SELECT k, side, ('0x' || substr(md5(token), 1, 8))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id, count(*) AS n
+  FROM sided GROUP BY ALL),
+parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+pool AS MATERIALIZED (SELECT k, side, d, sum(n * x) / sum(n) AS x FROM ided JOIN parts USING (vec_id) GROUP BY ALL),
+cosines AS (
+  SELECT a.k, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS cosine
+  FROM pool a JOIN pool b ON a.k = b.k AND a.d = b.d AND a.side = 'p' AND b.side = 'g' GROUP BY a.k),
+unit AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+sims AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y,
+         list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS c
+  FROM unit a, unit b),
+met AS (
+  SELECT a.k, a.vec_id AS x, a.n AS nx, b.vec_id AS y, b.n AS ny, c FROM ided a
+  JOIN ided b ON a.k = b.k AND a.side = 'p' AND b.side = 'g' JOIN sims ON x = a.vec_id AND y = b.vec_id),
+mp AS (SELECT k, sum(nx * c) AS m FROM (SELECT k, x, nx, max(c) AS c FROM met GROUP BY ALL) GROUP BY k),
+mr AS (SELECT k, sum(ny * c) AS m FROM (SELECT k, y, ny, max(c) AS c FROM met GROUP BY ALL) GROUP BY k),
+places AS ({ORACLE["melt_with_index"]}),
+matched AS (
+  SELECT k, coalesce(mp.m / np, 0) AS p, coalesce(mr.m / ng, 0) AS r FROM four LEFT JOIN mp USING (k) LEFT JOIN mr USING (k))
+SELECT places."index", bleus.*, rouge1, rouge2, rougel, round(cosine, 6) AS cosine, round(p, 6) AS match_precision,
+       round(r, 6) AS match_recall, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS match_f1
+FROM four JOIN bleus USING (company, model) JOIN places USING (company, model) JOIN matched USING (k) LEFT JOIN cosines USING (k)"""

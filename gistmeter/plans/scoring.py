@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gistmeter.functions.text import rouge_tokens
 from gistmeter.functions.vectors import text_vector_scores
 from gistmeter.operators.overlap import (
+    ROUGE_TYPES,
     bleu,
     gold_token_columns,
     rouge_f,
@@ -21,9 +22,9 @@ from gistmeter.operators.reshape import melt
 BROADCAST_VALUES = 4_000_000
 
 
-def score_overlap(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """Add rouge1, rouge2, rougel, rougelsum (F values) and the BLEU columns; no shuffle."""
-    return bleu(rouge_f(df, predicted, gold), predicted, gold)
+def score_overlap(df: DataFrame, predicted: str, gold: str, types: tuple[str, ...] = ROUGE_TYPES) -> DataFrame:
+    """Add the F values of ``types`` (rouge1, rouge2, rougel, rougelsum) and the BLEU columns; no shuffle."""
+    return bleu(rouge_f(df, predicted, gold, types=types), predicted, gold)
 
 
 def score_vectors(
@@ -74,9 +75,20 @@ def melt_with_gold(
     return melt(staged, [*ids, gold, *gold_token_columns(staged)], variable, "obtained_summary")
 
 
-def score_wide(df: DataFrame, ids: list[str], gold: str, variable: str = "model") -> DataFrame:
+def score_wide(
+    df: DataFrame, ids: list[str], gold: str, variable: str = "model", types: tuple[str, ...] = ROUGE_TYPES
+) -> DataFrame:
     """Wide model outputs to one scored row per id row and model.
 
     Every column outside ``ids`` and ``gold`` is a model. The gold text is taken apart before the melt.
     """
-    return without_gold_tokens(score_overlap(melt_with_gold(df, ids, gold, variable), "obtained_summary", gold))
+    long = melt_with_gold(df, ids, gold, variable, types=types)
+    return without_gold_tokens(score_overlap(long, "obtained_summary", gold, types))
+
+
+def score_wide_vectors(
+    df: DataFrame, ids: list[str], gold: str, vectors: DataFrame, token_id: Column, dim: int, variable: str = "model"
+) -> DataFrame:
+    """(ids, variable, cosine, match_precision, match_recall, match_f1) for every id row and model; ``ids`` are unique."""
+    long = melt(df, [*ids, gold], variable, "obtained_summary")
+    return score_vectors(long, [*ids, variable], "obtained_summary", gold, vectors, token_id, dim)

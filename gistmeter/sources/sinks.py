@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmeter.session import materialize
+from gistmeter.session import fresh_path
 
 
 def overwrite_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -56,9 +56,18 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(changes)
 
 
-def merge_table(changes: DataFrame, name: str, keys: list[str], path: str | None = None) -> DataFrame:
-    """Merge rows into a stored table by key; keys of ``changes`` must be present and unique."""
+def merge_table(changes: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Merge rows into a stored Parquet table by key; keys of ``changes`` must be present and unique.
+
+    The merged rows are written once, to a folder of their own in the shared folder, and the catalog is then told the
+    table's new place in one step: readers see the old table or the new one, and the old files stay for those that
+    have begun. ``sources.snapshots`` rewrites touched buckets only and detects a second writer.
+    """
     _require_keys(changes, keys)
-    merged = upsert(changes.sparkSession.table(name), changes, keys)
-    # The old table is an input, so the merged rows are written elsewhere before it is replaced.
-    return overwrite_table(materialize(merged, "merge"), name, path)
+    spark = changes.sparkSession
+    merged = upsert(spark.table(name), changes, keys)
+    path = fresh_path(spark, "merged")
+    merged.write.parquet(path)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
+    return spark.table(name)

@@ -24,7 +24,7 @@ def ordered(rows):
 
 def test_every_check_belongs_to_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    # Whole documents fill tables too large for SQL; tests/test_overlap.py has the definitions instead.
+    # ROUGE-Lsum of whole documents fills tables too large for SQL; tests/test_overlap.py has the definitions instead.
     assert set(QUERIES) - set(ORACLE) == {"scored_summaries"}
 
 

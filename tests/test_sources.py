@@ -50,7 +50,7 @@ def test_overwrite_and_merge(spark, table):
     name, path = table("merged")
     sinks.overwrite_table(spark.createDataFrame([(9, "x")], "id int, v string"), name, path)
     sinks.overwrite_table(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), name, path)
-    sinks.merge_table(spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), name, ["id"], path)
+    sinks.merge_table(spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), name, ["id"])
     assert sorted(map(tuple, spark.table(name).collect())) == [(1, "a"), (2, "B"), (3, "c")]
 
 
