@@ -3,8 +3,9 @@
 A vector is described by its nearest reference points (pivots) in order (Chavez, Figueroa, Navarro, 2008). It
 stands in the inverted list of each pair of its nearest pivots, so two vectors meet if they share two of these;
 they are candidates if they share at least ``SHARED`` of a longer list, and are then verified by cosine in double
-precision. The more pivots, the less short lists overlap, so both lists grow with the number of pivots (``reach``). Equal vectors are one class. The number of links of a vector is counted inside its
-component by blocks, without a row for any pair.
+precision. The more pivots, the less short lists overlap, so both lists grow with the number of pivots (``reach``).
+Equal vectors are one class. The links of a vector are counted inside its component, block by block: a block is what
+lies round one pivot, and only blocks whose caps leave it open are compared, without a row for any pair of vectors.
 """
 
 from __future__ import annotations
@@ -57,7 +58,12 @@ def _index(pivots: np.ndarray):
                     order = np.argsort(-(part[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :deep]
                     a, b = order[:, first % order.shape[1]], order[:, second % order.shape[1]]
                     key = (np.minimum(a, b) * len(pivots) + np.maximum(a, b)).astype(np.int64) + np.int64(part.shape[1]) * 2**40
-                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), lists(order.astype(np.int16).ravel(), np.full(len(order), order.shape[1])), lists(key.ravel(), np.full(len(key), key.shape[1]))], names=["node", "near", "keys"])
+                    # Angles are a distance only among vectors as long as the pivots.
+                    cosine = (part[:, :width] * pivots[order[:, 0], :width]).sum(1)
+                    angle = np.arccos(np.clip(cosine, -1, 1)) if part.shape[1] == pivots.shape[1] else np.full(len(part), np.pi)
+                    columns = [pa.array(node[some]), lists(order.astype(np.int16).ravel(), np.full(len(order), order.shape[1])), lists(key.ravel(), np.full(len(key), key.shape[1]))]
+                    columns += [pa.array(np.full(len(part), part.shape[1], np.int32)), pa.array(order[:, 0].astype(np.int32)), pa.array(angle)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "near", "keys", "width", "cell", "angle"])
 
     return run
 
@@ -80,6 +86,32 @@ def _cosines(least: float):
     return run
 
 
+#: What names a pair of blocks: component, length of vector, and nearest pivot and piece of each side.
+_PAIR = ["root", "width", "cell_i", "piece_i", "cell_j", "piece_j"]
+
+
+def _compared(pivots: np.ndarray, least: float):
+    """Pairs of blocks that may hold a link; ``whole`` says that all of their vectors link.
+
+    A block lies in a cap round its pivot. By the triangle inequality its vectors are no farther from those of
+    another block than the pivots' angle and both radii, and no nearer than that angle without them.
+    """
+    limit, slack = np.arccos(least), 1e-6
+
+    def run(batches):
+        for batch in batches:
+            i, j = batch.column("cell_i").to_numpy(), batch.column("cell_j").to_numpy()
+            radii = batch.column("angle_i").to_numpy() + batch.column("angle_j").to_numpy()
+            between = np.arccos(np.clip((pivots[i] * pivots[j]).sum(1), -1, 1))
+            between[i == j] = 0
+            whole = between + radii < limit - slack
+            near = between - radii < limit + slack
+            columns = [*(batch.column(c) for c in _PAIR), batch.column("copies_j"), pa.array(whole)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_PAIR, "copies_j", "whole"]).filter(pa.array(near))
+
+    return run
+
+
 def _links(least: float):
     """Rows come by component and pair of blocks; counts the links of the vectors of the left block."""
 
@@ -98,7 +130,7 @@ def _links(least: float):
         for batch in batches:
             table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks()
             batch = table.to_batches()[0] if table.num_rows else batch
-            key = np.stack([batch.column(c).to_numpy() for c in ("root", "i", "j")], axis=1)
+            key = np.stack([batch.column(c).to_numpy() for c in _PAIR], axis=1)
             cuts = [*(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1)]
             start = 0
             for stop in cuts:
@@ -111,6 +143,17 @@ def _links(least: float):
     return run
 
 
+def _in_pieces(members: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``members`` (written) with the piece of their cell they are in; a cell of a component has about ``BLOCK`` to a piece."""
+    members = materialize(members, "members")
+    cell = ["root", "width", "cell"]
+    crowded = members.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces")).where("pieces > 1")
+    crowded = materialize(crowded, "crowded")  # at most one row for each BLOCK members
+    small = crowded.limit(most + 1).count() <= most
+    placed = members.join(F.broadcast(crowded) if small else crowded, cell, "left")
+    return materialize(placed.withColumn("piece", F.pmod(F.xxhash64("node"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces"), "placed")
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
@@ -138,7 +181,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
         v = np.array(r["embedding"])
         v = v / np.abs(v).max()
         points[k, : len(v)] = v / np.sqrt((v**2).sum())
-    described = materialize(classes.select("node", "embedding").mapInArrow(_index(points), "node long, near array<short>, keys array<long>"), "described")
+    described = materialize(classes.select("node", "embedding").mapInArrow(_index(points), "node long, near array<short>, keys array<long>, width int, cell int, angle double"), "described")
     # All sizes fit here.
     none = [F.lit(0).alias(c) for c in ("weight", "size", "most")]
     postings = materialize(described.select(F.explode(F.array_distinct("keys")).alias("key"), "node", *none), "postings")
@@ -153,13 +196,23 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
 
     roots, _ = linked_groups(postings, verify)
     roots = materialize(roots, "roots")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = roots.join(sizes, "root").join(classes.select("node", "copies", "embedding"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = members.select("root", F.col("block").alias("i"), others.alias("j"), F.lit(0).alias("side"), "node", "copies", "embedding")
-    right = members.select("root", others.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "node", "copies", "embedding")
-    dealt = left.union(right).repartition(partitions_of(vectors), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = dealt.mapInArrow(_links(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    members = roots.join(described.select("node", "width", "cell", "angle"), "node").join(classes.select("node", "copies", "embedding"), "node")
+    members = _in_pieces(members)
+    block = ["root", "width", "cell", "piece"]
+    caps = materialize(members.groupBy(*block).agg(F.sum("copies").alias("copies"), F.max("angle").alias("angle")), "caps")
+    sides = [caps.withColumnsRenamed({c: f"{c}_{k}" for c in ("cell", "piece", "copies", "angle")}) for k in ("i", "j")]
+    ddl = "root long, width int, cell_i int, piece_i int, cell_j int, piece_j int, copies_j long, whole boolean"
+    pairs = materialize(sides[0].join(sides[1], ["root", "width"]).mapInArrow(_compared(points, least), ddl), "pairs")
+    # Pairs of blocks that link as a whole are counted without their vectors.
+    sure = pairs.where("whole").groupBy("root", "width", "cell_i", "piece_i").agg(F.sum("copies_j").alias("links"))
+    sure = members.join(sure.withColumnsRenamed({"cell_i": "cell", "piece_i": "piece"}), block).select("node", "links")
+    open_pairs = pairs.where("not whole").drop("copies_j", "whole")
+    both = []
+    for side, k in enumerate(("i", "j")):
+        own = members.withColumnsRenamed({"cell": f"cell_{k}", "piece": f"piece_{k}"}).drop("angle")
+        both.append(own.join(open_pairs, ["root", "width", f"cell_{k}", f"piece_{k}"]).select(*_PAIR, F.lit(side).alias("side"), "node", "copies", "embedding"))
+    dealt = both[0].union(both[1]).repartition(partitions_of(vectors), *_PAIR).sortWithinPartitions(*_PAIR)
+    links = dealt.mapInArrow(_links(least), "node long, links long").union(sure).groupBy("node").agg(F.sum("links").alias("links"))
     table = classes.select("digest", "node", "copies").join(roots, "node", "left").join(links, "node", "left")
     table = table.select("digest", (F.coalesce("links", "copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"), "copies")
     found = left_lookup(keyed.select("vec_id", "digest"), materialize(table, "found"), "digest", "copies")

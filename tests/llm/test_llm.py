@@ -343,12 +343,29 @@ def test_candidates_do_not_thin_out_with_pivots(pivots):
     batch = pa.RecordBatch.from_pydict({"node": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
     keys, near = {}, {}
     for rows in pivot_index._index(points)([batch]):
-        for node, deep, own in zip(*(c.to_pylist() for c in rows.columns)):
+        for node, deep, own, *_ in zip(*(c.to_pylist() for c in rows.columns)):
             keys[node], near[node] = set(own), set(deep)
     found = sum(bool(keys[k] & keys[k + 1]) and len(near[k] & near[k + 1]) >= pivot_index.SHARED for k in range(0, len(vectors), 2))
     assert found >= 0.99 * 400
 
 
+def test_links_in_crowds_are_counted_by_block(spark, monkeypatch):
+    """Tight crowds link as whole blocks, loose ones are compared; shorter vectors and copies stand beside them."""
+    monkeypatch.setattr(pivot_index, "BLOCK", 16)
+    maker = np.random.default_rng(31)
+    centres = maker.normal(size=(3, 16))
+    spread = np.repeat([0.02, 0.25, 0.45], 120)[:, None]
+    vectors = np.repeat(centres, 120, axis=0) + spread * maker.normal(size=(360, 16))
+    vectors[10:40] = vectors[10]
+    rows = [(k, v) for k, v in enumerate(vectors.tolist())] + [(1000 + k, v[:9]) for k, v in enumerate(vectors[:150].tolist())]
+    got = {r.vec_id: r.n_links for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for part, base in ((vectors, 0), (vectors[:150, :9], 1000)):
+        unit = part / np.linalg.norm(part, axis=1, keepdims=True)
+        cosine = unit @ unit.T
+        sure = np.abs(cosine - 0.9).min() > 1e-12
+        assert sure and [got[base + k] for k in range(len(part))] == ((cosine >= 0.9).sum(1) - 1).tolist()
+
+
 def test_near_vectors_with_far_fewer_pivots(spark):
     vectors = planted_pairs(3000, np.random.default_rng(12))
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
