@@ -48,7 +48,8 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every page judged by the nested host and path rules."""
-    rules = spark.createDataFrame(url_rules.RULES, "verdict string, host string, path string")
+    values = ", ".join(str(rule) for rule in url_rules.RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)")
     return url_rules.judge(_table(spark, folder, "pages"), rules)
 
 

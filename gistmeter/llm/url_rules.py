@@ -1,13 +1,19 @@
-"""URL filter: sort-merge range join of urls with nested rules, in DataFrame functions only.
+"""URL filter: sort-merge range joins of urls with nested rules, in DataFrame functions only.
 
 A host is turned round, label by label (``www.example.com`` becomes ``com.example.www.``). In the order of these
 canonical keys a rule's host is the interval from its key to the key with ``/`` for the last dot (the next
-character, which no host holds), and the intervals nest. At each end of an interval the stack of rules that are active from there on is known from the
-rules alone. Urls and interval ends are then sorted together; sweeping over them, a url takes the stack of the
-last end before it, and of that stack the longest rule whose path begins the url's path.
-
-The sweep runs per site (first two labels) and salt: a url needs no other url, only the ends of its site, so a
-site with many urls is dealt over several sweeps that each get these ends.
+character, which no host holds), and the intervals nest. At each end of an interval the innermost host with rules that
+is active from there on is known from the rules alone. Urls and interval ends are sorted together; sweeping over them,
+a url takes the host of the last end before it: its rules are those of that host and of the hosts above.
+
+Paths nest in the same way. All rules of one such host and the hosts above it are sorted by path, and each carries the
+stack of those whose path begins its own. In a second sweep a url takes the stack of the last path at or before its own.
+Every rule that fits is on that stack: what lies between a path and one that it begins begins with it too. The
+longest one on the stack that begins the url's path wins, so the work for a url grows with the depth of the
+nesting and not with the number of rules.
+
+A url needs no other url, only the marks of its site or host, so where these have many urls they are dealt over several
+sweeps that each get the marks.
 """
 
 from __future__ import annotations
@@ -49,11 +55,24 @@ def site_of(key: Column) -> Column:
     return F.substring_index(key, ".", 2)
 
 
-def _marks(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ends of the intervals of hosts with two labels or more, with the stack active after each; and the rest.
+def _above(key: str) -> Column:
+    """The key and the keys of the hosts above it."""
+    return F.expr(f"transform(sequence(1, size(split({key}, '[.]')) - 1), n -> concat(substring_index({key}, '.', n), '.'))")
 
-    A host's ancestors are the leading labels of its key, so stacks come from an equi-join.
-    """
+
+def _host_marks(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of the intervals of hosts with two labels or more, with the innermost host active after each; and the rest."""
+    up = keys.select("key", F.explode(_above("key")).alias("above")).where("above <> key")
+    outer = up.join(keys.select(F.col("key").alias("above")), "above").groupBy("key").agg(F.max_by("above", F.char_length("above")).alias("outer"))
+    known = keys.join(outer, "key", "left")
+    deep = known.where(F.size(F.split("key", r"\.")) > 2).withColumn("site", site_of(F.col("key")))
+    start = deep.select("site", "key", F.struct(F.col("key").alias("anchor")).alias("active"))
+    end = deep.select("site", F.regexp_replace("key", r"\.$", "/").alias("key"), F.struct(F.col("outer").alias("anchor")).alias("active"))
+    return start.union(end), known.where(F.size(F.split("key", r"\.")) == 2).select("key")
+
+
+def _path_marks(rules: DataFrame, keys: DataFrame) -> DataFrame:
+    """For each host with rules and each path of its own rules and those above: the stack of rules whose path begins it."""
     entry = F.struct(
         (F.char_length("host") + F.char_length("path")).alias("size"),
         F.char_length("host").alias("host_size"),
@@ -61,18 +80,36 @@ def _marks(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
         "path",
         "verdict",
     )
-    by_host = rules.withColumn("key", host_key(F.col("host"))).groupBy("key").agg(F.collect_set(entry).alias("rules"))
-    above = r"transform(sequence(1, size(split(key, '[.]')) - 1), n -> concat(substring_index(key, '.', n), '.'))"
-    up = by_host.select("key", F.explode(F.expr(above)).alias("above"))
-    found = up.join(by_host.select(F.col("key").alias("above"), F.col("rules").alias("above_rules")), "above")
-    own = F.flatten(F.collect_list("above_rules"))
-    outer = F.flatten(F.collect_list(F.when(F.col("above") != F.col("key"), F.col("above_rules"))))
-    stacks = found.groupBy("key").agg(own.alias("stack"), outer.alias("outer"))
-    deep = stacks.where(F.size(F.split("key", r"\.")) > 2)
-    site = site_of(F.col("key")).alias("site")
-    start = deep.select(site, "key", "stack")
-    end = deep.select(site, F.regexp_replace("key", r"\.$", "/").alias("key"), F.col("outer").alias("stack"))
-    return start.union(end), stacks.where(F.size(F.split("key", r"\.")) == 2).select("key", "stack")
+    by_host = rules.select(host_key(F.col("host")).alias("above"), "path", entry.alias("entry"))
+    up = keys.select(F.col("key").alias("anchor"), F.explode(_above("key")).alias("above"))
+    all_rules = materialize(up.join(by_host, "above").select("anchor", "path", "entry"), "entries")
+    begins = F.explode(F.transform(F.sequence(F.lit(0), F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
+    begun = all_rules.select("anchor", "path").distinct().select("anchor", "path", begins.alias("begin"))
+    met = begun.join(all_rules.select("anchor", F.col("path").alias("begin"), "entry"), ["anchor", "begin"])
+    return met.groupBy("anchor", "path").agg(F.collect_set("entry").alias("stack"))
+
+
+def _salted(urls: DataFrame, by: str, target: int) -> tuple[DataFrame, DataFrame]:
+    """``urls`` with a salt, and the number of salts of every value of ``by``; a salt holds about ``target`` urls.
+
+    Values with more salts than one are at most rows / target, and only these are broadcast.
+    """
+    counts = materialize(urls.groupBy(by).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1, min(target, total // partitions_of(urls)))
+    salts = counts.select(by, F.ceil(F.col("n") / F.lit(share)).alias("salts"))
+    crowded = F.broadcast(salts.where("salts > 1"))
+    placed = urls.join(crowded, by, "left")
+    return placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("salts", F.lit(1)))).drop("salts"), salts
+
+
+def _swept(urls: DataFrame, marks: DataFrame, by: str, order: str, take: str) -> DataFrame:
+    """``urls`` with ``take`` of the last mark of their value of ``by`` that is not behind them in ``order``."""
+    all_salts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    ends = marks.withColumn("salt", all_salts).drop("salts").withColumn("kind", F.lit(0))
+    both = urls.withColumn("kind", F.lit(1)).unionByName(ends, allowMissingColumns=True)
+    window = Window.partitionBy(by, "salt").orderBy(order, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_taken", F.last(take, ignorenulls=True).over(window)).where("kind = 1").drop(take, "kind", "salt").withColumnRenamed("_taken", take)
 
 
 def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", target: int = 1_000_000) -> DataFrame:
@@ -82,30 +119,29 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", target:
     the rule's. The longest rule wins, of equally long ones that with the longer host. Where none fits, the
     verdict is ``otherwise``. A null url, or one without ``://``, has empty host and path and fits no rule.
     Repeated rows are judged each; other columns, the page's html among them, are not read; empty tables give
-    empty results. A sweep holds about ``target`` urls of a site. A stack holds the rules of one host and the
-    hosts above it.
+    empty results. A sweep holds about ``target`` urls. A stack holds the rules, of one host and the hosts above it,
+    whose paths begin each other; rules are copied to every host below theirs that has rules of its own.
     """
     rules = rules.select("verdict", F.translate("host", *_LOWER).alias("host"), "path").where("host <> ''").distinct()
-    marks, tops = (materialize(df, "rules") for df in _marks(rules))
+    rules = materialize(rules, "rules")
+    keys = materialize(rules.select(host_key(F.col("host")).alias("key")).distinct(), "hosts")
+    marks, tops = (materialize(df, "marks") for df in _host_marks(keys))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("site", site_of(F.col("key")))
-    # Sites with over target urls are at most rows / target; their number of salts is broadcast.
-    parts = partitions_of(pages)
-    sites = materialize(urls.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "sites")
-    total = sites.agg(F.sum("n")).first()[0] or 0
-    share = max(1, min(target, total // parts))
-    salts = F.ceil(F.col("n") / F.lit(share))
-    crowded = sites.where(F.col("n") > share).select("site", salts.alias("salts"))
-    urls = urls.join(F.broadcast(crowded), "site", "left")
-    urls = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.coalesce("salts", F.lit(1))))
-    # A site's sweep opens with the rules on its last label.
+    placed, salts = _salted(urls, "site", target)
+    # A site's sweep opens with the host of its last label, if that has rules.
     label = F.concat(F.substring_index("site", ".", 1), F.lit("."))
-    opening = sites.withColumn("top", label).join(tops.withColumnRenamed("key", "top"), "top").select("site", F.lit("").alias("key"), "stack", salts.alias("salts"))
-    inside = marks.join(sites, "site").select("site", "key", "stack", salts.alias("salts"))
-    ends = opening.union(inside).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    sweep = urls.select("site", "salt", "key", F.lit(1).alias("kind"), "page_id", "host", "path").unionByName(ends.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy("site", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = sweep.withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
-    fitting = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
+    opening = salts.withColumn("top", label).join(tops.withColumnRenamed("key", "top"), "top")
+    opening = opening.select("site", F.lit("").alias("key"), F.struct(F.col("top").alias("anchor")).alias("active"), "salts")
+    inside = marks.join(salts, "site").select("site", "key", "active", "salts")
+    hosted = _swept(placed, opening.union(inside), "site", "key", "active")
+    hosted = materialize(hosted.select("page_id", "host", "path", F.col("active.anchor").alias("anchor")), "hosted")
+    none = hosted.where("anchor is null")
+    placed, salts = _salted(hosted.where("anchor is not null"), "anchor", target)
+    stacks = _path_marks(rules, keys).join(salts, "anchor")
+    swept = _swept(placed, stacks, "anchor", "path", "stack")
+    fitting = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
     best = F.array_max(F.transform(fitting, lambda r: F.struct(r["size"].alias("size"), r["host_size"].alias("host_size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(otherwise)).alias("verdict"))
+    judged = swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    rest = none.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return judged.union(rest).withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))

@@ -263,6 +263,26 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[1], best[2])
 
 
+@pytest.mark.parametrize("target", [7, 1_000_000])
+def test_many_nested_url_rules(spark, target):
+    maker = random.Random(17)
+    labels, parts = "a b c ab com".split(), ["", "/", "x", "x/", "xy", "é", "-", "/x/y/z", "\U0010ffff"]
+    host = lambda: ".".join(maker.choice(labels) for _ in range(maker.randrange(1, 5)))
+    path = lambda: "/" + "".join(maker.choice(parts) for _ in range(maker.randrange(4)))
+    rules = list({(h, p): (maker.choice(["allow", "block"]), h, p) for h, p in ((host(), maker.choice([path(), path(), ""])) for _ in range(600))}.values())
+    urls = [f"http://{host()}{maker.choice([path(), path() + path(), ''])}" for _ in range(700)] + ["http://", None, "http://.a./x", "http://a..b/x"]
+    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, anchor string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    got = url_rules.judge(pages, table, target=target).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    for r in got:
+        fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        assert (r.rule, r.verdict) == (best[2], best[3]), urls[r.page_id]
+    assert url_rules.judge(pages, table.limit(0)).where("rule is not null").isEmpty()
+    assert url_rules.judge(pages.limit(0), table).collect() == []
+
+
 def test_pages_of_one_template_do_not_meet(spark, monkeypatch):
     """Pages that share most words but too few to link: pairs looked at grow with the pages, not with their square."""
     looked_at = []
