@@ -40,7 +40,7 @@ _SKETCH = [f"sketch{k}" for k in range(SKETCH)]
 #: Most shingles put at the end of the order before any are counted.
 FREQUENT = 100_000
 #: Items that a task holds at once.
-HELD = 3_000_000
+HELD = 2_000_000
 
 
 def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:

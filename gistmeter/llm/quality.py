@@ -201,7 +201,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, rows: int = 2000, row_byt
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            # Whole rows pass by, so half as much text as usual is turned into features at once.
+            for piece in pieces(batch, "text", 1 << 20):
                 yield piece.filter(pa.array(model(piece.column("text")) >= 0.3))
 
     return docs.mapInArrow(run, docs.schema)
