@@ -27,6 +27,37 @@ def score_overlap(df: DataFrame, predicted: str, gold: str, types: tuple[str, ..
     return bleu(rouge_f(df, predicted, gold, types=types), predicted, gold)
 
 
+def _with_token_vectors(
+    df: DataFrame, keys: list[str], texts: dict[str, str], vectors: DataFrame, token_id: Column, dim: int
+) -> DataFrame:
+    """(keys, token columns, ``_gm_keys``, ``_gm_vectors``): the tokens of each text, and the row's distinct tokens that have a vector.
+
+    A row's token ids move with its key; only its distinct tokens, over all texts, look up their vectors.
+    """
+    cut = df.select(*keys, *[rouge_tokens(text).alias(name) for name, text in texts.items()])
+    cut = cut.repartition(*map(F.col, keys))
+    distinct = F.array_distinct(F.concat(*[F.coalesce(name, F.array()) for name in texts]))
+    tokens = cut.select(*keys, F.explode(distinct).alias("token")).withColumn("vec_id", token_id)
+    found = lookup_join(tokens, vectors.select("vec_id", "vector"), "vec_id", BROADCAST_VALUES // dim)
+    packed = found.groupBy(*keys).agg(F.collect_list(F.struct("token", "vector")).alias("_gm"))
+    packed = packed.select(*keys, F.col("_gm.token").alias("_gm_keys"), F.col("_gm.vector").alias("_gm_vectors"))
+    return cut.join(packed, keys, "left")
+
+
+def _vector_columns(scores: Column, predicted: Column, gold: Column) -> list[Column]:
+    """cosine, match_precision, match_recall and match_f1 from what ``text_vector_scores`` found."""
+    share = lambda matched, side: F.coalesce(matched / F.nullif(F.size(side), F.lit(0)), F.lit(0.0))
+    precision, recall = share(scores["matched_p"], predicted), share(scores["matched_g"], gold)
+    total = precision + recall
+    f1 = F.when(total != 0, 2 * precision * recall / total).otherwise(0.0)
+    return [
+        scores["cosine"].alias("cosine"),
+        precision.alias("match_precision"),
+        recall.alias("match_recall"),
+        f1.alias("match_f1"),
+    ]
+
+
 def score_vectors(
     df: DataFrame,
     keys: list[str],
@@ -38,33 +69,14 @@ def score_vectors(
 ) -> DataFrame:
     """(keys, cosine, match_precision, match_recall, match_f1) for every pair; ``keys`` are present and unique.
 
-    ``vectors`` is unique on ``vec_id``; ``token_id`` maps the column ``token`` to it. A pair is one row: its token
-    ids move with its key, its distinct ids look up their vectors, and both sides are compared on one matrix of
-    these. ``cosine`` compares the mean-pooled, normalised vectors. A token without a vector counts as unmatched in
-    precision or recall; a pair without vectors on a side scores 0 and has no cosine.
+    ``vectors`` is unique on ``vec_id``; ``token_id`` maps the column ``token`` to it. A pair is one row, and both
+    sides are compared on one matrix of its distinct tokens. ``cosine`` compares the mean-pooled, normalised vectors.
+    A token without a vector counts as unmatched in precision or recall; a pair without vectors on a side scores 0 and
+    has no cosine.
     """
-    texts = df.select(*keys, rouge_tokens(predicted).alias("_gm_p"), rouge_tokens(gold).alias("_gm_g"))
-    texts = texts.repartition(*map(F.col, keys))
-    both = F.array_distinct(F.concat(F.coalesce("_gm_p", F.array()), F.coalesce("_gm_g", F.array())))
-    tokens = texts.select(*keys, F.explode(both).alias("token")).withColumn("vec_id", token_id)
-    table = vectors.select("vec_id", "vector")
-    found = lookup_join(tokens, table, "vec_id", BROADCAST_VALUES // dim)
-    packed = found.groupBy(*keys).agg(F.collect_list(F.struct("token", "vector")).alias("_gm"))
-    packed = packed.select(*keys, F.col("_gm.token").alias("_gm_keys"), F.col("_gm.vector").alias("_gm_vectors"))
-    joined = texts.join(packed, keys, "left")
-    scored = joined.withColumn("_gm_s", text_vector_scores("_gm_p", "_gm_g", "_gm_keys", "_gm_vectors"))
-    share = lambda matched, side: F.coalesce(
-        F.col(f"_gm_s.{matched}") / F.nullif(F.size(side), F.lit(0)), F.lit(0.0)
-    )
-    known = scored.select(
-        *keys,
-        F.col("_gm_s.cosine").alias("cosine"),
-        share("matched_p", "_gm_p").alias("match_precision"),
-        share("matched_g", "_gm_g").alias("match_recall"),
-    )
-    total = F.col("match_precision") + F.col("match_recall")
-    f1 = F.when(total != 0, 2 * F.col("match_precision") * F.col("match_recall") / total).otherwise(0.0)
-    return known.select(*keys, "cosine", "match_precision", "match_recall", f1.alias("match_f1"))
+    rows = _with_token_vectors(df, keys, {"_gm_p": predicted, "_gm_g": gold}, vectors, token_id, dim)
+    scored = rows.withColumn("_gm_s", text_vector_scores("_gm_p", "_gm_g", "_gm_keys", "_gm_vectors"))
+    return scored.select(*keys, *_vector_columns(F.col("_gm_s"), F.col("_gm_p"), F.col("_gm_g")))
 
 
 def melt_with_gold(
@@ -89,6 +101,17 @@ def score_wide(
 def score_wide_vectors(
     df: DataFrame, ids: list[str], gold: str, vectors: DataFrame, token_id: Column, dim: int, variable: str = "model"
 ) -> DataFrame:
-    """(ids, variable, cosine, match_precision, match_recall, match_f1) for every id row and model; ``ids`` are unique."""
-    long = melt(df, [*ids, gold], variable, "obtained_summary")
-    return score_vectors(long, [*ids, variable], "obtained_summary", gold, vectors, token_id, dim)
+    """(ids, variable, cosine, match_precision, match_recall, match_f1) for every id row and model; ``ids`` are unique.
+
+    All models of a row share the matrix of its distinct tokens; the rows become long once they are numbers.
+    """
+    models = [c for c in df.columns if c not in (*ids, gold)]
+    texts = {"_gm_g": gold} | {f"_gm_m{k}": model for k, model in enumerate(models)}
+    rows = _with_token_vectors(df, ids, texts, vectors, token_id, dim)
+    found = [text_vector_scores(f"_gm_m{k}", "_gm_g", "_gm_keys", "_gm_vectors").alias(f"_gm_s{k}") for k in range(len(models))]
+    scored = rows.select(*ids, *texts, *found)
+    each = [
+        F.struct(F.lit(model).alias(variable), *_vector_columns(F.col(f"_gm_s{k}"), F.col(f"_gm_m{k}"), F.col("_gm_g")))
+        for k, model in enumerate(models)
+    ]
+    return scored.select(*ids, F.inline(F.array(*each)))
