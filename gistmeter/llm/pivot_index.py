@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.llm.shared import flat, left_lookup, linked_groups, lists, partitions_of
@@ -194,7 +194,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id",
         two = classes.select(F.col("node").alias("b"), F.col("embedding").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_cosines(least), "a long, b long")
 
-    roots, _ = linked_groups(postings, verify)
+    def close(x: str, y: str) -> Column:
+        return F.size(F.array_intersect(f"{x}.near", f"{y}.near")) >= SHARED
+
+    roots, _ = linked_groups(postings, verify, described.select("node", "near"), close)
     roots = materialize(roots, "roots")
     members = roots.join(described.select("node", "width", "cell", "angle"), "node").join(classes.select("node", "copies", "embedding"), "node")
     members = _in_pieces(members)
