@@ -686,13 +686,13 @@ def _scored_summaries(spark: SparkSession, folder: str, types: tuple[str, ...])
     vector_scores = score_wide_vectors(wide, ["company"], "gold_summary", vectors, fx.token_vector_id(vectors), fx.VECTOR_DIM)
     index = reshape.melt_with_index(wide.drop("gold_summary"), ["company"], ["company"]).select("index", "company", "model")
     both = _bleu_output(scored, ["company", "model", *types]).join(vector_scores, ["company", "model"])
-    return corpus.rounded(both.join(index, ["company", "model"]).select("index", *both.columns), 6)
+    return both.join(index, ["company", "model"]).select("index", *both.columns)
 
 
 @registered
 def summaries_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Every column of the flagship that SQL can check on whole documents: all but ROUGE-Lsum."""
-    return _scored_summaries(spark, folder, ("rouge1", "rouge2", "rougel"))
+    return corpus.rounded(_scored_summaries(spark, folder, ("rouge1", "rouge2", "rougel")), 6)
 
 
 @registered
