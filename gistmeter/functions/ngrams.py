@@ -1,99 +1,76 @@
 """N-grams of token arrays and their clipped overlap, computed inside one row.
 
 A text is one row, so both sides of a pair are already together: counting n-grams there needs no
-shuffle, whatever the size of the table, and a hot key cannot pile rows up in one task.
+shuffle, whatever the size of the table, and a hot key cannot pile rows up in one task. Grams are
+numbers, numbered afresh from order to order, so no gram is ever spelt out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gistmeter.functions.lets import let
-
-# Tokens hold no white space, so a tab ends a gram unambiguously.
-_LEFT = "\ta"
-_RIGHT = "\tb"
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined by a space."""
-    if n == 1:
-        return tokens
-
-    def build(bound: Column) -> Column:
-        starts = F.slice(bound, 1, F.greatest(F.size(bound) - (n - 1), F.lit(0)))
-
-        def gram(head: Column, i: Column) -> Column:
-            parts = [head]
-            for step in range(1, n):
-                parts += [F.lit(" "), F.get(bound, i + step)]
-            return F.concat(*parts)
-
-        return F.transform(starts, gram)
-
-    return let(tokens, build)
+# Rows are counted together until they hold so many tokens.
+_TOKENS_AT_ONCE = 1 << 18
 
 
 def ngram_count(tokens: Column, n: int) -> Column:
     return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
 
-def clipped_overlap(left: Column, right: Column) -> Column:
-    """Size of the multiset intersection of two string arrays.
-
-    A hash intersection counts every shared gram once, which is the answer when a side repeats
-    nothing. Otherwise the further occurrences of each gram are intersected in the same sense.
-    """
-
-    def no_repeats(grams: Column) -> Column:
-        return F.size(F.array_distinct(grams)) == F.size(grams)
-
-    def choose(a: Column, b: Column) -> Column:
-        # The second argument is the one that gets hashed: predictions are the shorter side.
-        shared = F.size(F.array_intersect(b, a))
-        return F.when(no_repeats(a) | no_repeats(b), shared).otherwise(shared + _sorted_overlap(_further(a), _further(b)))
-
-    return let(left, lambda a: let(right, lambda b: choose(a, b)))
-
-
-def _further(grams: Column) -> Column:
-    """All occurrences but the first of every gram."""
-    return let(
-        F.sort_array(grams), lambda ordered: F.filter(ordered, lambda gram, i: (i > 0) & (gram == F.get(ordered, i - 1)))
-    )
-
-
-def _sorted_overlap(left: Column, right: Column) -> Column:
-    """The intersection in O(n log n) for sides that repeat grams.
-
-    Both sides are tagged and sorted together, so equal grams form a run with the left ones first.
-    Only the places where the tagged value changes are kept; a left run that is followed by the
-    right run of the same gram contributes the shorter of the two.
-    """
-    tagged = F.sort_array(
-        F.concat(
-            F.transform(left, lambda gram: F.concat(gram, F.lit(_LEFT))),
-            F.transform(right, lambda gram: F.concat(gram, F.lit(_RIGHT))),
-        )
-    )
-
-    def over_runs(values: Column) -> Column:
-        edges = F.filter(
-            F.sequence(F.lit(0), F.size(values)),
-            lambda i: (i == 0) | (i == F.size(values)) | (F.get(values, i) != F.get(values, i - 1)),
-        )
-
-        def total(edge: Column) -> Column:
-            def shared(count: Column, k: Column) -> Column:
-                here, middle, end = F.get(edge, k), F.get(edge, k + 1), F.get(edge, k + 2)
-                gram = F.get(values, here)
-                partner = F.concat(F.substring_index(gram, "\t", 1), F.lit(_RIGHT))
-                matched = F.endswith(gram, F.lit(_LEFT)) & (F.get(values, middle) == partner)
-                return count + F.when(matched, F.least(middle - here, end - middle)).otherwise(F.lit(0))
-
-            return F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(edge) - 3, F.lit(0))), F.lit(0), shared)
-
-        return let(edges, total)
-
-    return let(tagged, over_runs)
+def _sizes(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _hits(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
+    """Clipped overlap of each row (first axis) and order (second)."""
+    sizes = np.concatenate([_sizes(left), _sizes(right)])
+    row = np.repeat(np.tile(np.arange(len(left)), 2), sizes)
+    # Places left in the text from each token on; a gram must not run over its end.
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(row))
+    second = np.arange(len(row)) >= sizes[: len(left)].sum()
+    tokens = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
+    token = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(left), orders), np.int32)
+    gram, at = row, np.arange(len(row))
+    for n in range(1, orders + 1):
+        inside = room[at] >= n
+        at, gram = at[inside], gram[inside]
+        if not len(at):
+            break
+        gram, found = pd.factorize(gram * len(tokens.dictionary) + token[at + n - 1])
+        count = [np.bincount(gram[second[at] == side], minlength=len(found)) for side in (False, True)]
+        owner = np.empty(len(found), np.int64)
+        owner[gram] = row[at]
+        out[:, n - 1] = np.bincount(owner, np.minimum(*count), len(left))
+    return out
+
+
+def _slices(*columns: pa.Array):
+    """(start, length) of runs of rows with about ``_TOKENS_AT_ONCE`` items in all columns."""
+    ends = np.cumsum(sum(_sizes(c) for c in columns))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + _TOKENS_AT_ONCE, "right")), start + 1)
+        yield start, stop - start
+        start = stop
+
+
+@cache
+def gram_hits(orders: int) -> Callable[..., Column]:
+    """``f(left, right)``: sizes of the multiset intersections of the n-grams of two string arrays, n from 1 to ``orders``."""
+
+    def count(left: pa.Array, right: pa.Array) -> pa.Array:
+        parts = [_hits(left.slice(*s), right.slice(*s), orders) for s in _slices(left, right)]
+        flat = np.concatenate([part.ravel() for part in parts]) if parts else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1, dtype=np.int32) * orders), pa.array(flat))
+
+    return F.arrow_udf(count, T.ArrayType(T.IntegerType()))

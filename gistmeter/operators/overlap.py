@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmeter.functions.lcs import lcs_length, union_lcs_hits
-from gistmeter.functions.ngrams import clipped_overlap, ngram_count, ngrams
+from gistmeter.functions.ngrams import gram_hits, ngram_count
 from gistmeter.functions.stems import stem_line_tokens, stem_tokens
 from gistmeter.functions.text import bleu_tokens, line_tokens, rouge_tokens, sentence_lines
 
@@ -39,23 +39,12 @@ def _with_missing(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.withColumns({name: value for name, value in columns.items() if name not in df.columns})
 
 
-def _with_grams(df: DataFrame, side: str, tokens: Column, orders: list[int]) -> DataFrame:
-    """Columns ``side`` (tokens) and, of the orders asked for, ``side2``, ``side3``, ... (n-grams)."""
-    df = _with_missing(df, {side: tokens})
-    return _with_missing(df, {f"{side}{n}": ngrams(F.col(side), n) for n in orders if n > 1})
-
-
-def _grams(side: str, n: int) -> Column:
-    return F.col(side if n == 1 else f"{side}{n}")
-
-
 def _with_rouge_tokens(
     df: DataFrame, side: str, text: str, types: tuple[str, ...], stem: bool, split_sentences: bool
 ) -> DataFrame:
     if any(t != "rougelsum" for t in types):
         tokens = rouge_tokens(text)
-        orders = [_rouge_order(t) or 1 for t in types]
-        df = _with_grams(df, side, stem_tokens(tokens) if stem else tokens, orders)
+        df = _with_missing(df, {side: stem_tokens(tokens) if stem else tokens})
     if "rougelsum" in types:
         tokens = line_tokens(sentence_lines(text) if split_sentences else text)
         df = _with_missing(df, {f"{side}_lines": stem_line_tokens(tokens) if stem else tokens})
@@ -78,7 +67,7 @@ def with_gold_tokens(
     if types:
         df = _with_rouge_tokens(df, _GOLD, gold, types, stem, split_sentences)
     if with_bleu:
-        df = _with_grams(df, _GOLD_BLEU, bleu_tokens(gold), list(_ORDERS))
+        df = _with_missing(df, {_GOLD_BLEU: bleu_tokens(gold)})
     return df
 
 
@@ -105,6 +94,9 @@ def rouge(
     """
     staged = _with_rouge_tokens(df, _PREDICTED, predicted, types, stem, split_sentences)
     staged = _with_rouge_tokens(staged, _GOLD, gold, types, stem, split_sentences)
+    orders = max([_rouge_order(name) or 0 for name in types], default=0)
+    if orders:
+        staged = staged.withColumn("_gm_hits", gram_hits(orders)(_PREDICTED, _GOLD))
     counted = staged.select("*", *[_rouge_hits(name).alias(f"_gm_hits_{name}") for name in types])
     return counted.select(*df.columns, *[_rouge_score(name).alias(name) for name in types])
 
@@ -117,7 +109,7 @@ def _rouge_order(name: str) -> int | None:
 def _rouge_hits(name: str) -> Column:
     order = _rouge_order(name)
     if order is not None:
-        return clipped_overlap(_grams(_PREDICTED, order), _grams(_GOLD, order))
+        return F.get("_gm_hits", F.lit(order - 1))
     if name == "rougel":
         return lcs_length(F.col(_PREDICTED), F.col(_GOLD))
     if name == "rougelsum":
@@ -146,11 +138,11 @@ def rouge_f(df: DataFrame, predicted: str, gold: str, **options) -> DataFrame:
 
 def bleu_counts(df: DataFrame, predicted: str, gold: str) -> DataFrame:
     """Add matches and possible matches per order, and both lengths."""
-    staged = _with_grams(df, _PREDICTED_BLEU, bleu_tokens(predicted), list(_ORDERS))
-    staged = _with_grams(staged, _GOLD_BLEU, bleu_tokens(gold), list(_ORDERS))
+    staged = _with_missing(df, {_PREDICTED_BLEU: bleu_tokens(predicted), _GOLD_BLEU: bleu_tokens(gold)})
+    staged = staged.withColumn("_gm_bleu_hits", gram_hits(MAX_ORDER)(_PREDICTED_BLEU, _GOLD_BLEU))
     return staged.select(
         *df.columns,
-        *[clipped_overlap(_grams(_PREDICTED_BLEU, n), _grams(_GOLD_BLEU, n)).alias(f"match{n}") for n in _ORDERS],
+        *[F.get("_gm_bleu_hits", F.lit(n - 1)).alias(f"match{n}") for n in _ORDERS],
         *[ngram_count(F.col(_PREDICTED_BLEU), n).alias(f"total{n}") for n in _ORDERS],
         F.size(_PREDICTED_BLEU).alias("translation_length"),
         F.size(_GOLD_BLEU).alias("reference_length"),

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gistmeter.functions import lcs
+from gistmeter.functions import lcs, ngrams
 from gistmeter.operators import overlap
 from gistmeter.operators.reshape import melt
 from gistmeter.plans.scoring import score_wide
@@ -162,3 +163,35 @@ def test_whole_documents_against_definitions(spark, data):
             assert row["bleu"] == pytest.approx(brute.bleu([(p, g)]), abs=1e-6)
             checked += 1
     assert checked == 3 * len(texts)
+
+
+def test_grams_are_numbers_and_match_counting(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [[[rng.choice("abc") for _ in range(rng.randrange(n))] for _ in "pg"] for n in (1, 2, 5, 30, 300) for _ in range(6)]
+    monkeypatch.setattr(ngrams, "_TOKENS_AT_ONCE", 50)
+    left, right = (pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1))
+    cut = [*ngrams._slices(left, right)]
+    assert len(cut) > 5 and [n for start, size in cut for n in range(start, start + size)] == [*range(len(rows))]
+    got = ngrams._hits(left.slice(3), right.slice(3), 4).tolist()
+    assert got == [[sum((brute.grams(p, n) & brute.grams(g, n)).values()) for n in (1, 2, 3, 4)] for p, g in rows[3:]]
+    df = spark.createDataFrame(rows, "p array<string>, g array<string>")
+    assert len(df.select(ngrams.gram_hits(4)("p", "g")).collect()) == len(rows)
+
+
+def test_a_text_held_by_the_other_needs_no_table(monkeypatch):
+    whole = [*range(50), *range(20), *range(50)]
+    part = whole[3:9] + whole[40:70] + whole[90:]
+    monkeypatch.delattr(lcs, "_rows")
+    assert lcs.lcs_size(part, whole) == lcs.lcs_size(whole, part) == len(part)
+    assert lcs.summary_hits([part, whole[60:80]], [whole, [1, 2]]) == len(part) + 20
+
+
+def test_summary_hits_with_lines_held_whole():
+    rng = random.Random(12)
+    for _ in range(200):
+        lines = [[rng.randrange(6) for _ in range(rng.randrange(8))] for _ in range(rng.randrange(1, 6))]
+        other = [[t for t in line if rng.random() < 0.8] for line in lines] + [sum(lines, [])][: rng.randrange(2)]
+        text = lambda rows: "\n".join(" ".join(f"w{t}" for t in row) for row in rows)
+        hits = lcs.summary_hits([x for x in lines if x], [x for x in other if x])
+        want = brute.rouge_lsum(text(other), text(lines))
+        assert hits / max(sum(map(len, lines)), 1) == pytest.approx(want[1])
