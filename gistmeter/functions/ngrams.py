@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistmeter.functions.places import list_sizes, slices
+
 # Rows are counted together until they hold so many tokens.
 _TOKENS_AT_ONCE = 1 << 18
 
@@ -25,13 +27,9 @@ def ngram_count(tokens: Column, n: int) -> Column:
     return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
 
-def _sizes(column: pa.Array) -> np.ndarray:
-    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _hits(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
     """Clipped overlap of each row (first axis) and order (second)."""
-    sizes = np.concatenate([_sizes(left), _sizes(right)])
+    sizes = np.concatenate([list_sizes(left), list_sizes(right)])
     row = np.repeat(np.tile(np.arange(len(left)), 2), sizes)
     # Places left in the text from each token on; a gram must not run over its end.
     room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(row))
@@ -53,23 +51,12 @@ def _hits(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
     return out
 
 
-def _slices(*columns: pa.Array):
-    """(start, length) of runs of rows with about ``_TOKENS_AT_ONCE`` items in all columns."""
-    ends = np.cumsum(sum(_sizes(c) for c in columns))
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        stop = max(int(np.searchsorted(ends, before + _TOKENS_AT_ONCE, "right")), start + 1)
-        yield start, stop - start
-        start = stop
-
-
 @cache
 def gram_hits(orders: int) -> Callable[..., Column]:
     """``f(left, right)``: sizes of the multiset intersections of the n-grams of two string arrays, n from 1 to ``orders``."""
 
     def count(left: pa.Array, right: pa.Array) -> pa.Array:
-        parts = [_hits(left.slice(*s), right.slice(*s), orders) for s in _slices(left, right)]
+        parts = [_hits(left.slice(*s), right.slice(*s), orders) for s in slices(_TOKENS_AT_ONCE, left, right)]
         flat = np.concatenate([part.ravel() for part in parts]) if parts else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1, dtype=np.int32) * orders), pa.array(flat))
 

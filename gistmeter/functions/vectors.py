@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmeter.functions.lets import let
-from gistmeter.functions.places import row_items
+from gistmeter.functions.places import list_sizes, places_of, slices
 
 _BLOCK = 1024
+# Rows are compared one by one, but their tokens are looked up together until they are so many.
+_ITEMS_AT_ONCE = 1 << 18
 _SIDES = T.StructType(
     [T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType())]
 )
@@ -89,6 +92,11 @@ def best_matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nd
     return best_a, best_b
 
 
+def _stacked(vectors: pa.Array) -> np.ndarray:
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
 @F.arrow_udf(_SIDES)
 def greedy_sides(predicted: pa.Array, gold: pa.Array) -> pa.Array:
     """Mean best cosine per side of two ``array<array<float>>`` columns; zero for an empty side."""
@@ -105,30 +113,50 @@ def greedy_sides(predicted: pa.Array, gold: pa.Array) -> pa.Array:
 _TEXT_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("cosine", "matched_p", "matched_g")])
 
 
-def _found(items: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys the items are, and how often each; items without a key do not count."""
-    at = pc.index_in(items, value_set=keys).drop_null().to_numpy(zero_copy_only=False)
-    return np.unique(at, return_counts=True)
+def _nearest(some: np.ndarray, others: np.ndarray, vectors: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For every place in ``some`` the largest cosine with the vectors at ``others``; 1 for a place that is among them."""
+    best = _has_direction(vectors(some)).astype(np.float64)
+    alone = ~np.isin(some, others)
+    if alone.any():
+        best[alone] = best_matches(vectors(some[alone]), vectors(others))[0]
+    return best
 
 
-@F.arrow_udf(_TEXT_SCORES)
-def text_vector_scores(predicted: pa.Array, gold: pa.Array, keys: pa.Array, vectors: pa.Array) -> pa.Array:
-    """Cosine of two texts' mean vectors, and the summed best cosines of the tokens of each side.
+def text_vector_scores(shared: pa.Array, shared_vectors: pa.Array) -> Callable[..., Column]:
+    """``f(predicted, gold, keys, vectors)``: cosine of two texts' mean vectors, and the summed best cosines of each side's tokens.
 
-    The texts are lists of token ids; ``keys`` and ``vectors`` are the distinct ids that have a vector. Repeated
-    tokens are compared once and weighted. Null for a row with a side without vectors; the cosine is null too
-    where a mean has no direction.
+    The texts are lists of tokens. The vectors of frequent tokens come with the function; ``keys`` and ``vectors`` are
+    a row's distinct others that have one. Repeated tokens are compared once and weighted. Null for a row with a side
+    without vectors; the cosine is null too where a mean has no direction.
     """
-    rows = []
-    matrices = _matrices(vectors)
-    for row, matrix in enumerate(matrices):
-        sides = [_found(row_items(c, row), row_items(keys, row)) for c in (predicted, gold)] if len(matrix) else []
-        if not sides or not all(len(at) for at, _ in sides):
-            rows.append(None)
-            continue
-        (p, n), (g, m) = sides
-        a, b = n @ matrix[p] / n.sum(), m @ matrix[g] / m.sum()
-        size = np.linalg.norm(a) * np.linalg.norm(b)
-        best_p, best_g = best_matches(matrix[p], matrix[g])
-        rows.append({"cosine": float(a @ b / size) if size > 0 else None, "matched_p": float(n @ best_p), "matched_g": float(m @ best_g)})
-    return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("cosine", "matched_p", "matched_g")]))
+    held = _stacked(shared_vectors)
+
+    def score(predicted: pa.Array, gold: pa.Array, keys: pa.Array, vectors: pa.Array) -> pa.Array:
+        rows = []
+        for start, length in slices(_ITEMS_AT_ONCE, predicted, gold):
+            sides = [c.slice(start, length) for c in (predicted, gold)]
+            own = _stacked(vectors.slice(start, length).flatten())
+            at = [places_of(side, shared, keys.slice(start, length)) for side in sides]
+            ends = [np.cumsum(list_sizes(side)) for side in sides]
+
+            def vectors_at(place: np.ndarray) -> np.ndarray:
+                near = place < len(held)
+                out = np.empty((len(place), max(held.shape[1], own.shape[1])))  # noqa: B023
+                if near.any():
+                    out[near] = held[place[near]]
+                if not near.all():
+                    out[~near] = own[place[~near] - len(held)]  # noqa: B023
+                return out
+
+            for parts in zip(*[np.split(a, end[:-1]) for a, end in zip(at, ends)]):
+                (p, n), (g, m) = [np.unique(part[part >= 0], return_counts=True) for part in parts]
+                if not (len(p) and len(g)):
+                    rows.append(None)
+                    continue
+                a, b = n @ vectors_at(p) / n.sum(), m @ vectors_at(g) / m.sum()
+                size = np.linalg.norm(a) * np.linalg.norm(b)
+                matched = [float(n @ _nearest(p, g, vectors_at)), float(m @ _nearest(g, p, vectors_at))]
+                rows.append({"cosine": float(a @ b / size) if size > 0 else None, "matched_p": matched[0], "matched_g": matched[1]})
+        return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("cosine", "matched_p", "matched_g")]))
+
+    return F.arrow_udf(score, _TEXT_SCORES)

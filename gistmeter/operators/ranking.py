@@ -80,6 +80,7 @@ def lookup_join(
     broadcast_rows: int,
     occurrences: str | None = None,
     broadcast_bytes: int = 64 << 20,
+    costly: bool = False,
 ) -> DataFrame:
     """Inner join of ``rows`` with a table that is unique on ``on``.
 
@@ -96,6 +97,7 @@ def lookup_join(
     if occurrences:
         return skew_safe_lookup(rows, table, on, occurrences).drop(occurrences)
     present = rows.where(F.col(on).isNotNull())
+    present = materialize(present, "rows") if costly else present
     uses = present.groupBy(on).agg(F.count(F.lit(1)).alias("_gm_uses"))
     # Read several times below, so the counting is done once and written.
     counted = materialize(uses.join(table.withColumn("_gm_hit", F.lit(True)), on, "left"), "lookup")

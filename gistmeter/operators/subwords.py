@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmeter.functions.places import values_in_place
-from gistmeter.operators.vocabulary import BROADCAST_TOKENS, with_values
+from gistmeter.operators.vocabulary import BROADCAST_TOKENS, frequent_items, with_rare_values
 from gistmeter.session import materialize
 
 # Fixed value: how the byte-level vocabularies cut text before merging (white space as Unicode has it).
@@ -74,9 +74,6 @@ def text_pieces(text: Column | str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){PATTERN}"), F.lit(0))
 
 
-_IDS = values_in_place(T.IntegerType(), -1, nested=True)
-
-
 def encode_subwords(
     df: DataFrame, key: str, text: str, ranks: dict[bytes, int], broadcast_rows: int = BROADCAST_TOKENS
 ) -> DataFrame:
@@ -90,13 +87,16 @@ def encode_subwords(
     def merge(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = [merged(piece.encode(), ranks) for piece in batch.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(ids, pa.list_(pa.int32()))], names=["piece", "ids"])
-
-    cut = df.select(key, text_pieces(text).alias("_gm_pieces"))
-    distinct = cut.select(F.explode(F.array_distinct("_gm_pieces")).alias("piece")).distinct()
-    table = materialize(distinct.mapInArrow(merge, "piece string, ids array<int>"), "subwords")
-    known = with_values(cut, [key], "_gm_pieces", table, "piece", "ids", broadcast_rows)
-    return known.select(key, _IDS("_gm_pieces", "_gm_keys", "_gm_values").alias("ids"))
+            columns = [batch.column("piece"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "n", "ids"])
+
+    pieces = text_pieces(text)
+    uses = df.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(uses.mapInArrow(merge, "piece string, n long, ids array<int>"), "subwords")
+    shared, ids = frequent_items(table, "piece", "ids", "n", broadcast_rows)
+    known = with_rare_values(df.select(key, text), [key], pieces, shared, table, "piece", "ids", broadcast_rows)
+    placed = values_in_place(T.IntegerType(), -1, shared, ids, nested=True)
+    return known.select(key, placed(pieces, "_gm_keys", "_gm_values").alias("ids"))
 
 
 def decode_subwords(ids: str, ranks: dict[bytes, int]) -> Column:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmeter.functions.batches import BOS_ID, EOS_ID, SPECIAL_IDS, UNK_ID
-from gistmeter.functions.places import values_in_place
+from gistmeter.functions.places import items_outside, values_in_place
 from gistmeter.operators.ranking import global_rank, lookup_join
 
-# A vocabulary of at most this many rows (a count, not a guess) is broadcast, if its tokens are short.
-BROADCAST_TOKENS = 500_000
+# At most this many rows of a vocabulary (a count, not a guess), the most frequent ones, are held by every task,
+# and no token of more bytes than the second number.
+BROADCAST_TOKENS, LONGEST = 500_000, 64
 UNK_TOKEN = "<unk>"
 
 
@@ -26,25 +28,53 @@ def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     )
 
 
-def with_values(
-    df: DataFrame, keys: list[str], items: str, table: DataFrame, on: str, value: str, broadcast_rows: int
+def frequent_items(table: DataFrame, on: str, value: str, uses: str, rows: int) -> tuple[pa.Array, pa.Array]:
+    """The ``on`` and ``value`` columns of at most ``rows`` rows of a table, those with the most uses.
+
+    A bound on the uses decides, so of equally frequent ones all or none are taken. Longer keys than ``LONGEST`` bytes
+    stay away, so the bytes that the driver and every task hold are bounded too.
+    """
+    short = table.where((F.octet_length(F.col(on).cast("string")) <= LONGEST) & (F.col(uses) > 0))
+    step = F.floor(F.log2(F.col(uses).cast("double")) * 8)
+    counted = short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    bound, held = None, 0
+    for r in sorted(counted, key=lambda r: -r["step"]):
+        held += r["rows"]
+        if held > rows:
+            break
+        bound = r["step"]
+    chosen = (short.where(F.lit(False)) if bound is None else short.where(step >= bound)).select(on, value).toArrow()
+    return tuple(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in (chosen[on], chosen[value]))
+
+
+def with_rare_values(
+    df: DataFrame, keys: list[str], items: Column, shared: pa.Array, table: DataFrame, on: str, value: str, broadcast_rows: int
 ) -> DataFrame:
-    """``df`` with ``_gm_keys`` and ``_gm_values``: the distinct items of each row that ``table`` has, and their values.
+    """``df`` with ``_gm_keys`` and ``_gm_values``: each row's distinct items outside ``shared`` that ``table`` has, and their values.
 
-    Only distinct items of a row leave it, each with the row's key; texts move once, by key, and what is found
-    for them is brought to the same place. ``keys`` must be unique and present, ``table`` unique on ``on``.
+    Only those items leave their row, each with the row's key, and the rows move once, as they are. Give ``items`` as
+    an expression on what ``df`` reads: texts are smaller than their tokens. ``keys`` must be unique and present,
+    ``table`` unique on ``on``.
     """
-    texts = df.repartition(*map(F.col, keys))
-    distinct = texts.select(*keys, F.explode(F.array_distinct(items)).alias(on))
-    found = lookup_join(distinct, table.select(on, value), on, broadcast_rows)
-    item = F.collect_list(F.struct(on, value))
-    packed = found.groupBy(*keys).agg(item.alias("_gm"))
+    kind = df.select(items.alias("_gm")).schema["_gm"].dataType.elementType
+    rare = df.select(*keys, F.explode(F.array_distinct(items_outside(shared, kind)(items))).alias(on))
+    found = lookup_join(rare, table.select(on, value), on, broadcast_rows, costly=True)
+    return with_packed(df, keys, found, on, value)
+
+
+def with_packed(df: DataFrame, keys: list[str], found: DataFrame, on: str, value: str) -> DataFrame:
+    """``df`` with the ``on`` and ``value`` columns of the rows found for its keys, as lists ``_gm_keys`` and ``_gm_values``."""
+    packed = found.groupBy(*keys).agg(F.collect_list(F.struct(on, value)).alias("_gm"))
     packed = packed.select(*keys, F.col(f"_gm.{on}").alias("_gm_keys"), F.col(f"_gm.{value}").alias("_gm_values"))
-    return texts.join(packed, keys, "left")
+    # The lists are hashed, so that no text is sorted.
+    return df.join(packed.hint("shuffle_hash"), keys, "left")
 
 
-_TOKEN_IDS = values_in_place(T.IntegerType(), UNK_ID)
-_TOKENS = values_in_place(T.StringType(), UNK_TOKEN)
+def _frequent(vocabulary: DataFrame, on: str, value: str, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Smaller ids are more frequent, so the ids alone say which tokens are."""
+    ranked = vocabulary.where((F.col("token_id") < len(SPECIAL_IDS) + rows) & (F.octet_length("token") <= LONGEST))
+    chosen = ranked.select(on, value).limit(rows).toArrow()
+    return tuple(pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in (chosen[on], chosen[value]))
 
 
 def encode(
@@ -52,20 +82,22 @@ def encode(
 ) -> DataFrame:
     """(key, input_ids): the ids of a text's tokens between the start and the end id.
 
-    A token that the vocabulary does not have becomes ``UNK_ID``. ``key`` must be unique. Only the distinct tokens
-    of a text are looked up.
+    A token that the vocabulary does not have becomes ``UNK_ID``. ``key`` must be unique. The ``broadcast_rows`` most
+    frequent tokens are looked up where the text is; only a text's distinct other ones are joined.
     """
-    texts = df.select(key, tokens.alias("_gm_tokens"))
-    known = with_values(texts, [key], "_gm_tokens", vocabulary, "token", "token_id", broadcast_rows)
-    ids = _TOKEN_IDS("_gm_tokens", "_gm_keys", "_gm_values")
-    return known.select(key, F.concat(F.array(F.lit(BOS_ID)), ids, F.array(F.lit(EOS_ID))).alias("input_ids"))
+    names, ids = _frequent(vocabulary, "token", "token_id", broadcast_rows)
+    known = with_rare_values(df, [key], tokens, names, vocabulary, "token", "token_id", broadcast_rows)
+    placed = values_in_place(T.IntegerType(), UNK_ID, names, ids)(tokens, "_gm_keys", "_gm_values")
+    return known.select(key, F.concat(F.array(F.lit(BOS_ID)), placed, F.array(F.lit(EOS_ID))).alias("input_ids"))
 
 
 def decode(
     df: DataFrame, key: str, ids: str, vocabulary: DataFrame, broadcast_rows: int = BROADCAST_TOKENS
 ) -> DataFrame:
     """(key, text): tokens joined by a space; special ids are skipped, an id without a token is ``<unk>``."""
-    words = F.filter(ids, lambda x: x >= len(SPECIAL_IDS))
-    texts = df.select(key, words.cast("array<int>").alias("_gm_ids"))
-    known = with_values(texts, [key], "_gm_ids", vocabulary, "token_id", "token", broadcast_rows)
-    return known.select(key, F.array_join(_TOKENS("_gm_ids", "_gm_keys", "_gm_values"), " ").alias("text"))
+    words = F.filter(ids, lambda x: x >= len(SPECIAL_IDS)).cast("array<int>")
+    slim = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"))
+    numbers, names = _frequent(slim, "token_id", "token", broadcast_rows)
+    known = with_rare_values(df.select(key, ids), [key], words, numbers, slim, "token_id", "token", broadcast_rows)
+    placed = values_in_place(T.StringType(), UNK_TOKEN, numbers, names)(words, "_gm_keys", "_gm_values")
+    return known.select(key, F.array_join(placed, " ").alias("text"))

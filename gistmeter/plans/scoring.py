@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gistmeter.functions.places import items_outside
 from gistmeter.functions.text import rouge_tokens
 from gistmeter.functions.vectors import text_vector_scores
 from gistmeter.operators.overlap import (
@@ -17,8 +20,10 @@ from gistmeter.operators.overlap import (
 )
 from gistmeter.operators.ranking import lookup_join
 from gistmeter.operators.reshape import melt
+from gistmeter.operators.vocabulary import frequent_items, with_packed
+from gistmeter.session import materialize
 
-# A vector table of at most this many numbers (rows times dimensions) is broadcast.
+# Every task holds the vectors of frequent tokens, at most so many numbers; a vector table of no more is broadcast.
 BROADCAST_VALUES = 4_000_000
 
 
@@ -28,20 +33,28 @@ def score_overlap(df: DataFrame, predicted: str, gold: str, types: tuple[str, ..
 
 
 def _with_token_vectors(
-    df: DataFrame, keys: list[str], texts: dict[str, str], vectors: DataFrame, token_id: Column, dim: int
-) -> DataFrame:
-    """(keys, token columns, ``_gm_keys``, ``_gm_vectors``): the tokens of each text, and the row's distinct tokens that have a vector.
+    df: DataFrame, keys: list[str], texts: list[str], vectors: DataFrame, token_id: Column, dim: int
+) -> tuple[DataFrame, pa.Array, pa.Array]:
+    """(``df`` with ``_gm_keys`` and ``_gm_values``, frequent tokens, their vectors).
 
-    A row's token ids move with its key; only its distinct tokens, over all texts, look up their vectors.
+    The vectors of the corpus's most frequent tokens go to the texts; a row's distinct other tokens, over all its
+    texts, look theirs up and come back with them (``_gm_keys``, ``_gm_values``).
     """
-    cut = df.select(*keys, *[rouge_tokens(text).alias(name) for name, text in texts.items()])
-    cut = cut.repartition(*map(F.col, keys))
-    distinct = F.array_distinct(F.concat(*[F.coalesce(name, F.array()) for name in texts]))
-    tokens = cut.select(*keys, F.explode(distinct).alias("token")).withColumn("vec_id", token_id)
-    found = lookup_join(tokens, vectors.select("vec_id", "vector"), "vec_id", BROADCAST_VALUES // dim)
-    packed = found.groupBy(*keys).agg(F.collect_list(F.struct("token", "vector")).alias("_gm"))
-    packed = packed.select(*keys, F.col("_gm.token").alias("_gm_keys"), F.col("_gm.vector").alias("_gm_vectors"))
-    return cut.join(packed, keys, "left")
+    rows = BROADCAST_VALUES // dim
+    df = df.select(*keys, *texts)
+    items = F.concat(*[rouge_tokens(text) for text in texts])
+    uses = df.select(F.explode(items).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    uses = materialize(uses.withColumn("vec_id", token_id), "tokens")
+    held = vectors.select("vec_id", "vector")
+    names, ids = frequent_items(uses, "token", "vec_id", "n", rows)
+    shared = df.sparkSession.createDataFrame(pa.table({"token": names, "vec_id": ids}), "token string, vec_id long")
+    common = held.join(F.broadcast(shared), "vec_id").select("token", "vector").toArrow().combine_chunks()
+    shared_names, shared_vectors = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in common.columns)
+    # Frequent tokens without a vector have been settled too.
+    rare = df.select(*keys, F.explode(F.array_distinct(items_outside(names, T.StringType())(items))).alias("token"))
+    found = lookup_join(rare.withColumn("vec_id", token_id), held, "vec_id", rows, costly=True)
+    packed = with_packed(df, keys, found, "token", "vector")
+    return packed, shared_names, shared_vectors
 
 
 def _vector_columns(scores: Column, predicted: Column, gold: Column) -> list[Column]:
@@ -74,8 +87,9 @@ def score_vectors(
     A token without a vector counts as unmatched in precision or recall; a pair without vectors on a side scores 0 and
     has no cosine.
     """
-    rows = _with_token_vectors(df, keys, {"_gm_p": predicted, "_gm_g": gold}, vectors, token_id, dim)
-    scored = rows.withColumn("_gm_s", text_vector_scores("_gm_p", "_gm_g", "_gm_keys", "_gm_vectors"))
+    rows, *shared = _with_token_vectors(df, keys, [predicted, gold], vectors, token_id, dim)
+    rows = rows.withColumns({"_gm_p": rouge_tokens(predicted), "_gm_g": rouge_tokens(gold)})
+    scored = rows.withColumn("_gm_s", text_vector_scores(*shared)("_gm_p", "_gm_g", "_gm_keys", "_gm_values"))
     return scored.select(*keys, *_vector_columns(F.col("_gm_s"), F.col("_gm_p"), F.col("_gm_g")))
 
 
@@ -107,8 +121,10 @@ def score_wide_vectors(
     """
     models = [c for c in df.columns if c not in (*ids, gold)]
     texts = {"_gm_g": gold} | {f"_gm_m{k}": model for k, model in enumerate(models)}
-    rows = _with_token_vectors(df, ids, texts, vectors, token_id, dim)
-    found = [text_vector_scores(f"_gm_m{k}", "_gm_g", "_gm_keys", "_gm_vectors").alias(f"_gm_s{k}") for k in range(len(models))]
+    rows, *shared = _with_token_vectors(df, ids, [*texts.values()], vectors, token_id, dim)
+    rows = rows.withColumns({name: rouge_tokens(text) for name, text in texts.items()})
+    score = text_vector_scores(*shared)
+    found = [score(f"_gm_m{k}", "_gm_g", "_gm_keys", "_gm_values").alias(f"_gm_s{k}") for k in range(len(models))]
     scored = rows.select(*ids, *texts, *found)
     each = [
         F.struct(F.lit(model).alias(variable), *_vector_columns(F.col(f"_gm_s{k}"), F.col(f"_gm_m{k}"), F.col("_gm_g")))

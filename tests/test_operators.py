@@ -9,6 +9,7 @@ from gistmeter.functions import batches as B
 from gistmeter.functions import vectors as V
 from gistmeter.functions.text import rouge_tokens
 from gistmeter.operators import batching, bias, corpus, embedding, ranking, reshape, selection, splits, summarize, trials
+from gistmeter.operators import vocabulary as vocabulary_module
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
 
 
@@ -208,3 +209,26 @@ def test_central_sentence(spark):
     df = spark.createDataFrame([(1, "Dogs bark. Cats and cats. Birds."), (2, "")], "id int, text string")
     got = {r["id"]: (r["prediction"], r["score"]) for r in summarize.batch_summarize(df, "id", "text").collect()}
     assert got == {1: ("Cats and cats.", pytest.approx(5 / 3)), 2: ("", 0.0)}
+
+
+def test_frequent_tokens_are_looked_up_where_the_text_is(spark):
+    """Only what the frequent tokens leave open is joined, and rare, unknown and repeated ones come out in place."""
+    rows = [(k, f"the of the {'and ' * (k % 3)}r{k} r{k} the s{k // 2}") for k in range(60)] + [(60, None), (61, "")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    made = build_vocabulary(texts.where("id % 7 <> 0"), rouge_tokens("text"))
+    ids = {r["token"]: r["token_id"] for r in made.collect()}
+    want = {k: [0, *(ids.get(t, 3) for t in (text or "").split()), 2] for k, text in rows}
+    names = {i: t for t, i in ids.items()}
+    for held in (0, 1, 3, 40, 10_000):
+        coded = encode(texts, "id", rouge_tokens("text"), made, held)
+        assert {r["id"]: r["input_ids"] for r in coded.collect()} == want
+        back = {r["id"]: r["text"] for r in decode(coded, "id", "input_ids", made, held).collect()}
+        assert back == {k: " ".join(names[i] for i in v if i > 3) for k, v in want.items()}
+    counted = made.withColumn("n", F.col("n").cast("long"))
+    for rows_held in (0, 1, 3, 1000):
+        some = vocabulary_module.frequent_items(counted, "token", "token_id", "n", rows_held)[0].to_pylist()
+        assert len(some) <= rows_held and (rows_held < 1000 or set(some) == set(ids))
+        assert rows_held != 1 or some == ["the"]
+    plan = encode(texts, "id", rouge_tokens("text"), made, 3)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and "array_remove" not in "".join(moved) and "SortMergeJoin" not in plan

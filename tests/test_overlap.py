@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gistmeter.functions import lcs, ngrams
+from gistmeter.functions import lcs, ngrams, places
 from gistmeter.operators import overlap
 from gistmeter.operators.reshape import melt
 from gistmeter.plans.scoring import score_wide
@@ -170,7 +170,7 @@ def test_grams_are_numbers_and_match_counting(spark, monkeypatch):
     rows = [[[rng.choice("abc") for _ in range(rng.randrange(n))] for _ in "pg"] for n in (1, 2, 5, 30, 300) for _ in range(6)]
     monkeypatch.setattr(ngrams, "_TOKENS_AT_ONCE", 50)
     left, right = (pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1))
-    cut = [*ngrams._slices(left, right)]
+    cut = [*places.slices(50, left, right)]
     assert len(cut) > 5 and [n for start, size in cut for n in range(start, start + size)] == [*range(len(rows))]
     got = ngrams._hits(left.slice(3), right.slice(3), 4).tolist()
     assert got == [[sum((brute.grams(p, n) & brute.grams(g, n)).values()) for n in (1, 2, 3, 4)] for p, g in rows[3:]]
