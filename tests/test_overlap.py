@@ -195,3 +195,15 @@ def test_summary_hits_with_lines_held_whole():
         hits = lcs.summary_hits([x for x in lines if x], [x for x in other if x])
         want = brute.rouge_lsum(text(other), text(lines))
         assert hits / max(sum(map(len, lines)), 1) == pytest.approx(want[1])
+
+
+def test_few_rows_become_lists_at_once(monkeypatch):
+    seen, codes = [], lcs._codes
+    monkeypatch.setattr(lcs, "_codes", lambda *c: seen.append(max(map(len, c))) or codes(*c))
+    rows = [("a b c d e".split(), "a x c e b".split())] * 300
+    left, right = (pa.array([r[k] for r in rows]) for k in (0, 1))
+    monkeypatch.setattr(lcs, "_TOKENS_AT_ONCE", 100)
+    assert lcs.lcs_length.func(left, right).to_pylist() == [3] * 300 and max(seen) <= 10
+    seen.clear()
+    lines = [pa.array([[r[k]] for r in rows]) for k in (0, 1)]
+    assert lcs.union_lcs_hits.func(*lines).to_pylist() == [3] * 300 and max(seen) <= lcs._ROWS_AT_ONCE
