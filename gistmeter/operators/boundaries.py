@@ -22,6 +22,8 @@ BROADCAST_TYPES = 500_000
 _BLANKS = r"[ \t\n\r\f\x0B]+"
 _STOP, _MARK = r"\.[\"')\]]*$", r"[!?][\"')\]]*$"
 _TYPE = r"^[^\p{L}]*(.*?)[.!?]*[\"')\]]*$"
+# A word that its own lower case leaves a word.
+_PLAIN, _MARKED = r"\A[a-zA-Z]+\z", r"\A[a-zA-Z]+[.!?]\z"
 _WORD = r"^\p{L}[\p{L}.'-]*$"
 
 
@@ -32,8 +34,10 @@ def blank_tokens(text: Column | str) -> Column:
 
 def word_type(token: Column) -> Column:
     """The lower-case word of a token without marks around it; null if it is no word."""
+    # Most tokens are plain words, or end in a mark: those are told by two short patterns, the others by the whole one.
     word = F.lower(F.regexp_extract(token, _TYPE, 1))
-    return F.when(word.rlike(_WORD), word)
+    bare = F.lower(F.substring(token, 1, F.length(token) - 1))
+    return F.when(token.rlike(_PLAIN), F.lower(token)).when(token.rlike(_MARKED), bare).when(word.rlike(_WORD), word)
 
 
 def sentence_model(df: DataFrame, text: str) -> DataFrame:

@@ -259,3 +259,13 @@ def test_plateaus_come_back_from_the_checkpoint(spark):
     late = [("x", 1, 0.0), ("x", 2, 0.5), ("x", 3, 0.5)], [("x", 2, 9.0), ("x", 4, 0.5), ("x", 5, 0.5), ("x", 6, 9.0)]
     assert stops(spark, late) == {"x": 5}
 
+
+
+def test_word_types_of_plain_tokens_are_those_of_the_whole_pattern(spark):
+    tokens = ["Word", "word.", "U.S.", "e.g.", "end!)", '"Quote."', "3rd", "x1", "don't", "co-op.", "Été?", "İstanbul", "a..", "b.!", "...", "-", "", "Kelvin\u212a.", "nel\u0085", "(see", "word.\u2028"]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    whole = F.lower(F.regexp_extract("token", boundaries._TYPE, 1))
+    got = df.select("token", boundaries.word_type(F.col("token")).alias("got"), F.when(whole.rlike(boundaries._WORD), whole).alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and sum(r.got is not None for r in got) > 10
+    plan = df.select(boundaries.word_type(F.col("token")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_extract")
