@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmeter.functions.places import list_sizes, slices
+from gistmeter.functions.places import list_sizes, numbered, slices
 
 # Rows are counted together until they hold so many tokens.
 _TOKENS_AT_ONCE = 1 << 18
@@ -27,30 +27,41 @@ def ngram_count(tokens: Column, n: int) -> Column:
     return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
 
-def _hits(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
-    """Clipped overlap of each row (first axis) and order (second)."""
-    sizes = np.concatenate([list_sizes(left), list_sizes(right)])
-    row = np.repeat(np.tile(np.arange(len(left)), 2), sizes)
+def shared_grams(token: np.ndarray, sizes: list[np.ndarray], orders: int) -> np.ndarray:
+    """Clipped overlap of the first text with each other one (first axis), by row (second) and order (third).
+
+    ``token`` holds numbers: those of all rows of the first text, then of the next; ``sizes`` says how many a row has.
+    """
+    rows, per_row = len(sizes[0]), np.concatenate(sizes)
+    row = np.repeat(np.tile(np.arange(rows), len(sizes)), per_row)
     # Places left in the text from each token on; a gram must not run over its end.
-    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(row))
-    second = np.arange(len(row)) >= sizes[: len(left)].sum()
-    tokens = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
-    token = tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(left), orders), np.int32)
+    room = np.repeat(np.cumsum(per_row), per_row) - np.arange(len(row))
+    bounds = np.cumsum([size.sum() for size in sizes])[:-1]
+    kinds = int(token.max()) + 1 if len(token) else 0
+    out = np.zeros((len(sizes) - 1, rows, orders), np.int32)
     gram, at = row, np.arange(len(row))
     for n in range(1, orders + 1):
         inside = room[at] >= n
         at, gram = at[inside], gram[inside]
         if not len(at):
             break
-        gram, found = pd.factorize(gram * len(tokens.dictionary) + token[at + n - 1])
-        count = [np.bincount(gram[second[at] == side], minlength=len(found)) for side in (False, True)]
+        gram, found = pd.factorize(gram * kinds + token[at + n - 1])
+        first, *others = [np.bincount(part, minlength=len(found)) for part in np.split(gram, np.searchsorted(at, bounds))]
         owner = np.empty(len(found), np.int64)
         owner[gram] = row[at]
-        out[:, n - 1] = np.bincount(owner, np.minimum(*count), len(left))
+        for k, other in enumerate(others):
+            out[k, :, n - 1] = np.bincount(owner, np.minimum(first, other), rows)
+        # Only what is shared can be the start of a longer gram that is.
+        kept = ((first > 0) & (sum(others) > 0))[gram]
+        at, gram = at[kept], gram[kept]
     return out
 
 
+def _hits(left: pa.Array, right: pa.Array, orders: int) -> np.ndarray:
+    """Clipped overlap of each row (first axis) and order (second)."""
+    return shared_grams(numbered(left.flatten(), right.flatten()), [list_sizes(left), list_sizes(right)], orders)[0]
+
+
 @cache
 def gram_hits(orders: int) -> Callable[..., Column]:
     """``f(left, right)``: sizes of the multiset intersections of the n-grams of two string arrays, n from 1 to ``orders``."""

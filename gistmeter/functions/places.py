@@ -32,6 +32,13 @@ def slices(items: int, *columns: pa.Array):
         start = stop
 
 
+def numbered(*flat: pa.Array) -> np.ndarray:
+    """Numbers for the items of all arrays, one after the other: equal ones have the same."""
+    # Arrays without items may come without offsets, which putting arrays together would read.
+    codes = pa.concat_arrays([part for part in flat if len(part)] or [pa.array([], flat[0].type)]).dictionary_encode().indices
+    return codes.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 # Rows are looked up together until they hold so many items.
 _ITEMS_AT_ONCE = 1 << 19
 

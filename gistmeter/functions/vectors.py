@@ -110,34 +110,48 @@ def greedy_sides(predicted: pa.Array, gold: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("precision", pa.float64()), ("recall", pa.float64())]))
 
 
-_TEXT_SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("cosine", "matched_p", "matched_g")])
+_TEXT_SCORES = T.ArrayType(
+    T.StructType(
+        [T.StructField(n, T.DoubleType()) for n in ("cosine", "matched_p", "matched_g")]
+        + [T.StructField(n, T.LongType()) for n in ("size_p", "size_g")]
+    )
+)
 
 
-def _nearest(some: np.ndarray, others: np.ndarray, vectors: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """For every place in ``some`` the largest cosine with the vectors at ``others``; 1 for a place that is among them."""
-    best = _has_direction(vectors(some)).astype(np.float64)
-    alone = ~np.isin(some, others)
-    if alone.any():
-        best[alone] = best_matches(vectors(some[alone]), vectors(others))[0]
-    return best
+def _matched(some: np.ndarray, count: np.ndarray, others: np.ndarray, unit: np.ndarray, turned: np.ndarray) -> float:
+    """Summed best cosines of the rows ``some`` of ``unit``, each ``count`` times, with the rows ``others``.
+
+    A row that is among the others matches itself; ``turned`` tells the rows that have a direction, all others match
+    nothing (0) and no maximum sees them. A block of the product at a time.
+    """
+    best = turned[some].astype(np.float64)
+    alone = np.flatnonzero(turned[some] & ~np.isin(some, others, assume_unique=True))
+    seen = unit[others[turned[others]]]
+    best[alone] = -np.inf if len(seen) else 0.0
+    for i in range(0, len(alone), _BLOCK):
+        part = alone[i : i + _BLOCK]
+        for j in range(0, len(seen), _BLOCK):
+            best[part] = np.maximum(best[part], (unit[some[part]] @ seen[j : j + _BLOCK].T).max(axis=1))
+    return float(count @ best)
 
 
 def text_vector_scores(shared: pa.Array, shared_vectors: pa.Array) -> Callable[..., Column]:
-    """``f(predicted, gold, keys, vectors)``: cosine of two texts' mean vectors, and the summed best cosines of each side's tokens.
+    """``f(keys, vectors, gold, *predicted)``: for each predicted text the cosine of its and the gold text's mean vectors, the summed best cosines of each side's tokens, and how many tokens both have.
 
     The texts are lists of tokens. The vectors of frequent tokens come with the function; ``keys`` and ``vectors`` are
-    a row's distinct others that have one. Repeated tokens are compared once and weighted. Null for a row with a side
-    without vectors; the cosine is null too where a mean has no direction.
+    a row's distinct others that have one. Repeated tokens are compared once and weighted, and the distinct tokens of
+    all texts of a row are scaled once. No cosine and no sums for a pair with a side without vectors; the cosine is null
+    too where a mean has no direction.
     """
     held = _stacked(shared_vectors)
 
-    def score(predicted: pa.Array, gold: pa.Array, keys: pa.Array, vectors: pa.Array) -> pa.Array:
+    def score(keys: pa.Array, vectors: pa.Array, *texts: pa.Array) -> pa.Array:
         rows = []
-        for start, length in slices(_ITEMS_AT_ONCE, predicted, gold):
-            sides = [c.slice(start, length) for c in (predicted, gold)]
+        for start, length in slices(_ITEMS_AT_ONCE, *texts):
+            sides = [c.slice(start, length) for c in texts]
             own = _stacked(vectors.slice(start, length).flatten())
             at = [places_of(side, shared, keys.slice(start, length)) for side in sides]
-            ends = [np.cumsum(list_sizes(side)) for side in sides]
+            sizes = [list_sizes(side) for side in sides]
 
             def vectors_at(place: np.ndarray) -> np.ndarray:
                 near = place < len(held)
@@ -148,15 +162,31 @@ def text_vector_scores(shared: pa.Array, shared_vectors: pa.Array) -> Callable[.
                     out[~near] = own[place[~near] - len(held)]  # noqa: B023
                 return out
 
-            for parts in zip(*[np.split(a, end[:-1]) for a, end in zip(at, ends)]):
-                (p, n), (g, m) = [np.unique(part[part >= 0], return_counts=True) for part in parts]
-                if not (len(p) and len(g)):
-                    rows.append(None)
-                    continue
-                a, b = n @ vectors_at(p) / n.sum(), m @ vectors_at(g) / m.sum()
-                size = np.linalg.norm(a) * np.linalg.norm(b)
-                matched = [float(n @ _nearest(p, g, vectors_at)), float(m @ _nearest(g, p, vectors_at))]
-                rows.append({"cosine": float(a @ b / size) if size > 0 else None, "matched_p": matched[0], "matched_g": matched[1]})
-        return pa.array(rows, pa.struct([(n, pa.float64()) for n in ("cosine", "matched_p", "matched_g")]))
+            split = zip(*[np.split(a, np.cumsum(size)[:-1]) for a, size in zip(at, sizes)])
+            for parts, lengths in zip(split, zip(*[size.tolist() for size in sizes])):
+                places, index = np.unique(np.concatenate(parts), return_inverse=True)
+                missing = int(len(places) and places[0] < 0)
+                some = vectors_at(places[missing:])
+                turned = _has_direction(some)
+                unit = np.zeros_like(some)
+                unit[turned] = _unit_rows(some[turned])
+                distinct = []
+                for part in np.split(index, np.cumsum(lengths)[:-1]):
+                    count = np.bincount(part, minlength=len(places))[missing:]
+                    used = np.flatnonzero(count)
+                    mean = count[used] @ some[used] / count.sum() if len(used) else None
+                    distinct.append((used, count[used], mean))
+                (g, m, b), *others = distinct
+                scores = []
+                for (p, n, a), size_p in zip(others, lengths[1:]):
+                    found = {"size_p": size_p, "size_g": lengths[0]}
+                    if len(p) and len(g):
+                        size = np.linalg.norm(a) * np.linalg.norm(b)
+                        found["cosine"] = float(a @ b / size) if size > 0 else None
+                        found["matched_p"], found["matched_g"] = _matched(p, n, g, unit, turned), _matched(g, m, p, unit, turned)
+                    scores.append(found)
+                rows.append(scores)
+        doubles, longs = ("cosine", "matched_p", "matched_g"), ("size_p", "size_g")
+        return pa.array(rows, pa.list_(pa.struct([*[(n, pa.float64()) for n in doubles], *[(n, pa.int64()) for n in longs]])))
 
     return F.arrow_udf(score, _TEXT_SCORES)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gistmeter.functions.lcs import lcs_length, union_lcs_hits
 from gistmeter.functions.ngrams import gram_hits, ngram_count
+from gistmeter.functions.overlaps import overlap_counts
 from gistmeter.functions.stems import stem_line_tokens, stem_tokens
 from gistmeter.functions.text import bleu_tokens, line_tokens, rouge_tokens, sentence_lines
 
@@ -191,3 +192,46 @@ def bleu_corpus(df: DataFrame, predicted: str, gold: str, by: list[str] | None =
     counted = bleu_counts(df.select(*kept), predicted, gold)
     summed = counted.groupBy(*by).agg(*[F.sum(name).alias(name) for name in names])
     return _bleu_columns(summed, by)
+
+
+def score_models(
+    df: DataFrame, ids: list[str], gold: str, models: list[str], variable: str, value: str, types: tuple[str, ...] = ROUGE_TYPES
+) -> DataFrame:
+    """(ids, gold, variable, value, the F values of ``types``, the columns of ``bleu``): one row per row and model.
+
+    All models' texts meet the gold text in one row, so it is taken apart, sent and numbered once; the rows become
+    long once they are numbers.
+    """
+    by_line, sequence = "rougelsum" in types, "rougel" in types
+    orders = max([_rouge_order(name) or 0 for name in types], default=0)
+    kinds = [*[f"rouge{n}" for n in range(1, orders + 1)], *["rougel"] * sequence, *["rougelsum"] * by_line]
+    unknown = set(types) - set(kinds)
+    if unknown:
+        raise ValueError(f"unknown type: {min(unknown)}")
+    texts = [gold, *models]
+    # The tokens of the lines, one after the other, are those of the text.
+    rouge_found = overlap_counts(orders, sequence, by_line)(*[line_tokens(t) if by_line else rouge_tokens(t) for t in texts])
+    bleu_found = overlap_counts(MAX_ORDER)(*[bleu_tokens(t) for t in texts])
+    counted = df.select(*ids, *texts, *[rouge_found.alias("_gm_rouge")] * bool(types), bleu_found.alias("_gm_bleu"))
+    number = F.col("_gm_number")
+    long = counted.select("*", F.explode(F.array(*[F.lit(k) for k in range(len(models))])).alias("_gm_number"))
+    at = lambda column, place: F.get(F.get(column, number), F.lit(place))
+    grams = lambda size, n: F.greatest(size - (n - 1), F.lit(0))
+    made, asked = at("_gm_rouge", len(kinds)), at("_gm_rouge", len(kinds) + 1)
+    rated = [
+        prf(at("_gm_rouge", kinds.index(t)), *[grams(size, _rouge_order(t) or 1) for size in (made, asked)])["fmeasure"].alias(t)
+        for t in types
+    ]
+    bleu_made, bleu_asked = at("_gm_bleu", MAX_ORDER), at("_gm_bleu", MAX_ORDER + 1)
+    scored = long.select(
+        *ids,
+        gold,
+        F.get(F.array(*[F.lit(m) for m in models]), number).alias(variable),
+        F.get(F.array(*models), number).alias(value),
+        *rated,
+        *[at("_gm_bleu", n - 1).alias(f"match{n}") for n in _ORDERS],
+        *[grams(bleu_made, n).alias(f"total{n}") for n in _ORDERS],
+        bleu_made.alias("translation_length"),
+        bleu_asked.alias("reference_length"),
+    )
+    return _bleu_columns(scored, [*ids, gold, variable, value, *types])

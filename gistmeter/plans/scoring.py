@@ -15,8 +15,8 @@ from gistmeter.operators.overlap import (
     bleu,
     gold_token_columns,
     rouge_f,
+    score_models,
     with_gold_tokens,
-    without_gold_tokens,
 )
 from gistmeter.operators.ranking import lookup_join
 from gistmeter.operators.reshape import melt
@@ -43,7 +43,8 @@ def _with_token_vectors(
     rows = BROADCAST_VALUES // dim
     df = df.select(*keys, *texts)
     items = F.concat(*[rouge_tokens(text) for text in texts])
-    uses = df.select(F.explode(items).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # A row asks for a token once, however often it has it.
+    uses = df.select(F.explode(F.array_distinct(items)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     uses = materialize(uses.withColumn("vec_id", token_id), "tokens")
     held = vectors.select("vec_id", "vector")
     names, ids = frequent_items(uses, "token", "vec_id", "n", rows)
@@ -57,10 +58,10 @@ def _with_token_vectors(
     return packed, shared_names, shared_vectors
 
 
-def _vector_columns(scores: Column, predicted: Column, gold: Column) -> list[Column]:
-    """cosine, match_precision, match_recall and match_f1 from what ``text_vector_scores`` found."""
-    share = lambda matched, side: F.coalesce(matched / F.nullif(F.size(side), F.lit(0)), F.lit(0.0))
-    precision, recall = share(scores["matched_p"], predicted), share(scores["matched_g"], gold)
+def _vector_columns(scores: Column) -> list[Column]:
+    """cosine, match_precision, match_recall and match_f1 from what ``text_vector_scores`` found for a pair."""
+    share = lambda matched, size: F.coalesce(matched / F.nullif(size, F.lit(0)), F.lit(0.0))
+    precision, recall = share(scores["matched_p"], scores["size_p"]), share(scores["matched_g"], scores["size_g"])
     total = precision + recall
     f1 = F.when(total != 0, 2 * precision * recall / total).otherwise(0.0)
     return [
@@ -88,9 +89,8 @@ def score_vectors(
     has no cosine.
     """
     rows, *shared = _with_token_vectors(df, keys, [predicted, gold], vectors, token_id, dim)
-    rows = rows.withColumns({"_gm_p": rouge_tokens(predicted), "_gm_g": rouge_tokens(gold)})
-    scored = rows.withColumn("_gm_s", text_vector_scores(*shared)("_gm_p", "_gm_g", "_gm_keys", "_gm_values"))
-    return scored.select(*keys, *_vector_columns(F.col("_gm_s"), F.col("_gm_p"), F.col("_gm_g")))
+    found = text_vector_scores(*shared)("_gm_keys", "_gm_values", rouge_tokens(gold), rouge_tokens(predicted))
+    return rows.select(*keys, F.get(found, F.lit(0)).alias("_gm_s")).select(*keys, *_vector_columns(F.col("_gm_s")))
 
 
 def melt_with_gold(
@@ -106,10 +106,10 @@ def score_wide(
 ) -> DataFrame:
     """Wide model outputs to one scored row per id row and model.
 
-    Every column outside ``ids`` and ``gold`` is a model. The gold text is taken apart before the melt.
+    Every column outside ``ids`` and ``gold`` is a model. All are scored in their row, before the melt.
     """
-    long = melt_with_gold(df, ids, gold, variable, types=types)
-    return without_gold_tokens(score_overlap(long, "obtained_summary", gold, types))
+    models = [c for c in df.columns if c not in (*ids, gold)]
+    return score_models(df, ids, gold, models, variable, "obtained_summary", types)
 
 
 def score_wide_vectors(
@@ -120,14 +120,8 @@ def score_wide_vectors(
     All models of a row share the matrix of its distinct tokens; the rows become long once they are numbers.
     """
     models = [c for c in df.columns if c not in (*ids, gold)]
-    texts = {"_gm_g": gold} | {f"_gm_m{k}": model for k, model in enumerate(models)}
-    rows, *shared = _with_token_vectors(df, ids, [*texts.values()], vectors, token_id, dim)
-    rows = rows.withColumns({name: rouge_tokens(text) for name, text in texts.items()})
-    score = text_vector_scores(*shared)
-    found = [score(f"_gm_m{k}", "_gm_g", "_gm_keys", "_gm_values").alias(f"_gm_s{k}") for k in range(len(models))]
-    scored = rows.select(*ids, *texts, *found)
-    each = [
-        F.struct(F.lit(model).alias(variable), *_vector_columns(F.col(f"_gm_s{k}"), F.col(f"_gm_m{k}"), F.col("_gm_g")))
-        for k, model in enumerate(models)
-    ]
-    return scored.select(*ids, F.inline(F.array(*each)))
+    rows, *shared = _with_token_vectors(df, ids, [gold, *models], vectors, token_id, dim)
+    found = text_vector_scores(*shared)("_gm_keys", "_gm_values", *[rouge_tokens(text) for text in (gold, *models)])
+    scored = rows.select(*ids, F.posexplode(found).alias("_gm_k", "_gm_s"))
+    name = F.get(F.array(*[F.lit(model) for model in models]), F.col("_gm_k"))
+    return scored.select(*ids, name.alias(variable), *_vector_columns(F.col("_gm_s")))

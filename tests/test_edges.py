@@ -12,7 +12,7 @@ from gistmeter.functions.text import rouge_tokens
 from gistmeter.functions.vectors import best_matches
 from gistmeter.operators import bias, corpus, selection, splits, summarize, trials
 from gistmeter.operators.vocabulary import build_vocabulary, decode, encode
-from gistmeter.plans.scoring import score_vectors
+from gistmeter.plans.scoring import score_vectors, score_wide_vectors
 from gistmeter.sources import sinks
 
 NAN = float("nan")
@@ -155,3 +155,27 @@ def test_only_distinct_tokens_leave_a_text(spark):
     for line in executed.splitlines():
         if "Exchange hashpartitioning" in line:
             assert "vector" not in line.split("Exchange", 1)[1]
+
+
+def test_vector_scores_of_several_models(spark):
+    """All models of a row against plain matrices: repeats, zero vectors, tokens without one, empty and missing texts."""
+    rng = np.random.default_rng(8)
+    held = {k: rng.normal(size=3).tolist() if k % 5 else [0.0] * 3 for k in range(1, 9)}
+    vectors = spark.createDataFrame([*held.items()], "vec_id long, vector array<double>")
+    word = lambda k: "x" * k
+    texts = [None, "", word(5), word(11)] + [" ".join(word(int(k)) for k in rng.integers(1, 11, n)) for n in (1, 3, 9, 30, 2500)]
+    rows = [(k, texts[k], *[texts[(k * 2 + j) % len(texts)] for j in range(3)]) for k in range(len(texts))]
+    wide = spark.createDataFrame(rows, "id int, gold string, m0 string, m1 string, m2 string")
+    got = {(r.id, r.model): r for r in score_wide_vectors(wide, ["id"], "gold", vectors, F.length("token").cast("long"), 3).collect()}
+    assert len(got) == 3 * len(rows)
+    for k, gold, *models in rows:
+        for j, text in enumerate(models):
+            sides = [(t or "").split() for t in (text, gold)]
+            p, g = [np.array([held[len(t)] for t in side if len(t) in held]).reshape(-1, 3) for side in sides]
+            best = [a.sum() / len(s) if len(s) and len(p) and len(g) else 0 for a, s in zip(best_matches(p, g) if len(p) and len(g) else [np.zeros(1)] * 2, sides)]
+            # A token of both sides matches itself.
+            row = got[k, f"m{j}"]
+            assert [row.match_precision, row.match_recall] == pytest.approx(best, abs=1e-9)
+            size = np.linalg.norm(p.sum(0)) * np.linalg.norm(g.sum(0)) if len(p) and len(g) else 0
+            assert (row.cosine is None) == (size == 0)
+            assert size == 0 or row.cosine == pytest.approx(p.sum(0) @ g.sum(0) / size)

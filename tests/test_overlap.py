@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gistmeter.functions import lcs, ngrams, places
+from gistmeter.functions import lcs, ngrams, overlaps, places
 from gistmeter.operators import overlap
 from gistmeter.operators.reshape import melt
 from gistmeter.plans.scoring import score_wide
@@ -207,3 +207,27 @@ def test_few_rows_become_lists_at_once(monkeypatch):
     seen.clear()
     lines = [pa.array([[r[k]] for r in rows]) for k in (0, 1)]
     assert lcs.union_lcs_hits.func(*lines).to_pylist() == [3] * 300 and max(seen) <= lcs._ROWS_AT_ONCE
+
+
+def test_models_are_scored_in_the_row_of_their_gold_text(spark, monkeypatch):
+    """Every type and any number of models, awkward texts and small slices: as the pairs are scored, and no long row has a token."""
+    texts = [t for pair in CASES + random_pairs(25, 7) for t in pair]
+    rows = [(k, *[texts[(k * 7 + j * 3) % len(texts)] for j in range(4)]) for k in range(len(texts))]
+    wide = spark.createDataFrame(rows, "id int, gold string, m1 string, m2 string, m3 string")
+    names = ["id", "gold", "model", "obtained_summary"]
+    for types in (TYPES, ("rouge2", "rougel"), ("rougelsum",), ()):
+        scored = score_wide(wide, ["id"], "gold", types=types)
+        pairs = melt(wide, ["id", "gold"])
+        want = overlap.bleu(overlap.rouge_f(pairs, "obtained_summary", "gold", types=types), "obtained_summary", "gold")
+        assert scored.columns == want.columns and scored.dtypes == want.dtypes and scored.columns[:4] == names
+        assert sorted(map(str, scored.collect())) == sorted(map(str, want.collect()))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("ArrowEvalPython")
+    monkeypatch.setattr(overlaps, "_TOKENS_AT_ONCE", 10)
+    lines = [pa.array([[r.split() for r in (t or "").split("\n")] for t in some], pa.list_(pa.list_(pa.string()))) for some in list(zip(*rows))[1:]]
+    found = overlaps.overlap_counts(1, True, True).func(*lines).to_pylist()
+    for k, (gold, *others) in enumerate(zip(*[c.to_pylist() for c in lines])):
+        flat = [t for line in gold for t in line]
+        for got, other in zip(found[k], others):
+            made = [t for line in other for t in line]
+            assert got == [sum((brute.grams(made, 1) & brute.grams(flat, 1)).values()), brute.table(made, flat)[-1][-1], lcs.summary_hits(gold, other), len(made), len(flat)]
