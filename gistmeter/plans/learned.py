@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -319,24 +318,24 @@ FROM events, (VALUES (50), (90), (99)) v(p) WHERE value IS NOT NULL GROUP BY ALL
 
 @registered
 def trial_plateau_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The plateaus of all trials, found by a stream over three files of their log, one file a micro-batch."""
+    """The plateaus of all trials, found by a stream that takes three parts of their log as they come, going on from its checkpoint."""
     log = materialize(fx.trial_log(spark, folder).select("trial", "training_iteration", "eval_rouge1"), "log")
     path, found, checkpoint = (fresh_path(spark, label) for label in ("arriving", "plateaus", "progress"))
     bounds = [0, *log.agg(F.percentile_approx("training_iteration", [0.3, 0.6])).first()[0], None]
-    for low, high in zip(bounds[:-1], bounds[1:]):
-        part = log.where((F.col("training_iteration") > low) & (F.lit(True) if high is None else F.col("training_iteration") <= high))
-        # Any order inside a file; file times tell the order of the files.
-        part.repartition(1, F.lit(0)).sortWithinPartitions(F.xxhash64("trial", "training_iteration")).write.mode("append").parquet(path)
-        time.sleep(1.1)
-    setting = "spark.sql.streaming.stateStore.providerClass"
+    setting, width = "spark.sql.streaming.stateStore.providerClass", int(spark.conf.get("spark.sql.shuffle.partitions"))
     before = spark.conf.get(setting)
     spark.conf.set(setting, plateau.STATE_STORE)
     try:
-        arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        stops = plateau.plateaus_of_stream(arriving, "trial", "training_iteration", "eval_rouge1", spread=10.0)
-        sink = stops.writeStream.format("parquet").option("path", found).option("checkpointLocation", checkpoint)
-        query = sink.queryName(f"plateaus_{uuid.uuid4().hex}").trigger(availableNow=True).outputMode("append").start()
-        query.awaitTermination()
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            part = log.where((F.col("training_iteration") > low) & (F.lit(True) if high is None else F.col("training_iteration") <= high))
+            # Any order inside a part and any number of files: all of them are one micro-batch.
+            order = F.xxhash64("trial", "training_iteration")
+            part.repartition(width, order).sortWithinPartitions(order).write.mode("append").parquet(path)
+            arriving = spark.readStream.schema(log.schema).parquet(path)
+            stops = plateau.plateaus_of_stream(arriving, "trial", "training_iteration", "eval_rouge1", spread=10.0)
+            sink = stops.writeStream.format("parquet").option("path", found).option("checkpointLocation", checkpoint)
+            query = sink.queryName(f"plateaus_{uuid.uuid4().hex}").trigger(availableNow=True).outputMode("append").start()
+            query.awaitTermination()
     finally:
         spark.conf.set(setting, before)
     return spark.read.schema(stops.schema).parquet(found)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: The state of a trial lives in the store that keeps its changes, as states of this kind need.
@@ -14,36 +13,40 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class _Plateau(StatefulProcessor):
-    """One ring of the last results of each trial, and whether it has stopped."""
+    """One ring of the last results of each trial, and whether it has stopped: one value, read and written once a micro-batch."""
 
     def __init__(self, trial: str, iteration: str, metric: str, spread: float, results: int, least: int, grace: int):
         self.names, self.spread, self.results, self.least, self.grace = (trial, iteration, metric), spread, results, least, grace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "iteration long, metric double")
-        self.seen = handle.getValueState("seen", "last long, late long, stopped long")
+        self.state = handle.getValueState("trial", "last long, late long, stopped long, iterations array<long>, metrics array<double>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        _, iteration, metric = self.names
-        held = self.seen.get() if self.seen.exists() else None
-        last, late, stopped = held if held is not None else (-1, 0, 0)
-        arrived = pd.concat(list(rows)).sort_values(iteration, kind="stable")
-        fresh = arrived[arrived[iteration] > last]
-        late += len(arrived) - len(fresh)
-        ring = [(int(r[0]), r[1]) for r in self.ring.get()]
-        order, values = [*(r[0] for r in ring), *fresh[iteration].tolist()], [*(r[1] for r in ring), *fresh[metric].tolist()]
+    def _flat(self, values: list) -> bool:
+        """Whether these results deviate by less than the spread; a null metric takes a place but has no value."""
+        window = [float(v) for v in values if v is not None and v == v]
+        if len(window) < max(self.least, 1):
+            return False
+        mean = sum(window) / len(window)
+        return sqrt(sum((v - mean) * (v - mean) for v in window) / len(window)) < self.spread
+
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802
+        trial, iteration, metric = self.names
+        last, late, stopped, order, values = self.state.get() or (-1, 0, 0, [], [])
+        arrived = [(row[iteration], row[metric]) for row in rows]
+        fresh = sorted((r for r in arrived if r[0] is not None and r[0] > last), key=lambda r: r[0])
+        order, values = [*order, *(r[0] for r in fresh)], [*values, *(r[1] for r in fresh)]
         found = None
-        for k in range(len(ring), len(order)):
-            window = np.array([v for v in values[max(0, k + 1 - self.results) : k + 1] if v is not None], float)
-            # As in the aggregate: a null metric takes a place but has no value.
-            window = window[~pd.isna(window)]
-            if not stopped and found is None and len(window) >= self.least and order[k] >= self.grace and window.std() < self.spread:
-                found = int(order[k])
-        keep = max(self.results - 1, 0)
-        self.ring.put([(int(i), None if pd.isna(v) else float(v)) for i, v in zip(order[len(order) - keep :] if keep < len(order) else order, values[len(values) - keep :] if keep < len(values) else values)])
-        self.seen.update((int(order[-1]) if order else int(last), int(late), int(bool(stopped or found is not None))))
+        # A trial that has stopped is not looked at again.
+        for k in range(len(order) - len(fresh), 0 if stopped else len(order)):
+            if order[k] >= self.grace and self._flat(values[max(0, k + 1 - self.results) : k + 1]):
+                found = order[k]
+                break
+        keep = max(len(order) - max(self.results - 1, 0), 0)
+        last = order[-1] if order else last
+        stopped = int(bool(stopped or found is not None))
+        self.state.update((last, late + len(arrived) - len(fresh), stopped, order[keep:], [None if v is None or v != v else float(v) for v in values[keep:]]))
         if found is not None:
-            yield pd.DataFrame({self.names[0]: [key[0]], "stop_iteration": [found]})
+            yield Row(**{trial: key[0], "stop_iteration": found})
 
     def close(self) -> None:
         pass
@@ -64,4 +67,4 @@ def plateaus_of_stream(
     kind = dict(stream.dtypes)[trial]
     slim = stream.select(trial, iteration, metric)
     processor = _Plateau(trial, iteration, metric, spread, results, least, grace_period)
-    return slim.groupBy(trial).transformWithStateInPandas(processor, f"{trial} {kind}, stop_iteration long", outputMode="Append", timeMode="None")
+    return slim.groupBy(trial).transformWithState(processor, f"{trial} {kind}, stop_iteration long", outputMode="Append", timeMode="None")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from gistmeter.operators import boundaries, centrality, drifting, neighbours, subwords, trials
@@ -287,3 +288,40 @@ def test_few_pairs_of_a_block_are_measured():
         if found is not None:
             assert set(zip(np.repeat(np.arange(300), 4), order.ravel())) <= set(zip(*found))
             assert shift or len(found[0]) < 300 * 40
+
+
+def test_a_trial_costs_one_read_and_one_write_of_state_a_micro_batch():
+    calls, held = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return held.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            held["value"] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+    processor = plateau._Plateau("trial", "i", "m", 0.01, 3, 2, 1)
+    processor.init(Handle())
+    go = lambda rows: [tuple(r) for r in processor.handleInputRows(("a",), (Row(trial="a", i=i, m=m) for i, m in rows), None)]
+    assert go([(3, None), (1, 0.1), (2, 9.0)]) == [] and held["value"] == (3, 0, 0, [2, 3], [9.0, None])
+    assert go([(5, float("nan")), (4, 0.5), (2, 0.5), (None, 0.5), (6, 0.5)]) == [("a", 6)]
+    assert held["value"] == (6, 2, 1, [5, 6], [None, 0.5])
+    # A trial that has stopped goes on being recorded, and is told once.
+    assert go([(7, 0.5), (8, 0.5)]) == [] and held["value"] == (8, 2, 1, [7, 8], [0.5, 0.5])
+    assert calls == ["get", "update"] * 3
+
+
+def test_the_log_that_arrives_is_not_written_by_one_task(spark, data, monkeypatch):
+    from gistmeter.plans import learned
+
+    paths, fresh = {}, learned.fresh_path
+    monkeypatch.setattr(learned, "fresh_path", lambda spark, label: paths.setdefault(label, fresh(spark, label)))
+    learned.trial_plateau_stream(spark, data).collect()
+    batches = spark.read.text(paths["progress"] + "/commits/*").select(F.input_file_name()).distinct().count()
+    assert len(spark.read.parquet(paths["arriving"]).inputFiles()) > 3 == batches
