@@ -70,21 +70,29 @@ def without_repeats(text: Column | str, max_chars: int | None = None) -> Column:
     column = _or_empty(text)
     if max_chars is not None:
         column = F.substring(column, 1, max_chars)
-    return F.array_join(F.array_distinct(sentences(column)), " ")
+    return distinct_of(sentences(column))
 
 
 def longest_sentence(text: Column | str) -> Column:
     """The sentence with the most characters; the first of several."""
-
-    def pick(parts: Column) -> Column:
-        ranked = F.transform(
-            parts, lambda s, i: F.struct(F.length(s).alias("size"), (-i).alias("order"), s.alias("sentence"))
-        )
-        return F.array_max(ranked)["sentence"]
-
-    return let(sentences(text), pick)
+    return let(sentences(text), longest_of)
 
 
 def last_sentence(text: Column | str) -> Column:
     """The closing sentence; null when there is none."""
-    return let(sentences(text), lambda parts: F.get(parts, F.size(parts) - 1))
+    return let(sentences(text), last_of)
+
+
+def distinct_of(parts: Column) -> Column:
+    return F.array_join(F.array_distinct(parts), " ")
+
+
+def longest_of(parts: Column) -> Column:
+    ranked = F.transform(
+        parts, lambda s, i: F.struct(F.length(s).alias("size"), (-i).alias("order"), s.alias("sentence"))
+    )
+    return F.array_max(ranked)["sentence"]
+
+
+def last_of(parts: Column) -> Column:
+    return F.get(parts, F.size(parts) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmeter.functions.text import last_sentence, longest_sentence, without_repeats
+from gistmeter.functions.text import distinct_of, last_of, longest_of, sentences
 from gistmeter.operators.ranking import rank_within
 from gistmeter.sources.tables import scan, spread
 
@@ -34,12 +34,14 @@ def conversation_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def wide_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """(company, gold_summary, deduped, longest, closing): one column per way to shorten a text."""
-    return documents(spark, folder).select(
+    parts = F.col("_gm_parts")
+    texts = documents(spark, folder).select("doc_id", "text", sentences("text").alias("_gm_parts"))
+    return texts.select(
         F.col("doc_id").alias("company"),
         F.col("text").alias("gold_summary"),
-        without_repeats("text").alias("deduped"),
-        longest_sentence("text").alias("longest"),
-        last_sentence("text").alias("closing"),
+        distinct_of(parts).alias("deduped"),
+        longest_of(parts).alias("longest"),
+        last_of(parts).alias("closing"),
     )
 
 

@@ -60,3 +60,10 @@ def test_stems_of_arrays(spark):
     assert got == [["compani", "was", "compani"], [], ["run"]]
     nested = df.coalesce(1).select(stems.stem_line_tokens(F.array("t", "t")).alias("x")).collect()
     assert [r["x"] for r in nested] == [[x, x] for x in got]
+
+
+def test_texts_are_split_into_sentences_once(spark, data):
+    from gistmeter.plans.fixtures import wide_summaries
+
+    plan = wide_summaries(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
