@@ -1,7 +1,9 @@
 """Subwords, drifting keys, versions, learnt boundaries, centrality, neighbours, footers, sketches, a stream."""
 
 import math
+import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -205,6 +207,53 @@ def test_far_cells_are_not_visited():
     assert len(rows) <= visits < 0.15 * 30 * len(rows)
 
 
+@pytest.mark.parametrize("kind, scale, offset", [("float", 1, 0), ("double", 1, 0), ("double", 1, 1e5), ("double", 1e25, 0), ("double", 1e160, 0)])
+def test_points_meet_one_slice_after_the_other(spark, monkeypatch, kind, scale, offset):
+    """Slices of a few points, without structure, far from zero, and with squares that a float or a double cannot hold."""
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    monkeypatch.setattr(neighbours, "SLICE", 6 * 90)
+    monkeypatch.setattr(neighbours, "WIDTH", 30)
+    rows = 240
+    vectors = (np.random.default_rng(3).normal(size=(rows, 6)) * scale + offset).astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], f"id long, v array<{kind}>")
+    written, write = [], neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df, label: written.append((label, write(df, label))) or written[-1][1])
+    got = {}
+    for r in neighbours.nearest_rows(df, "id", "v", 4).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance))
+    far = neighbours._far(vectors.astype(np.float64), vectors.astype(np.float64))
+    far[np.diag_indices(rows)] = np.inf
+    for a in range(rows):
+        order = np.lexsort((np.arange(rows), far[a]))[:4]
+        assert sorted(got.get(a, [])) == [(n + 1, int(b), far[a, b]) for n, b in enumerate(order) if far[a, b] < np.inf]
+    # Whatever is visited, what goes from slice to slice is a row for each point, and no copy of it stays.
+    states = [df for label, df in written if label == "state"]
+    assert len(states) >= 4
+    for label, df in written:
+        there = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(there) == (label not in ("state", "rows", "points", "placed"))
+
+
+def test_a_task_sends_a_row_for_each_visitor():
+    vectors = np.random.default_rng(5).normal(size=(500, 8))
+    pivots, table = vectors[:40], neighbours.pa.table({"node": range(500), "vector": vectors.tolist()})
+    cell = neighbours._far(vectors, pivots).argmin(axis=1)
+    far = np.sort(neighbours._far(vectors, pivots), axis=1)
+    table = table.append_column("place", neighbours.pa.array(cell << 32)).append_column("far", neighbours.pa.array(far[:, 0]))
+    radius = np.array([far[cell == c, 0].max() for c in range(40)])
+    held = neighbours._Held(table, pivots, neighbours._far(pivots, pivots), radius)
+    state = neighbours._begun(pivots, np.full((40, 4), np.inf), 3, 3)(table.sort_by("place").to_batches())
+    out = neighbours.pa.Table.from_batches(neighbours._compared(SimpleNamespace(value=held), 8, 3)(state))
+    assert out.num_rows == 500
+    near = np.sort(neighbours._far(vectors, vectors), axis=1)[:, 1:4]
+    assert (np.array(out.sort_by("node")["distances"].to_pylist()) == near).all()
+
+
+def test_slices_hold_whole_places():
+    sizes = [(4, 2), (1, 3), (2, 9), (3, 4), (9, 1)]
+    assert neighbours._slices(sizes, 7) == [(1, 1), (2, 2), (3, 9)] and neighbours._slices([], 7) == []
+
+
 def test_statistics_read_no_column(spark):
     path = fresh_path(spark, "footers")
     rows = [(1, None, "a", 2.5, [1], True), (None, 7, None, None, None, False), (3, 4, "c", -1.0, [], None)]
