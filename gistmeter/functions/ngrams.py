@@ -39,7 +39,17 @@ def shared_grams(token: np.ndarray, sizes: list[np.ndarray], orders: int) -> np.
     bounds = np.cumsum([size.sum() for size in sizes])[:-1]
     kinds = int(token.max()) + 1 if len(token) else 0
     out = np.zeros((len(sizes) - 1, rows, orders), np.int32)
-    gram, at = row, np.arange(len(row))
+    # A text that equals the first has all of its grams; the others are counted without it.
+    counted = np.ones(len(row), bool)
+    starts = (np.cumsum(per_row) - per_row).reshape(len(sizes), rows).tolist()
+    for k, size in enumerate(sizes[1:], 1):
+        for r in np.flatnonzero((size == sizes[0]) & (size > 0)).tolist():
+            own, first = slice(starts[k][r], starts[k][r] + size[r]), slice(starts[0][r], starts[0][r] + size[r])
+            if (token[own] == token[first]).all():
+                counted[own] = False
+                out[k - 1, r] = np.maximum(size[r] - np.arange(orders), 0)
+    at = np.flatnonzero(counted)
+    gram = row[at]
     for n in range(1, orders + 1):
         inside = room[at] >= n
         at, gram = at[inside], gram[inside]
@@ -50,7 +60,7 @@ def shared_grams(token: np.ndarray, sizes: list[np.ndarray], orders: int) -> np.
         owner = np.empty(len(found), np.int64)
         owner[gram] = row[at]
         for k, other in enumerate(others):
-            out[k, :, n - 1] = np.bincount(owner, np.minimum(first, other), rows)
+            out[k, :, n - 1] += np.bincount(owner, np.minimum(first, other), rows).astype(np.int32)
         # Only what is shared can be the start of a longer gram that is.
         kept = ((first > 0) & (sum(others) > 0))[gram]
         at, gram = at[kept], gram[kept]

@@ -44,15 +44,19 @@ def _counts(texts: list[pa.Array], orders: int, sequence: bool, line_sizes: list
 
 
 @cache
-def overlap_counts(orders: int, sequence: bool = False, lines: bool = False) -> Callable[..., Column]:
+def overlap_counts(
+    orders: int, sequence: bool = False, lines: bool = False, cut: Callable[[pa.Array], pa.Array] | None = None
+) -> Callable[..., Column]:
     """``f(gold, *others)``: for each other text a list of numbers.
 
     These are the sizes of the multiset intersections of n-grams, n from 1 to ``orders``; with ``sequence`` the length
     of the longest common subsequence; with ``lines`` the clipped union-LCS hits of the gold lines; the tokens of the
-    other text; those of the gold text. A text is an array of tokens, with ``lines`` one of the tokens of each line.
+    other text; those of the gold text. A text is an array of tokens, with ``lines`` one of the tokens of each line;
+    with ``cut`` it is whatever ``cut`` makes that of.
     """
 
     def count(*texts: pa.Array) -> pa.Array:
+        texts = [cut(text) for text in texts] if cut else texts
         parted = [_by_row(text) if lines else (text, None) for text in texts]
         tokens = [part[0] for part in parted]
         held = [split(part[1].tolist(), list_sizes(text).tolist()) for part, text in zip(parted, texts)] if lines else []

@@ -23,7 +23,12 @@ def list_sizes(column: pa.Array) -> np.ndarray:
 
 def slices(items: int, *columns: pa.Array):
     """(start, length) of runs of rows with about so many items in all columns."""
-    ends = np.cumsum(sum(list_sizes(c) for c in columns))
+    yield from slices_of(items, sum(list_sizes(c) for c in columns))
+
+
+def slices_of(items: int, sizes: np.ndarray):
+    """(start, length) of runs of rows of these sizes with about so many items."""
+    ends = np.cumsum(sizes)
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0

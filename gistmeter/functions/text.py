@@ -35,12 +35,22 @@ def rouge_tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(_or_empty(text)), ROUGE_BREAK), "")
 
 
-def bleu_tokens(text: Column | str) -> Column:
-    """Word and punctuation tokens by the mteval-v13a rules."""
+def rouge_line(text: Column | str) -> Column:
+    """What ``rouge_tokens`` looks for tokens in, closed by a line break."""
+    return F.concat(F.lower(_or_empty(text)), F.lit("\n"))
+
+
+def bleu_line(text: Column | str) -> Column:
+    """What the patterns of ``bleu_tokens`` are looked for in, closed by a space."""
     line = _or_empty(text)
     for old, new in BLEU_LITERALS + BLEU_ENTITIES:
         line = F.replace(line, F.lit(old), F.lit(new))
-    line = F.concat(F.lit(" "), line, F.lit(" "))
+    return F.concat(line, F.lit(" "))
+
+
+def bleu_tokens(text: Column | str) -> Column:
+    """Word and punctuation tokens by the mteval-v13a rules."""
+    line = F.concat(F.lit(" "), bleu_line(text))
     for pattern, replacement in BLEU_PATTERNS:
         line = F.regexp_replace(line, pattern, replacement)
     return F.array_remove(F.split(line, SPACE_RUN), "")

@@ -125,7 +125,11 @@ def _matched(some: np.ndarray, count: np.ndarray, others: np.ndarray, unit: np.n
     nothing (0) and no maximum sees them. A block of the product at a time.
     """
     best = turned[some].astype(np.float64)
-    alone = np.flatnonzero(turned[some] & ~np.isin(some, others, assume_unique=True))
+    among = np.zeros(len(unit), bool)
+    among[others] = True
+    alone = np.flatnonzero(turned[some] & ~among[some])
+    if not len(alone):
+        return float(count @ best)
     seen = unit[others[turned[others]]]
     best[alone] = -np.inf if len(seen) else 0.0
     for i in range(0, len(alone), _BLOCK):
@@ -135,10 +139,10 @@ def _matched(some: np.ndarray, count: np.ndarray, others: np.ndarray, unit: np.n
     return float(count @ best)
 
 
-def text_vector_scores(shared: pa.Array, shared_vectors: pa.Array) -> Callable[..., Column]:
+def text_vector_scores(shared: pa.Array, shared_vectors: pa.Array, cut: Callable[[pa.Array], pa.Array]) -> Callable[..., Column]:
     """``f(keys, vectors, gold, *predicted)``: for each predicted text the cosine of its and the gold text's mean vectors, the summed best cosines of each side's tokens, and how many tokens both have.
 
-    The texts are lists of tokens. The vectors of frequent tokens come with the function; ``keys`` and ``vectors`` are
+    ``cut`` makes lists of tokens of the texts. The vectors of frequent tokens come with the function; ``keys`` and ``vectors`` are
     a row's distinct others that have one. Repeated tokens are compared once and weighted, and the distinct tokens of
     all texts of a row are scaled once. No cosine and no sums for a pair with a side without vectors; the cosine is null
     too where a mean has no direction.
@@ -146,7 +150,7 @@ def text_vector_scores(shared: pa.Array, shared_vectors: pa.Array) -> Callable[.
     held = _stacked(shared_vectors)
 
     def score(keys: pa.Array, vectors: pa.Array, *texts: pa.Array) -> pa.Array:
-        rows = []
+        rows, texts = [], [cut(text) for text in texts]
         for start, length in slices(_ITEMS_AT_ONCE, *texts):
             sides = [c.slice(start, length) for c in texts]
             own = _stacked(vectors.slice(start, length).flatten())

@@ -14,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmeter.functions.cuts import bleu_cut, rouge_cut, rouge_line_cut
 from gistmeter.functions.lcs import lcs_length, union_lcs_hits
 from gistmeter.functions.ngrams import gram_hits, ngram_count
 from gistmeter.functions.overlaps import overlap_counts
 from gistmeter.functions.stems import stem_line_tokens, stem_tokens
-from gistmeter.functions.text import bleu_tokens, line_tokens, rouge_tokens, sentence_lines
+from gistmeter.functions.text import bleu_line, bleu_tokens, line_tokens, rouge_line, rouge_tokens, sentence_lines
 
 ROUGE_TYPES = ("rouge1", "rouge2", "rougel", "rougelsum")
 MAX_ORDER = 4
@@ -210,8 +211,9 @@ def score_models(
         raise ValueError(f"unknown type: {min(unknown)}")
     texts = [gold, *models]
     # The tokens of the lines, one after the other, are those of the text.
-    rouge_found = overlap_counts(orders, sequence, by_line)(*[line_tokens(t) if by_line else rouge_tokens(t) for t in texts])
-    bleu_found = overlap_counts(MAX_ORDER)(*[bleu_tokens(t) for t in texts])
+    cut = rouge_line_cut if by_line else rouge_cut
+    rouge_found = overlap_counts(orders, sequence, by_line, cut)(*[rouge_line(t) for t in texts])
+    bleu_found = overlap_counts(MAX_ORDER, cut=bleu_cut)(*[bleu_line(t) for t in texts])
     counted = df.select(*ids, *texts, *[rouge_found.alias("_gm_rouge")] * bool(types), bleu_found.alias("_gm_bleu"))
     number = F.col("_gm_number")
     long = counted.select("*", F.explode(F.array(*[F.lit(k) for k in range(len(models))])).alias("_gm_number"))

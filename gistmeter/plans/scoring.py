@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistmeter.functions.cuts import distinct_tokens, rouge_cut
 from gistmeter.functions.places import items_outside
-from gistmeter.functions.text import rouge_tokens
+from gistmeter.functions.text import rouge_line
 from gistmeter.functions.vectors import text_vector_scores
 from gistmeter.operators.overlap import (
     ROUGE_TYPES,
@@ -42,9 +43,9 @@ def _with_token_vectors(
     """
     rows = BROADCAST_VALUES // dim
     df = df.select(*keys, *texts)
-    items = F.concat(*[rouge_tokens(text) for text in texts])
     # A row asks for a token once, however often it has it.
-    uses = df.select(F.explode(F.array_distinct(items)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    items = distinct_tokens(*texts)
+    uses = df.select(F.explode(items).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     uses = materialize(uses.withColumn("vec_id", token_id), "tokens")
     held = vectors.select("vec_id", "vector")
     names, ids = frequent_items(uses, "token", "vec_id", "n", rows)
@@ -89,7 +90,7 @@ def score_vectors(
     has no cosine.
     """
     rows, *shared = _with_token_vectors(df, keys, [predicted, gold], vectors, token_id, dim)
-    found = text_vector_scores(*shared)("_gm_keys", "_gm_values", rouge_tokens(gold), rouge_tokens(predicted))
+    found = text_vector_scores(*shared, rouge_cut)("_gm_keys", "_gm_values", rouge_line(gold), rouge_line(predicted))
     return rows.select(*keys, F.get(found, F.lit(0)).alias("_gm_s")).select(*keys, *_vector_columns(F.col("_gm_s")))
 
 
@@ -121,7 +122,7 @@ def score_wide_vectors(
     """
     models = [c for c in df.columns if c not in (*ids, gold)]
     rows, *shared = _with_token_vectors(df, ids, [gold, *models], vectors, token_id, dim)
-    found = text_vector_scores(*shared)("_gm_keys", "_gm_values", *[rouge_tokens(text) for text in (gold, *models)])
+    found = text_vector_scores(*shared, rouge_cut)("_gm_keys", "_gm_values", *[rouge_line(text) for text in (gold, *models)])
     scored = rows.select(*ids, F.posexplode(found).alias("_gm_k", "_gm_s"))
     name = F.get(F.array(*[F.lit(model) for model in models]), F.col("_gm_k"))
     return scored.select(*ids, name.alias(variable), *_vector_columns(F.col("_gm_s")))

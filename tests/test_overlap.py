@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,31 @@ def test_models_are_scored_in_the_row_of_their_gold_text(spark, monkeypatch):
         for got, other in zip(found[k], others):
             made = [t for line in other for t in line]
             assert got == [sum((brute.grams(made, 1) & brute.grams(flat, 1)).values()), brute.table(made, flat)[-1][-1], lcs.summary_hits(gold, other), len(made), len(flat)]
+
+
+def test_texts_are_sent_uncut_and_equal_ones_are_not_counted(spark, monkeypatch):
+    wide = spark.createDataFrame([(1, "a b. c", "a b. c", "c")], "id int, gold string, m1 string, m2 string")
+    plan = score_wide(wide, ["id"], "gold")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_replace" not in plan and "split(" not in plan
+    counted = []
+    factorize = ngrams.pd.factorize
+    monkeypatch.setattr(ngrams.pd, "factorize", lambda values: counted.append(len(values)) or factorize(values))
+    token, size = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 1, 2, 5, 3, 1, 2]), np.array([4, 2, 0])
+    found = ngrams.shared_grams(token, [size, size, np.array([1, 2, 0])], 5)
+    assert found.tolist() == [[[4, 3, 2, 1, 0], [1, 0, 0, 0, 0], [0] * 5], [[1, 0, 0, 0, 0], [1, 0, 0, 0, 0], [0] * 5]]
+    assert counted[0] == 11
+
+
+def test_hits_of_one_line_are_those_of_the_tables(monkeypatch):
+    rng = random.Random(13)
+    for n in range(300):
+        lines = [[rng.randrange(4 + n % 9) for _ in range(rng.randrange(7))] for _ in range(rng.randrange(1, 7))]
+        kept = [line for line in lines if rng.random() < 0.7]
+        other = sum(kept, []) if n % 2 else [t for t in sum(lines, []) if rng.random() < 0.5]
+        text = lambda rows: "\n".join(" ".join(f"w{t}" for t in row) for row in rows)
+        want = brute.rouge_lsum(text([other]), text(lines))[1] * max(sum(map(len, lines)), 1)
+        hits = [lcs.summary_hits([x for x in lines if x], [other])]
+        for small in (0, 1 << 20):
+            monkeypatch.setattr(lcs, "_SMALL", small)
+            hits += [lcs.summary_hits([x for x in lines if x], [other]), lcs.summary_hits([x for x in lines if x], [other, []])]
+        assert hits == [pytest.approx(want)] * 5
